@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagegrain.llm import decontamination, simhash
+from pagegrain.llm import decontamination, simhash, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_substrings": substrings.op3_substrings,
         "op8_decontamination": decontamination.op8_decontamination,
         "op10_simhash": simhash.op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontamination": decontamination.SQL}
+    return {
+        "op3_substrings": substrings.SQL,
+        "op8_decontamination": decontamination.SQL,
+    }
