@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagegrain.llm import decontamination, simhash, substrings
+from pagegrain.llm import decontamination, langid, mixing, simhash, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_substrings": substrings.op3_substrings,
+        "op5_langid": langid.op5_langid,
+        "op7_mixing": mixing.op7_mixing,
         "op8_decontamination": decontamination.op8_decontamination,
         "op10_simhash": simhash.op10_simhash,
     }
@@ -20,5 +22,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_substrings": substrings.SQL,
+        "op7_mixing": mixing.SQL,
         "op8_decontamination": decontamination.SQL,
     }
