@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagegrain.llm import decontamination, langid, mixing, simhash, substrings
+from pagegrain.llm import decontamination, langid, mixing, pii, simhash, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_substrings": substrings.op3_substrings,
         "op5_langid": langid.op5_langid,
+        "op6_pii": pii.op6_pii,
         "op7_mixing": mixing.op7_mixing,
         "op8_decontamination": decontamination.op8_decontamination,
         "op10_simhash": simhash.op10_simhash,
