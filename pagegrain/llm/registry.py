@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagegrain.llm import decontamination, langid, mixing, pii, simhash, substrings
+from pagegrain.llm import decontamination, embeddings, langid, mixing, pii, simhash, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_pii": pii.op6_pii,
         "op7_mixing": mixing.op7_mixing,
         "op8_decontamination": decontamination.op8_decontamination,
+        "op9_embeddings": embeddings.op9_embeddings,
         "op10_simhash": simhash.op10_simhash,
     }
 
@@ -25,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_substrings": substrings.SQL,
         "op7_mixing": mixing.SQL,
         "op8_decontamination": decontamination.SQL,
+        "op9_embeddings": embeddings.SQL,
     }
