@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagegrain.llm import decontamination, embeddings, langid, mixing, pii, simhash, substrings
+from pagegrain.llm import chat, decontamination, embeddings, langid, mixing, pii, simhash, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat": chat.op1_chat,
         "op3_substrings": substrings.op3_substrings,
         "op5_langid": langid.op5_langid,
         "op6_pii": pii.op6_pii,
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_chat": chat.SQL,
         "op3_substrings": substrings.SQL,
         "op7_mixing": mixing.SQL,
         "op8_decontamination": decontamination.SQL,
