@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagegrain.llm import chat, decontamination, embeddings, langid, mixing, pii, simhash, substrings
+from pagegrain.llm import chat, decontamination, embeddings, langid, lines, mixing, pii, simhash, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat": chat.op1_chat,
         "op3_substrings": substrings.op3_substrings,
+        "op4_lines": lines.op4_lines,
         "op5_langid": langid.op5_langid,
         "op6_pii": pii.op6_pii,
         "op7_mixing": mixing.op7_mixing,
