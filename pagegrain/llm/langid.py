@@ -102,9 +102,10 @@ def identify(docs: DataFrame, model: dict[str, bytes]) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
     """``docs`` without the documents whose language is unknown or won by a narrow margin."""
-    columns = docs.columns
-    kept = identify(docs.select(F.struct(*columns).alias("_row"), "text"), model)
-    return kept.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= margin)).select("_row.*")
+    aside = {c: f"_own_{c}" for c in ("lang_pred", "score") if c in docs.columns}
+    kept = identify(docs.withColumnsRenamed(aside), model)
+    kept = kept.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= margin)).drop("lang_pred", "score")
+    return kept.withColumnsRenamed({v: k for k, v in aside.items()})
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

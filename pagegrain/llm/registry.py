@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagegrain.llm import chat, decontamination, embeddings, langid, lines, mixing, pii, simhash, substrings
+from pagegrain.llm import chat, decontamination, embeddings, extraction, langid, lines, mixing, pii, simhash, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat": chat.op1_chat,
+        "op2_extraction": extraction.op2_extraction,
         "op3_substrings": substrings.op3_substrings,
         "op4_lines": lines.op4_lines,
         "op5_langid": langid.op5_langid,
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat": chat.SQL,
+        "op2_extraction": extraction.SQL,
         "op3_substrings": substrings.SQL,
         "op7_mixing": mixing.SQL,
         "op8_decontamination": decontamination.SQL,
