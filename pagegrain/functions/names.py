@@ -1,0 +1,331 @@
+"""The accessibility outline of a page: roles, accessible names, heading levels.
+
+Lookups that a name needs (ids, labels of controls) are made once a page; roles are remembered.
+"""
+
+from __future__ import annotations
+
+import json
+import sys
+
+from pagegrain.functions.page import BLOCK, HIDDEN_CHILDREN, WHITE, Page, collapse, words
+
+# The roles and the elements that have them.
+KNOWN_ROLES = frozenset(
+    "alert alertdialog application article banner blockquote button caption cell checkbox code columnheader combobox complementary contentinfo definition deletion dialog directory document"
+    " emphasis feed figure form generic graphics-document grid gridcell group heading img insertion link list listbox listitem log main mark marquee math menu menubar menuitem menuitemcheckbox"
+    " menuitemradio meter navigation none note option paragraph presentation progressbar radio radiogroup region row rowgroup rowheader scrollbar search searchbox sectionfooter sectionheader"
+    " separator slider spinbutton status strong subscript superscript switch tab table tablist tabpanel term textbox time timer toolbar tooltip tree treegrid treeitem".split()
+)
+FIXED_ROLES = {
+    "article": "article", "blockquote": "blockquote", "body": "generic", "button": "button", "code": "code", "datalist": "listbox", "dd": "definition", "del": "deletion", "details": "group",
+    "dfn": "term", "dialog": "dialog", "div": "generic", "dl": "list", "dt": "term", "em": "emphasis", "fieldset": "group", "figcaption": "caption", "figure": "figure", "form": "form",
+    "h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "hgroup": "group", "hr": "separator", "ins": "insertion", "main": "main", "mark": "mark",
+    "math": "math", "menu": "list", "meter": "meter", "nav": "navigation", "ol": "list", "optgroup": "group", "option": "option", "output": "status", "p": "paragraph", "progress": "progressbar",
+    "s": "deletion", "search": "search", "span": "generic", "strong": "strong", "sub": "subscript", "summary": "button", "sup": "superscript", "table": "table", "textarea": "textbox",
+    "tfoot": "rowgroup", "thead": "rowgroup", "time": "time", "tr": "row", "ul": "list",
+}
+INPUT_ROLES = {"button": "button", "image": "button", "reset": "button", "submit": "button", "checkbox": "checkbox", "radio": "radio", "range": "slider", "number": "spinbutton"}
+SVG_ROLES = {
+    "g": "group", "svg": "group", "circle": "graphics-symbol", "ellipse": "graphics-symbol", "line": "graphics-symbol", "path": "graphics-symbol", "polygon": "graphics-symbol",
+    "polyline": "graphics-symbol", "rect": "graphics-symbol", "use": "graphics-object",
+}
+NAMED_BY_CONTENT = frozenset("button cell checkbox columnheader gridcell heading link menuitem menuitemcheckbox menuitemradio option radio rowheader switch tab term tooltip treeitem".split())
+TABLE_ROLES = frozenset("table rowgroup row cell columnheader rowheader gridcell".split())
+SECTIONING = frozenset(("article", "aside", "main", "nav", "section"))
+ROOTS = frozenset(("blockquote", "details", "dialog", "fieldset", "figure", "td"))
+# End of fixed values.
+UNSAID = (None, "generic", "presentation", "none")
+
+#: How a walk came to a node: as the subject itself, within contents, as the target of a reference, or below one.
+SUBJECT, CONTENTS, TARGET, UNDER = range(4)
+
+
+def is_list_box(attrs: dict[str, str]) -> bool:
+    """Whether a select shows several rows."""
+    size = attrs.get("size", "").strip(WHITE)
+    return "multiple" in attrs or size.isascii() and size.isdigit() and int(size) > 1
+
+
+class Outline:
+    def __init__(self, page: Page, styles: list[dict] | None = None):
+        self.page, self.styles = page, styles
+        self.by_id: dict[str, int] = {}
+        self.label_for: dict[str, int] = {}
+        for i, attrs in enumerate(page.attrs):
+            if "id" in attrs:
+                self.by_id.setdefault(attrs["id"], i)
+            if page.name[i] == "label" and "for" in attrs:
+                self.label_for.setdefault(attrs["for"], i)
+        self.roles: dict[int, str | None] = {}
+
+    # -- structure
+
+    def kids(self, i: int) -> list[int]:
+        return [c for c in self.page.children[i] if not self.page.swallowed(c, HIDDEN_CHILDREN)]
+
+    def up(self, i: int):
+        p = self.page.parent[i]
+        while p >= 0:
+            yield p
+            p = self.page.parent[p]
+
+    def within(self, i: int, names) -> bool:
+        return any(self.page.name[a] in names for a in self.up(i))
+
+    def excluded(self, i: int) -> bool:
+        attrs = self.page.attrs[i]
+        return attrs.get("aria-hidden", "").lower() == "true" or "inert" in attrs
+
+    def trimmed(self, i: int, name: str) -> str | None:
+        return self.page.attrs[i].get(name, "").strip(WHITE) or None
+
+    # -- roles
+
+    def role(self, i: int) -> str | None:
+        if i not in self.roles:
+            self.roles[i] = None
+            if self.page.name[i] is not None:
+                said = (t for t in words(self.page.attrs[i].get("role", "")) if t in KNOWN_ROLES)
+                self.roles[i] = next((t for t in said if t not in ("form", "region") or self.author_name(i)), None) or self.implicit(i)
+        return self.roles[i]
+
+    def implicit(self, i: int) -> str | None:
+        page, name, attrs = self.page, self.page.name[i], self.page.attrs[i]
+        if name in FIXED_ROLES:
+            return FIXED_ROLES[name]
+        if name in ("a", "area"):
+            return "link" if "href" in attrs else "generic"
+        if name == "aside":
+            return "complementary" if not self.within(i, SECTIONING) or self.author_name(i) else "generic"
+        if name in ("header", "footer"):
+            scoped = self.within(i, SECTIONING | ROOTS)
+            return {"header": ("banner", "sectionheader"), "footer": ("contentinfo", "sectionfooter")}[name][scoped]
+        if name in ("section", "tbody"):
+            return {"section": "region", "tbody": "rowgroup"}[name] if self.author_name(i) else "generic"
+        if name == "img":
+            return "presentation" if attrs.get("alt") == "" and not self.author_name(i) else "img"
+        if name == "input":
+            kind = attrs.get("type", "text").lower()
+            if kind == "hidden":
+                return None
+            if kind in INPUT_ROLES:
+                return INPUT_ROLES[kind]
+            if "list" in attrs and kind in ("search", "email", "tel", "text", "url"):
+                return "combobox"
+            return "searchbox" if kind == "search" else "textbox"
+        if name == "li":
+            return "listitem" if page.parent[i] >= 0 and page.name[page.parent[i]] in ("ul", "ol", "menu") else "generic"
+        if name == "select":
+            return "listbox" if is_list_box(attrs) else "combobox"
+        if name == "td":
+            return "gridcell" if self.in_grid(i) else "cell"
+        if name == "th":
+            scope = attrs.get("scope", "").lower()
+            if scope in ("row", "rowgroup") or scope not in ("col", "colgroup") and self.heads_row(i):
+                return "rowheader"
+            return "columnheader"
+        if name == "caption":
+            empty = all(page.name[c] is None and (page.kind[c] != "text" or not page.text[c].strip(WHITE)) for c in page.children[i])
+            return "caption" if not empty or self.author_name(i) else None
+        if name == "svg" and not self.within(i, ("svg",)):
+            return "graphics-document" if self.drawing_says(i) else "img"
+        if name in SVG_ROLES and (any(page.name[c] in ("title", "desc") for c in page.children[i]) or self.author_name(i)):
+            return SVG_ROLES[name]
+        return None
+
+    def in_grid(self, i: int) -> bool:
+        return next((r for r in map(self.role, self.up(i)) if r in ("table", "grid", "treegrid")), None) in ("grid", "treegrid")
+
+    def heads_row(self, i: int) -> bool:
+        p = self.page.parent[i]
+        cells = [c for c in self.page.children[p] if self.page.name[c] in ("td", "th")] if p >= 0 else []
+        return cells[:1] == [i] and any(self.page.name[c] == "td" for c in cells)
+
+    def drawing_says(self, i: int) -> bool:
+        stack = self.kids(i)
+        while stack:
+            c = stack.pop()
+            name = self.page.name[c]
+            if name is None or name in ("title", "desc") or self.excluded(c):
+                continue
+            if self.role(c) not in UNSAID or name == "text" and self.page.text_content(c).strip(WHITE):
+                return True
+            stack += self.kids(c)
+        return False
+
+    def level(self, i: int) -> int | None:
+        said = self.page.attrs[i].get("aria-level", "")
+        if said.isascii() and said.lstrip("+").isdigit() and int(said) >= 1:
+            return int(said)
+        name = self.page.name[i]
+        return int(name[1]) if name in ("h1", "h2", "h3", "h4", "h5", "h6") else None
+
+    # -- names
+
+    def author_name(self, i: int) -> str | None:
+        return self.trimmed(i, "aria-label") or self.referenced(i) or self.trimmed(i, "title")
+
+    def referenced(self, i: int) -> str | None:
+        found = [self.by_id[t] for t in words(self.page.attrs[i].get("aria-labelledby", "")) if t in self.by_id]
+        parts = [collapse(self.spoken(t, TARGET, set())) for t in found]
+        return " ".join(p for p in parts if p) or None
+
+    def name(self, i: int) -> str | None:
+        said = self.trimmed(i, "aria-label") or self.referenced(i)
+        if said:
+            return said
+        native = collapse(self.native(i) or "")
+        if native:
+            return native
+        return self.trimmed(i, "title") if self.role(i) != "term" else None
+
+    def native(self, i: int) -> str | None:
+        page, name, attrs = self.page, self.page.name[i], self.page.attrs[i]
+        if name in ("img", "area"):
+            return attrs.get("alt")
+        if name == "input":
+            kind = attrs.get("type", "text").lower()
+            if kind in ("button", "submit", "reset"):
+                return attrs.get("value")
+            return attrs.get("alt") if kind == "image" else self.label_of(i)
+        if name in ("textarea", "select"):
+            return self.label_of(i)
+        if name == "fieldset":
+            legend = next((k for k in range(i + 1, page.last[i] + 1) if page.name[k] == "legend"), None)
+            return None if legend is None else self.spoken(legend, SUBJECT, set())
+        if name == "table":
+            caption = next((c for c in page.children[i] if page.name[c] == "caption"), None)
+            return attrs.get("summary") if caption is None else self.spoken(caption, CONTENTS, set())
+        if name in SVG_ROLES:
+            return self.svg_title(i)
+        if name == "optgroup":
+            return attrs.get("label") or None
+        if name == "option":
+            return attrs.get("label") or self.contents(i, {i})
+        role = self.role(i)
+        return self.contents(i, {i}) if role in NAMED_BY_CONTENT or role == "row" and self.in_grid(i) else None
+
+    def label_of(self, i: int) -> str | None:
+        label = self.label_for.get(self.page.attrs[i].get("id", None)) if "id" in self.page.attrs[i] else None
+        if label is None:
+            around = [a for a in self.up(i) if self.page.name[a] == "label"]
+            label = around[-1] if around else None
+        return None if label is None else self.spoken(label, SUBJECT, {i})
+
+    def svg_title(self, i: int) -> str | None:
+        title = next((c for c in self.page.children[i] if self.page.name[c] == "title"), None)
+        said = None if title is None else self.page.text_content(title)
+        return said if said and said.strip(WHITE) else None
+
+    def contents(self, i: int, seen: set[int], how: int = CONTENTS) -> str:
+        style = self.styles[i] if self.styles else None
+        parts = [style["before"] or ""] if style else []
+        parts += [self.spoken(c, how, seen) for c in self.kids(i)]
+        return "".join(parts) + ((style["after"] or "") if style else "")
+
+    def spoken(self, i: int, how: int, seen: set[int]) -> str:
+        """What a node adds to a name. An element speaks once for a name; ``seen`` holds those that have."""
+        page = self.page
+        if page.kind[i] == "text":
+            return page.text[i]
+        if page.name[i] is None or i in seen or how != TARGET and self.hidden(i):
+            return ""
+        seen.add(i)
+        below = CONTENTS if how in (SUBJECT, CONTENTS) else UNDER
+        said = self.alternative(i, below, seen)
+        if said is not None:
+            said = f" {said} "
+        else:
+            said = self.contents(i, seen, below)
+            if self.breaks(i):
+                said = f" {said} "
+        if how != CONTENTS and not said.strip(WHITE) and self.trimmed(i, "title"):
+            said += f" {self.trimmed(i, 'title')} "
+        return said
+
+    def hidden(self, i: int) -> bool:
+        return self.excluded(i) or bool(self.styles) and (self.styles[i]["display"] == "none" or self.styles[i]["visibility"] == "hidden")
+
+    def breaks(self, i: int) -> bool:
+        name = self.page.name[i]
+        return name in ("br", "wbr") or (self.styles[i]["display"] != "inline" if self.styles else name in BLOCK)
+
+    def alternative(self, i: int, how: int, seen: set[int]) -> str | None:
+        said = self.trimmed(i, "aria-label")
+        if said is None and how == CONTENTS and "aria-labelledby" in self.page.attrs[i]:
+            targets = [self.by_id[t] for t in words(self.page.attrs[i]["aria-labelledby"]) if t in self.by_id]
+            joined = "".join(self.spoken(t, TARGET, seen) for t in targets)
+            said = joined if joined.strip(WHITE) else None
+        return said if said is not None else self.native_alternative(i)
+
+    def native_alternative(self, i: int) -> str | None:
+        name, attrs = self.page.name[i], self.page.attrs[i]
+        if name in ("img", "area"):
+            return attrs.get("alt")
+        if name == "input":
+            return attrs.get("alt" if attrs.get("type", "").lower() == "image" else "value", "")
+        if name == "textarea":
+            return self.page.text_content(i)
+        if name == "select":
+            options = [k for k in range(i + 1, self.page.last[i] + 1) if self.page.name[k] == "option"]
+            chosen = next((k for k in options if "selected" in self.page.attrs[k]), options[0] if options else None)
+            return "" if chosen is None else self.page.attrs[chosen].get("label") or self.page.text_content(chosen)
+        if name in ("option", "optgroup"):
+            return attrs.get("label") or None
+        if name in SVG_ROLES:
+            return self.svg_title(i)
+        return "" if name == "desc" else None
+
+    # -- the outline
+
+    def layout_table(self, i: int) -> bool:
+        page = self.page
+        if any(a in page.attrs[i] for a in ("summary", "role", "aria-label", "aria-labelledby")) or any(page.name[c] == "caption" for c in page.children[i]):
+            return False
+        stack = list(page.children[i])
+        while stack:
+            c = stack.pop()
+            if page.name[c] == "th":
+                return False
+            if page.name[c] != "table":
+                stack += page.children[c]
+        return True
+
+    def rows(self):
+        """(depth, role, name, level) of every node that has a role to tell, in preorder."""
+        stack = [(r, 0, False) for r in reversed(self.page.roots)]
+        while stack:
+            i, depth, in_layout = stack.pop()
+            name = self.page.name[i]
+            if name is None or name in ("script", "style", "template", "noscript") or self.excluded(i) or self.styles and self.styles[i]["display"] == "none":
+                continue
+            if name == "table":
+                in_layout = self.layout_table(i)
+            role = self.role(i)
+            shown = role not in UNSAID and not (in_layout and role in TABLE_ROLES) and not (self.styles and self.styles[i]["visibility"] == "hidden")
+            if shown:
+                yield depth, role, self.name(i), self.level(i)
+            stack += [(c, depth + shown, in_layout) for c in reversed(self.kids(i))]
+
+
+def _rows(page: Page, styles: list[dict] | None) -> list[tuple]:
+    depth = max((r[3] for r in page.rows), default=0)
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * depth + 2000))
+    return list(Outline(page, styles).rows())
+
+
+def outline(page: Page, styles: list[dict] | None = None) -> list[dict]:
+    return [{"seq": k, "depth": d, "role": r, "name": n, "level": v} for k, (d, r, n, v) in enumerate(_rows(page, styles))]
+
+
+def tree_json(page: Page, styles: list[dict] | None = None) -> str:
+    """The outline as nested JSON: role, name (null if none), level (left out if none), children."""
+    top: list = []
+    at: list[list] = [top]
+    for depth, role, name, level in _rows(page, styles):
+        node = {"role": role, "name": name} | ({} if level is None else {"level": level}) | {"children": []}
+        del at[depth + 1 :]
+        at[depth].append(node)
+        at.append(node["children"])
+    return json.dumps(top, ensure_ascii=False, separators=(",", ":"))
