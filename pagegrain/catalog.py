@@ -1,21 +1,649 @@
-"""The registered queries over the given tables, and the SQL that recomputes each of them."""
+"""The registered queries over the given tables, and the SQL that recomputes each of them.
+
+Inputs that the tables lack (statuses, headers, cookies, redirects, forms) are derived from every row of
+a table by one expression that Spark and the checking engine both run, so they grow with the tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagegrain.functions import charsets, urls
+from pagegrain.operators import comparison, disclosure, documents, navigation, responses, styles, views
+from pagegrain.plans import flows
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _add(name: str, sql: str | None = None):
+    def keep(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return keep
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "pages")
+
+
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    return documents.parse_pages(_pages(spark, d))
+
+
+# -- expressions that both engines run
+
+HOST = r"regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)"
+STATUS = "CASE page_id % 7 WHEN 0 THEN 404 WHEN 1 THEN 503 WHEN 2 THEN 301 WHEN 3 THEN NULL ELSE 200 END"
+TYPE = "CASE page_id % 5 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'Image/PNG' WHEN 2 THEN 'application/xhtml+xml' WHEN 3 THEN 'application/pdf;x=1' ELSE 'nonsense' END"
+RETRY = "CASE WHEN page_id % 11 = 4 THEN '120' END"
+MITIGATED = "CASE page_id % 13 WHEN 5 THEN 'Challenge' WHEN 6 THEN 'block' END"
+
+
+def _responses(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with derived status and headers."""
+    pages = _pages(spark, d).withColumn("status", F.expr(STATUS).cast("int"))
+    header = lambda name, value: F.when(F.expr(value).isNotNull(), F.struct(F.lit(name).alias("name"), F.expr(value).alias("value")))
+    return pages.withColumn("headers", F.array_compact(F.array(header("Content-Type", TYPE), header("Retry-After", RETRY), header("CF-Mitigated", MITIGATED), header("Server", "'srv' || CAST(page_id % 3 AS STRING)"))))
+
+
+_DECLARED = f"CASE WHEN {RETRY} IS NOT NULL AND ({STATUS} IS NULL OR {STATUS} < 400) THEN 'retry-after' WHEN lower({MITIGATED}) = 'challenge' THEN 'cf-mitigated' END"
+_MEDIA = "CASE page_id % 5 WHEN 1 THEN 'image/png' WHEN 3 THEN 'application/pdf' END"
+_CLASSIFIED = f"""
+c AS (SELECT page_id, url, html, {STATUS} AS http_status, {_DECLARED} AS declared, {_MEDIA} AS media FROM pages),
+v AS (SELECT *, CASE WHEN declared IS NOT NULL THEN NULL WHEN http_status >= 400 THEN 'http.' || http_status WHEN media IS NOT NULL THEN 'parse' END AS error_kind FROM c)"""
+
+_UNESCAPE = "replace(replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+
+
+def _plain(col: str) -> str:
+    return f"trim(regexp_replace({_UNESCAPE.format(col)}, '\\s+', ' ', 'g'))"
+
+
+_ANCHORS = r"SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=\"[^\"]*\">[^<]*</a>')) AS a, unnest(range(len(regexp_extract_all(html, '<a href=\"[^\"]*\">[^<]*</a>')))) AS pos FROM pages"
+_BODY_TEXT = (
+    "array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(html, chr(10), ' '), '(?s)^.*?</head>', ''), '(?s)<!--.*?-->', '', 'g'), '</?(?:body|nav|ul|li|div|article|h1|p|br|footer|html)(?: [^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10)), "
+    f"lambda x: {_plain('x')}), lambda x: x <> ''), chr(10))"
+)
+
+
+# -- documents and views
+
+
+@_add("links_by_host", rf"""
+WITH a AS ({_ANCHORS}), h AS (SELECT {HOST} AS host, regexp_extract(url, '^[a-z]+:', 0) || '//' || {HOST} || regexp_extract(a, 'href="([^"]*)"', 1) AS href FROM a)
+SELECT host, 'a' AS kind, count(*)::BIGINT AS n_links, count(DISTINCT href)::BIGINT AS n_hrefs FROM h GROUP BY host""")
+def links_by_host(spark: SparkSession, d: str) -> DataFrame:
+    return flows.links_by_host(_pages(spark, d))
+
+
+@_add("links", rf"""
+SELECT page_id, pos::INTEGER AS pos, 'a' AS kind, {_plain("regexp_extract(a, '>([^<]*)<', 1)")} AS text, 0 AS n_rel FROM ({_ANCHORS})""")
+def links(spark: SparkSession, d: str) -> DataFrame:
+    return views.links(_nodes(spark, d), "page_id").select("page_id", "pos", "kind", "text", F.size("rel").alias("n_rel"))
+
+
+@_add("page_meta", rf"""
+SELECT page_id, {_plain("regexp_extract(html, '<title>(.*?)</title>', 1)")} AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, 'utf-8' AS charset, NULL::VARCHAR AS canonical FROM pages""")
+def page_meta(spark: SparkSession, d: str) -> DataFrame:
+    out = views.page_meta(_nodes(spark, d), "page_id")
+    return out.withColumn("title", F.regexp_replace("title", r"\s+", " "))
+
+
+@_add("element_counts", "\nUNION ALL\n".join(f"SELECT page_id, '{t}' AS name, len(regexp_extract_all(html, '<{t}(?: [^>]*)?>'))::BIGINT AS n FROM pages WHERE html LIKE '%<{t}%'" for t in ("a", "li", "h1", "p", "br", "nav", "article", "footer", "title")))
+def element_counts(spark: SparkSession, d: str) -> DataFrame:
+    kept = ("a", "li", "h1", "p", "br", "nav", "article", "footer", "title")
+    return documents.explode_nodes(_nodes(spark, d), "page_id").filter(F.col("name").isin(*kept) & (F.col("kind") == "element")).groupBy("page_id", "name").agg(F.count("*").alias("n"))
+
+
+@_add("elements_by_tag", rf"SELECT page_id, unnest(list_transform(regexp_extract_all(html, '<li>(.*?)</li>', 1), lambda x: {_plain("regexp_replace(x, '<[^>]*>', '', 'g')")})) AS text FROM pages")
+def elements_by_tag(spark: SparkSession, d: str) -> DataFrame:
+    items = F.transform(documents.elements_of(F.col("nodes"), "li"), lambda n: documents.text_content(F.col("nodes"), n))
+    return _nodes(spark, d).select("page_id", F.explode(items).alias("text"))
+
+
+@_add("text_view", f"SELECT page_id, {_BODY_TEXT} AS text FROM pages")
+def text_view(spark: SparkSession, d: str) -> DataFrame:
+    return views.text_view(_pages(spark, d)).select("page_id", "text")
+
+
+@_add("dom_stats")
+def dom_stats(spark: SparkSession, d: str) -> DataFrame:
+    return documents.dom_stats(documents.derive(_pages(spark, d), ["nodes", "dom"]), "dom", "page_id")
+
+
+@_add("payload_digest", f"SELECT page_id, octet_length(encode({_BODY_TEXT}))::BIGINT AS bytes, sha256({_BODY_TEXT}) AS sha FROM pages")
+def payload_digest(spark: SparkSession, d: str) -> DataFrame:
+    return documents.dom_stats(documents.derive(_pages(spark, d), ["nodes", "text"]), "text", "page_id").select("page_id", "bytes", "sha")
+
+
+@_add("dom_view")
+def dom_view(spark: SparkSession, d: str) -> DataFrame:
+    return documents.derive(_pages(spark, d), ["dom"]).select("page_id", "dom")
+
+
+@_add("select", r"SELECT page_id, 'a' AS name, unnest(regexp_extract_all(html, '<a href=\"[^\"]*\">[^<]*</a>')) AS outer_html FROM pages")
+def select(spark: SparkSession, d: str) -> DataFrame:
+    return documents.select(_pages(spark, d), "nav li > a[href]", "page_id").drop("id")
+
+
+@_add("select_scoped", r"SELECT page_id, count(*)::BIGINT AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li>')) FROM pages) GROUP BY page_id")
+def select_scoped(spark: SparkSession, d: str) -> DataFrame:
+    return documents.select(_pages(spark, d), "li", "page_id", scope="nav").groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@_add("page_scripts", r"SELECT page_id, 0 AS pos, 'inline' AS kind, false AS module, NULL::VARCHAR AS src, regexp_extract(html, '(?s)<script>(.*?)</script>', 1) AS body FROM pages")
+def page_scripts(spark: SparkSession, d: str) -> DataFrame:
+    return documents.page_scripts(_nodes(spark, d), "page_id")
+
+
+@_add("headings", rf"SELECT page_id, 1 AS level, {_plain("regexp_extract(html, '<h1>(.*?)</h1>', 1)")} AS name FROM pages")
+def headings(spark: SparkSession, d: str) -> DataFrame:
+    return views.headings(_pages(spark, d), "page_id").select("page_id", "level", "name")
+
+
+@_add("ax_links", rf"SELECT page_id, count(*)::BIGINT AS n_links, count(DISTINCT {_plain("regexp_extract(a, '>([^<]*)<', 1)")})::BIGINT AS n_names FROM ({_ANCHORS}) GROUP BY page_id")
+def ax_links(spark: SparkSession, d: str) -> DataFrame:
+    return views.ax_tree(_pages(spark, d), "page_id").filter("role = 'link'").groupBy("page_id").agg(F.count("*").alias("n_links"), F.countDistinct("name").alias("n_names"))
+
+
+@_add("ax_tree")
+def ax_tree(spark: SparkSession, d: str) -> DataFrame:
+    return views.ax_tree(_pages(spark, d), "page_id")
+
+
+@_add("bboxes")
+def bboxes(spark: SparkSession, d: str) -> DataFrame:
+    return views.bboxes(_pages(spark, d), "page_id")
+
+
+_LAID = "'<body><p>' || repeat('word ', CAST(page_id % 400 + 1 AS INTEGER)) || '</p>'"
+
+
+@_add("paragraph_boxes", "SELECT page_id, 1280 AS w, (20 * ceil((page_id % 400 + 1) / 32.0))::INTEGER AS h FROM pages")
+def paragraph_boxes(spark: SparkSession, d: str) -> DataFrame:
+    pages = _pages(spark, d).withColumn("html", F.expr(_LAID))
+    return views.bboxes(pages, "page_id").filter("tag = 'p'").select("page_id", "w", "h")
+
+
+_FORM = (
+    "'<base href=\"http://b.example/d/\"><form action=\"' || CAST(page_id % 3 AS STRING) || '\" method=POST><input name=q type=text value=v' || CAST(page_id AS STRING) || ' required>"
+    "<textarea name=t>T' || CAST(page_id AS STRING) || '</textarea><select name=s><option value=1>one<option> two </select></form><form></form>'"
+)
+
+
+@_add("forms", """
+SELECT page_id, 0 AS pos, 'http://b.example/d/' || (page_id % 3) AS action, 'post' AS method, 'application/x-www-form-urlencoded' AS enctype, 3 AS n_fields FROM pages
+UNION ALL SELECT page_id, 1, 'http://b.example/d/', 'get', 'application/x-www-form-urlencoded', 0 FROM pages""")
+def forms(spark: SparkSession, d: str) -> DataFrame:
+    return views.forms(documents.parse_pages(_pages(spark, d).withColumn("html", F.expr(_FORM))), "page_id").select("page_id", "pos", "action", "method", "enctype", F.size("fields").alias("n_fields"))
+
+
+@_add("form_fields", """
+SELECT page_id, 0 AS pos, 0 AS field, 'input' AS tag, 'q' AS name, 'text' AS type, 'v' || page_id AS value, true AS required FROM pages
+UNION ALL SELECT page_id, 0, 1, 'textarea', 't', NULL, 'T' || page_id, false FROM pages UNION ALL SELECT page_id, 0, 2, 'select', 's', NULL, NULL, false FROM pages""")
+def form_fields(spark: SparkSession, d: str) -> DataFrame:
+    made = views.forms(documents.parse_pages(_pages(spark, d).withColumn("html", F.expr(_FORM))), "page_id")
+    return views.form_fields(made, "page_id").drop("options")
+
+
+@_add("select_options", "SELECT page_id, 0 AS pos, 2 AS field, 0 AS option, '1' AS value, 'one' AS label FROM pages UNION ALL SELECT page_id, 0, 2, 1, 'two', 'two' FROM pages")
+def select_options(spark: SparkSession, d: str) -> DataFrame:
+    made = views.forms(documents.parse_pages(_pages(spark, d).withColumn("html", F.expr(_FORM))), "page_id")
+    return views.select_options(views.form_fields(made, "page_id"), "page_id")
+
+
+_METAS = "'<meta name=a content=' || CAST(page_id AS STRING) || '><meta property=p content=x><meta name=none><meta http-equiv=\"Content-Type\" content=\"text/html; charset=KOI8-R\"><link rel=\"x Canonical\" href=/c><p>t'"
+
+
+@_add("meta_entries", """
+SELECT page_id, 0 AS pos, 'a' AS name, NULL AS property, NULL AS http_equiv, page_id::VARCHAR AS content FROM pages
+UNION ALL SELECT page_id, 1, NULL, 'p', NULL, 'x' FROM pages UNION ALL SELECT page_id, 2, NULL, NULL, 'Content-Type', 'text/html; charset=KOI8-R' FROM pages""")
+def meta_entries(spark: SparkSession, d: str) -> DataFrame:
+    return views.meta_entries(documents.parse_pages(_pages(spark, d).withColumn("html", F.expr(_METAS))), "page_id")
+
+
+@_add("meta_canonical", f"SELECT page_id, NULL::VARCHAR AS title, NULL::VARCHAR AS lang, 'koi8-r' AS charset, regexp_extract(url, '^[a-z]+://', 0) || {HOST} || '/c' AS canonical FROM pages")
+def meta_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return views.page_meta(documents.parse_pages(_pages(spark, d).withColumn("html", F.expr(_METAS))), "page_id")
+
+
+_SHELL = "CASE page_id % 4 WHEN 0 THEN '<body><nav>menu</nav><div id=root></div><script src=a.js></script>' WHEN 1 THEN '<body><p>text<script></script>' WHEN 2 THEN '<body><img alt=x><script></script>' ELSE '<body><details><p>closed</details>' END"
+
+
+@_add("needs", """
+SELECT page_id, page_id % 4 = 1 AS has_text, page_id % 4 = 2 AS has_label, CASE WHEN page_id % 4 IN (0, 2) THEN 1 ELSE 0 END AS text_needs, CASE WHEN page_id % 4 = 0 THEN 1 ELSE 0 END AS links_needs, 0 AS dom_needs FROM pages""")
+def needs(spark: SparkSession, d: str) -> DataFrame:
+    rows = documents.derive(_pages(spark, d).withColumn("html", F.expr(_SHELL)), ["has_script", "has_body", "has_text", "has_label"])
+    told = lambda v: F.size(views.needs(v, F.col("has_script"), F.col("has_body"), F.col("has_text"), F.col("has_label")))
+    return rows.select("page_id", "has_text", "has_label", told("text").alias("text_needs"), told("links").alias("links_needs"), told("dom").alias("dom_needs"))
+
+
+@_add("impressions", f"""
+WITH {_CLASSIFIED}
+SELECT page_id, CASE WHEN declared IS NOT NULL THEN 'needs' WHEN error_kind IS NOT NULL THEN 'error' ELSE 'ok' END AS status, error_kind, CASE WHEN declared IS NOT NULL THEN 'js' END AS need,
+       CASE WHEN declared IS NULL AND error_kind IS NULL THEN {_BODY_TEXT} END AS out FROM v""")
+def impressions(spark: SparkSession, d: str) -> DataFrame:
+    made = flows.crawl_to_envelopes(_responses(spark, d), "text")
+    return made.select("page_id", "status", "error_kind", F.get("needs", 0).alias("need"), F.get_json_object("envelope", "$.out").alias("out"))
+
+
+@_add("impressions_links", f"""
+WITH {_CLASSIFIED}
+SELECT page_id, CASE WHEN declared IS NULL AND error_kind IS NULL THEN len(regexp_extract_all(html, '<a href="'))::INTEGER END AS n_links,
+       coalesce(CASE WHEN declared IS NULL AND error_kind LIKE 'http%' THEN 'server returned HTTP ' || http_status WHEN error_kind = 'parse' THEN 'response media type ' || media || ' is not a document' END, '') AS message FROM v""")
+def impressions_links(spark: SparkSession, d: str) -> DataFrame:
+    made = flows.crawl_to_envelopes(_responses(spark, d), "links")
+    return made.select("page_id", F.json_array_length(F.get_json_object("envelope", "$.out")).alias("n_links"), F.coalesce(F.get_json_object("envelope", "$.error.message"), F.lit("")).alias("message"))
+
+
+# -- responses and addresses
+
+
+@_add("classify_responses", f"""
+WITH {_CLASSIFIED}
+SELECT page_id, CASE WHEN declared IS NOT NULL THEN 'needs' WHEN error_kind IS NOT NULL THEN 'error' ELSE 'parse' END AS verdict, error_kind, declared FROM v""")
+def classify_responses(spark: SparkSession, d: str) -> DataFrame:
+    return responses.classify_response(_responses(spark, d)).select("page_id", "verdict", "error_kind", "declared")
+
+
+@_add("http_block", f"""
+SELECT page_id, {STATUS} AS status, CASE WHEN {STATUS} IS NOT NULL THEN concat_ws(';', 'content-type=' || {TYPE}, 'retry-after=' || {RETRY}, 'cf-mitigated=' || {MITIGATED}, 'server=srv' || page_id % 3) END AS headers FROM pages""")
+def http_block(spark: SparkSession, d: str) -> DataFrame:
+    block = responses.http_block(F.col("status"), F.col("headers"))
+    return _responses(spark, d).select("page_id", block["status"].alias("status"), F.array_join(F.transform(block["headers"], lambda h: F.concat(h["name"], F.lit("="), h["value"])), ";").alias("headers"))
+
+
+@_add("non_documents", f"SELECT page_id, {_MEDIA} AS media FROM pages")
+def non_documents(spark: SparkSession, d: str) -> DataFrame:
+    return _responses(spark, d).select("page_id", responses.non_document(responses.header_value(F.col("headers"), "content-type")).alias("media"))
+
+
+@_add("exit_codes", f"""
+WITH {_CLASSIFIED} SELECT CASE WHEN declared IS NULL AND error_kind IS NOT NULL THEN 1 ELSE 0 END AS exit, count(*)::BIGINT AS n FROM v GROUP BY 1""")
+def exit_codes(spark: SparkSession, d: str) -> DataFrame:
+    made = responses.classify_response(_responses(spark, d))
+    return made.groupBy(responses.exit_code(F.when(F.col("verdict") == "parse", "ok").otherwise(F.col("verdict"))).alias("exit")).agg(F.count("*").alias("n"))
+
+
+@_add("body_limits", "SELECT page_id, page_id % 250 = 0 AS too_long FROM pages")
+def body_limits(spark: SparkSession, d: str) -> DataFrame:
+    body = F.expr("CASE WHEN page_id % 250 = 0 THEN repeat('x', 16777217) ELSE html END")
+    return responses.check_body_len(_pages(spark, d).select("page_id", body.alias("body"))).select("page_id", F.col("error.kind").isNotNull().alias("too_long"))
+
+
+@_add("url_parts", rf"""
+SELECT page_id, url AS href, regexp_extract(url, '^([a-z]+):', 1) AS scheme, {HOST} AS host, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS path,
+       CASE WHEN url LIKE '%?%' THEN regexp_extract(url, '[?]([^#]*)', 1) END AS query, CASE WHEN url LIKE '%#%' THEN regexp_extract(url, '#(.*)$', 1) END AS fragment FROM pages""")
+def url_parts(spark: SparkSession, d: str) -> DataFrame:
+    u = urls.url_parse(F.concat(F.lit(" "), F.regexp_replace("url", r"^(\w+)://([^/]+)", "$1://$2")))
+    return _pages(spark, d).select("page_id", *[u[c].alias(c) for c in ("href", "scheme", "host", "path", "query", "fragment")])
+
+
+@_add("url_errors", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN NULL ELSE 'fetch.url' END AS kind FROM pages")
+def url_errors(spark: SparkSession, d: str) -> DataFrame:
+    bad = F.expr("CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN 'ftp://' || CAST(page_id AS STRING) || '.example/' ELSE 'no address ' || CAST(page_id AS STRING) END")
+    return _pages(spark, d).select("page_id", urls.validate_url(bad)["kind"].alias("kind"))
+
+
+_TARGET = f"CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN 'https://other.' || {HOST} || '/x' WHEN 2 THEN 'http://elsewhere.example/' END"
+
+
+@_add("site_relations", rf"""
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'same-origin' WHEN 1 THEN CASE WHEN url LIKE 'https:%' THEN 'same-site' ELSE 'cross-site' END WHEN 2 THEN 'cross-site' ELSE 'cross-site' END AS relation,
+       array_to_string(string_split({HOST}, '.')[-2:], '.') AS registrable,
+       CASE page_id % 4 WHEN 0 THEN split_part(url, '#', 1) WHEN 1 THEN regexp_extract(url, '^[a-z]+://[^/]+', 0) || '/' WHEN 2 THEN CASE WHEN url LIKE 'http:%' THEN regexp_extract(url, '^[a-z]+://[^/]+', 0) || '/' END END AS referer FROM pages""")
+def site_relations(spark: SparkSession, d: str) -> DataFrame:
+    target = F.expr(_TARGET)
+    return _pages(spark, d).select("page_id", urls.site_relation(F.col("url"), target).alias("relation"), urls.registrable(F.col("url")).alias("registrable"), urls.referer(F.col("url"), target).alias("referer"))
+
+
+@_add("page_references", rf"SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'next' WHEN 1 THEN '/top' ELSE 'https://far.example/' END AS reference FROM pages")
+def page_references(spark: SparkSession, d: str) -> DataFrame:
+    folder = r"regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '')"
+    page = F.expr(f"{folder} || 'page.html'")
+    href = F.expr(f"CASE page_id % 3 WHEN 0 THEN {folder} || 'next' WHEN 1 THEN regexp_extract(url, '^[a-z]+://[^/]+', 0) || '/top' ELSE 'https://far.example/' END")
+    return _pages(spark, d).select("page_id", comparison.reference(href, page).alias("reference"))
+
+
+@_add("base_urls", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'http://b.example/x/' WHEN 1 THEN url ELSE regexp_extract(url, '^[a-z]+://[^/]+', 0) || '/r/' END AS base FROM pages")
+def base_urls(spark: SparkSession, d: str) -> DataFrame:
+    html = F.expr("CASE page_id % 3 WHEN 0 THEN '<base target=t><base href=http://b.example/x/><base href=/no/>' WHEN 1 THEN '<p>none' ELSE '<base href=/r/>' END")
+    rows = documents.parse_pages(_pages(spark, d).withColumn("html", html))
+    return rows.select("page_id", documents.base_url(F.col("nodes"), F.col("url")).alias("base"))
+
+
+@_add("data_urls", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'text/plain;charset=US-ASCII' WHEN 1 THEN 'text/html' END AS mime, CASE page_id % 3 WHEN 0 THEN 'a b' || page_id WHEN 1 THEN 'Hi' END AS body FROM pages")
+def data_urls(spark: SparkSession, d: str) -> DataFrame:
+    url = F.expr("CASE page_id % 3 WHEN 0 THEN 'data:,a%20b' || CAST(page_id AS STRING) WHEN 1 THEN 'data:text/html;base64,SGk=' ELSE 'data:nothing' END")
+    made = urls.decode_data_url(url)
+    return _pages(spark, d).select("page_id", made["mime"].alias("mime"), made["body"].alias("body"))
+
+
+@_add("decoded_bodies", "SELECT page_id, html AS body, 'utf-8' AS charset FROM pages")
+def decoded_bodies(spark: SparkSession, d: str) -> DataFrame:
+    plain = charsets.inflate(F.encode("html", "UTF-8"), F.lit("identity"))
+    made = charsets.decode_body(plain["body"], F.lit(None).cast("string"))
+    return _pages(spark, d).select("page_id", made["body"].alias("body"), made["charset"].alias("charset"))
+
+
+@_add("charsets", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'KOI8-R' WHEN 1 THEN 'utf-8' ELSE 'latin1' END AS label FROM pages")
+def charset_labels(spark: SparkSession, d: str) -> DataFrame:
+    declared = F.expr("CASE page_id % 3 WHEN 0 THEN 'text/html; Charset=\"KOI8-R\"; x' WHEN 2 THEN 'text/html;charset=latin1' END")
+    return _pages(spark, d).select("page_id", charsets.charset_of(declared, F.encode("html", "UTF-8")).alias("label"))
+
+
+# -- styles
+
+_STYLED = "'<link rel=\"StyleSheet\" href=\"/s' || CAST(page_id % 3 AS STRING) || '.css\"><link rel=stylesheet media=print href=/p.css><style>.own{display:none}</style><body><p class=h>hid</p><p class=own>own</p><p>shown'"
+_SHEETS = "regexp_extract(url, '^[a-z]+://[^/]+', 0) || '/s' || CAST(page_id % 3 AS STRING) || '.css'"
+
+
+@_add("external_hrefs", f"SELECT page_id, 0 AS pos, {_SHEETS} AS sheet_url FROM pages")
+def external_hrefs(spark: SparkSession, d: str) -> DataFrame:
+    return styles.external_hrefs(documents.parse_pages(_pages(spark, d).withColumn("html", F.expr(_STYLED))), "page_id")
+
+
+@_add("styled_text", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'shown' ELSE 'hid' || chr(10) || 'shown' END AS styled_text FROM pages")
+def styled_text(spark: SparkSession, d: str) -> DataFrame:
+    pages = _pages(spark, d).withColumn("html", F.expr(_STYLED))
+    sheets = pages.select(F.expr(_SHEETS).alias("url"), F.expr("CASE page_id % 3 WHEN 0 THEN '.h { display : none } @media print { p { display: none } }' WHEN 1 THEN 'p.h { color: red }' ELSE '}' END").alias("css")).distinct()
+    return flows.styled_text(pages, sheets).select("page_id", "styled_text")
+
+
+@_add("visibility_diff", "SELECT page_id, 13 AS plain_chars, 9 AS styled_chars, 4 AS hidden_chars FROM pages")
+def visibility_diff(spark: SparkSession, d: str) -> DataFrame:
+    return styles.visibility_diff(_pages(spark, d).withColumn("html", F.expr(_STYLED)), "page_id")
+
+
+@_add("bare_styles")
+def bare_styles(spark: SparkSession, d: str) -> DataFrame:
+    return styles.bare_styles(_pages(spark, d)).select("page_id", F.posexplode("styles").alias("id", "s")).select("page_id", "id", "s.display", "s.visibility")
+
+
+@_add("media_queries", "SELECT page_id, page_id % 2000 <= 1280 AS wide, page_id % 2000 > 1280 AS other FROM pages")
+def media_queries(spark: SparkSession, d: str) -> DataFrame:
+    wide = F.expr("'screen and (min-width: ' || CAST(page_id % 2000 AS STRING) || 'px), weird'")
+    other = F.expr("'not all and (min-width:' || CAST(page_id % 2000 AS STRING) || 'px), print'")
+    return _pages(spark, d).select("page_id", styles.media_matches(wide).alias("wide"), styles.media_matches(other).alias("other"))
+
+
+@_add("stylesheet_rules", "SELECT page_id, 2 + (CASE WHEN page_id % 2000 <= 1280 THEN 1 ELSE 0 END) AS rules, 1 AS important FROM pages")
+def stylesheet_rules(spark: SparkSession, d: str) -> DataFrame:
+    css = F.expr("'/* c */ a > b, .x{color:red!important;bad} @import url(x); bad{ } #id{y:z} @media (min-width:' || CAST(page_id % 2000 AS STRING) || 'px){ p{a:b} }'")
+    rules = styles.parse_stylesheet(css)
+    return _pages(spark, d).select("page_id", rules.alias("r")).select("page_id", F.size("r").alias("rules"), F.size(F.filter(F.flatten(F.transform("r", lambda x: x["decls"])), lambda x: x["important"])).alias("important"))
+
+
+# -- navigation
+
+_REFRESHED = "CASE page_id % 5 WHEN 0 THEN '<meta http-equiv=refresh content=\"0; url=/r\">' WHEN 1 THEN '<meta http-equiv=refresh content=\"5;url=/r\">' WHEN 2 THEN '<meta http-equiv=refresh content=x><meta http-equiv=Refresh content=\"0;URL=''http://n.example/q''z\">' ELSE '<p>stay' END"
+
+
+@_add("refresh_targets", "SELECT page_id, CASE page_id % 5 WHEN 0 THEN regexp_extract(url, '^[a-z]+://[^/]+', 0) || '/r' WHEN 2 THEN 'http://n.example/q' END AS target FROM pages")
+def refresh_targets(spark: SparkSession, d: str) -> DataFrame:
+    rows = documents.parse_pages(_pages(spark, d).withColumn("html", F.expr(_REFRESHED)))
+    return rows.select("page_id", navigation.refresh_target(F.col("nodes"), F.col("url"), F.array().cast("array<struct<name:string,value:string>>")).alias("target"))
+
+
+@_add("redirect_targets", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN regexp_extract(url, '^[a-z]+://[^/]+', 0) || '/n' END AS next, CASE page_id % 4 WHEN 1 THEN 'fetch.redirect' END AS error FROM pages")
+def redirect_targets(spark: SparkSession, d: str) -> DataFrame:
+    headers = F.expr("CASE WHEN page_id % 4 IN (0, 2) THEN array(named_struct('name', 'Location', 'value', '/n')) ELSE array() END")
+    made = navigation.redirect_target(F.expr("CASE WHEN page_id % 4 < 2 THEN 302 ELSE 200 END"), headers, F.col("url"))
+    return _pages(spark, d).select("page_id", made["next"].alias("next"), made["error"].alias("error"))
+
+
+_NEXT = "CASE WHEN page_id % 20 = 19 THEN 'http://w.example/' || CAST(page_id AS STRING) WHEN page_id % 20 = 0 THEN NULL ELSE 'http://w.example/' || CAST(page_id - 1 AS STRING) END"
+
+
+@_add("navigations", f"""
+WITH RECURSIVE r AS (SELECT 'http://w.example/' || page_id AS addr, {_NEXT} AS nxt FROM pages),
+go AS (SELECT page_id AS nav_id, 'http://w.example/' || page_id AS now, 1 AS n FROM pages UNION ALL SELECT nav_id, nxt, n + 1 FROM go JOIN r ON now = addr WHERE nxt IS NOT NULL AND n < 10),
+ends AS (SELECT nav_id, max(n) AS n, arg_max(now, n) AS last FROM go GROUP BY nav_id)
+SELECT nav_id, CASE WHEN nxt IS NULL THEN last END AS final_url, n::INTEGER AS n_hops, CASE WHEN nxt IS NOT NULL THEN 'fetch.redirect' END AS error FROM ends JOIN r ON last = addr""")
+def navigations(spark: SparkSession, d: str) -> DataFrame:
+    rows = _pages(spark, d).select(F.expr("'http://w.example/' || CAST(page_id AS STRING)").alias("url"), F.expr(_NEXT).alias("next"), F.lit(None).cast("string").alias("error"))
+    seeds = _pages(spark, d).select(F.col("page_id").alias("nav_id"), F.expr("'http://w.example/' || CAST(page_id AS STRING)").alias("url"))
+    return navigation.resolve_navigations(seeds, rows).select("nav_id", "final_url", F.size("hops").alias("n_hops"), "error")
+
+
+_ATTEMPT = "SELECT event_id // 3 AS nav_id, event_id % 3 AS attempt, event_id % 4 = 1 AS challenged, event_id % 5 = 2 AS failed FROM events"
+
+
+@_add("challenge_outcomes", f"""
+WITH a AS (SELECT nav_id, attempt, challenged AND NOT failed AS c, failed FROM ({_ATTEMPT})),
+g AS (SELECT nav_id, min(attempt) FILTER (c) AS first, max(attempt) AS last, arg_max(c, attempt) AS again, arg_max(failed, attempt) AS broke FROM a GROUP BY nav_id)
+SELECT nav_id, 'retry-after' AS declared, (last > first)::INTEGER AS rounds, last > first AND NOT again AND NOT broke AS passed, CASE WHEN last = first THEN 'js' WHEN again THEN 'human' END AS verdict FROM g WHERE first IS NOT NULL""")
+def challenge_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    rows = _table(spark, d, "events").selectExpr(
+        "event_id div 3 AS nav_id", "event_id % 3 AS attempt", "200 AS status", "event_id % 5 = 2 AS failed",
+        "CASE WHEN event_id % 4 = 1 THEN array(named_struct('name', 'Retry-After', 'value', '5')) ELSE array() END AS headers",
+    )
+    return navigation.challenge_outcome(rows)
+
+
+@_add("frozen_resources", """
+WITH r AS (SELECT event_id AS seq, user_id AS session, event_type AS url, event_id % 7 = 0 AS nav, event_id % 3 <> 0 AS ok FROM events)
+SELECT seq, CASE WHEN nav THEN seq ELSE coalesce(min(CASE WHEN ok AND NOT nav THEN seq END) OVER (PARTITION BY session, url ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), seq) END AS served_by FROM r""")
+def frozen_resources(spark: SparkSession, d: str) -> DataFrame:
+    rows = _table(spark, d, "events").selectExpr(
+        "event_id AS seq", "user_id AS session", "event_type AS url", "event_id % 7 = 0 AS navigation",
+        "array(named_struct('name', 'Vary', 'value', CASE WHEN event_id % 3 = 0 THEN 'cookie, accept-encoding' ELSE ' Accept-Encoding ,' END)) AS headers",
+    )
+    return navigation.frozen_resources(rows).select("seq", "served_by")
+
+
+_LINE = "event_type || '=' || CAST(event_id AS STRING) || '; Path=' || CASE event_id % 3 WHEN 0 THEN '/' WHEN 1 THEN '/a' ELSE '/a/b' END || CASE event_id % 5 WHEN 0 THEN '; Max-Age=0' WHEN 1 THEN '; Domain=example.com' WHEN 2 THEN '; Secure' WHEN 3 THEN '; SameSite=Strict' ELSE '' END"
+_WRITES = """w AS (SELECT user_id AS session, event_id AS seq, event_type AS name, event_id::VARCHAR AS value, CASE event_id % 3 WHEN 0 THEN '/' WHEN 1 THEN '/a' ELSE '/a/b' END AS path,
+  CASE WHEN event_id % 5 = 1 THEN 'example.com' ELSE 'www.example.com' END AS domain, event_id % 5 = 0 AS gone, event_id % 5 = 2 AS secure, event_id % 5 = 3 AS strict FROM events)"""
+
+
+def _cookie_events(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), "ts", F.lit("https://www.example.com/x").alias("url"), F.expr(_LINE).alias("line"), F.lit(False).alias("from_script"))
+
+
+@_add("cookie_jars", f"""
+WITH {_WRITES}, k AS (SELECT *, row_number() OVER (PARTITION BY session, name, domain, path ORDER BY seq DESC) AS rn FROM w)
+SELECT session, name, value, domain, path, secure, seq AS created FROM k WHERE rn = 1 AND NOT gone""")
+def cookie_jars(spark: SparkSession, d: str) -> DataFrame:
+    return navigation.cookie_jar(_cookie_events(spark, d)).select("session", "name", "value", "domain", "path", "secure", "created")
+
+
+@_add("cookie_headers", f"""
+WITH {_WRITES}, l AS (SELECT *, lead(seq) OVER (PARTITION BY session, name, domain, path ORDER BY seq) AS until FROM w),
+q AS (SELECT event_id AS request_id, user_id AS session, event_id AS seq, event_id % 2 = 0 AS https, CASE WHEN event_id % 4 < 2 THEN '/a/x' ELSE '/a/b' END AS p, event_id % 3 = 0 AS cross FROM events),
+m AS (SELECT request_id, l.path, l.seq, name || '=' || value AS pair FROM q JOIN l ON q.session = l.session AND l.seq < q.seq AND (until IS NULL OR until >= q.seq) AND NOT gone
+      WHERE (NOT secure OR https) AND (NOT strict OR NOT "cross") AND (l.path = '/' OR l.path = p OR starts_with(p, l.path || '/'))),
+g AS (SELECT request_id, string_agg(pair, '; ' ORDER BY len(path) DESC, seq) AS cookie FROM m GROUP BY request_id)
+SELECT request_id, cookie FROM q LEFT JOIN g USING (request_id)""")
+def cookie_headers(spark: SparkSession, d: str) -> DataFrame:
+    requests = _table(spark, d, "events").selectExpr(
+        "event_id AS request_id", "user_id AS session", "event_id AS seq",
+        "CASE WHEN event_id % 2 = 0 THEN 'https' ELSE 'http' END || '://www.example.com' || CASE WHEN event_id % 4 < 2 THEN '/a/x' ELSE '/a/b' END AS target",
+        "CASE WHEN event_id % 3 = 0 THEN 'https://far.test/' END AS referrer", "'navigation' AS intent",
+    )
+    return navigation.cookie_header(requests, _cookie_events(spark, d)).select("request_id", "cookie")
+
+
+@_add("second_requests", f"""
+WITH {_WRITES}, n AS (SELECT event_id AS nav_id, user_id AS session, event_id AS a, event_id + 40 AS b FROM events),
+t AS (SELECT nav_id, session, 'x' AS w, a AS upto FROM n UNION ALL SELECT nav_id, session, 'y', b FROM n),
+k AS (SELECT t.nav_id, t.w, w.*, row_number() OVER (PARTITION BY t.nav_id, t.w, w.name, w.domain, w.path ORDER BY w.seq DESC) AS rn FROM t JOIN w ON t.session = w.session AND w.seq <= t.upto AND w.path = '/'),
+s AS (SELECT nav_id, max(c) FILTER (w = 'x') AS b, max(c) FILTER (w = 'y') AS a FROM (SELECT nav_id, w, string_agg(name || '=' || value, '; ' ORDER BY seq) AS c FROM k WHERE rn = 1 AND NOT gone GROUP BY nav_id, w) GROUP BY nav_id)
+SELECT n.nav_id, s.b IS DISTINCT FROM s.a AS warranted FROM n LEFT JOIN s USING (nav_id)""")
+def second_requests(spark: SparkSession, d: str) -> DataFrame:
+    attempts = _table(spark, d, "events").selectExpr("event_id AS nav_id", "user_id AS session", "'https://www.example.com/' AS url", "event_id AS challenge_seq", "event_id + 40 AS end_seq")
+    return navigation.warrants_second_request(attempts, _cookie_events(spark, d)).select("nav_id", "warranted")
+
+
+# -- comparisons
+
+_RUN = "SELECT CASE WHEN user_id % 2 = 0 THEN 'base' ELSE 'candidate' END AS side, CAST(user_id // 2 AS VARCHAR) AS url, event_type AS recipe, event_id AS run_no, CAST(round(value * 100) AS BIGINT) AS wall_ms, CASE WHEN value > 50 THEN 'ok' ELSE 'error' END AS status FROM events"
+
+
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "events").selectExpr(
+        "CASE WHEN user_id % 2 = 0 THEN 'base' ELSE 'candidate' END AS side", "CAST(user_id div 2 AS STRING) AS url", "event_type AS recipe", "event_id AS run_no",
+        "CAST(round(value * 100) AS BIGINT) AS wall_ms", "CASE WHEN value > 50 THEN 'ok' ELSE 'error' END AS status", "'' AS needs", "'' AS error_kind", "CAST(NULL AS INT) AS http_status", "'s' AS sha",
+        "1 AS elements", "1 AS text_chars", "CASE WHEN user_id % 4 < 2 THEN 'control' ELSE 'soft-gate' END AS class", "CASE WHEN value > 50 THEN 0 ELSE 1 END AS exit", "false AS executed",
+    )
+
+
+_AGG = f"""r AS ({_RUN}), g AS (SELECT side, url, recipe, arg_min(status, run_no) AS status, count(DISTINCT status) = 1 AS stable, count(*) AS n, list_sort(list(wall_ms)) AS ws FROM r GROUP BY side, url, recipe)"""
+
+
+@_add("aggregate_runs", f"WITH {_AGG} SELECT side, url, recipe, status, stable, ws[((50 * (n - 1) + 50) // 100 + 1)::INT] AS p50, ws[((95 * (n - 1) + 50) // 100 + 1)::INT] AS p95 FROM g")
+def aggregate_runs(spark: SparkSession, d: str) -> DataFrame:
+    return comparison.aggregate_runs(_runs(spark, d)).select("side", "url", "recipe", "status", "stable", "p50", "p95")
+
+
+_COMPARED = f"""{_AGG}, c AS (SELECT b.url, b.recipe, b.url::INT % 2 = 0 AS control, b.status AS bs, k.status AS ks, b.stable AND k.stable AS steady FROM g b JOIN g k ON b.url = k.url AND b.recipe = k.recipe AND b.side = 'base' AND k.side = 'candidate')"""
+
+
+@_add("ab_compare", f"WITH {_COMPARED} SELECT url, recipe, control AND steady AND bs <> ks AS parity_drift, NOT control AND bs <> 'ok' AND ks = 'ok' AS gate_cleared, 0 AS violations FROM c")
+def ab_compare(spark: SparkSession, d: str) -> DataFrame:
+    return flows.compare_crawls(_runs(spark, d)).select("url", "recipe", "parity_drift", "gate_cleared", "violations")
+
+
+@_add("ab_verdict", f"WITH {_COMPARED} SELECT 0::BIGINT AS violations, count(*) FILTER (control AND steady AND bs <> ks)::BIGINT AS parity_drifts, coalesce(bool_or(NOT control AND bs <> 'ok' AND ks = 'ok'), false) AS gate_cleared, NOT coalesce(bool_or(NOT control AND bs <> 'ok' AND ks = 'ok'), false) AS null_result FROM c")
+def ab_verdict(spark: SparkSession, d: str) -> DataFrame:
+    return comparison.ab_verdict(flows.compare_crawls(_runs(spark, d)))
+
+
+@_add("probe_tally", "SELECT event_type AS surface, count(*)::BIGINT AS n FROM events GROUP BY event_type")
+def probe_tally(spark: SparkSession, d: str) -> DataFrame:
+    return comparison.probe_tally(_table(spark, d, "events").select(F.col("event_type").alias("surface")))
+
+
+_JA4_HEAD = "'t13d0203' || CASE WHEN event_id % 2 = 0 THEN 'h2' ELSE '00' END"
+
+
+@_add("ja4", f"""
+WITH p AS (SELECT event_id, {_JA4_HEAD} AS head, printf('%04x', 4864 + event_id % 200) AS a, printf('%04x', 4865 + event_id % 300) AS b, printf('%04x', 20 + event_id % 7) AS e FROM events),
+s AS (SELECT event_id, head, array_to_string(list_sort([a, b]), ',') AS c, e || '_0403,' || '0804' AS x FROM p)
+SELECT event_id, head || '_' || c || '_' || x AS raw, head || '_' || substr(sha256(c), 1, 12) || '_' || substr(sha256(x), 1, 12) AS ja4 FROM s""")
+def ja4(spark: SparkSession, d: str) -> DataFrame:
+    hello = F.struct(
+        F.lit(0x0304).alias("version"), F.lit(True).alias("sni"), F.array(F.lit(0x1A1A), (F.lit(4864) + F.col("event_id") % 200).cast("int"), (F.lit(4865) + F.col("event_id") % 300).cast("int")).alias("ciphers"),
+        F.array(F.lit(0x0A0A), F.lit(0), F.lit(16), (F.lit(20) + F.col("event_id") % 7).cast("int")).alias("extensions"), F.array(F.lit(0x0403), F.lit(0x0804)).alias("sig_algs"), F.when(F.col("event_id") % 2 == 0, "h2").otherwise("").alias("alpn"),
+    )
+    return _table(spark, d, "events").select("event_id", hello.alias("h")).select("event_id", comparison.ja4_raw(F.col("h")).alias("raw"), comparison.ja4(F.col("h")).alias("ja4"))
+
+
+def _delta_input(spark: SparkSession, d: str) -> DataFrame:
+    """Each page's lines against the same lines less the first and with one more."""
+    rows = views.text_view(_pages(spark, d)).select(F.col("page_id").alias("fixture"), F.lit("text").alias("channel"), F.split("text", "\n").alias("a"))
+    return rows.withColumn("b", F.concat(F.slice("a", 2, F.greatest(F.lit(0), F.size("a") - 1)), F.array(F.lit("one more line"))))
+
+
+@_add("ordered_deltas", f"""
+WITH t AS (SELECT page_id, string_split({_BODY_TEXT}, chr(10)) AS a FROM pages)
+SELECT page_id AS fixture, 'text' AS channel, 0 AS pos, '- ' || a[1] AS delta FROM t UNION ALL SELECT page_id, 'text', 1, '+ one more line' FROM t""")
+def ordered_deltas(spark: SparkSession, d: str) -> DataFrame:
+    return comparison.deltas(_delta_input(spark, d))
+
+
+@_add("undisposed", "SELECT page_id AS fixture, 'text' AS channel, '+ one more line' AS delta, 'undeclared' AS problem FROM pages UNION ALL SELECT page_id, 'text', '- gone', 'gone' FROM pages")
+def undisposed(spark: SparkSession, d: str) -> DataFrame:
+    actual = comparison.deltas(_delta_input(spark, d)).drop("pos")
+    ledger = actual.filter("delta like '- %'").unionByName(_pages(spark, d).select(F.col("page_id").alias("fixture"), F.lit("text").alias("channel"), F.lit("- gone").alias("delta")))
+    return comparison.undisposed(actual, ledger)
+
+
+@_add("capture_check", "SELECT page_id AS fixture, CASE page_id % 3 WHEN 1 THEN 'bytes changed' ELSE 'incomplete stamp' END AS problem FROM pages WHERE page_id % 3 <> 0")
+def capture_check(spark: SparkSession, d: str) -> DataFrame:
+    pages = _pages(spark, d).select(F.col("page_id").alias("fixture"), F.col("html").alias("body"))
+    sha = F.when(F.col("fixture") % 3 == 1, F.lit("x")).otherwise(F.sha2("body", 256))
+    captures = pages.select("fixture", F.lit("page.html").alias("file"), F.create_map(F.lit("page.html"), sha).alias("bytes"), F.when(F.col("fixture") % 3 != 2, "2020-01-01").alias("date"))
+    return comparison.capture_check(pages, captures)
+
+
+@_add("projected_lines", rf"""SELECT page_id, pos::INTEGER AS pos, regexp_extract(a, 'href="([^"]*)"', 1) <> '' AS ok, '"' || {_plain("regexp_extract(a, '>([^<]*)<', 1)")} || '"' AS said FROM ({_ANCHORS})""")
+def projected_lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = _nodes(spark, d).select("page_id", "url", views.links_of(F.col("nodes"), F.col("url")).alias("l"))
+    lines = rows.select("page_id", F.posexplode(comparison.project_links(F.col("l"), F.col("url"))).alias("pos", "line"))
+    return lines.select("page_id", "pos", F.col("line").startswith("/").alias("ok"), F.regexp_extract("line", '^[^ ]* (".*")$', 1).alias("said"))
+
+
+# -- disclosure
+
+
+def _scan_sql(rows: str) -> str:
+    """Findings of ``rows`` (id, text) by the same rules."""
+    lines = f"WITH src AS ({rows}), l AS (SELECT id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM src)"
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    parts = []
+    for r in disclosure.RULES:
+        exempt = f" WHERE NOT regexp_matches(m, {quote('^(?:' + r.exempt + ')')})" if r.exempt else ""
+        parts.append(f"SELECT id, n AS line, {quote(r.name)} AS rule, CASE WHEN length(m) > 12 THEN substr(m, 1, 12) || '...' ELSE m END AS excerpt FROM (SELECT id, n, unnest(regexp_extract_all(line, {quote(r.pattern)})) AS m FROM l){exempt}")
+    return f"{lines}, found AS ({' UNION ALL '.join(parts)})"
+
+
+_DOCS = "SELECT doc_id AS id, text FROM documents"
+
+
+@_add("leak_findings", f"{_scan_sql(_DOCS)} SELECT id, line::INTEGER AS line, rule, excerpt FROM found")
+def leak_findings(spark: SparkSession, d: str) -> DataFrame:
+    return disclosure.leak_findings(_table(spark, d, "documents"), "doc_id", "text")
+
+
+_DERIVED = "CASE page_id % 6 WHEN 0 THEN 'mail a' || CAST(page_id AS STRING) || '@corp.io now' WHEN 1 THEN 'see /home/bob/x and /home/u/y' WHEN 2 THEN 'AS64500 AS123 at 2a02:1:2::5' WHEN 3 THEN 'lat: 12.345, x' WHEN 4 THEN '> Human: hello' ELSE 'mac 00:11:22:aa:bb:cc password=\"abc12345\"' END"
+
+
+@_add("leak_findings_derived", f"{_scan_sql(f'SELECT page_id AS id, {_DERIVED} AS text FROM pages')} SELECT id, line::INTEGER AS line, rule, excerpt FROM found")
+def leak_findings_derived(spark: SparkSession, d: str) -> DataFrame:
+    return disclosure.leak_findings(_pages(spark, d).select("page_id", F.expr(_DERIVED).alias("text")), "page_id", "text")
+
+
+@_add("leak_summary", f"{_scan_sql(_DOCS)} SELECT rule, count(*)::BIGINT AS findings, count(DISTINCT id)::BIGINT AS ids FROM found GROUP BY rule")
+def leak_summary(spark: SparkSession, d: str) -> DataFrame:
+    return flows.disclosure_report(_table(spark, d, "documents"), "doc_id", "text").drop("advice")
+
+
+@_add("scan_verdict", f"{_scan_sql('SELECT conv_id AS id, text FROM conversations')} SELECT count(*)::BIGINT AS findings, count(*) = 0 AS clean FROM found")
+def scan_verdict(spark: SparkSession, d: str) -> DataFrame:
+    return disclosure.is_clean(disclosure.leak_findings(_table(spark, d, "conversations"), "conv_id", "text"))
+
+
+_PATH = "CASE doc_id % 6 WHEN 0 THEN 'a/.env' WHEN 1 THEN 'src/x.rs' WHEN 2 THEN '.ssh/config' WHEN 3 THEN 'k/id_rsa.pub' WHEN 4 THEN 'd/server.pem' ELSE 'env/readme' END"
+
+
+@_add("forbidden_paths", f"SELECT doc_id, {_PATH} AS path, 'forbidden-path' AS rule FROM documents WHERE doc_id % 6 IN (0, 2, 3, 4)")
+def forbidden_paths(spark: SparkSession, d: str) -> DataFrame:
+    return disclosure.forbidden_paths(_table(spark, d, "documents").select("doc_id", F.expr(_PATH).alias("path")), "path")
+
+
+@_add("binary_content", "SELECT doc_id, 'binary-content' AS rule FROM documents WHERE doc_id % 4 IN (0, 1)")
+def binary_content(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.expr("CASE doc_id % 4 WHEN 0 THEN X'410042' WHEN 1 THEN X'41FF42' WHEN 2 THEN CAST('' AS BINARY) ELSE CAST(text AS BINARY) END")
+    return disclosure.binary_content(_table(spark, d, "documents").select("doc_id", raw.alias("raw")), "raw").select("doc_id", "rule")
+
+
+@_add("scan_changed", f"{_scan_sql("SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0")} SELECT id, line::INTEGER AS line, rule, excerpt FROM found")
+def scan_changed(spark: SparkSession, d: str) -> DataFrame:
+    new = _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    old = _table(spark, d, "documents").selectExpr("CASE WHEN doc_id % 5 = 0 THEN 'moved' || CAST(doc_id AS STRING) ELSE CAST(doc_id AS STRING) END AS path", "CASE WHEN doc_id % 3 = 0 THEN text || 'x' ELSE text END AS text")
+    return disclosure.scan_changed(old, new, "path", "text")
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return links_by_host(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
