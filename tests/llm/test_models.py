@@ -1,0 +1,73 @@
+import re
+
+from pyspark.sql import functions as F
+
+from pagegrain.llm import langid, pii
+from tests.llm.conftest import CLASHING, EDGE
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = langid.op5_langid(spark, SF).join(docs.select("doc_id", "lang", "n_chars"), "doc_id").filter("held_out")
+    right, n = out.filter("lang_pred = lang").count(), out.count()
+    assert n > 150 and right / n >= 0.98
+    assert out.filter("score < 0 or score > 1").count() == 0
+
+
+def test_language_edges(docs_of):
+    train = docs_of([(d, "the cat and the dog of the house " * 5, "en") for d in range(20)] + [(d, "der hund und die katze im haus " * 5, "de") for d in range(20, 40)] + [(99, None, "xx"), (None, "null id", "yy")])
+    model = langid.learn(train)
+    assert sorted(model) == ["de", "en"]
+    rows = [*EDGE, (50, "und die katze und der hund im haus " * 3), (51, "123 !!"), (52, "AND THE DOG!!")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs_of(rows, CLASHING), model).collect()}
+    assert got[1] == got[2] == got[3] == got[51] == ("und", 0.0) and got[50][0] == "de" and got[52][0] == "en"
+    kept = langid.keep_identified(docs_of(rows, CLASHING), model)
+    assert {50, 52} <= {r.doc_id for r in kept.collect()} and not {1, 2, 3, 51} & {r.doc_id for r in kept.collect()}
+    assert set(kept.columns) == set(docs_of(rows, CLASHING).columns) and kept.first().score == "mine"
+    assert langid.learn(train.limit(0)) == {} and langid.identify(train, {}).filter("lang_pred <> 'und'").count() == 0
+    assert langid.identify(train.limit(0), model).count() == 0
+
+
+def brute_base(t):
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[ -]", "", m[0])
+        if 13 <= len(d) <= 19 and pii.luhn(d):
+            out.append(("card", m.start(), m.end()))
+    return out + [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
+
+
+def test_base_spans():
+    import random
+
+    rng = random.Random(4)
+    pieces = ["a@b.c", "@", ".", "x.y@z-1.com.", "1.2.3.4", ".5", "256.1.1.1", "+1 (234) 567-8901", "+", "4111 1111 1111 1111", "-", " ", "é", "12", "0", "a@b@c.d", "((", "%+"]
+    for _ in range(3000):
+        t = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 9)))
+        assert pii.base_spans(t) == brute_base(t), t
+
+
+def test_trained_spans(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = pii.train(docs)
+    found = {r.doc_id: r.pii for r in pii.find_pii(docs, model).select("doc_id", "pii").collect()}
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    for d, spans in found.items():
+        assert sorted((s.kind, s.start, s.end) for s in spans if s.base) == sorted(brute_base(texts[d]))
+    added = sum(not s.base for spans in found.values() for s in spans)
+    assert added <= 0.05 * sum(len(s) for s in found.values())
+    hidden = [s["kind"] for s in pii._select("mail joe (at) foo.com or call (212) 555-0199 today, on 2021-10-12 we paid 10.50", model)]
+    assert hidden == ["email", "phone"]
+
+
+def test_pii_edges(docs_of):
+    docs = docs_of([*EDGE, (9, "é a@b.co 1.2.3.4")], CLASHING)
+    assert pii.train(docs_of(EDGE)) is None
+    out = {r.doc_id: r for r in pii.digest(pii.find_pii(docs, None)).collect()}
+    assert out[9].spans == "email:2:8,ip:9:16" and out[9].n_email == 1 and out[1].spans == ""
+    assert {r.doc_id: r.text for r in pii.redact(docs.drop("pii"), None).collect()}[9] == "é [EMAIL] [IP]"
+    assert pii.find_pii(docs.limit(0), None).count() == 0
+    assert docs.filter(F.col("doc_id") == 9).count() == 1
