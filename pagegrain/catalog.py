@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pagegrain.functions import charsets, urls
 from pagegrain.operators import comparison, disclosure, documents, navigation, responses, styles, views
 from pagegrain.plans import flows
+from pagegrain.sources.pages import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -35,7 +36,15 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "pages")
+    return spread(_table(spark, d, "pages"))
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(_table(spark, d, "documents"))
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return spread(_table(spark, d, "events"))
 
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -426,7 +435,7 @@ WITH a AS (SELECT nav_id, attempt, challenged AND NOT failed AS c, failed FROM (
 g AS (SELECT nav_id, min(attempt) FILTER (c) AS first, max(attempt) AS last, arg_max(c, attempt) AS again, arg_max(failed, attempt) AS broke FROM a GROUP BY nav_id)
 SELECT nav_id, 'retry-after' AS declared, (last > first)::INTEGER AS rounds, last > first AND NOT again AND NOT broke AS passed, CASE WHEN last = first THEN 'js' WHEN again THEN 'human' END AS verdict FROM g WHERE first IS NOT NULL""")
 def challenge_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    rows = _table(spark, d, "events").selectExpr(
+    rows = _events(spark, d).selectExpr(
         "event_id div 3 AS nav_id", "event_id % 3 AS attempt", "200 AS status", "event_id % 5 = 2 AS failed",
         "CASE WHEN event_id % 4 = 1 THEN array(named_struct('name', 'Retry-After', 'value', '5')) ELSE array() END AS headers",
     )
@@ -437,7 +446,7 @@ def challenge_outcomes(spark: SparkSession, d: str) -> DataFrame:
 WITH r AS (SELECT event_id AS seq, user_id AS session, event_type AS url, event_id % 7 = 0 AS nav, event_id % 3 <> 0 AS ok FROM events)
 SELECT seq, CASE WHEN nav THEN seq ELSE coalesce(min(CASE WHEN ok AND NOT nav THEN seq END) OVER (PARTITION BY session, url ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), seq) END AS served_by FROM r""")
 def frozen_resources(spark: SparkSession, d: str) -> DataFrame:
-    rows = _table(spark, d, "events").selectExpr(
+    rows = _events(spark, d).selectExpr(
         "event_id AS seq", "user_id AS session", "event_type AS url", "event_id % 7 = 0 AS navigation",
         "array(named_struct('name', 'Vary', 'value', CASE WHEN event_id % 3 = 0 THEN 'cookie, accept-encoding' ELSE ' Accept-Encoding ,' END)) AS headers",
     )
@@ -450,7 +459,7 @@ _WRITES = """w AS (SELECT user_id AS session, event_id AS seq, event_type AS nam
 
 
 def _cookie_events(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), "ts", F.lit("https://www.example.com/x").alias("url"), F.expr(_LINE).alias("line"), F.lit(False).alias("from_script"))
+    return _events(spark, d).select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), "ts", F.lit("https://www.example.com/x").alias("url"), F.expr(_LINE).alias("line"), F.lit(False).alias("from_script"))
 
 
 @_add("cookie_jars", f"""
@@ -468,7 +477,7 @@ m AS (SELECT request_id, l.path, l.seq, name || '=' || value AS pair FROM q JOIN
 g AS (SELECT request_id, string_agg(pair, '; ' ORDER BY len(path) DESC, seq) AS cookie FROM m GROUP BY request_id)
 SELECT request_id, cookie FROM q LEFT JOIN g USING (request_id)""")
 def cookie_headers(spark: SparkSession, d: str) -> DataFrame:
-    requests = _table(spark, d, "events").selectExpr(
+    requests = _events(spark, d).selectExpr(
         "event_id AS request_id", "user_id AS session", "event_id AS seq",
         "CASE WHEN event_id % 2 = 0 THEN 'https' ELSE 'http' END || '://www.example.com' || CASE WHEN event_id % 4 < 2 THEN '/a/x' ELSE '/a/b' END AS target",
         "CASE WHEN event_id % 3 = 0 THEN 'https://far.test/' END AS referrer", "'navigation' AS intent",
@@ -483,7 +492,7 @@ k AS (SELECT t.nav_id, t.w, w.*, row_number() OVER (PARTITION BY t.nav_id, t.w,
 s AS (SELECT nav_id, max(c) FILTER (w = 'x') AS b, max(c) FILTER (w = 'y') AS a FROM (SELECT nav_id, w, string_agg(name || '=' || value, '; ' ORDER BY seq) AS c FROM k WHERE rn = 1 AND NOT gone GROUP BY nav_id, w) GROUP BY nav_id)
 SELECT n.nav_id, s.b IS DISTINCT FROM s.a AS warranted FROM n LEFT JOIN s USING (nav_id)""")
 def second_requests(spark: SparkSession, d: str) -> DataFrame:
-    attempts = _table(spark, d, "events").selectExpr("event_id AS nav_id", "user_id AS session", "'https://www.example.com/' AS url", "event_id AS challenge_seq", "event_id + 40 AS end_seq")
+    attempts = _events(spark, d).selectExpr("event_id AS nav_id", "user_id AS session", "'https://www.example.com/' AS url", "event_id AS challenge_seq", "event_id + 40 AS end_seq")
     return navigation.warrants_second_request(attempts, _cookie_events(spark, d)).select("nav_id", "warranted")
 
 
@@ -493,7 +502,7 @@ _RUN = "SELECT CASE WHEN user_id % 2 = 0 THEN 'base' ELSE 'candidate' END AS sid
 
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "events").selectExpr(
+    return _events(spark, d).selectExpr(
         "CASE WHEN user_id % 2 = 0 THEN 'base' ELSE 'candidate' END AS side", "CAST(user_id div 2 AS STRING) AS url", "event_type AS recipe", "event_id AS run_no",
         "CAST(round(value * 100) AS BIGINT) AS wall_ms", "CASE WHEN value > 50 THEN 'ok' ELSE 'error' END AS status", "'' AS needs", "'' AS error_kind", "CAST(NULL AS INT) AS http_status", "'s' AS sha",
         "1 AS elements", "1 AS text_chars", "CASE WHEN user_id % 4 < 2 THEN 'control' ELSE 'soft-gate' END AS class", "CASE WHEN value > 50 THEN 0 ELSE 1 END AS exit", "false AS executed",
@@ -523,7 +532,7 @@ def ab_verdict(spark: SparkSession, d: str) -> DataFrame:
 
 @_add("probe_tally", "SELECT event_type AS surface, count(*)::BIGINT AS n FROM events GROUP BY event_type")
 def probe_tally(spark: SparkSession, d: str) -> DataFrame:
-    return comparison.probe_tally(_table(spark, d, "events").select(F.col("event_type").alias("surface")))
+    return comparison.probe_tally(_events(spark, d).select(F.col("event_type").alias("surface")))
 
 
 _JA4_HEAD = "'t13d0203' || CASE WHEN event_id % 2 = 0 THEN 'h2' ELSE '00' END"
@@ -538,7 +547,7 @@ def ja4(spark: SparkSession, d: str) -> DataFrame:
         F.lit(0x0304).alias("version"), F.lit(True).alias("sni"), F.array(F.lit(0x1A1A), (F.lit(4864) + F.col("event_id") % 200).cast("int"), (F.lit(4865) + F.col("event_id") % 300).cast("int")).alias("ciphers"),
         F.array(F.lit(0x0A0A), F.lit(0), F.lit(16), (F.lit(20) + F.col("event_id") % 7).cast("int")).alias("extensions"), F.array(F.lit(0x0403), F.lit(0x0804)).alias("sig_algs"), F.when(F.col("event_id") % 2 == 0, "h2").otherwise("").alias("alpn"),
     )
-    return _table(spark, d, "events").select("event_id", hello.alias("h")).select("event_id", comparison.ja4_raw(F.col("h")).alias("raw"), comparison.ja4(F.col("h")).alias("ja4"))
+    return _events(spark, d).select("event_id", hello.alias("h")).select("event_id", comparison.ja4_raw(F.col("h")).alias("raw"), comparison.ja4(F.col("h")).alias("ja4"))
 
 
 def _delta_input(spark: SparkSession, d: str) -> DataFrame:
@@ -595,7 +604,7 @@ _DOCS = "SELECT doc_id AS id, text FROM documents"
 
 @_add("leak_findings", f"{_scan_sql(_DOCS)} SELECT id, line::INTEGER AS line, rule, excerpt FROM found")
 def leak_findings(spark: SparkSession, d: str) -> DataFrame:
-    return disclosure.leak_findings(_table(spark, d, "documents"), "doc_id", "text")
+    return disclosure.leak_findings(_documents(spark, d), "doc_id", "text")
 
 
 _DERIVED = "CASE page_id % 6 WHEN 0 THEN 'mail a' || CAST(page_id AS STRING) || '@corp.io now' WHEN 1 THEN 'see /home/bob/x and /home/u/y' WHEN 2 THEN 'AS64500 AS123 at 2a02:1:2::5' WHEN 3 THEN 'lat: 12.345, x' WHEN 4 THEN '> Human: hello' ELSE 'mac 00:11:22:aa:bb:cc password=\"abc12345\"' END"
@@ -608,7 +617,7 @@ def leak_findings_derived(spark: SparkSession, d: str) -> DataFrame:
 
 @_add("leak_summary", f"{_scan_sql(_DOCS)} SELECT rule, count(*)::BIGINT AS findings, count(DISTINCT id)::BIGINT AS ids FROM found GROUP BY rule")
 def leak_summary(spark: SparkSession, d: str) -> DataFrame:
-    return flows.disclosure_report(_table(spark, d, "documents"), "doc_id", "text").drop("advice")
+    return flows.disclosure_report(_documents(spark, d), "doc_id", "text").drop("advice")
 
 
 @_add("scan_verdict", f"{_scan_sql('SELECT conv_id AS id, text FROM conversations')} SELECT count(*)::BIGINT AS findings, count(*) = 0 AS clean FROM found")
@@ -621,19 +630,19 @@ _PATH = "CASE doc_id % 6 WHEN 0 THEN 'a/.env' WHEN 1 THEN 'src/x.rs' WHEN 2 THEN
 
 @_add("forbidden_paths", f"SELECT doc_id, {_PATH} AS path, 'forbidden-path' AS rule FROM documents WHERE doc_id % 6 IN (0, 2, 3, 4)")
 def forbidden_paths(spark: SparkSession, d: str) -> DataFrame:
-    return disclosure.forbidden_paths(_table(spark, d, "documents").select("doc_id", F.expr(_PATH).alias("path")), "path")
+    return disclosure.forbidden_paths(_documents(spark, d).select("doc_id", F.expr(_PATH).alias("path")), "path")
 
 
 @_add("binary_content", "SELECT doc_id, 'binary-content' AS rule FROM documents WHERE doc_id % 4 IN (0, 1)")
 def binary_content(spark: SparkSession, d: str) -> DataFrame:
     raw = F.expr("CASE doc_id % 4 WHEN 0 THEN X'410042' WHEN 1 THEN X'41FF42' WHEN 2 THEN CAST('' AS BINARY) ELSE CAST(text AS BINARY) END")
-    return disclosure.binary_content(_table(spark, d, "documents").select("doc_id", raw.alias("raw")), "raw").select("doc_id", "rule")
+    return disclosure.binary_content(_documents(spark, d).select("doc_id", raw.alias("raw")), "raw").select("doc_id", "rule")
 
 
 @_add("scan_changed", f"{_scan_sql("SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0")} SELECT id, line::INTEGER AS line, rule, excerpt FROM found")
 def scan_changed(spark: SparkSession, d: str) -> DataFrame:
-    new = _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
-    old = _table(spark, d, "documents").selectExpr("CASE WHEN doc_id % 5 = 0 THEN 'moved' || CAST(doc_id AS STRING) ELSE CAST(doc_id AS STRING) END AS path", "CASE WHEN doc_id % 3 = 0 THEN text || 'x' ELSE text END AS text")
+    new = _documents(spark, d).select(F.col("doc_id").cast("string").alias("path"), "text")
+    old = _documents(spark, d).selectExpr("CASE WHEN doc_id % 5 = 0 THEN 'moved' || CAST(doc_id AS STRING) ELSE CAST(doc_id AS STRING) END AS path", "CASE WHEN doc_id % 3 = 0 THEN text || 'x' ELSE text END AS text")
     return disclosure.scan_changed(old, new, "path", "text")
 
 

@@ -360,10 +360,14 @@ def _style(page: Page, i: int, index: Index, inherited: str, scripting: bool) ->
         for d in decls:
             apply(s.pseudo, d["name"], d["value"], (d["important"], False, s.specificity, order))
     attrs = page.attrs[i]
-    for name, value, important in parse_declarations(attrs.get("style", "")):
+    for name, value, important in parse_declarations(attrs["style"]) if "style" in attrs else ():
         apply(None, name, value, (important, True, (0, 0, 0), index.count))
+    name = page.name[i]
+    if not best and "hidden" not in attrs and name not in ("input", "noscript", "datalist"):
+        shown = "list-item" if name == "li" else "block" if name in BLOCK else "inline"
+        return {"display": shown, "order": 0, "flex_direction": "row", "visibility": inherited, "before": None, "after": None}
     value = lambda name, pseudo=None: (best.get((pseudo, name)) or (None, None))[1]
-    name, display = page.name[i], value("display")
+    display = value("display")
     if name == "input" and attrs.get("type", "").strip(WHITE).lower() == "hidden":
         shown = "none"
     elif display is not None:

@@ -27,6 +27,15 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return without_response((reader.option("header", True).option("multiLine", True) if fmt == "csv" else reader).load(path))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if it comes in fewer splits than half of them (one small file); as it is otherwise.
+
+    A table of many splits, as every large one is, passes unchanged and without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
+
+
 def without_response(df: DataFrame) -> DataFrame:
     """Adds a null status and no headers where a table has none."""
     if "status" not in df.columns:
