@@ -368,7 +368,7 @@ def _style(page: Page, i: int, index: Index, inherited: str, scripting: bool) ->
         return {"display": shown, "order": 0, "flex_direction": "row", "visibility": inherited, "before": None, "after": None}
     value = lambda name, pseudo=None: (best.get((pseudo, name)) or (None, None))[1]
     display = value("display")
-    if name == "input" and attrs.get("type", "").strip(WHITE).lower() == "hidden":
+    if name == "input" and attrs.get("type", "").lower() == "hidden":
         shown = "none"
     elif display is not None:
         display = display.strip(WHITE).lower()

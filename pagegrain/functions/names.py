@@ -6,6 +6,7 @@ Lookups that a name needs (ids, labels of controls) are made once a page; roles
 from __future__ import annotations
 
 import json
+import re
 import sys
 
 from pagegrain.functions.page import BLOCK, HIDDEN_CHILDREN, WHITE, Page, collapse, words
@@ -43,8 +44,9 @@ SUBJECT, CONTENTS, TARGET, UNDER = range(4)
 
 def is_list_box(attrs: dict[str, str]) -> bool:
     """Whether a select shows several rows."""
-    size = attrs.get("size", "").strip(WHITE)
-    return "multiple" in attrs or size.isascii() and size.isdigit() and int(size) > 1
+    m = re.match(r"[ \t\n\f\r]*\+?([0-9]+)", attrs.get("size", ""))
+    size = int(m[1]) if m else 0
+    return size != 1 if "multiple" in attrs else size > 1
 
 
 class Outline:

@@ -87,25 +87,33 @@ def _charset(content: Column) -> Column:
     return F.when(F.length(bare) > 0, bare)
 
 
-def page_meta(df: DataFrame, *keys: str) -> DataFrame:
-    """title and lang (first), charset (first), canonical (last, resolved). Needs ``nodes`` and ``url``."""
-    nodes = F.col("nodes")
+def meta_columns(nodes: Column, page_url: Column) -> dict[str, Column]:
+    """title and lang (first), charset (first), canonical (last, resolved)."""
     first = lambda x: F.try_element_at(x, F.lit(1))
     charsets = F.transform(elements_of(nodes, "meta"), lambda n: F.coalesce(attr(n, "charset"), F.when(ascii_lower(attr(n, "http-equiv")) == "content-type", _charset(attr(n, "content")))))
     canonical = F.filter(elements_of(nodes, "link"), lambda n: F.exists(tokens(attr(n, "rel")), lambda t: ascii_lower(t) == "canonical"))
     raw = F.when(F.size(canonical) > 0, attr(F.try_element_at(canonical, F.lit(-1)), "href"))
-    title = first(elements_of(nodes, "title"))
-    return df.select(
-        *keys, F.when(F.size(elements_of(nodes, "title")) > 0, trim_white(text_content(nodes, title))).alias("title"), attr(first(elements_of(nodes, "html")), "lang").alias("lang"),
-        ascii_lower(first(F.filter(charsets, lambda c: c.isNotNull()))).alias("charset"), resolve(base_url(nodes, F.col("url")), raw).alias("canonical"),
-    )
+    titles = elements_of(nodes, "title")
+    return {
+        "title": F.when(F.size(titles) > 0, trim_white(text_content(nodes, first(titles)))), "lang": attr(first(elements_of(nodes, "html")), "lang"),
+        "charset": ascii_lower(first(F.filter(charsets, lambda c: c.isNotNull()))), "canonical": resolve(base_url(nodes, page_url), raw),
+    }
+
+
+def page_meta(df: DataFrame, *keys: str) -> DataFrame:
+    """(keys, title, lang, charset, canonical). Needs ``nodes`` and ``url``."""
+    return df.select(*keys, *[c.alias(name) for name, c in meta_columns(F.col("nodes"), F.col("url")).items()])
+
+
+def entries_of(nodes: Column) -> Column:
+    """array<struct<name, property, http_equiv, content>> of meta elements with content and at least one of the names."""
+    one = F.transform(elements_of(nodes, "meta"), lambda n: F.struct(attr(n, "name").alias("name"), attr(n, "property").alias("property"), attr(n, "http-equiv").alias("http_equiv"), attr(n, "content").alias("content")))
+    return F.filter(one, lambda m: m["content"].isNotNull() & F.coalesce(m["name"], m["property"], m["http_equiv"]).isNotNull())
 
 
 def meta_entries(df: DataFrame, *keys: str) -> DataFrame:
-    """(keys, pos, name, property, http_equiv, content): meta elements with content and at least one of the names."""
-    one = F.transform(elements_of(F.col("nodes"), "meta"), lambda n: F.struct(attr(n, "name").alias("name"), attr(n, "property").alias("property"), attr(n, "http-equiv").alias("http_equiv"), attr(n, "content").alias("content")))
-    kept = F.filter(one, lambda m: m["content"].isNotNull() & F.coalesce(m["name"], m["property"], m["http_equiv"]).isNotNull())
-    return df.select(*keys, F.posexplode(kept).alias("pos", "m")).select(*keys, "pos", "m.*")
+    """(keys, pos, name, property, http_equiv, content): a row an entry. Needs ``nodes``."""
+    return df.select(*keys, F.posexplode(entries_of(F.col("nodes"))).alias("pos", "m")).select(*keys, "pos", "m.*")
 
 
 def ax_tree(df: DataFrame, *keys: str, html: str = "html") -> DataFrame:
@@ -162,20 +170,22 @@ def impressions(responses: DataFrame, view: str, key: str = "page_id") -> DataFr
         keep_null = {"ignoreNullFields": "false"}
         nodes = F.col("nodes")
         if view == "bboxes":
-            out = F.to_json(F.transform("boxes", lambda b: F.struct(b["i"].alias("i"), b["tag"].alias("tag"), F.struct(b["x"].alias("x"), b["y"].alias("y"), b["w"].alias("w"), b["h"].alias("h")).alias("rect"), b["text"].alias("text"))))
+            out = F.to_json(F.transform("boxes", lambda b: F.struct(b["i"].alias("i"), b["tag"].alias("tag"), F.struct(b["x"].alias("x"), b["y"].alias("y"), b["w"].alias("w"), b["h"].alias("h")).alias("rect"), b["text"].alias("text"))), keep_null)
         elif view == "links":
             rows = rows.withColumn("_base", base_url(nodes, F.col("url")))
             out = F.to_json(links_of(nodes, F.col("_base")), keep_null)
         elif view == "forms":
             listed = F.transform(elements_of(nodes, "form"), lambda n: F.struct(F.coalesce(attr(n, "action"), F.lit("")).alias("action"), F.coalesce(ascii_lower(attr(n, "method")), F.lit("get")).alias("method"),
                                  F.coalesce(attr(n, "enctype"), F.lit("application/x-www-form-urlencoded")).alias("enctype"), fields_of(nodes, n).alias("fields")))
-            actions = resolve_all(base_url(nodes, F.col("url")), F.transform(listed, lambda f: f["action"]))
-            rows = rows.withColumns({"_forms": listed, "_actions": actions})
-            out = F.to_json(F.transform("_forms", lambda f, k: F.struct(F.get(F.col("_actions"), k).alias("action"), f["method"], f["enctype"], f["fields"])), keep_null)
+            rows = rows.withColumn("_base", base_url(nodes, F.col("url")))
+            actions = resolve_all(F.col("_base"), F.transform(elements_of(nodes, "form"), lambda n: F.coalesce(attr(n, "action"), F.lit(""))))
+            out = F.to_json(F.zip_with(listed, actions, lambda f, a: F.struct(a.alias("action"), f["method"].alias("method"), f["enctype"].alias("enctype"), f["fields"].alias("fields"))), keep_null)
+            out = F.replace(out, F.lit(',"options":null'), F.lit(""))  # only a select has options; in texts these quotes are escaped
         else:
-            meta = page_meta(rows, key, "url").withColumnRenamed(key, "_key").drop("url")
-            rows = rows.join(meta, rows[key].eqNullSafe(meta["_key"])).drop("_key")
-            out = F.to_json(F.struct("title", "lang", "charset", "canonical"), keep_null)
+            rows = rows.withColumns({f"_{name}": c for name, c in meta_columns(nodes, F.col("url")).items()})
+            named = lambda m: F.filter(F.array(*[F.struct(F.lit(k).alias("key"), m[f].alias("value")) for k, f in (("name", "name"), ("property", "property"), ("http-equiv", "http_equiv"), ("content", "content"))]), lambda e: e["value"].isNotNull())
+            entries = F.transform(entries_of(nodes), lambda m: F.map_from_entries(named(m)))
+            out = F.to_json(F.struct(F.col("_title").alias("title"), F.col("_lang").alias("lang"), F.col("_charset").alias("charset"), F.col("_canonical").alias("canonical"), entries.alias("meta")), keep_null)
     shown = F.when(F.col("env_status") == "ok", out)
     media = non_document(header_value(F.col("headers"), "content-type"))
     rows = rows.withColumns({

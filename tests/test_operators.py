@@ -180,3 +180,17 @@ def test_cookie_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.session, r.name, r.value, r.deleted) for r in spark.table("jar").collect()} == {(1, "a", "2", False), (2, "b", "1", True)}
+
+
+def test_envelope_payloads(spark):
+    html = '<html lang=en><title>T</title><meta name=a content=b><link rel=canonical href=/c><form><input name=q><select name=s><option>o</select></form><a href=x>"y"</a><p>t'
+    df = spark.createDataFrame([(1, "http://a.b/d/", html, 200)], "page_id long, url string, html string, status int").withColumn("headers", F.array().cast(HEADERS))
+    import json
+
+    out = {v: json.loads(views.impressions(df, v).first().envelope) for v in ("text", "dom", "ax", "bboxes", "links", "forms", "meta")}
+    assert out["text"]["out"] == 'o"y"\nt' or out["text"]["out"] == 'o\n"y"\nt'
+    assert out["links"]["out"] == [{"kind": "link", "href": "http://a.b/c", "text": None, "rel": ["canonical"]}, {"kind": "a", "href": "http://a.b/d/x", "text": '"y"', "rel": []}]
+    assert out["forms"]["out"][0]["fields"] == [{"tag": "input", "name": "q", "type": None, "value": None, "required": False}, {"tag": "select", "name": "s", "type": None, "value": None, "required": False, "options": [{"value": "o", "label": "o"}]}]
+    assert out["meta"]["out"] == {"title": "T", "lang": "en", "charset": None, "canonical": "http://a.b/c", "meta": [{"name": "a", "content": "b"}]}
+    assert all(e["status"] == "ok" and "needs" not in e and "error" not in e and e["http"]["status"] == 200 for e in out.values())
+    assert "text" in out["bboxes"]["out"][0] and out["dom"]["out"][0]["type"] == "element" and out["ax"]["out"]
