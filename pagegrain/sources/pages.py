@@ -28,12 +28,12 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt over all cores if it comes in fewer splits than half of them (one small file); as it is otherwise.
+    """``df`` dealt over all cores if it comes in fewer splits than there are (one small file); as it is otherwise.
 
     A table of many splits, as every large one is, passes unchanged and without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def without_response(df: DataFrame) -> DataFrame:
