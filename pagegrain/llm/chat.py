@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagegrain.sources.pages import spread
+
 PART = 32_768
 TURN, ROLE_END, TURN_END = "### ", ": ", "</turn>\n"
 #: Reserved ids, counted from the first id behind the vocabulary.
@@ -212,7 +214,7 @@ def read_back(formatted: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    rows = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text"))
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return read_back(format_conversations(rows.unionByName(more))).drop("n_tokens", "n_loss_tokens")
 

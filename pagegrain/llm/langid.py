@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagegrain.sources.pages import spread
+
 DICT_BYTES = 128 << 10
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 2000
@@ -109,5 +111,5 @@ def keep_identified(docs: DataFrame, model: dict[str, bytes], margin: float = MA
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
     return identify(docs.select("doc_id", "text"), learn(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

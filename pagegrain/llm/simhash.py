@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from pagegrain.llm.components import connected_components
+from pagegrain.sources.pages import spread
 from pagegrain.storage import stash
 
 SHINGLE = 3
@@ -238,4 +239,4 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagegrain.llm import words as W
+from pagegrain.sources.pages import spread
 from pagegrain.storage import stash
 
 MIN_WORDS = 35
@@ -308,7 +309,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, max_shard: int =
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
