@@ -34,7 +34,7 @@ SAMPLE_CHARS = 2000
 MAX_LANGUAGES = 500
 PIECE = 8192
 LEVEL = 6
-MARGIN = 0.01
+MARGIN = 0.005
 UNKNOWN = "und"
 
 _LETTER = regex.compile(r"\p{L}")
