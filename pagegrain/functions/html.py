@@ -100,6 +100,7 @@ class _Builder:
         self.active: list[Node | None] = []
         self.seen_head = self.after_body = self.skip_newline = False
         self.foreign = 0
+        self.may_hold_p = False  # false only if no p is open, so that deep pages need no look at the whole stack
 
     # -- insertion
 
@@ -138,6 +139,8 @@ class _Builder:
     def push(self, name: str, attrs: list[tuple[str, str]]) -> Node:
         node = self.add(Node("element", name, attrs))
         self.open.append(node)
+        if name == "p":
+            self.may_hold_p = True
         return node
 
     # -- implied structure
@@ -188,7 +191,10 @@ class _Builder:
                 return
 
     def close_p(self) -> None:
-        if self.in_scope(("p",), _BUTTON_SCOPE):
+        if not self.may_hold_p:
+            return
+        self.may_hold_p = any(n.name == "p" for n in reversed(self.open))
+        if self.may_hold_p and self.in_scope(("p",), _BUTTON_SCOPE):
             self.implied_ends("p")
             self.pop_to(("p",))
 
