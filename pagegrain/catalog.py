@@ -144,7 +144,7 @@ def dom_view(spark: SparkSession, d: str) -> DataFrame:
 
 @_add("select", r"SELECT page_id, 'a' AS name, unnest(regexp_extract_all(html, '<a href=\"[^\"]*\">[^<]*</a>')) AS outer_html FROM pages")
 def select(spark: SparkSession, d: str) -> DataFrame:
-    return documents.select(_pages(spark, d), "nav li > a[href]", "page_id").drop("id")
+    return documents.select(_pages(spark, d), "nav li > a[href]", "page_id").drop("id", "inner_html")
 
 
 @_add("select_scoped", r"SELECT page_id, count(*)::BIGINT AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li>')) FROM pages) GROUP BY page_id")
@@ -585,6 +585,52 @@ def projected_lines(spark: SparkSession, d: str) -> DataFrame:
     return lines.select("page_id", "pos", F.col("line").startswith("/").alias("ok"), F.regexp_extract("line", '^[^ ]* (".*")$', 1).alias("said"))
 
 
+@_add("projected_text", f"SELECT page_id, len(list_filter(regexp_split_to_array({_BODY_TEXT}, '\\s+'), lambda t: t <> ''))::BIGINT AS n_tokens FROM pages")
+def projected_text(spark: SparkSession, d: str) -> DataFrame:
+    return views.text_view(_pages(spark, d)).select("page_id", F.size(comparison.project_text(F.col("text"))).cast("long").alias("n_tokens"))
+
+
+@_add("projected_forms", """
+SELECT page_id, unnest(['form ' || 'http://b.example/d/' || page_id % 3 || ' post', '  input type="text" name="q"', '  textarea type="" name="t"', '  select type="" name="s"', 'form http://b.example/d/ get']) AS line FROM pages""")
+def projected_forms(spark: SparkSession, d: str) -> DataFrame:
+    made = views.forms(documents.parse_pages(_pages(spark, d).withColumn("html", F.expr(_FORM))), "page_id")
+    listed = made.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("pos", "action", "method", "fields"))).alias("f"))
+    return listed.select("page_id", F.explode(comparison.project_forms(F.col("f"), F.lit("http://page.example/x/p.html"))).alias("line"))
+
+
+@_add("projected_boxes", "SELECT page_id, '0 html,2 body,3 p' AS line FROM pages")
+def projected_boxes(spark: SparkSession, d: str) -> DataFrame:
+    made = documents.derive(_pages(spark, d).withColumn("html", F.expr(_LAID)), ["boxes"])
+    return made.select("page_id", F.array_join(comparison.project_boxes(F.col("boxes")), ",").alias("line"))
+
+
+@_add("projected_ax", """
+SELECT page_id, unnest(['heading "t' || page_id || '" level=2', '(', 'img ""', ')']) AS line FROM pages""")
+def projected_ax(spark: SparkSession, d: str) -> DataFrame:
+    recorded = F.expr(
+        """'[{"nodeId":"r","role":{"value":"RootWebArea"},"childIds":["a","x"]},{"nodeId":"a","parentId":"r","role":{"value":"generic"},"childIds":["b"]},{"nodeId":"x","parentId":"r","role":{"value":"StaticText"}},'
+        || '{"nodeId":"b","parentId":"a","role":{"value":"heading"},"name":{"value":" t' || CAST(page_id AS STRING) || ' "},"properties":[{"name":"level","value":{"value":2}}],"childIds":["c","s"]},'
+        || '{"nodeId":"c","parentId":"b","role":{"value":"image"}},{"nodeId":"s","parentId":"b","role":{"value":"link"},"backendDOMNodeId":7}]'"""
+    )
+    lines = comparison.project_ax(recorded, F.array(F.lit(7).cast("long")))
+    return _pages(spark, d).select("page_id", F.explode(lines).alias("line"))
+
+
+_FOLDED = "CASE page_id % 3 WHEN 0 THEN '<details><summary>s</summary><p>x</p></details>' WHEN 1 THEN '<canvas><p>x</p></canvas>' ELSE '<video><p>x</p></video>' END"
+
+
+@_add("concealment", "SELECT page_id, true AS unpainted, page_id % 3 <> 1 AS concealed FROM pages")
+def concealment(spark: SparkSession, d: str) -> DataFrame:
+    rows = documents.parse_pages(_pages(spark, d).withColumn("html", F.expr(_FOLDED)))
+    return documents.elements(rows, "p", "page_id").select("page_id", "unpainted", "concealed")
+
+
+@_add("ax_roles", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'banner' ELSE 'sectionheader' END AS role, CASE WHEN page_id % 4 < 2 THEN 'n' || page_id END AS name FROM pages")
+def ax_roles(spark: SparkSession, d: str) -> DataFrame:
+    html = F.expr("CASE WHEN page_id % 2 = 0 THEN '' ELSE '<article>' END || '<header' || CASE WHEN page_id % 4 < 2 THEN ' aria-label=n' || CAST(page_id AS STRING) ELSE '' END || '>x</header>'")
+    return views.roles(_pages(spark, d).withColumn("html", html), "page_id").filter("role in ('banner', 'sectionheader')").select("page_id", "role", "name")
+
+
 # -- disclosure
 
 

@@ -321,6 +321,12 @@ def outline(page: Page, styles: list[dict] | None = None) -> list[dict]:
     return [{"seq": k, "depth": d, "role": r, "name": n, "level": v} for k, (d, r, n, v) in enumerate(_rows(page, styles))]
 
 
+def roles(page: Page, styles: list[dict] | None = None) -> list[dict]:
+    """The role and name of every element, shown or not."""
+    told = Outline(page, styles)
+    return [{"id": i, "role": told.role(i), "name": told.name(i)} for i, name in enumerate(page.name) if name is not None]
+
+
 def tree_json(page: Page, styles: list[dict] | None = None) -> str:
     """The outline as nested JSON: role, name (null if none), level (left out if none), children."""
     top: list = []

@@ -22,12 +22,13 @@ NODES = "array<struct<id:int,parent:int,last:int,depth:int,ord:int,kind:string,n
 STYLES = "array<struct<display:string,order:int,flex_direction:string,visibility:string,before:string,after:string>>"
 RULES = "array<struct<selectors:array<string>,decls:array<struct<name:string,value:string,important:boolean>>>>"
 OUTLINE = "array<struct<seq:int,depth:int,role:string,name:string,level:int>>"
+ROLES = "array<struct<id:int,role:string,name:string>>"
 BOXES = "array<struct<pos:int,i:int,tag:string,x:int,y:int,w:int,h:int,text:string>>"
 
 #: What ``derive`` can return, with types.
 OUTPUTS = {
     "nodes": NODES, "text": "string", "styled_text": "string", "has_text": "boolean", "has_label": "boolean", "styled_has_text": "boolean", "styled_has_label": "boolean",
-    "has_script": "boolean", "has_body": "boolean", "dom": "string", "styles": STYLES, "ax": OUTLINE, "ax_json": "string", "boxes": BOXES,
+    "has_script": "boolean", "has_body": "boolean", "dom": "string", "styles": STYLES, "ax": OUTLINE, "roles": ROLES, "ax_json": "string", "boxes": BOXES,
 }
 
 _TYPES = {
@@ -35,6 +36,7 @@ _TYPES = {
                                  ("attrs", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("text", pa.string()), ("unpainted", pa.bool_()), ("concealed", pa.bool_())])),
     "styles": pa.list_(pa.struct([("display", pa.string()), ("order", pa.int32()), ("flex_direction", pa.string()), ("visibility", pa.string()), ("before", pa.string()), ("after", pa.string())])),
     "ax": pa.list_(pa.struct([("seq", pa.int32()), ("depth", pa.int32()), ("role", pa.string()), ("name", pa.string()), ("level", pa.int32())])),
+    "roles": pa.list_(pa.struct([("id", pa.int32()), ("role", pa.string()), ("name", pa.string())])),
     "boxes": pa.list_(pa.struct([("pos", pa.int32()), ("i", pa.int32()), ("tag", pa.string()), ("x", pa.int32()), ("y", pa.int32()), ("w", pa.int32()), ("h", pa.int32()), ("text", pa.string())])),
 }
 
@@ -75,6 +77,8 @@ def _outputs(html: str | None, wanted: list[str], sheets: list | None, css_on: b
             out[w] = styles
         elif w == "ax":
             out[w] = names.outline(p)
+        elif w == "roles":
+            out[w] = names.roles(p)
         elif w == "ax_json":
             out[w] = names.tree_json(p)
         elif w == "boxes":
@@ -164,24 +168,24 @@ def base_url(nodes: Column, page_url: Column) -> Column:
 
 
 def select(df: DataFrame, selectors: str, *keys: str, html: str = "html", scope: str | None = None) -> DataFrame:
-    """A row (keys, id, name, outer_html) for each element that matches, in document order.
+    """A row (keys, id, name, outer_html, inner_html) for each element that matches, in document order.
 
     With ``scope``, strict descendants of the first element that matches it. An unsupported selector raises ValueError.
     """
     compiled, within = css.parse_query(selectors), css.parse_query(scope) if scope else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("id", pa.int32()), ("name", pa.string()), ("outer_html", pa.string())]))
+        kind = pa.list_(pa.struct([("id", pa.int32()), ("name", pa.string()), ("outer_html", pa.string()), ("inner_html", pa.string())]))
         for batch in batches:
             found = []
             for text in batch.column(html).to_pylist():
                 p = pages.Page.of(text)
                 root = next(iter(css.select(p, within)), None) if within else None
                 ids = [] if within and root is None else css.select(p, compiled, root)
-                found.append([{"id": i, "name": p.name[i], "outer_html": pages.outer_html(p, i)} for i in ids])
+                found.append([{"id": i, "name": p.name[i], "outer_html": pages.outer_html(p, i), "inner_html": pages.inner_html(p, i)} for i in ids])
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(found, kind)], [*keys, "_found"])
 
-    schema = T.StructType([*(df.schema[k] for k in keys), *df.sparkSession.createDataFrame([], "_found array<struct<id:int,name:string,outer_html:string>>").schema.fields])
+    schema = T.StructType([*(df.schema[k] for k in keys), *df.sparkSession.createDataFrame([], "_found array<struct<id:int,name:string,outer_html:string,inner_html:string>>").schema.fields])
     return df.select(*keys, *([html] if html not in keys else [])).mapInArrow(run, schema).select(*keys, F.inline("_found"))
 
 

@@ -121,6 +121,11 @@ def ax_tree(df: DataFrame, *keys: str, html: str = "html") -> DataFrame:
     return derive(df, ["ax"], html).select(*keys, F.inline("ax"))
 
 
+def roles(df: DataFrame, *keys: str, html: str = "html") -> DataFrame:
+    """(keys, id, role, name) of every element, shown in the outline or not."""
+    return derive(df, ["roles"], html).select(*keys, F.inline("roles"))
+
+
 def headings(df: DataFrame, *keys: str, html: str = "html") -> DataFrame:
     return ax_tree(df, *keys, html=html).filter("role = 'heading'").select(*keys, "seq", "level", "name")
 
