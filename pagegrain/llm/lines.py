@@ -6,9 +6,12 @@ agree in at least ``SIMILARITY`` of their tokens become one template whose diffe
 variable. A template that recurs is boilerplate, and all its lines are dropped.
 
 A template recurs if it is in at least ``MIN_DOCS`` documents that have nothing to do with each other,
-and these are at least ``MIN_SHARE`` of the different texts it is in. A document is known by the least
-hash of its other lines, which copies and edited copies share: a line that recurs only because one
-document was copied is that document's content, and its copies are left to near-duplicate removal.
+and these are at least ``MIN_SHARE`` of the different texts it is in. Only templates in at least
+``MIN_DOCS`` different texts are common. A document is known by the least hash of its own lines, which
+are neither common nor edits of common ones (with the same first or last ``EDGE`` tokens), so no other
+line of a shared block stands for it. A text whose own lines are under ``OWN_SHARE`` both of its lines
+and of its tokens is a copy, known by the least of its other common templates: a line that recurs only
+because one document was copied is that document's content, left to near-duplicate removal.
 
 Lines of under ``MIN_TOKENS`` tokens are never dropped. A leaf of more than ``MAX_LEAF`` different lines
 is parsed deeper (``DEEP`` leading tokens, then all of them), so no group of unbounded size is gathered.
@@ -38,6 +41,8 @@ SIMILARITY = 0.75
 MIN_TOKENS = 3
 MIN_DOCS = 5
 MIN_SHARE = 0.5
+EDGE = 3
+OWN_SHARE = 0.1
 MAX_LEAF = 1024
 BROADCAST_ROWS = 200_000
 _VARIABLE = np.uint64(1)
@@ -70,9 +75,15 @@ class Lines:
         a, n = self.first[rows], self.tokens[rows]
         return W.mix(self.run(a, a + np.minimum(n, depth)) ^ n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
+    def edges(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the first and the last ``EDGE`` tokens of each of these lines."""
+        a, n = self.first[rows], np.minimum(self.tokens[rows], EDGE)
+        b = a + self.tokens[rows]
+        return self.run(a, a + n), self.run(b - n, b)
+
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each different line of each text, with the least hash of the text's other lines."""
+    """A row for each different line of each text."""
     for whole in batches:
         for batch in W.chunks(whole):
             lines = Lines(batch)
@@ -82,14 +93,10 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new = np.ones(len(rows), bool)
             new[1:] = (text[1:] != text[:-1]) | (h[1:] != h[:-1])
             rows, text, h = rows[new], text[new], h[new]
-            head = np.searchsorted(text, text)
-            second = np.minimum(head + 1, max(0, len(rows) - 1))
-            key = np.where(h == h[head], np.where(text[second] == text, h[second], np.uint64(0)), h[head])
-            key[(h == h[head]) & (second == head)] = 0
             of = pa.array(text)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row_id").take(of), batch.column("text_hash").take(of), *(pa.array(x.view(np.int64)) for x in (lines.leaf(rows, DEPTH), lines.leaf(rows, DEEP), h, key))],
-                ["row_id", "text_hash", "leaf", "deep", "line", "key"],
+                [batch.column("row_id").take(of), batch.column("text_hash").take(of), *(pa.array(x.view(np.int64)) for x in (lines.leaf(rows, DEPTH), lines.leaf(rows, DEEP), h, *lines.edges(rows), lines.tokens[rows]))],
+                ["row_id", "text_hash", "leaf", "deep", "line", "head", "tail", "tokens"],
             )
 
 
@@ -109,7 +116,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(out, _FETCHED)
 
 
-_FETCHED = pa.schema([("shard", pa.int64()), ("line", pa.int64()), ("keys", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+_FETCHED = pa.schema([("shard", pa.int64()), ("line", pa.int64()), ("texts", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
 
 def cluster(tokens: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
@@ -156,36 +163,61 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"row_id": F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), "text_hash": F.xxhash64("text")})
 
 
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _documents(parsed: DataFrame, common: DataFrame) -> DataFrame:
+    """(text, own, least): of each text with common lines the least hash of its own lines, null if it has too few, and its two least common templates."""
+    edges = stash(parsed.join(_small(common), "line").select("head", "tail").distinct(), "edges")
+    heads, tails = (_small(edges.select(c).distinct().withColumn(f"same_{c}", F.lit(True))) for c in ("head", "tail"))
+    lines = parsed.join(_small(common), "line", "left").join(heads, "head", "left").join(tails, "tail", "left")
+    own = F.col("template").isNull() & F.col("same_head").isNull() & F.col("same_tail").isNull()
+    # Repeated rows count all of a text's lines as often, which leaves the shares as they are.
+    texts = lines.groupBy(F.col("text_hash").alias("text")).agg(
+        F.count("*").alias("n"), F.sum("tokens").alias("size"), F.count_if(own).alias("own_n"), F.sum(F.when(own, F.col("tokens")).otherwise(0)).alias("own_size"),
+        F.min(F.when(own, F.col("line"))).alias("own"), F.slice(F.sort_array(F.collect_set("template")), 1, 2).alias("least"),
+    )
+    enough = (F.col("own_n") >= OWN_SHARE * F.col("n")) | (F.col("own_size") >= OWN_SHARE * F.col("size"))
+    return texts.filter(F.size("least") > 0).select("text", F.when(enough, F.col("own")).alias("own"), "least")
+
+
 def recurring_lines(rows: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
     """(row_id, text_hash, line): the lines to drop; ``rows`` has row_id, text_hash and text."""
     rows = rows.select("row_id", "text_hash", "text")
-    parsed = stash(rows.mapInArrow(_parse, "row_id long, text_hash long, leaf long, deep long, line long, key long"), "lines")
-    texts = parsed.select("leaf", "deep", "line", "key", "text_hash").distinct()
-    counted = stash(texts.groupBy("leaf", "deep", "line", "key").agg(F.count("*").alias("texts")), "counted")
-    lines = counted.groupBy("leaf", "deep", "line").agg(F.count("*").alias("keys"))
-    deep = lines.groupBy("leaf", "deep").agg(F.sum("keys").alias("keys"), F.count("*").alias("deep_kinds"))
-    leaves = deep.groupBy("leaf").agg(F.sum("keys").alias("leaf_keys"), F.sum("deep_kinds").alias("kinds")).filter(F.col("leaf_keys") >= min_docs)
-    placed = lines.join(deep.drop("keys"), ["leaf", "deep"]).join(leaves, "leaf")
+    parsed = stash(rows.mapInArrow(_parse, "row_id long, text_hash long, leaf long, deep long, line long, head long, tail long, tokens long"), "lines")
+    texts = parsed.select("leaf", "deep", "line", "text_hash").distinct()
+    lines = stash(texts.groupBy("leaf", "deep", "line").agg(F.count("*").alias("texts")), "counted")
+    deep = lines.groupBy("leaf", "deep").agg(F.sum("texts").alias("texts"), F.count("*").alias("deep_kinds"))
+    leaves = deep.groupBy("leaf").agg(F.sum("texts").alias("leaf_texts"), F.sum("deep_kinds").alias("kinds")).filter(F.col("leaf_texts") >= min_docs)
+    placed = lines.join(deep.drop("texts"), ["leaf", "deep"]).join(leaves, "leaf")
     shard = F.when(F.col("kinds") <= MAX_LEAF, F.col("leaf")).when(F.col("deep_kinds") <= MAX_LEAF, F.col("deep")).otherwise(F.col("line"))
-    placed = stash(placed.select(shard.alias("shard"), "line", "keys", "kinds"), "placed")
+    placed = stash(placed.select(shard.alias("shard"), "line", "texts", "kinds"), "placed")
 
     # One document of each line that may share its template gives the tokens.
     several = placed.filter("kinds > 1 AND shard <> line")
     asked = parsed.select("row_id", "text_hash", "line").join(several.drop("kinds"), "line")
-    asked = asked.groupBy("shard", "line", "keys").agg(F.min(F.struct("row_id", "text_hash")).alias("x"))
-    asked = stash(asked.groupBy("x.row_id", "x.text_hash").agg(F.collect_list(F.struct("shard", "line", "keys")).alias("asked")), "asked")
-    n = asked.count()
-    named = rows.join(F.broadcast(asked) if n <= BROADCAST_ROWS else asked, ["row_id", "text_hash"]).select("text", "asked")
-    tokens = named.mapInArrow(_fetch, "shard long, line long, keys long, tokens array<long>").dropDuplicates(["line"])
-    ordered = tokens.repartition("shard").sortWithinPartitions("shard", F.desc("keys"), "line")
+    asked = asked.groupBy("shard", "line", "texts").agg(F.min(F.struct("row_id", "text_hash")).alias("x"))
+    asked = stash(asked.groupBy("x.row_id", "x.text_hash").agg(F.collect_list(F.struct("shard", "line", "texts")).alias("asked")), "asked")
+    named = rows.join(_small(asked), ["row_id", "text_hash"]).select("text", "asked")
+    tokens = named.mapInArrow(_fetch, "shard long, line long, texts long, tokens array<long>").dropDuplicates(["line"])
+    ordered = tokens.repartition("shard").sortWithinPartitions("shard", F.desc("texts"), "line")
     templates = ordered.mapInArrow(_cluster, "line long, template long")
     single = placed.filter("kinds = 1 OR shard = line").select("line", F.col("line").alias("template"))
     templates = stash(single.unionByName(templates), "templates")
 
-    met = counted.join(templates, "line").groupBy("template", "key").agg(F.sum("texts").alias("texts"))
-    found = met.groupBy("template").agg(F.count("*").alias("keys"), F.sum("texts").alias("texts"))
+    # Common templates: first by an upper bound of their texts, then exactly.
+    often = lines.select("line", "texts").join(templates, "line").groupBy("template").agg(F.sum("texts").alias("texts")).filter(F.col("texts") >= min_docs)
+    often = stash(templates.join(often.select("template"), "template").select("line", "template"), "often")
+    met = stash(parsed.join(_small(often), "line").select("template", F.col("text_hash").alias("text")).distinct(), "met")
+    common = met.groupBy("template").agg(F.count("*").alias("texts")).filter(F.col("texts") >= min_docs).select("template")
+    common = stash(often.join(common, "template").select("line", "template"), "common")
+
+    other = F.when(F.col("least")[0] != F.col("template"), F.col("least")[0]).otherwise(F.get("least", F.lit(1)))
+    met = met.join(_documents(parsed, common), "text").select("template", F.coalesce("own", other, F.lit(0)).alias("key"))
+    found = met.groupBy("template", "key").agg(F.count("*").alias("texts")).groupBy("template").agg(F.count("*").alias("keys"), F.sum("texts").alias("texts"))
     found = found.filter((F.col("keys") >= min_docs) & (F.col("keys") >= F.lit(min_share) * F.col("texts"))).select("template")
-    dropped = stash(templates.join(found, "template").select("line"), "dropped")
+    dropped = stash(common.join(found, "template").select("line"), "dropped")
     return parsed.select("row_id", "text_hash", "line").join(dropped, "line").select("row_id", "text_hash", "line")
 
 

@@ -82,3 +82,33 @@ def test_lines_match_split():
         p = lines.Lines(batch)
         assert np.bincount(p.text, minlength=len(texts)).tolist() == [len(t.split("\n")) if t else 0 for t in texts]
         assert p.tokens.tolist() == [len(x.split()) for t in texts if t for x in t.split("\n")]
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+
+
+def test_blocks_of_several_lines_go(docs_of):
+    import random
+
+    for block, own in ((3, 1), (10, 3), (10, 10), (20, 5)):
+        rng = random.Random(block)
+        menu = [prose(rng, 4 + k % 5) for k in range(block)]
+        texts = [[prose(rng, 9) for _ in range(own)] for _ in range(40)]
+        got = lines.drop_recurring_lines(docs_of([(d, "\n".join(menu + t)) for d, t in enumerate(texts)])).collect()
+        assert {r.doc_id: r.text for r in got} == {d: "\n".join(t) for d, t in enumerate(texts)}, (block, own)
+
+
+def test_edited_copies_stay(docs_of):
+    import random
+
+    rng = random.Random(1)
+    whole = [prose(rng, 8 + k % 5) for k in range(20)]
+    rows = []
+    for d in range(40):
+        text = [line.split() for line in whole]
+        for k in rng.sample(range(20), 4):
+            at = rng.randrange(len(text[k]))
+            text[k][at : at + 1] = rng.choice([[prose(rng, 1)], [], [prose(rng, 1), prose(rng, 1)]])
+        rows.append((d, "\n".join([" ".join(t) for t in text] + ([prose(rng, 9)] if d % 2 else []))))
+    assert {r.doc_id: r.text for r in lines.drop_recurring_lines(docs_of(rows)).collect()} == dict(rows)
