@@ -12,7 +12,8 @@ gathered (pre-aggregated), so a hot host is no larger a group than any other. Th
 and a list of numbers a host) are broadcast if their checked size is under ``BROADCAST_BYTES``, and
 joined otherwise.
 
-Lists of children with over ``MAX_CELLS`` pairs are aligned by equal subtrees in order, in linear time.
+Lists of children with over ``MAX_CELLS`` pairs are aligned as exactly, but row by row and split in halves
+(Hirschberg), in memory of the lists' length; their equal heads and tails are paired at once, which loses nothing.
 
 White space in a block becomes one space, blocks are joined by one space, character references are
 decoded. Cases: a null or empty html has an empty text. A null url counts as a host of its own without
@@ -22,10 +23,12 @@ table gives no rows. ``text`` and ``n_chars`` replace columns of that name, othe
 
 from __future__ import annotations
 
-import bisect
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +42,7 @@ MIN_PAGES = 4
 SHARE = 0.8
 BROADCAST_BYTES = 32 << 20
 MAX_CELLS = 1_000_000
+HOT = 16
 _CACHE = 256
 
 _NEVER = frozenset(
@@ -102,37 +106,150 @@ def _weights(a: Tree, b: Tree, memo: dict) -> int:
         return 1 + _weights(x[0], y[0], memo)
     key = (id(a), id(b))
     if key not in memo:
-        memo[key] = 1 + (_table(x, y, memo)[-1][-1] if len(x) * len(y) <= MAX_CELLS else 2 * len(_equal_in_order(x, y)))
+        memo[key] = 1 + (_table(x, y, memo)[-1][-1] if len(x) * len(y) <= MAX_CELLS else _Long(x, y, memo).best())
     return memo[key]
 
 
-def _signature(t: Tree) -> int:
-    """A hash of a subtree: labels, texts and order."""
-    done: dict[int, int] = {}
-    stack = [(t, False)]
-    while stack:
-        n, below = stack.pop()
-        if below or not n.children:
-            done[id(n)] = hash((n.label, n.text, *(done[id(c)] for c in n.children)))
-        else:
-            stack.append((n, True))
-            stack += [(c, False) for c in n.children]
-    return done[id(t)]
-
-
-def _equal_in_order(x: list[Tree], y: list[Tree]) -> list[tuple[Tree, Tree]]:
-    """Pairs of equal subtrees, each with the first one left that keeps the order."""
-    places: dict[int, list[int]] = {}
-    for k, t in enumerate(y):
-        places.setdefault(_signature(t), []).append(k)
-    out, at = [], 0
-    for t in x:
-        found = places.get(_signature(t), [])
-        k = bisect.bisect_left(found, at)
-        if k < len(found):
-            out.append((t, y[found[k]]))
-            at = found[k] + 1
-    return out
+class _Long:
+    """Two long lists of children: the weights of a row of pairs at a time, and the alignment in linear memory.
+
+    Texts that only one of the lists has equal none of the other's, so trees that differ in such texts alone
+    are one kind. Kinds weigh as their shapes do, which keep only the texts of over ``HOT`` trees, unless they
+    have another text in common; these few are weighed one by one.
+    """
+
+    def __init__(self, x: list[Tree], y: list[Tree], memo: dict):
+        self.x, self.y, self.memo = x, y, memo
+        times = [Counter(t for tree in trees for t in set(self._texts(tree))) for trees in (x, y)]
+        common = times[0].keys() & times[1].keys()
+        hot = {t for t in common if max(n[t] for n in times) > HOT}
+        self.names: dict = {}
+        (self.whole_x, self.kind_x, self.shape_x, has_x), (self.whole_y, kind_y, shape_y, has_y) = (self._kinds(trees, common, hot) for trees in (x, y))
+        places: dict[str, list[int]] = {}
+        for j, has in enumerate(has_y):
+            for text in has:
+                places.setdefault(text, []).append(j)
+        self.near = {k: sorted({j for t in has for j in places[t]}) for k, has in zip(self.kind_x, has_x, strict=True)}
+        self.kind_y, self.special = kind_y, {}
+        _, first, self.at_y = np.unique(np.array(shape_y), return_index=True, return_inverse=True)
+        self.hot, self.by_shape = hot, {}
+        self.shapes_y = [self._bare(y[j], hot, "\0y") for j in first.tolist()]
+
+    @staticmethod
+    def _texts(tree: Tree) -> Iterator[str]:
+        stack = [tree]
+        while stack:
+            t = stack.pop()
+            if t.label == "#":
+                yield t.text
+            stack += t.children
+
+    def _kinds(self, trees: list[Tree], common: set[str], hot: set[str]) -> tuple[list[int], list[int], list[int], list[set[str]]]:
+        """Numbers of each tree itself, of its kind and of its shape, and its common texts that are not hot."""
+        name = lambda *key: self.names.setdefault(key, len(self.names))
+        out: tuple = ([], [], [], [])
+        for t in trees:
+            done: dict[int, tuple[int, int, int]] = {}
+            stack, has = [(t, False)], set()
+            while stack:
+                n, below = stack.pop()
+                if not below and n.children:
+                    stack.append((n, True))
+                    stack += [(c, False) for c in n.children]
+                    continue
+                if n.label == "#" and n.text in common and n.text not in hot:
+                    has.add(n.text)
+                kids = [done[id(c)] for c in n.children]
+                texts = (n.text, n.text if n.text in common else None, n.text if n.text in hot else None)
+                done[id(n)] = tuple(name(n.label, texts[k], *(c[k] for c in kids)) for k in range(3))
+            for found, value in zip(out, (*done[id(t)], has), strict=True):
+                found.append(value)
+        return out
+
+    @staticmethod
+    def _bare(tree: Tree, hot: set[str], other: str) -> Tree:
+        """A copy whose texts that are not hot are ``other``."""
+        top = Tree(tree.label, "", tree.node)
+        stack = [(tree, top)]
+        while stack:
+            t, copy = stack.pop()
+            if t.label == "#":
+                copy.text = t.text if t.text in hot else other
+            for child in t.children:
+                copy.children.append(Tree(child.label, "", child.node))
+                stack.append((child, copy.children[-1]))
+        return top
+
+    def row(self, i: int) -> np.ndarray:
+        """The weights of x[i] with all of y."""
+        kind, shape = self.kind_x[i], self.shape_x[i]
+        if shape not in self.by_shape:
+            if len(self.by_shape) >= max(1, MAX_CELLS // len(self.shapes_y)):
+                self.by_shape.clear()
+            # A representative's own texts must not count: only shapes are compared.
+            bare = self._bare(self.x[i], hot=self.hot, other="\0x")
+            self.by_shape[shape] = np.array([_weights(bare, t, {}) for t in self.shapes_y], np.int64)
+        if kind not in self.special:
+            found: dict[int, int] = {}
+            for j in self.near[kind]:
+                if self.kind_y[j] not in found:
+                    found[self.kind_y[j]] = _weights(self.x[i], self.y[j], self.memo)
+            self.special[kind] = np.array(self.near[kind], np.int64), np.array([found[self.kind_y[j]] for j in self.near[kind]], np.int64)
+        weights = self.by_shape[shape][self.at_y]
+        at, values = self.special[kind]
+        weights[at] = values
+        return weights
+
+    def scores(self, rows: range, a: int, b: int, back: bool = False) -> np.ndarray:
+        """The best weight of these rows with y[a:a + k], or with y[b - k:b] if ``back``, for each k."""
+        last = np.zeros(b - a + 1, np.int64)
+        for i in rows:
+            w = self.row(i)[a:b]
+            # A pair of different labels weighs 0, so taking it is taking none.
+            last[1:] = np.maximum.accumulate(np.maximum(last[1:], last[:-1] + (w[::-1] if back else w)))
+        return last
+
+    def ends(self) -> tuple[int, int]:
+        """How many trees are equal at the start and then at the end. No tree weighs more with another than with an equal one."""
+        n, head, tail = min(len(self.x), len(self.y)), 0, 0
+        while head < n and self.whole_x[head] == self.whole_y[head]:
+            head += 1
+        while tail < n - head and self.whole_x[-1 - tail] == self.whole_y[-1 - tail]:
+            tail += 1
+        return head, tail
+
+    def best(self) -> int:
+        head, tail = self.ends()
+        same = [*range(head), *range(len(self.x) - tail, len(self.x))]
+        total = sum(2 if t.label == "#" else 1 for i in same for t in self._nodes(self.x[i]))
+        return total + int(self.scores(range(head, len(self.x) - tail), head, len(self.y) - tail)[-1])
+
+    @staticmethod
+    def _nodes(tree: Tree) -> Iterator[Tree]:
+        stack = [tree]
+        while stack:
+            yield (t := stack.pop())
+            stack += t.children
+
+    def pairs(self) -> list[tuple[Tree, Tree]]:
+        head, tail = self.ends()
+        nx, ny = len(self.x), len(self.y)
+        out = [(self.x[i], self.y[i]) for i in range(head)] + [(self.x[nx - k], self.y[ny - k]) for k in range(tail, 0, -1)]
+        stack = [(head, nx - tail, head, ny - tail)]
+        while stack:
+            i, j, a, b = stack.pop()
+            if i == j or a == b:
+                continue
+            if j - i == 1:
+                w = self.row(i)[a:b]
+                if w.max():
+                    out.append((self.x[i], self.y[a + int(w.argmax())]))
+                continue
+            mid = (i + j) // 2
+            both = self.scores(range(i, mid), a, b) + self.scores(range(j - 1, mid - 1, -1), a, b, True)[::-1]
+            cut = a + int(both.argmax())
+            stack += [(i, mid, a, cut), (mid, j, cut, b)]
+        return out
 
 
 def _table(x: list[Tree], y: list[Tree], memo: dict) -> list[list[int]]:
@@ -151,19 +268,32 @@ def _table(x: list[Tree], y: list[Tree], memo: dict) -> list[list[int]]:
 
 
 def align(a: Tree, b: Tree) -> list[tuple[Tree, Tree]]:
-    """Pairs of matched texts of two trees under a largest matching."""
+    """Pairs of equal texts of two trees under a largest matching, however deep they are."""
+    limit = sys.getrecursionlimit()
+    try:
+        while True:
+            try:
+                return _align(a, b)
+            except RecursionError:
+                sys.setrecursionlimit(sys.getrecursionlimit() * 4)
+    finally:
+        sys.setrecursionlimit(limit)
+
+
+def _align(a: Tree, b: Tree) -> list[tuple[Tree, Tree]]:
     memo: dict = {}
     out, stack = [], [(a, b)]
     while stack:
         p, q = stack.pop()
         if p.label == "#":
-            out.append((p, q))
+            if p.text == q.text:
+                out.append((p, q))
             continue
         x, y = p.children, q.children
         if not x or not y:
             continue
         if len(x) * len(y) > MAX_CELLS:
-            stack += _equal_in_order(x, y)
+            stack += _Long(x, y, memo).pairs()
             continue
         rows = _table(x, y, memo)
         i, j = len(x), len(y)

@@ -69,3 +69,44 @@ def test_long_lists_align_by_equal_subtrees(monkeypatch):
     page = lambda k: e.tree_of("".join(f"<p>{'same' if i % 3 else k} {i}</p>" for i in range(1500)))
     found = e.align(page("a"), page("b"))
     assert sorted(p.text for p, q in found) == sorted(f"same {i}" for i in range(1500) if i % 3) and all(p.text == q.text for p, q in found)
+
+
+def test_long_lists_are_matched_as_short_ones(monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    for _ in range(60):
+        make = lambda: e.tree_of("".join(rng.choice(["<p>a</p>", "<p>b<b>x</b></p>", f"<p>{rng.random()}<b>x</b></p>", "<hr>", "<div><p>a</p><p>b</p></div>", "<div><p>a</p>c</div>", "t<br>"]) for _ in range(rng.randrange(6))))
+        a, b = make(), make()
+        want = e._weights(a, b, {})
+        with monkeypatch.context() as m:
+            m.setattr(e, "MAX_CELLS", 1)
+            assert e._weights(a, b, {}) == want == best(a, b)
+            x, y = a.children, b.children
+            pairs = e._Long(x, y, {}).pairs() if x and y else []
+        at = sorted((x.index(p), y.index(q)) for p, q in pairs)
+        assert all(i < k and j < n for (i, j), (k, n) in zip(at, at[1:]))
+        assert 1 + sum(e._weights(p, q, {}) for p, q in pairs) == want
+
+
+def test_long_lists_of_varying_blocks_align():
+    block = lambda k, i: f"<div><p>Story {k} {i}</p><p>Read more {i % 7}</p></div>"
+    page = lambda k: e.tree_of("<hr>" + "".join(block(k, i) for i in range(1100)) + ("<hr><p>Late</p>" if k == "a" else "<p>Late</p><hr>"))
+    found = [p.text for p, q in e.align(page("a"), page("b")) if p.text == q.text]
+    assert sorted(found) == sorted([f"Read more {i % 7}" for i in range(1100)] + ["Late"])
+
+
+def test_deep_pages_align():
+    page = lambda k: e.tree_of("<div><i>a</i>" * 450 + f"same<p>{k}</p>")
+    deep = lambda k: _chain(3000, k)
+    assert [p.text for p, q in e.align(page("x"), page("y")) if p.text == q.text].count("same") == 1
+    assert [(p.text, q.text) for p, q in e.align(deep("x"), deep("x"))] == [("x", "x")]
+
+
+def _chain(depth, text):
+    top = e.Tree("#", text, None)
+    for _ in range(depth):
+        above = e.Tree("div", "", None)
+        above.children += [e.Tree("hr", "", None), top]
+        top = above
+    return top
