@@ -13,7 +13,7 @@ line of a shared block stands for it. A text whose own lines are under ``OWN_SHA
 and of its tokens is a copy, known by the least of its other common templates: a line that recurs only
 because one document was copied is that document's content, left to near-duplicate removal.
 
-Lines of under ``MIN_TOKENS`` tokens are never dropped. A leaf of more than ``MAX_LEAF`` different lines
+Only lines without a token are never dropped; those of under ``DEPTH`` tokens lead with all they have. A leaf of more than ``MAX_LEAF`` different lines
 is parsed deeper (``DEEP`` leading tokens, then all of them), so no group of unbounded size is gathered.
 Only lines of leaves that may recur have their tokens fetched; counts are of hashes, pre-aggregated.
 
@@ -38,7 +38,7 @@ from pagegrain.storage import stash
 
 DEPTH, DEEP = 3, 8
 SIMILARITY = 0.75
-MIN_TOKENS = 3
+MIN_TOKENS = 1
 MIN_DOCS = 5
 MIN_SHARE = 0.5
 EDGE = 3

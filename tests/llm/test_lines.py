@@ -112,3 +112,13 @@ def test_edited_copies_stay(docs_of):
             text[k][at : at + 1] = rng.choice([[prose(rng, 1)], [], [prose(rng, 1), prose(rng, 1)]])
         rows.append((d, "\n".join([" ".join(t) for t in text] + ([prose(rng, 9)] if d % 2 else []))))
     assert {r.doc_id: r.text for r in lines.drop_recurring_lines(docs_of(rows)).collect()} == dict(rows)
+
+
+def test_short_lines_go(docs_of):
+    import random
+
+    rng = random.Random(2)
+    own = [[prose(rng, 8), prose(rng, 1), prose(rng, 7)] for _ in range(12)]
+    rows = [(d, "\n".join(["Advertisement", a, "", b, "Read more", c] + (["Rarely"] if d < 3 else []))) for d, (a, b, c) in enumerate(own)]
+    got = {r.doc_id: r.text for r in lines.drop_recurring_lines(docs_of(rows)).collect()}
+    assert got == {d: "\n".join([a, "", b, c] + (["Rarely"] if d < 3 else [])) for d, (a, b, c) in enumerate(own)}
