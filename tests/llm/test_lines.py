@@ -1,4 +1,4 @@
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -10,45 +10,76 @@ import pyarrow as pa
 
 
 def tokens(line):
-    return tuple("*" if any(c in "0123456789" for c in t) else t for t in line.encode().decode().split())
+    return tuple("*" if any(c in "0123456789" for c in t) else t for t in line.split())
 
 
-def brute(rows, min_docs=lines.MIN_DOCS, share=lines.MIN_SHARE):
-    """The lines to drop, by the same definitions; hashes only order things, so they are taken from the operator."""
-    batch = pa.RecordBatch.from_pydict({"text": [t or "" for _, t in rows]})
-    parsed = lines.Lines(batch)
-    at = np.searchsorted(parsed.text, np.arange(len(rows) + 1))
-    keys, leaf, hash_of = defaultdict(lambda: defaultdict(set)), {}, {}
-    for k, (_, text) in enumerate(rows):
-        own = (text or "").split("\n") if text else []
-        pairs = {tokens(x): int(parsed.hash[at[k] + j]) for j, x in enumerate(own) if len(tokens(x)) >= lines.MIN_TOKENS}
-        for t, h in pairs.items():
-            rest = [v for v in pairs.values() if v != h]
-            keys[t][min(rest) if rest else 0].add(text)
-            leaf.setdefault((len(t), t[: lines.DEPTH]), set()).add(t)
-            hash_of[t] = h
-    dropped = set()
-    for members in leaf.values():
-        if sum(len(keys[t]) for t in members) < min_docs:
+def hashes(known):
+    """The operator's hash of each line, which only orders lines here."""
+    order = sorted(known)
+    parsed = lines.Lines(pa.RecordBatch.from_pydict({"text": ["\n".join(" ".join("0" if t == "*" else t for t in x) for x in order)]}))
+    return dict(zip(order, parsed.hash.view(np.int64).tolist(), strict=True))
+
+
+def told_apart(members, weight, n, gone, min_docs):
+    """The templates among lines of one node, as sets of lines."""
+    total = sum(weight[t] for t in members)
+    if total < min_docs or n - len(gone) < lines.SIMILARITY * n:
+        return []
+    fixed, varies = {}, []
+    for p in range(n):
+        if p in gone:
             continue
-        signed = lambda h: h - (1 << 64) if h >> 63 else h
-        order = sorted(members, key=lambda t: (-len(keys[t]), signed(hash_of[t])))
-        templates = []
-        for t in order:
-            best = max(templates, key=lambda m: sum(a == b for a, b in zip(m[0], t, strict=True)), default=None)
-            if best and sum(a == b for a, b in zip(best[0], t, strict=True)) >= lines.SIMILARITY * len(t):
-                best[0] = [a if a == b else None for a, b in zip(best[0], t, strict=True)]
-                best[1].append(t)
-            else:
-                templates.append([list(t), [t]])
-        for _, found in templates:
-            by_key = defaultdict(int)
-            for t in found:
-                for key, texts in keys[t].items():
-                    by_key[key] += len(texts)
-            if len(by_key) >= min_docs and len(by_key) >= share * sum(by_key.values()):
-                dropped.update(found)
-    return ["\n".join(x for x in (t or "").split("\n") if tokens(x) not in dropped) if t else t for _, t in rows]
+        support = Counter()
+        for t in members:
+            support[t[p]] += weight[t]
+        token, most = support.most_common(1)[0]
+        if 2 * most > total:
+            fixed[p] = token
+        if len(support) > 1:
+            varies.append((p in fixed, p, support))
+    if len(fixed) >= lines.SIMILARITY * n:
+        near = {t for t in members if sum(t[p] == token for p, token in fixed.items()) >= lines.SIMILARITY * n}
+        if sum(weight[t] for t in near) >= min_docs:
+            return [near, *told_apart(members - near, weight, n, gone, min_docs)]
+    _, p, support = min(varies, key=lambda v: v[:2])
+    often = [token for token, s in support.items() if s >= min_docs]
+    out = []
+    for token in often:
+        out += told_apart({t for t in members if t[p] == token}, weight, n, gone, min_docs)
+    return out + told_apart({t for t in members if t[p] not in often}, weight, n, gone | {p}, min_docs)
+
+
+def brute(rows, min_docs=lines.MIN_DOCS, share=lines.MIN_SHARE):
+    """Each text less the lines to drop, from the definitions alone."""
+    texts = {t: {tokens(x) for x in t.split("\n") if x.split()} for _, t in rows if t}
+    weight = Counter(x for own in texts.values() for x in own)
+    order, leaves = hashes(weight), defaultdict(set)
+    for t in weight:
+        leaves[len(t), t[: lines.DEPTH]].add(t)
+    template = {}
+    for (n, _), members in leaves.items():
+        for found in told_apart(members, weight, n, frozenset(), min_docs):
+            template |= dict.fromkeys(found, min(order[t] for t in found))
+    spread = defaultdict(set)
+    for text, own in texts.items():
+        for t in own & template.keys():
+            spread[template[t]].add(text)
+    template = {t: name for t, name in template.items() if len(spread[name]) >= min_docs}
+    heads, tails = {t[: lines.EDGE] for t in template}, {t[-lines.EDGE :] for t in template}
+    keys = defaultdict(set)
+    for text, all_lines in texts.items():
+        own = [t for t in all_lines if t not in template and t[: lines.EDGE] not in heads and t[-lines.EDGE :] not in tails]
+        names = sorted({template[t] for t in all_lines & template.keys()})
+        enough = len(own) >= lines.OWN_SHARE * len(all_lines) or sum(map(len, own)) >= lines.OWN_SHARE * sum(map(len, all_lines))
+        for name in names:
+            others = [x for x in names[:2] if x != name]
+            keys[name].add((min((order[t] for t in own), default=others[0] if others else 0) if enough else others[0] if others else 0, text))
+    gone = set()
+    for name, found in keys.items():
+        n = len({k for k, _ in found})
+        if n >= min_docs and n >= share * len(found):
+            gone |= {t for t in template if template[t] == name}
+    return ["\n".join(x for x in t.split("\n") if tokens(x) not in gone) if t else t for _, t in rows]
 
 
 def test_equals_brute_force(real_docs):
@@ -122,3 +153,74 @@ def test_short_lines_go(docs_of):
     rows = [(d, "\n".join(["Advertisement", a, "", b, "Read more", c] + (["Rarely"] if d < 3 else []))) for d, (a, b, c) in enumerate(own)]
     got = {r.doc_id: r.text for r in lines.drop_recurring_lines(docs_of(rows)).collect()}
     assert got == {d: "\n".join([a, "", b, c] + (["Rarely"] if d < 3 else [])) for d, (a, b, c) in enumerate(own)}
+
+
+def _templates_by_rounds(spark, rows, min_docs):
+    """The templates that the operator finds in one leaf, whatever the bound of what a task holds."""
+    order = hashes(rows)
+    state = spark.createDataFrame([(1, order[t], w, len(t), [], [hash(x) for x in t]) for t, w in rows.items()], lines._STATE)
+    return {r.line: r.template for r in lines._templates(state, min_docs).collect()}
+
+
+def test_leaves_of_any_size_give_the_same_templates(spark, monkeypatch):
+    import random
+
+    for seed in (1, 2):
+        rng = random.Random(seed)
+        pick = lambda base, share: tuple(base[:3]) + tuple(rng.choice("qrstuvwx") + rng.choice("abcd") if rng.random() < share else b for b in base[3:])
+        bases = [[c + "stuvwxyzr"[k] for k in range(9)] for c in "mno"[: 1 + seed % 3]]
+        for b in bases:
+            b[:3] = ["a", "b", "c"]
+        rows = Counter()
+        for _ in range(150):
+            rows[pick(rng.choice(bases), rng.choice([0, 0.1, 0.3]))] += rng.randint(1, 3)
+        order = hashes(rows)
+        want = {order[t]: min(order[x] for x in found) for found in told_apart(set(rows), rows, 9, frozenset(), 5) for t in found}
+        assert _templates_by_rounds(spark, rows, 5) == want
+        monkeypatch.setattr(lines, "HELD_LINES", 16)
+        assert _templates_by_rounds(spark, rows, 5) == want and want
+        monkeypatch.undo()
+
+
+def test_large_leaves_are_dropped_as_small_ones(docs_of):
+    import random
+
+    for n in (1000, 1100, 5000):
+        rng = random.Random(n)
+        names = ["".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(n)]
+        rows = [(d, f"{prose(rng, 6)}\nShare this article with {name} on our site\n{prose(rng, 7)}") for d, name in enumerate(names)]
+        assert len(set(names)) == n
+        got = {r.doc_id: r.text for r in lines.drop_recurring_lines(docs_of(rows)).collect()}
+        assert got == {d: "\n".join(t.split("\n")[::2]) for d, t in rows}
+
+
+def test_every_internal_name_passes_through(docs_of):
+    import random
+
+    rng = random.Random(9)
+    names = ["own", "row_id", "text_hash", "_lines", "_id", "_hash", "_n_lines", "n_lines", "n_dropped", "gone", "line", "Node", "template", "leaf", "a"]
+    rows = [(d, f"{prose(rng, 9)}\nthe one line for all") for d in range(8)]
+    out = lines.drop_recurring_lines(docs_of(rows, [(c, f"mine {c}") for c in names]))
+    assert [(r.doc_id, r.text) for r in out.orderBy("doc_id").collect()] == [(d, t.split("\n")[0]) for d, t in rows]
+    assert all(r[c] == f"mine {c}" for r in out.collect() for c in names)
+
+
+def test_recall_of_planted_templates(docs_of):
+    import random
+
+    rng = random.Random(4)
+    planted = [prose(rng, rng.randint(4, 14)).split() for _ in range(30)]
+    rows, want = [], []
+    for d in range(300):
+        keep = [prose(rng, rng.randint(5, 12)) for _ in range(4)]
+        more = []
+        for t in rng.sample(planted, 3):
+            t = list(t)
+            if len(t) > 4:
+                t[rng.randrange(3, len(t))] = rng.choice([str(rng.randint(0, 999)), prose(rng, 1)])
+            more.append(" ".join(t))
+        rows.append((d, "\n".join(keep + more)))
+        want.append(keep)
+    got = {r.doc_id: r.text.split("\n") for r in lines.drop_recurring_lines(docs_of(rows)).collect()}
+    left = sum(len(got[d]) - len(k) for d, k in enumerate(want))
+    assert all(set(k) <= set(got[d]) for d, k in enumerate(want)) and left <= 0.1 * 3 * 300
