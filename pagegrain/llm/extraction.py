@@ -1,32 +1,43 @@
 """Operator 2: main text of pages by wrapper induction.
 
 Pages of a host are aligned with a reference page of that host by simple tree matching, which finds
-the largest order-preserving mapping of two DOM trees that keeps parents. A text of the reference page
-that is met unchanged in at least ``SHARE`` of the host's different pages (``MIN_PAGES`` or more) is
-template; all others are slots that vary. A page's main text is what its slots hold in its article
-(``article``, ``main``; else the body) outside regions that are not content by their element, role,
-class or id: menus, page headers, footers, sidebars, notices, adverts, forms, reader comments, scripts.
-
-Each page is aligned on its own, in narrow steps; per host only the counts of reference texts are
-gathered (pre-aggregated), so a hot host is no larger a group than any other. The wrappers (one page
-and a list of numbers a host) are broadcast if their checked size is under ``BROADCAST_BYTES``, and
-joined otherwise.
-
-Lists of children with over ``MAX_CELLS`` pairs are aligned as exactly, but row by row and split in halves
-(Hirschberg), in memory of the lists' length; their equal heads and tails are paired at once, which loses nothing.
+the largest order-preserving mapping of two DOM trees that keeps parents. Every text of a page is
+counted at the node of the reference that it or its nearest mapped ancestor is mapped to, over all
+different pages of the host (``MIN_PAGES`` or more). From these counts comes the host's wrapper:
+
+- A text met unchanged in at least ``SHARE`` of the pages is constant, all other text varies.
+- Content are the articles (``article``, ``main``) whose text varies; an article that is the same on all
+  pages is template. Where articles hold under ``ARTICLE_SHARE`` of what varies, or a host has none, it is
+  the deepest block that holds ``CONTENT_SHARE`` of the varying text outside of links.
+- Within the content, blocks of constant texts only are template; headings belong to what follows them
+  and stay. Where over half of the content is constant, the pages are copies and nothing in it is template.
+
+A page's main text is what is mapped to the content, without template blocks and without parts that are
+no content by their element, their role, or a whole word of their class or id: menus, page headers,
+footers, sidebars, notices, adverts, forms, reader comments, scripts. Pages without a wrapper (hosts of
+few pages), or with nothing mapped to the content, fall back to their articles, else to their body.
+
+Each page is parsed and aligned once, in one narrow step; per host only counts at reference nodes are
+gathered (pre-aggregated), so a hot host is no larger a group than any other. Reference pages and wrappers
+of up to ``BROADCAST_BYTES``, by a checked size, are broadcast. Beyond it pages are dealt by host and a
+salt (``SALTS``) and meet their host's reference as the first row of its group.
+
+Lists of children with over ``TABLE_CELLS`` pairs are aligned as exactly, but row by row and split in halves
+(Hirschberg), in memory of the lists' length; their equal heads and tails are paired at once, which loses
+nothing. Nothing recurses by depth. Of several largest matchings any one may be taken.
 
 White space in a block becomes one space, blocks are joined by one space, character references are
-decoded. Cases: a null or empty html has an empty text. A null url counts as a host of its own without
-a wrapper. Copies of a page count once in the induction. Repeated rows have equal results; an empty
-table gives no rows. ``text`` and ``n_chars`` replace columns of that name, others pass through.
+decoded. Cases: a null or empty html has an empty text. A null url has no host, hence no wrapper.
+Pages of a host with equal texts count once. Of equal least ids the least page hash gives the reference.
+Repeated rows have equal results; an empty table gives no rows. ``text``, ``n_chars`` and ``n_template``
+take the place of columns of that name, html is left out, all other columns pass through under any name.
 """
 
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,80 +45,192 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagegrain.functions.html import Node, parse
+from pagegrain.functions.html import HEADINGS, Node, parse
+from pagegrain.llm.columns import pack, unpack
 from pagegrain.sources.pages import spread
 from pagegrain.storage import stash
 
 MIN_PAGES = 4
 SHARE = 0.8
+ARTICLE_SHARE = 0.3
+CONTENT_SHARE = 0.8
 BROADCAST_BYTES = 32 << 20
-MAX_CELLS = 1_000_000
+SALTS = 64
+TABLE_CELLS = 1_000_000
 HOT = 16
 _CACHE = 256
 
 _NEVER = frozenset(
-    "script style noscript template head title nav footer aside form button select textarea input option label menu dialog iframe svg math canvas"
+    "script style noscript template head title nav footer aside form button select textarea input option menu dialog iframe svg math canvas"
     " object embed audio video map datalist progress meter".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form status".split())
-_MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|adsense|adsby\w*|sponsor\w*|promo\w*|banner|side-?bar|side-?nav|widget|menu|nav|navbar|navigation|breadcrumbs?|masthead|site-?header"
-    r"|page-?header|footer|cookies?|consent|gdpr|notices?|alert|newsletter|subscribe|popup|modal|overlay|share|sharing|social|related|recommended|comments?"
-    r"|comment-?list|disqus|replies|respond|login|signup|search|toolbar|pagination|pager|skip-?link)(?:$|[\s_-])",
-    re.I,
-)
+#: Whole words of class or id that name a part which is no content, wherever it stands.
+_MARKED = frozenset(
+    "ad ads advert adverts advertisement advertising adsbygoogle ad-box ad-slot ad-banner ad-container sponsored promo sidebar side-bar menu nav navbar"
+    " navigation breadcrumb breadcrumbs masthead site-header page-header site-footer footer cookie-notice cookie-banner cookie-consent notice alert newsletter"
+    " popup modal comments comment-list comment-section disqus-thread disqus_thread pagination pager toolbar skip-link share-buttons social-links".split()
+)
 _INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rb rp rt rtc ruby s samp small span strike strong sub sup time tt u var wbr nobr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt rtc ruby s samp small span strike strong sub sup time tt u var wbr nobr".split()
 )
-_HEADER = re.compile(r"(?:^|\s)header(?:$|\s)", re.I)
+_BLOCKS = frozenset("body div main article section td center table tbody tr details dd li ul ol dl".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
+#: What a node is: a text, no content anywhere, no content outside of an article, an article or main element, part of a line, a heading, a block,
+#: a link, a line break, a main element.
+TEXT, NEVER, OUTSIDE, ARTICLE, INLINE, HEADING, BLOCK, LINK, BREAK, MAIN = (1 << i for i in range(10))
+
 
 class Tree:
-    """A node of the matching tree: an element below body, or a text (label ``#``) with white space turned into single spaces."""
+    """A node of the matching tree: an element from body down, or a text (label ``#``) with white space turned into single spaces."""
 
-    __slots__ = ("label", "text", "children", "node", "number")
+    __slots__ = ("label", "text", "children", "number", "kind")
 
-    def __init__(self, label: str, text: str, node: Node):
-        self.label, self.text, self.node = label, text, node
+    def __init__(self, label: str, text: str, number: int):
+        self.label, self.text, self.number = label, text, number
         self.children: list[Tree] = []
-        self.number = -1
+        self.kind = -1
+
+
+def _bits(node: Node) -> int:
+    """What an element is, by its name, role, class and id."""
+    out = (INLINE * (node.name in _INLINE)) | (HEADING * (node.name in HEADINGS)) | (BLOCK * (node.name in _BLOCKS)) | (LINK * (node.name == "a")) | (BREAK * (node.name == "br"))
+    article, main, never = node.name in ("article", "main"), node.name == "main", node.name in _NEVER
+    outside = node.name == "header"
+    for key, value in node.attrs:
+        if key in ("class", "id"):
+            words = value.lower().split()
+            if node.name not in ("article", "main", "body"):
+                never |= any(w in _MARKED for w in words)
+                outside |= "header" in words
+            elif node.name == "article":
+                never |= "comment" in words or "comments" in words
+        elif key == "role":
+            main |= value.strip().lower() == "main"
+            never |= value.strip().lower() in _ROLES
+        elif key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true" or key == "style" and _HIDDEN.search(value):
+            never = True
+    article = (article or main) and not never
+    return out | (NEVER * never) | (OUTSIDE * (never or outside)) | (ARTICLE * article) | (MAIN * (article and main))
+
+
+class PageTree:
+    """A page from its body down, in preorder: parents, what each node is, texts (null for elements); ``top`` leaves out white space."""
+
+    def __init__(self, html: str | None):
+        document = parse(html)
+        root = next((n for n in document.children if n.kind == "element"), document)
+        body = next((n for n in reversed(root.children) if n.name == "body"), root)
+        self.top = Tree("body", "", 0)
+        self.up, self.bits, self.texts, self.trees = [-1], [_bits(body) & ~(NEVER | OUTSIDE) | BLOCK], [None], [self.top]
+        stack: list[tuple[Node, Tree]] = [(c, self.top) for c in reversed(body.children)]
+        while stack:
+            node, above = stack.pop()
+            number = len(self.up)
+            if node.kind == "text":
+                words = node.text.split()
+                tree = Tree("#", " ".join(words), number)
+                if words:
+                    above.children.append(tree)
+                self.bits.append(TEXT)
+                self.texts.append(node.text if words else " ")
+            elif node.kind == "element" and node.name not in ("script", "style", "noscript"):
+                tree = Tree(node.name, "", number)
+                above.children.append(tree)
+                self.bits.append(_bits(node))
+                self.texts.append(None)
+                stack += [(c, tree) for c in reversed(node.children)]
+            else:
+                continue
+            self.up.append(above.number)
+            self.trees.append(tree)
 
 
-def tree_of(html: str | None) -> Tree:
-    document = parse(html)
-    root = next((n for n in document.children if n.kind == "element"), document)
-    body = next((n for n in reversed(root.children) if n.name == "body"), root)
-    top = Tree("body", "", body)
-    stack, number = [(body, top)], 0
+def _texts(trees: list[Tree]) -> set[str]:
+    return {t.text for t in trees if t.label == "#"}
+
+
+def _preorder(top: Tree) -> list[Tree]:
+    out, stack = [], [top]
     while stack:
-        node, tree = stack.pop()
-        for child in node.children:
-            if child.kind == "element" and child.name not in ("script", "style", "noscript"):
-                tree.children.append(Tree(child.name, "", child))
-                stack.append((child, tree.children[-1]))
-            elif child.kind == "text":
-                text = " ".join(child.text.split())
-                if text:
-                    leaf = Tree("#", text, child)
-                    leaf.number, number = number, number + 1
-                    tree.children.append(leaf)
-    return top
-
-
-def _weights(a: Tree, b: Tree, memo: dict) -> int:
+        out.append(t := stack.pop())
+        stack += t.children
+    return out
+
+
+class Kinds:
+    """Numbers for subtrees that no matching can tell apart: texts that only one of two pages has are alike.
+
+    A subtree's number is over the numbers of its parts, so pairs are weighed from the leaves up without recursion.
+    """
+
+    def __init__(self, common: set[str]):
+        self.common, self.ids = common, {}
+        self.labels: list[str] = []
+        self.kids: list[tuple[int, ...]] = []
+        self.examples: list[Tree] = []
+        self.known: dict[tuple[int, int], int] = {}
+
+    def number(self, trees: list[Tree]) -> None:
+        """Numbers ``trees``, which come with every part behind its whole."""
+        for t in reversed(trees):
+            key = (t.label, t.text if t.text in self.common else None, tuple([c.kind for c in t.children]))
+            t.kind = self.ids.setdefault(key, len(self.ids))
+            if t.kind == len(self.labels):
+                self.labels.append(t.label)
+                self.kids.append(key[2])
+                self.examples.append(t)
+
+    def weight(self, a: int, b: int) -> int:
+        """The size of the largest matching of two subtrees; equal texts count double."""
+        if (a, b) in self.known:
+            return self.known[a, b]
+        need, stack = {(a, b)}, [(a, b)]
+        while stack:
+            x, y = (self.kids[k] for k in stack.pop())
+            if len(x) * len(y) <= TABLE_CELLS:
+                for i in set(x):
+                    for j in set(y):
+                        if self.labels[i] == self.labels[j] and (i, j) not in need and (i, j) not in self.known:
+                            need.add((i, j))
+                            stack.append((i, j))
+        for i, j in sorted(need):
+            self.known[i, j] = self._weigh(i, j)
+        return self.known[a, b]
+
+    def _weigh(self, a: int, b: int) -> int:
+        if self.labels[a] != self.labels[b]:
+            return 0
+        x, y = self.kids[a], self.kids[b]
+        if not x or not y:
+            return 1 + (self.labels[a] == "#" and a == b and self.examples[a].text in self.common)
+        if len(x) * len(y) > TABLE_CELLS:
+            return 1 + _Long(self.examples[a].children, self.examples[b].children, self).best()
+        return 1 + self.table(x, y)[-1][-1]
+
+    def table(self, x: tuple[int, ...], y: tuple[int, ...]) -> list[list[int]]:
+        """The best weight of the first i of x with the first j of y."""
+        rows = [[0] * (len(y) + 1)]
+        known = self.known
+        for i in x:
+            last, row, left = rows[-1], [0], 0
+            weights = {j: known.get((i, j), 0) for j in set(y)}
+            for k, j in enumerate(y):
+                both = last[k] + weights[j]
+                left = max(last[k + 1], left, both)
+                row.append(left)
+            rows.append(row)
+        return rows
+
+
+def weight(a: Tree, b: Tree) -> int:
     """The size of the largest matching of two trees; equal texts count double."""
-    if a.label != b.label:
-        return 0
-    x, y = a.children, b.children
-    if not x or not y:
-        return 1 + (a.label == "#" and a.text == b.text)
-    if len(x) == 1 and len(y) == 1:
-        return 1 + _weights(x[0], y[0], memo)
-    key = (id(a), id(b))
-    if key not in memo:
-        memo[key] = 1 + (_table(x, y, memo)[-1][-1] if len(x) * len(y) <= MAX_CELLS else _Long(x, y, memo).best())
-    return memo[key]
+    x, y = _preorder(a), _preorder(b)
+    kinds = Kinds(_texts(x) & _texts(y))
+    kinds.number(x)
+    kinds.number(y)
+    return kinds.weight(a.kind, b.kind)
 
 
 class _Long:
@@ -118,13 +241,13 @@ class _Long:
     have another text in common; these few are weighed one by one.
     """
 
-    def __init__(self, x: list[Tree], y: list[Tree], memo: dict):
-        self.x, self.y, self.memo = x, y, memo
+    def __init__(self, x: list[Tree], y: list[Tree], kinds: Kinds):
+        self.x, self.y, self.kinds = x, y, kinds
         times = [Counter(t for tree in trees for t in set(self._texts(tree))) for trees in (x, y)]
         common = times[0].keys() & times[1].keys()
         hot = {t for t in common if max(n[t] for n in times) > HOT}
         self.names: dict = {}
-        (self.whole_x, self.kind_x, self.shape_x, has_x), (self.whole_y, kind_y, shape_y, has_y) = (self._kinds(trees, common, hot) for trees in (x, y))
+        (self.whole_x, self.kind_x, self.shape_x, has_x), (self.whole_y, kind_y, shape_y, has_y) = (self._numbers(trees, common, hot) for trees in (x, y))
         places: dict[str, list[int]] = {}
         for j, has in enumerate(has_y):
             for text in has:
@@ -144,7 +267,7 @@ class _Long:
                 yield t.text
             stack += t.children
 
-    def _kinds(self, trees: list[Tree], common: set[str], hot: set[str]) -> tuple[list[int], list[int], list[int], list[set[str]]]:
+    def _numbers(self, trees: list[Tree], common: set[str], hot: set[str]) -> tuple[list[int], list[int], list[int], list[set[str]]]:
         """Numbers of each tree itself, of its kind and of its shape, and its common texts that are not hot."""
         name = lambda *key: self.names.setdefault(key, len(self.names))
         out: tuple = ([], [], [], [])
@@ -169,14 +292,14 @@ class _Long:
     @staticmethod
     def _bare(tree: Tree, hot: set[str], other: str) -> Tree:
         """A copy whose texts that are not hot are ``other``."""
-        top = Tree(tree.label, "", tree.node)
+        top = Tree(tree.label, "", -1)
         stack = [(tree, top)]
         while stack:
             t, copy = stack.pop()
             if t.label == "#":
                 copy.text = t.text if t.text in hot else other
             for child in t.children:
-                copy.children.append(Tree(child.label, "", child.node))
+                copy.children.append(Tree(child.label, "", -1))
                 stack.append((child, copy.children[-1]))
         return top
 
@@ -184,16 +307,16 @@ class _Long:
         """The weights of x[i] with all of y."""
         kind, shape = self.kind_x[i], self.shape_x[i]
         if shape not in self.by_shape:
-            if len(self.by_shape) >= max(1, MAX_CELLS // len(self.shapes_y)):
+            if len(self.by_shape) >= max(1, TABLE_CELLS // len(self.shapes_y)):
                 self.by_shape.clear()
             # A representative's own texts must not count: only shapes are compared.
             bare = self._bare(self.x[i], hot=self.hot, other="\0x")
-            self.by_shape[shape] = np.array([_weights(bare, t, {}) for t in self.shapes_y], np.int64)
+            self.by_shape[shape] = np.array([weight(bare, t) for t in self.shapes_y], np.int64)
         if kind not in self.special:
             found: dict[int, int] = {}
             for j in self.near[kind]:
                 if self.kind_y[j] not in found:
-                    found[self.kind_y[j]] = _weights(self.x[i], self.y[j], self.memo)
+                    found[self.kind_y[j]] = self.kinds.weight(self.x[i].kind, self.y[j].kind)
             self.special[kind] = np.array(self.near[kind], np.int64), np.array([found[self.kind_y[j]] for j in self.near[kind]], np.int64)
         weights = self.by_shape[shape][self.at_y]
         at, values = self.special[kind]
@@ -252,50 +375,23 @@ class _Long:
         return out
 
 
-def _table(x: list[Tree], y: list[Tree], memo: dict) -> list[list[int]]:
-    rows = [[0] * (len(y) + 1)]
-    for i in x:
-        last, row, left = rows[-1], [0], 0
-        for k, j in enumerate(y):
-            best = last[k + 1] if last[k + 1] > left else left
-            if i.label == j.label:
-                with_both = last[k] + _weights(i, j, memo)
-                best = with_both if with_both > best else best
-            row.append(best)
-            left = best
-        rows.append(row)
-    return rows
-
-
 def align(a: Tree, b: Tree) -> list[tuple[Tree, Tree]]:
-    """Pairs of equal texts of two trees under a largest matching, however deep they are."""
-    limit = sys.getrecursionlimit()
-    try:
-        while True:
-            try:
-                return _align(a, b)
-            except RecursionError:
-                sys.setrecursionlimit(sys.getrecursionlimit() * 4)
-    finally:
-        sys.setrecursionlimit(limit)
-
-
-def _align(a: Tree, b: Tree) -> list[tuple[Tree, Tree]]:
-    memo: dict = {}
+    """The pairs of nodes of two trees under a largest matching; the trees' own labels are equal."""
+    x, y = _preorder(a), _preorder(b)
+    kinds = Kinds(_texts(x) & _texts(y))
+    kinds.number(x)
+    kinds.number(y)
     out, stack = [], [(a, b)]
     while stack:
-        p, q = stack.pop()
-        if p.label == "#":
-            if p.text == q.text:
-                out.append((p, q))
-            continue
-        x, y = p.children, q.children
+        out.append(pair := stack.pop())
+        kinds.weight(pair[0].kind, pair[1].kind)  # equal ends of long lists were not weighed yet
+        x, y = pair[0].children, pair[1].children
         if not x or not y:
             continue
-        if len(x) * len(y) > MAX_CELLS:
-            stack += _Long(x, y, memo).pairs()
+        if len(x) * len(y) > TABLE_CELLS:
+            stack += _Long(x, y, kinds).pairs()
             continue
-        rows = _table(x, y, memo)
+        rows = kinds.table([c.kind for c in x], [c.kind for c in y])
         i, j = len(x), len(y)
         while i and j:
             if rows[i][j] == rows[i - 1][j]:
@@ -308,143 +404,261 @@ def _align(a: Tree, b: Tree) -> list[tuple[Tree, Tree]]:
     return out
 
 
-def _dropped(node: Node, in_article: bool) -> bool:
-    """Whether an element is not content by its name, role, class or id."""
-    if node.name in _NEVER or node.name == "header" and not in_article:
-        return True
-    for key, value in node.attrs:
-        if key in ("class", "id"):
-            if (_MARKED.search(value) or not in_article and _HEADER.search(value)) and node.name not in ("article", "main", "body"):
-                return True
-            if node.name == "article" and re.search(r"(?:^|[\s_-])comment", value, re.I):
-                return True
-        elif key == "role" and value.strip().lower() in _ROLES:
-            return True
-        elif key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true" or key == "style" and _HIDDEN.search(value):
-            return True
-    return False
-
-
-def _articles(top: Tree) -> list[Tree]:
-    """The outermost content roots: main elements, else articles, else the body."""
-    mains, articles = [], []
-    stack = list(reversed(top.children))
-    while stack:
-        t = stack.pop()
-        if t.label == "#" or t.node.name in _NEVER or t.label not in ("article", "main") and _dropped(t.node, False) and t.label != "header":
-            continue
-        if t.label == "main" or t.node.attr("role") == "main":
-            mains.append(t)
-        elif t.label == "article" and not _dropped(t.node, True):
-            articles.append(t)
+def _articles(up: list[int], bits: list[int]) -> list[int]:
+    """The outermost main elements, else the outermost articles, outside of what is no content."""
+    shut, found = [False] * len(up), []
+    for i, b in enumerate(bits):
+        shut[i] = i > 0 and (shut[up[i]] or bool(b & (ARTICLE | NEVER)))
+        if b & ARTICLE and not (i and shut[up[i]]):
+            found.append(i)
+    return [i for i in found if bits[i] & MAIN] or found
+
+
+class Wrapper:
+    """What a host's pages have in common: the reference nodes that are content, and the constant texts within."""
+
+    def __init__(self, content: list[int], template: list[int]):
+        self.content, self.template = frozenset(content), frozenset(template)
+
+
+def decide(page: PageTree, n: int, counts: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """The content and the template texts of a reference page, from (node, varying or constant characters, times unchanged) over n pages."""
+    up, bits = page.up, page.bits
+    chars, times = [0] * len(up), [0] * len(up)
+    for node, size, same in counts:
+        chars[node], times[node] = size, same
+    constant = [bool(b & TEXT) and times[i] >= SHARE * n for i, b in enumerate(bits)]
+    held, all_chars = [0 if c else x for c, x in zip(constant, chars, strict=True)], list(chars)
+    for i in range(len(up) - 1, 0, -1):
+        held[up[i]] += held[i]
+        all_chars[up[i]] += all_chars[i]
+    content = [i for i in _articles(up, bits) if held[i]]
+    if not held[0] or sum(held[i] for i in content) < ARTICLE_SHARE * held[0]:
+        content = [max((i for i, b in enumerate(bits) if b & BLOCK and held[i] >= CONTENT_SHARE * held[0]), default=0)] if held[0] else []
+    if sum(held[i] for i in content) * 2 < sum(all_chars[i] for i in content):
+        return content, []
+    # The block of a text is its nearest ancestor that is not part of a line.
+    block = list(range(len(up)))
+    for i in range(1, len(up)):
+        block[i] = block[up[i]] if bits[i] & (TEXT | INLINE | BREAK) else i
+    varies = {block[i] for i, b in enumerate(bits) if b & TEXT and page.texts[i] != " " and not constant[i]} | {block[i] for i, x in enumerate(held) if chars[i] and not bits[i] & TEXT}
+    return content, [i for i, c in enumerate(constant) if c and block[i] not in varies and not bits[block[i]] & HEADING and block[i] not in content]
+
+
+def main_text(up: list[int], bits: list[int], texts: list[str | None], ref: list[int] | None, wrapper: Wrapper | None) -> tuple[str, int]:
+    """The main text of a page, and how many template texts it leaves out."""
+    roots: set[int] = set()
+    if wrapper is not None and ref:
+        roots = {i for i, r in enumerate(ref) if r in wrapper.content}
+        if any(bits[i] & ARTICLE for i in roots):
+            roots |= {i for i in _articles(up, bits) if ref[i] < 0}
+    template = wrapper.template if roots else frozenset()
+    roots = roots or set(_articles(up, bits)) or {0}
+    no_content = NEVER if all(bits[i] & ARTICLE for i in roots) else NEVER | OUTSIDE
+    parts: list[str] = []
+    state = [0] * len(up)  # 0 outside of the content, 1 within, 2 left out
+    opened: list[int] = []
+    n_template = 0
+    for i, b in enumerate(bits):
+        while opened and opened[-1] != up[i]:
+            if not bits[opened.pop()] & INLINE:
+                parts.append(" ")
+        above = state[up[i]] if i else 0
+        state[i] = 1 if i in roots and above != 2 else 2 if above == 1 and b & no_content else above
+        if b & TEXT:
+            if state[i] == 1:
+                if ref and ref[i] in template:
+                    n_template += 1
+                    parts.append(" ")
+                else:
+                    parts.append(texts[i])
         else:
-            stack += reversed(t.children)
-    return mains or articles or [top]
+            opened.append(i)
+            if not b & INLINE:
+                parts.append(" ")
+    return " ".join("".join(parts).split()), n_template
+
+
+def _counts(page: PageTree, ref: list[int]) -> dict[int, list[int]]:
+    """For each reference node the page's characters outside of links that are counted there, and 1 if it is an unchanged text."""
+    out: dict[int, list[int]] = {}
+    at, shut = list(ref), [False] * len(ref)
+    for i, b in enumerate(page.bits):
+        above = page.up[i]
+        if i:
+            shut[i] = shut[above] or bool(b & (NEVER | LINK))
+            at[i] = ref[i] if ref[i] >= 0 else at[above]
+        if b & TEXT and page.texts[i] != " ":
+            found = out.setdefault(at[i], [0, 0])
+            if not shut[i]:
+                found[0] += len(page.trees[i].text)
+    return out
 
 
-def main_text(top: Tree, template: set[int]) -> str:
-    """The text of the content roots without dropped regions and template texts (by number)."""
-    parts: list[str] = []
-    roots = _articles(top)
-    stack: list = list(reversed(roots))
-    inside = roots != [top]
-    while stack:
-        t = stack.pop()
-        if t is None:
-            parts.append(" ")
-        elif t.label == "#":
-            parts.append(" " if t.number in template else t.node.text)
-        elif t.label == "br":
-            parts.append(" ")
-        elif t in roots or not _dropped(t.node, inside):
-            if t.label not in _INLINE:
-                parts.append(" ")
-                stack.append(None)
-            stack += reversed(t.children)
-        elif t.label not in _INLINE:
-            parts.append(" ")
-    return " ".join("".join(parts).split())
+_ALIGNED = "hash long, up array<int>, bits array<int>, texts array<string>, ref array<int>, counts array<struct<node:int,chars:int,same:int>>"
+_COUNTS = pa.list_(pa.struct([("node", pa.int32()), ("chars", pa.int32()), ("same", pa.int32())]))
 
 
 class _References:
     """Parsed reference pages by host, the last few of them."""
 
     def __init__(self):
-        self.known: dict[str, tuple[str, Tree]] = {}
+        self.known: dict[str, PageTree] = {}
 
-    def __call__(self, host: str, html: str) -> Tree:
-        have = self.known.get(host)
-        if have is None or have[0] != html:
+    def __call__(self, host: str, html: str) -> PageTree:
+        if host not in self.known:
             if len(self.known) >= _CACHE:
                 self.known.clear()
-            have = self.known[host] = html, tree_of(html)
-        return have[1]
+            self.known[host] = PageTree(html)
+        return self.known[host]
+
+
+def _aligned(batch: pa.RecordBatch, rows: list[int], reference: Callable[[str | None], PageTree | None]) -> pa.RecordBatch:
+    """The pages of these rows as trees, each node with the reference node it is mapped to."""
+    out: dict[str, list] = {c: [] for c in ("up", "bits", "texts", "ref", "counts")}
+    hosts, pages = batch.column("host").to_pylist(), batch.column("html").to_pylist()
+    for k in rows:
+        page, against = PageTree(pages[k]), reference(hosts[k])
+        ref, counts = [], []
+        if against is not None:
+            ref, same = [-1] * len(page.up), []
+            for r, p in align(against.top, page.top):
+                ref[p.number] = r.number
+                if r.label == "#" and r.text == p.text:
+                    same.append(r.number)
+            told = _counts(page, ref)
+            for number in same:
+                told.setdefault(number, [0, 0])[1] = 1
+            counts = [{"node": node, "chars": chars, "same": n} for node, (chars, n) in told.items()]
+        for name, value in zip(out, (page.up, page.bits, page.texts, ref, counts), strict=True):
+            out[name].append(value)
+    kinds = (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32()), _COUNTS)
+    made = [pa.array(out[name], kind) for name, kind in zip(out, kinds, strict=True)]
+    keep = ["own", "page_id", "url", "host", "hash"]
+    return pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows, pa.int64())) for c in keep), *made], [*keep, *out])
+
+
+def _align_known(sent):
+    """References are known to every task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, cache = sent.value, _References()
+        for batch in batches:
+            yield _aligned(batch, list(range(batch.num_rows)), lambda host: cache(host, known[host]) if host in known else None)
+
+    return run
+
 
+def _align_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """References come as the first row of their group."""
+    group, reference = None, None
+    for batch in batches:
+        hosts, firsts, salts = (batch.column(c).to_pylist() for c in ("host", "first", "salt"))
+        at = 0
+        while at < batch.num_rows:
+            if (hosts[at], salts[at]) != group:
+                group, reference = (hosts[at], salts[at]), None
+            if firsts[at]:
+                reference, at = PageTree(batch.column("html")[at].as_py()), at + 1
+                continue
+            to = at + 1
+            while to < batch.num_rows and not firsts[to] and (hosts[to], salts[to]) == group:
+                to += 1
+            yield _aligned(batch, list(range(at, to)), lambda _, known=reference: known)
+            at = to
+
+
+def _host(url) -> F.Column:
+    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+
+
+def references(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, html): a reference page of each host with enough different pages."""
+    rows = pages.select(_host("url").alias("host"), F.col("page_id").cast("long").alias("id"), F.xxhash64("html").alias("hash"), "html").filter((F.length("html") > 0) & (F.length("host") > 0))
+    hosts = rows.groupBy("host", "hash").agg(F.min("id").alias("id")).groupBy("host").agg(F.count("*").alias("n"), F.min(F.struct("id", "hash")).alias("x"))
+    hosts = stash(hosts.filter(F.col("n") >= min_pages).select("host", F.col("x.hash").alias("hash")), "hosts")
+    chosen = rows.join(F.broadcast(hosts) if hosts.count() <= BROADCAST_BYTES // 64 else hosts, ["host", "hash"], "left_semi")
+    return stash(chosen.dropDuplicates(["host"]).select("host", "html"), "references")
 
-def _constants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The numbers of the reference texts that each page has unchanged."""
-    reference = _References()
+
+def align_pages(pages: DataFrame, refs: DataFrame) -> DataFrame:
+    """Packed ``pages`` as trees, each node with the number of the reference node of its host that it is mapped to."""
+    packed = pack(pages, "page_id", "url", "html").withColumns({"host": _host("url"), "hash": F.xxhash64("html")})
+    schema = T.StructType([*packed.schema.fields[:3], T.StructField("host", T.StringType()), *T._parse_datatype_string(_ALIGNED).fields])
+    if (refs.agg(F.sum(F.octet_length("html") + F.octet_length("host"))).first()[0] or 0) <= BROADCAST_BYTES:
+        sent = pages.sparkSession.sparkContext.broadcast({r.host: r.html for r in refs.collect()})
+        return packed.mapInArrow(_align_known(sent), schema)
+    salted = packed.withColumns({"salt": F.pmod("hash", F.lit(SALTS)).cast("int"), "first": F.lit(False)})
+    firsts = refs.withColumns({"salt": F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))), "first": F.lit(True)})
+    met = firsts.unionByName(salted, allowMissingColumns=True).repartition("host", "salt").sortWithinPartitions("host", "salt", F.desc("first"))
+    return met.mapInArrow(_align_met, schema)
+
+
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        same = []
-        for host, html, ref in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "ref_html")), strict=True):
-            same.append([r.number for r, p in align(reference(host, ref), tree_of(html)) if r.text == p.text])
-        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page"), pa.array(same, pa.list_(pa.int32()))], ["host", "page", "same"])
+        content, template = [], []
+        for html, n, counts in zip(*(batch.column(c).to_pylist() for c in ("html", "n", "counts")), strict=True):
+            for out, found in zip((content, template), decide(PageTree(html), n, [(c["node"], c["chars"], c["same"]) for c in counts]), strict=True):
+                out.append(found)
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("n"), *(pa.array(x, pa.list_(pa.int32())) for x in (content, template))], ["host", "n_pages", "content", "template"])
+
 
+def induce_wrappers(aligned: DataFrame, refs: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, n_pages, content, template): for each host the reference nodes that are content, and the constant texts that are not."""
+    different = aligned.filter(F.size("ref") > 0).groupBy("host", F.xxhash64("texts").alias("page")).agg(F.min("counts").alias("counts"))
+    different = stash(different, "counts")
+    n = different.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    node = different.select("host", F.explode("counts").alias("c")).groupBy("host", "c.node").agg(F.sum("c.chars").alias("chars"), F.sum("c.same").alias("same"))
+    per_host = node.groupBy("host").agg(F.collect_list(F.struct("node", "chars", "same")).alias("counts"))
+    return refs.join(n, "host").join(per_host, "host").mapInArrow(_decide, "host string, n_pages long, content array<int>, template array<int>")
 
-def _extract(columns: list[str]):
+
+def _extract(broadcast=None):
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reference = _References()
+        told = broadcast.value if broadcast is not None else None
+        wrappers: dict[str, Wrapper] = {}
         for batch in batches:
-            texts, counts = [], []
-            for host, html, ref, numbers in zip(*(batch.column(c).to_pylist() for c in ("_host", "html", "_ref", "_template")), strict=True):
-                tree, template = tree_of(html), set()
-                if numbers:
-                    constant = set(numbers)
-                    template = {p.number for r, p in align(reference(host, ref), tree) if r.number in constant and r.text == p.text}
-                texts.append(main_text(tree, template))
-                counts.append(len(template))
-            new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64()), "n_template": pa.array(counts, pa.int64())}
-            yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in columns], columns)
+            found = []
+            columns = [batch.column(c).to_pylist() for c in ("host", "up", "bits", "texts", "ref")]
+            joined = zip(batch.column("content").to_pylist(), batch.column("template").to_pylist(), strict=True) if told is None else [told.get(h) for h in columns[0]]
+            for (host, *page), wrapper in zip(zip(*columns, strict=True), joined, strict=True):
+                if told is None:
+                    made = Wrapper(*wrapper) if wrapper[0] else None
+                else:
+                    if wrapper and wrapper[0] and host not in wrappers:
+                        wrappers[host] = Wrapper(*wrapper)
+                    made = wrappers.get(host)
+                found.append(main_text(*page, made))
+            keep = ["own", "page_id", "url"]
+            new = [pa.array([t for t, _ in found], pa.string()), pa.array([len(t) for t, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *new], [*keep, "text", "n_chars", "n_template"])
 
     return extract
 
 
-def _host(url) -> F.Column:
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+def extract(aligned: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """(own, page_id, url, text, n_chars, n_template): the main text of each aligned page, and how many template texts it left out."""
+    schema = T.StructType([*aligned.schema.fields[:3], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_template", T.LongType())])
+    size = wrappers.agg(F.sum(F.octet_length("host") + 4 * F.size("content") + 4 * F.size("template"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        sent = aligned.sparkSession.sparkContext.broadcast({r.host: (r.content, r.template) for r in wrappers.collect()})
+        return aligned.mapInArrow(_extract(sent), schema)
+    return aligned.join(wrappers.select("host", "content", "template"), "host", "left").mapInArrow(_extract(), schema)
 
 
-def induce_wrappers(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """(host, ref_html, template): a reference page of each host with enough pages, and the numbers of its constant texts."""
-    rows = pages.select(_host("url").alias("host"), F.col("page_id").alias("id"), F.xxhash64("html").alias("page"), "html").filter(F.length("html") > 0).filter(F.length("host") > 0)
-    hosts = rows.groupBy("host", "page").agg(F.min("id").alias("id")).groupBy("host").agg(F.count("*").alias("n"), F.min(F.struct("id", "page")).alias("x"))
-    hosts = stash(hosts.filter(F.col("n") >= min_pages).select(F.col("host").alias("of"), "n", F.col("x.id").alias("ref_id"), F.col("x.page").alias("ref_page")), "hosts")
-    chosen = rows.join(F.broadcast(hosts) if hosts.count() <= BROADCAST_BYTES // 64 else hosts, (F.col("host") == F.col("of")) & (F.col("page") == F.col("ref_page")) & F.col("id").eqNullSafe(F.col("ref_id")))
-    refs = stash(chosen.dropDuplicates(["host"]).select("host", "n", F.col("html").alias("ref_html")), "references")
-    size = refs.agg(F.sum(F.length("ref_html"))).first()[0] or 0
-    met = rows.join(F.broadcast(refs) if size <= BROADCAST_BYTES else refs, "host").select("host", "page", "html", "ref_html")
-    same = met.mapInArrow(_constants, "host string, page long, same array<int>").groupBy("host", "page").agg(F.first("same").alias("same"))
-    counts = same.select("host", F.explode("same").alias("number")).groupBy("host", "number").agg(F.count("*").alias("times"))
-    constant = counts.join(refs.select("host", "n"), "host").filter(F.col("times") >= F.lit(share) * F.col("n"))
-    template = constant.groupBy("host").agg(F.sort_array(F.collect_list("number")).alias("template"))
-    return refs.join(template, "host").select("host", "ref_html", "template")
-
-
-def extract(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
-    """``pages`` with text (the main text), n_chars and n_template (template texts left out)."""
-    pages = pages.drop("text", "n_chars", "n_template", "_host", "_ref", "_template")
-    size = wrappers.agg(F.sum(F.length("ref_html"))).first()[0] or 0
-    known = wrappers.select(F.col("host").alias("_of"), F.col("ref_html").alias("_ref"), F.col("template").alias("_template"))
-    rows = pages.withColumn("_host", _host("url"))
-    rows = rows.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, F.col("_host") == F.col("_of"), "left").drop("_of")
-    columns = [*pages.columns, "text", "n_chars", "n_template"]
-    schema = T.StructType([*pages.schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_template", T.LongType())])
-    return rows.mapInArrow(_extract(columns), schema)
+def main_texts(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """``pages`` without html, and with text, n_chars and n_template."""
+    refs = references(pages, min_pages)
+    aligned = stash(align_pages(pages, refs), "aligned")
+    wrappers = stash(induce_wrappers(aligned, refs, min_pages), "wrappers")
+    made = extract(aligned, wrappers)
+    columns = [c for c in pages.columns if c.lower() != "html"]
+    return unpack(made, columns, "page_id", "url", text=F.col("text"), n_chars=F.col("n_chars"), n_template=F.col("n_template"))
 
 
 def op2_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
-    wrappers = stash(induce_wrappers(pages), "wrappers")
-    return extract(pages, wrappers).select("page_id", "url", "text", "n_chars")
+    return main_texts(pages).select("page_id", "url", "text", "n_chars")
 
 
 SQL = r"""
