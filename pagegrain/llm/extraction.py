@@ -244,10 +244,10 @@ class _Long:
     def __init__(self, x: list[Tree], y: list[Tree], kinds: Kinds):
         self.x, self.y, self.kinds = x, y, kinds
         times = [Counter(t for tree in trees for t in set(self._texts(tree))) for trees in (x, y)]
-        common = times[0].keys() & times[1].keys()
+        common = times[0].keys() & times[1].keys() & kinds.common
         hot = {t for t in common if max(n[t] for n in times) > HOT}
         self.names: dict = {}
-        (self.whole_x, self.kind_x, self.shape_x, has_x), (self.whole_y, kind_y, shape_y, has_y) = (self._numbers(trees, common, hot) for trees in (x, y))
+        (self.kind_x, self.shape_x, has_x), (kind_y, shape_y, has_y) = (self._numbers(trees, common, hot) for trees in (x, y))
         places: dict[str, list[int]] = {}
         for j, has in enumerate(has_y):
             for text in has:
@@ -267,12 +267,12 @@ class _Long:
                 yield t.text
             stack += t.children
 
-    def _numbers(self, trees: list[Tree], common: set[str], hot: set[str]) -> tuple[list[int], list[int], list[int], list[set[str]]]:
-        """Numbers of each tree itself, of its kind and of its shape, and its common texts that are not hot."""
+    def _numbers(self, trees: list[Tree], common: set[str], hot: set[str]) -> tuple[list[int], list[int], list[set[str]]]:
+        """Numbers of each tree's kind and of its shape, and its common texts that are not hot."""
         name = lambda *key: self.names.setdefault(key, len(self.names))
-        out: tuple = ([], [], [], [])
+        out: tuple = ([], [], [])
         for t in trees:
-            done: dict[int, tuple[int, int, int]] = {}
+            done: dict[int, tuple[int, int]] = {}
             stack, has = [(t, False)], set()
             while stack:
                 n, below = stack.pop()
@@ -283,8 +283,8 @@ class _Long:
                 if n.label == "#" and n.text in common and n.text not in hot:
                     has.add(n.text)
                 kids = [done[id(c)] for c in n.children]
-                texts = (n.text, n.text if n.text in common else None, n.text if n.text in hot else None)
-                done[id(n)] = tuple(name(n.label, texts[k], *(c[k] for c in kids)) for k in range(3))
+                texts = (n.text if n.text in common else None, n.text if n.text in hot else None)
+                done[id(n)] = tuple(name(n.label, texts[k], *(c[k] for c in kids)) for k in range(2))
             for found, value in zip(out, (*done[id(t)], has), strict=True):
                 found.append(value)
         return out
@@ -333,27 +333,20 @@ class _Long:
         return last
 
     def ends(self) -> tuple[int, int]:
-        """How many trees are equal at the start and then at the end. No tree weighs more with another than with an equal one."""
+        """How many trees are of equal kinds at the start and then at the end. No tree weighs more with another than with one of its kind."""
         n, head, tail = min(len(self.x), len(self.y)), 0, 0
-        while head < n and self.whole_x[head] == self.whole_y[head]:
+        while head < n and self.x[head].kind == self.y[head].kind:
             head += 1
-        while tail < n - head and self.whole_x[-1 - tail] == self.whole_y[-1 - tail]:
+        while tail < n - head and self.x[-1 - tail].kind == self.y[-1 - tail].kind:
             tail += 1
         return head, tail
 
     def best(self) -> int:
         head, tail = self.ends()
         same = [*range(head), *range(len(self.x) - tail, len(self.x))]
-        total = sum(2 if t.label == "#" else 1 for i in same for t in self._nodes(self.x[i]))
+        total = sum(2 if t.label == "#" and t.text in self.kinds.common else 1 for i in same for t in _preorder(self.x[i]))
         return total + int(self.scores(range(head, len(self.x) - tail), head, len(self.y) - tail)[-1])
 
-    @staticmethod
-    def _nodes(tree: Tree) -> Iterator[Tree]:
-        stack = [tree]
-        while stack:
-            yield (t := stack.pop())
-            stack += t.children
-
     def pairs(self) -> list[tuple[Tree, Tree]]:
         head, tail = self.ends()
         nx, ny = len(self.x), len(self.y)
