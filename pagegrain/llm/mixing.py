@@ -11,7 +11,8 @@ A rate over ``PIECE`` is drawn as a sum of independent pieces, so that exp(-rate
 Cases: a null source is a source of its own. A null text is replicated like any other; a null doc_id
 draws by its text. Repeated rows get equal numbers of copies. A source without a weight, or with
 weight zero, is left out (that is its target). An empty table, or weights of zero for all sources,
-gives no rows. ``copy`` and ``mix_key`` replace columns of that name; all others pass through.
+gives no rows. ``copy`` and ``mix_key`` replace columns of that name; all others pass through under any
+name. Rows without doc_id that share their text draw alike and share their keys.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagegrain.llm.columns import quoted, unpack
 from pagegrain.storage import stash
 
 ALPHA = 0.5
@@ -65,22 +67,23 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, total: int | None = None, seed: int = 0) -> DataFrame:
     """The documents of the mixture, each as often as drawn, with ``copy`` (from 0) and ``mix_key``, in random order."""
-    docs = docs.drop("copy", "mix_key")
-    per = stash(rates(docs, weights, alpha, total), "rates").withColumnRenamed("source", "_source")
+    columns = [c for c in docs.columns if c.lower() not in ("copy", "mix_key")]
+    per = stash(rates(docs, weights, alpha, total), "rates")
     if per.count() <= BROADCAST_SOURCES:
         per = F.broadcast(per)
-    rows = docs.join(per, docs["source"].eqNullSafe(F.col("_source")))
     who = F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit(""))
+    u = uniform(F.lit(str(seed)), F.lit("0"), who)
+    rows = docs.select(F.struct(*map(quoted, columns)).alias("own"), F.col("source").alias("of"), who.alias("who"), u.alias("u"))
+    rows = rows.join(per, F.col("of").eqNullSafe(F.col("source")))
     drawn = F.aggregate(
         F.sequence(F.lit(0), F.col("pieces") - 1), F.lit(0),
-        lambda a, j: a + F.size(F.filter("cdf", lambda c: c <= uniform(F.lit(str(seed)), j.cast("string"), who))),
+        lambda a, j: a + F.size(F.filter("cdf", lambda c: c <= uniform(F.lit(str(seed)), j.cast("string"), F.col("who")))),
     )
-    drawn = F.when(F.col("pieces") == 1, F.size(F.filter("cdf", lambda c: c <= F.col("_u")))).otherwise(drawn)
-    rows = rows.withColumn("_u", uniform(F.lit(str(seed)), F.lit("0"), who)).withColumn("_n", drawn).filter("_n > 0")
-    rows = rows.select(*docs.columns, who.alias("_who"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy"))
-    key = random_bits(F.lit(str(seed)), F.lit("order"), F.col("copy").cast("string"), F.col("_who"))
-    rows = rows.withColumn("mix_key", key).drop("_who")
-    return rows.repartition("mix_key").sortWithinPartitions("mix_key")
+    drawn = F.when(F.col("pieces") == 1, F.size(F.filter("cdf", lambda c: c <= F.col("u")))).otherwise(drawn)
+    rows = rows.withColumn("n", drawn).filter("n > 0").select("own", "who", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
+    key = random_bits(F.lit(str(seed)), F.lit("order"), F.col("copy").cast("string"), F.col("who"))
+    rows = rows.select("own", "copy", key.alias("mix_key")).repartition("mix_key").sortWithinPartitions("mix_key")
+    return unpack(rows, columns, copy=F.col("copy"), mix_key=F.col("mix_key"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

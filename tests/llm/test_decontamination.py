@@ -30,12 +30,12 @@ def brute(docs, items, n=10):
 ITEMS = [(10, "One two, three four five six seven eight nine ten eleven"), (2, "Same WORDS here!"), (3, None), (4, ""), (2, "Same WORDS here!"), (None, "漢字"), (5, "same words")]
 
 
-@pytest.mark.parametrize("block", [1 << 20, 8])
-def test_equals_brute_force(spark, docs_of, block):
+@pytest.mark.parametrize("most", [1 << 20, 8])
+def test_equals_brute_force(spark, docs_of, most):
     docs = [*EDGE, (20, "zero one two three-four FIVE six seven eight nine ten eleven twelve"), (21, "one two three four five six seven eight nine"), (22, "eleven ten one two three four five six seven eight nine ten")]
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    hits = d.find_hits(docs_of(docs, CLASHING).select("doc_id", "text"), bench, block_bytes=block).collect()
-    got = sorted((r.doc_id or -1, r._hits.n_words, sum(s.end - s.start for s in r._hits.hit_words), ",".join(sorted(map(str, r._hits["items"])))) for r in hits)
+    hits = d.find_hits(docs_of(docs, CLASHING).select("doc_id", "text"), bench, broadcast_bytes=most).collect()
+    got = sorted((r.doc_id or -1, r.hits.n_words, sum(s.end - s.start for s in r.hits.hit_words), ",".join(sorted(map(str, r.hits["items"])))) for r in hits)
     assert got == brute(docs, ITEMS)
 
 
@@ -43,9 +43,25 @@ def test_removal(spark, docs_of):
     bench = spark.createDataFrame([(1, "same words here")], "item_id long, text string")
     docs = docs_of([*EDGE, (9, "keep, Same--words here; this")], CLASHING)
     kept = d.decontaminate(docs, bench)
-    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 2, 3, 5, 6] and kept.columns == [c for c in docs.columns if c != "_hits"]
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 2, 3, 5, 6] and kept.columns == docs.columns
     cut = {r.doc_id: r.text for r in d.decontaminate(docs, bench, "spans").collect()}
     assert cut[9] == "keep, ; this" and cut[4] == "again" and cut[1] is None and cut[6] == EDGE[7][1]
     assert d.contamination(docs, bench.limit(0)).filter("contaminated").count() == 0 and d.contamination(docs.limit(0), bench).count() == 0
     with pytest.raises(ValueError):
         d.decontaminate(docs, bench, "nothing")
+
+
+def test_every_internal_name_passes_through(spark, docs_of):
+    bench = spark.createDataFrame([("q1", "same words here"), ("q2", "same words here"), (None, "漢字")], "item_id string, text string")
+    names = ["own", "hits", "_hits", "id", "text_hash", "spans", "items", "size", "hash", "windows", "Near", "k"]
+    docs = docs_of(EDGE, [(c, f"mine {c}") for c in names])
+    for most in (1 << 20, 0):
+        for out in (d.decontaminate(docs, bench, broadcast_bytes=most), d.decontaminate(docs, bench, "spans", broadcast_bytes=most)):
+            assert out.columns == docs.columns and all(r[c] == f"mine {c}" for r in out.collect() for c in names)
+        got = {r.doc_id: r.n_items for r in d.contamination(docs, bench, broadcast_bytes=most).collect()}
+        assert got[4] == 2 and got[6] == 0 and got[1] == 0
+
+
+def test_many_items_may_share_a_window():
+    table = d.WindowSet([(str(k), "the very same question is asked by each of these items") for k in range(16_000)], 10)
+    assert [len(o) for o in table.tables[10][2]] == [16_000, 16_000]

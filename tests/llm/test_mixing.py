@@ -36,3 +36,10 @@ def test_edges(docs_of, spark):
     same = out.filter("doc_id = 4").groupBy("copy").count().collect()
     assert all(r["count"] == 2 for r in same)
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mix(docs, {}).count() == 0 and mixing.mix(docs, {"other": 1.0}).count() == 0
+
+
+def test_every_internal_name_passes_through(docs_of):
+    names = ["own", "rate", "pieces", "cdf", "_source", "_who", "_u", "_n", "u", "n", "who", "of", "w", "P", "c"]
+    plain = {(r.doc_id, r.copy, r.mix_key) for r in mixing.mix(docs_of([(d, "t") for d in range(50)])).collect()}
+    out = mixing.mix(docs_of([(d, "t") for d in range(50)], [(c, f"mine {c}") for c in names])).collect()
+    assert {(r.doc_id, r.copy, r.mix_key) for r in out} == plain and all(r[c] == f"mine {c}" for r in out for c in names)
