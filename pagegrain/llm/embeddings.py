@@ -1,11 +1,12 @@
 """Operator 9: near-duplicate embeddings by int8 tile products with rigorous error bounds.
 
-Equal vectors are one class with a multiplicity. Classes are dealt to cells (nearest of a bounded
-number of pivots) and cells to blocks of about ``BLOCK`` classes. Two blocks meet in a tile only if a
-link between them is possible: by the triangle inequality on angles, a vector goes to the tiles of a
-cell only if its angle to the pivot is at most the cell's radius plus the threshold's angle. So every
-pair that can link meets in exactly one tile, and on clustered data most tiles never exist; on data
-without any structure the tiles are those of all pairs, as an exact join of that kind must be.
+Equal vectors are one class with a multiplicity. Classes are dealt to cells (nearest of some four times the
+root of their number of pivots, so cells grow with the rows) and neighbouring cells to blocks of about
+``BLOCK`` classes; a larger cell is several blocks. Two blocks meet in a tile only where a link between them
+is possible: by the triangle inequality on angles, a vector goes to the tiles of a cell only if its angle to
+the pivot is at most the cell's radius plus the threshold's angle. So every pair that can link meets in
+exactly one tile, and on clustered data a vector goes to a few tiles, however many there are; on data
+without any structure the tiles are those of all pairs of blocks, as an exact join of that kind must be.
 
 In a tile each unit vector u is held as s * q with q in int8, and e = |u - s q| is computed. The
 product of two differs from the true cosine by at most e_u + (1 + e_u) e_v. Integer products are exact
@@ -15,7 +16,7 @@ A tile returns a degree and one link of a spanning forest for each class, never
 
 Cases: a vec_id that is null, and a vector that is null, empty or zero or holds null or non-finite
 components, links with nothing: n_links 0, component_id its own vec_id, kept if that is not null.
-Vectors of different lengths do not link. Equal vectors link with each other. Rows that share a
+Vectors of different lengths do not link; lengths of up to ``BLOCK`` classes share one job, a tile each. Equal vectors link with each other. Rows that share a
 vec_id but not a vector are one vector in several places: their links add. An empty table gives no rows.
 Other columns, labels too, are ignored.
 """
@@ -33,8 +34,9 @@ from pagegrain.llm.components import connected_components
 from pagegrain.storage import stash
 
 THRESHOLD = 0.9
-BLOCK = 4096
-MAX_CELLS = 512
+BLOCK = 16_384
+PIVOTS_PER_ROOT = 4
+PIVOT_BYTES = 32 << 20
 _SUB = 1024
 _EXACT_DIMS = 1000
 
@@ -62,17 +64,23 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def close_pairs(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) of rows of a and b (not zero, finite) with cosine >= threshold in double precision."""
-    norm_a, norm_b = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-    (qa, sa, ea), (qb, sb, eb) = quantise(a / norm_a[:, None]), quantise(b / norm_b[:, None])
-    # In float32 the scaling itself is off by some units in the last place of a number of at most 1.
-    least = (threshold - ea - (1 + ea) * eb.max() - 1e-5) / sa
-    i, j = np.nonzero(_products(qa, qb) * sb.astype(np.float32)[None, :] >= least.astype(np.float32)[:, None])
-    sure = sa[i] * sb[j] * np.einsum("nd,nd->n", qa[i].astype(np.int32), qb[j].astype(np.int32)) + ea[i] + (1 + ea[i]) * eb[j] >= threshold
-    i, j = i[sure], j[sure]
-    cosine = np.einsum("nd,nd->n", a[i], b[j]) / (norm_a[i] * norm_b[j])
-    return i[cosine >= threshold], j[cosine >= threshold]
+class Quantised:
+    """Vectors (not zero, finite) of one length with their int8 forms."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.norm = x, np.linalg.norm(x, axis=1)
+        self.q, self.s, self.e = quantise(x / self.norm[:, None])
+
+    def close_pairs(self, rows: np.ndarray, other: Quantised, columns: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """(i, j) of these rows and of the other's columns with cosine >= threshold in double precision."""
+        sa, ea, sb, eb = self.s[rows], self.e[rows], other.s[columns], other.e[columns]
+        # In float32 the scaling itself is off by some units in the last place of a number of at most 1.
+        least = (threshold - ea - (1 + ea) * eb.max() - 1e-5) / sa
+        i, j = np.nonzero(_products(self.q[rows], other.q[columns]) * sb.astype(np.float32)[None, :] >= least.astype(np.float32)[:, None])
+        sure = sa[i] * sb[j] * np.einsum("nd,nd->n", self.q[rows[i]].astype(np.int32), other.q[columns[j]].astype(np.int32)) + ea[i] + (1 + ea[i]) * eb[j] >= threshold
+        i, j = rows[i[sure]], columns[j[sure]]
+        cosine = np.einsum("nd,nd->n", self.x[i], other.x[j]) / (self.norm[i] * other.norm[j])
+        return i[cosine >= threshold], j[cosine >= threshold]
 
 
 class _Forest:
@@ -97,19 +105,17 @@ def _tile(threshold: float):
     def links(table: pa.Table) -> pa.Table:
         table = table.sort_by("u")
         blocks = table.column("block").to_numpy()
-        x, times = _matrix(table.column("embedding")), table.column("times").to_numpy()
+        x, times = Quantised(_matrix(table.column("embedding"))), table.column("times").to_numpy()
         own = int(blocks.min())
-        same = bool((blocks == own).all()) and table.column("a")[0].as_py() == table.column("b")[0].as_py()
-        left = np.flatnonzero(blocks == own) if not same else np.arange(len(x))
+        same = table.column("a")[0].as_py() == table.column("b")[0].as_py()
+        left = np.flatnonzero(blocks == own) if not same else np.arange(len(blocks))
         right = left if same else np.flatnonzero(blocks != own)
-        degree, forest = np.zeros(len(x), np.int64), _Forest(len(x))
+        degree, forest = np.zeros(len(blocks), np.int64), _Forest(len(blocks))
         for p in range(0, len(left), _SUB):
             for q in range(p if same else 0, len(right), _SUB):
-                rows, columns = left[p : p + _SUB], right[q : q + _SUB]
-                i, j = close_pairs(x[rows], x[columns], threshold)
+                i, j = x.close_pairs(left[p : p + _SUB], x, right[q : q + _SUB], threshold)
                 if same and p == q:
                     i, j = i[i < j], j[i < j]
-                i, j = rows[i], columns[j]
                 np.add.at(degree, i, times[j])
                 np.add.at(degree, j, times[i])
                 forest.join(i, j)
@@ -120,39 +126,60 @@ def _tile(threshold: float):
     return links
 
 
+def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ pivots.T / np.linalg.norm(x, axis=1)[:, None], -1, 1))
+
+
 def _assign(pivots: np.ndarray):
     """Cell and angle of each class; the pivots have its length."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = _matrix(batch.column("embedding"))
-                cos = np.clip(x @ pivots.T / np.linalg.norm(x, axis=1)[:, None], -1, 1)
-                cell = cos.argmax(axis=1)
-                angle = np.arccos(cos[np.arange(len(x)), cell])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(angle)], [*batch.schema.names, "cell", "angle"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, _SUB):
+                batch = whole.slice(at, _SUB)
+                angle = _angles(_matrix(batch.column("embedding")), pivots)
+                cell = angle.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(angle[np.arange(len(cell)), cell])], [*batch.schema.names, "cell", "angle"])
 
     return assign
 
 
-def _deal(pivots: np.ndarray, radius: np.ndarray, first: np.ndarray, threshold: float):
-    """Each class once for each tile in which it may find a link; cell c has the blocks first[c] to first[c + 1] - 1."""
+class Blocks:
+    """Which blocks each cell's classes lie in: a run of small neighbouring cells shares one, a large cell has several."""
+
+    def __init__(self, sizes: np.ndarray, block: int):
+        self.first, self.count = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // block))
+        n, held = 0, 0
+        for c, size in enumerate(sizes.tolist()):
+            if held and held + size > block:
+                n, held = n + 1, 0
+            self.first[c] = n
+            if size > block:
+                n, held = n + self.count[c], 0
+            else:
+                held += size
+        self.total = int(n + (held > 0))
+
+
+def _deal(pivots: np.ndarray, radius: np.ndarray, blocks: Blocks, threshold: float):
+    """Each class once for each tile in which it may find a link."""
     reach = np.arccos(min(1.0, threshold)) + radius + 1e-6
+    last = blocks.first + blocks.count - 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                x = _matrix(batch.column("embedding"))
-                angle = np.arccos(np.clip(x @ pivots.T / np.linalg.norm(x, axis=1)[:, None], -1, 1))
+                near = _angles(_matrix(batch.column("embedding")), pivots) <= reach[None, :]
                 cell = batch.column("cell").to_numpy()
-                block = first[cell] + batch.column("draw").to_numpy() % np.diff(first)[cell]
-                near = angle <= reach[None, :]
-                near[np.arange(len(x)), cell] = True
+                near[np.arange(len(cell)), cell] = True
+                block = blocks.first[cell] + batch.column("draw").to_numpy() % blocks.count[cell]
+                # +1 where a near cell's blocks begin, -1 behind their end: the running sum is over 0 in blocks to meet.
+                edges = np.zeros((len(cell), blocks.total + 1), np.int32)
                 i, c = np.nonzero(near)
-                times = np.diff(first)[c]
-                row = np.repeat(i, times)
-                other = np.repeat(first[c], times) + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                np.add.at(edges, (i, blocks.first[c]), 1)
+                np.add.at(edges, (i, last[c] + 1), -1)
+                row, other = np.nonzero(np.cumsum(edges, axis=1)[:, :-1] > 0)
                 a, b = np.minimum(block[row], other), np.maximum(block[row], other)
                 keep = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
@@ -163,24 +190,27 @@ def _deal(pivots: np.ndarray, radius: np.ndarray, first: np.ndarray, threshold:
     return deal
 
 
-def _links_of_length(classes: DataFrame, threshold: float, block: int, max_cells: int) -> DataFrame:
-    n = classes.count()
-    cells = max(1, min(max_cells, -(-n // block)))
-    chosen = classes.orderBy("h1", "h2").limit(cells).select("embedding").collect()
+def _dealt(classes: DataFrame, n: int, threshold: float, block: int) -> DataFrame:
+    """The rows of the tiles of one length's ``n`` classes."""
+    d = len(classes.first().embedding)
+    wanted = max(1, min(n, int(PIVOTS_PER_ROOT * n**0.5), PIVOT_BYTES // (8 * d)))
+    chosen = classes.orderBy("h1", "h2").limit(wanted).select("embedding").collect()
     pivots = np.array([r.embedding for r in chosen], np.float64)
     pivots /= np.linalg.norm(pivots, axis=1)[:, None]
+    # Neighbours next to each other: by the nearest of a few of them, then by the angle to it.
+    heads = pivots[: max(1, int(len(pivots) ** 0.5))]
+    angle = _angles(pivots, heads)
+    pivots = pivots[np.lexsort((angle.min(axis=1), angle.argmin(axis=1)))]
     kind = classes.schema["embedding"].dataType.simpleString()
     placed = classes.select("u", "times", "embedding", F.pmod(F.xxhash64("h1", "h2"), F.lit(1 << 30)).alias("draw"))
     placed = stash(placed.mapInArrow(_assign(pivots), f"u long, times long, embedding {kind}, draw long, cell int, angle double"), "cells")
     sizes, radius = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
     for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("r")).collect():
         sizes[r.cell], radius[r.cell] = r.n, r.r
-    first = np.concatenate(([0], np.cumsum(np.maximum(1, -(-sizes // block)))))
-    dealt = placed.mapInArrow(_deal(pivots, radius, first, threshold), f"a int, b int, block int, u long, times long, embedding {kind}")
-    return dealt.groupBy("a", "b").applyInArrow(_tile(threshold), "u long, v long, degree long")
+    return placed.mapInArrow(_deal(pivots, radius, Blocks(sizes, block), threshold), f"a int, b int, block int, u long, times long, embedding {kind}").withColumn("d", F.lit(d))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, max_cells: int = MAX_CELLS) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold is over 0 and at most 1")
@@ -190,14 +220,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     rows = rows.select("vec_id", F.coalesce(valid, F.lit(False)).alias("valid"), F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"), "embedding")
     classes = rows.filter("valid").groupBy("h1", "h2").agg(F.min("vec_id").alias("u"), F.count("*").alias("times"), F.first("embedding").alias("embedding"))
     classes = stash(classes, "vectors")
-    lengths = [r[0] for r in classes.select(F.size("embedding").alias("d")).distinct().collect()]
-    found = [_links_of_length(classes.filter(F.size("embedding") == d), threshold, block, max_cells) for d in lengths]
-    spark = vectors.sparkSession
-    empty = spark.createDataFrame([], "u long, v long, degree long")
-    tiles = empty
-    for f in found:
-        tiles = tiles.unionByName(f)
-    tiles = stash(tiles, "tiles")
+    d = F.size("embedding")
+    sizes = stash(classes.groupBy(d.alias("d")).agg(F.count("*").alias("n")), "lengths")
+    large = sizes.filter(F.col("n") > block).collect()  # at most one for ``block`` classes
+    rest = classes.filter(~d.isin([r.d for r in large])) if large else classes
+    tiles = rest.select(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("block"), "u", "times", "embedding", d.alias("d"))
+    for r in large:
+        tiles = tiles.unionByName(_dealt(classes.filter(d == r.d), r.n, threshold, block))
+    tiles = stash(tiles.groupBy("d", "a", "b").applyInArrow(_tile(threshold), "u long, v long, degree long"), "tiles")
     degree = tiles.groupBy("u").agg(F.sum("degree").alias("degree"))
     roots = connected_components(tiles.select("u", "v")).withColumnRenamed("node", "u")
     own = classes.groupBy("u").agg(F.sum(F.col("times") - 1).alias("equal"))

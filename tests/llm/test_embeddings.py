@@ -57,3 +57,18 @@ def test_error_bounds_hold():
     assert (np.abs(product - u @ u.T) <= e[:, None] + (1 + e[:, None]) * e[None, :]).all()
     wide = rng.integers(-127, 128, size=(5, 3000)).astype(np.int8)
     assert (embeddings._products(wide, wide) == wide.astype(int) @ wide.astype(int).T).all()
+
+
+def test_clustered_rows_are_dealt_a_few_times(spark):
+    """Blocks that grow in number with the rows do not make a row go to more tiles."""
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(60, 32))
+
+    def dealt(n):
+        x = (centers[np.arange(n) % 60] + rng.normal(size=(n, 32)) * 0.2).astype(np.float32)
+        df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "u long, embedding array<float>, times long")
+        df = df.selectExpr("*", "xxhash64(embedding) AS h1", "xxhash64(1, embedding) AS h2")
+        return embeddings._dealt(df, n, 0.9, 256).count()
+
+    few, many = dealt(1500), dealt(12_000)
+    assert np.log(many / few) / np.log(8) <= 1.2 and many <= 4 * 12_000
