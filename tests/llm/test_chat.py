@@ -1,4 +1,7 @@
 import hashlib
+import time
+
+import numpy as np
 
 from pagegrain.llm import chat
 
@@ -42,3 +45,22 @@ def test_escape_is_reversible():
     for _ in range(2000):
         t = "".join(rng.choice(["\\", "#", "###", "</turn>", ":", "a", "\n"]) for _ in range(8))
         assert chat.unescape(chat.escape(t)) == t == chat.unescape(chat.escape(t, True))
+
+
+def test_very_long_turns_and_several_vocabularies():
+    codec = chat.Codec(chat.read_ranks(chat.default_vocabulary()))
+    reading = chat._Reading(1)
+    text = codec.encode("word " * 2_000_000)
+    ids = np.concatenate(([codec.first], codec.encode("user"), [codec.first + 1], text, [codec.first + 2]))
+    began = time.perf_counter()
+    for at in range(0, len(ids), chat.PART):
+        reading.read(codec, ids[at : at + chat.PART], np.zeros(len(ids[at : at + chat.PART]), bool))
+    assert time.perf_counter() - began < 10 and reading.n_turns == 1 and not reading.held
+    assert reading.turns.hexdigest() == digest("user\n" + "word " * 2_000_000 + "\n")
+    small = {bytes([b]): b for b in range(256)}
+
+    class Sent:
+        def __init__(self, ranks):
+            self.value = (repr(len(ranks)).encode(), ranks)
+
+    assert chat._codec(Sent(small)).first == 257 and chat._codec(Sent(chat.read_ranks(chat.default_vocabulary()))).first == codec.first
