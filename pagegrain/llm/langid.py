@@ -6,12 +6,14 @@ is encoded with every dictionary, in pieces of ``PIECE`` bytes that together cov
 language whose encoding is smallest; ``score`` is the margin (1 - smallest / second smallest, 0 to 1). A
 margin under ``MARGIN`` is narrow: ``keep_identified`` rejects such documents.
 
-Training uses a bounded sample: about ``SAMPLE_DOCS`` documents a language, chosen by a hash, of each
-the first ``SAMPLE_CHARS`` characters, up to ``DICT_BYTES`` a language. Prediction sees whole texts.
+Training uses a bounded sample: about ``SAMPLE_DOCS`` documents a language, chosen by a hash, of each a piece
+of ``SAMPLE_CHARS`` characters that begins anywhere in the text, up to ``DICT_BYTES`` a language; with very
+many languages each gets an equal part of ``MODEL_BYTES``. Prediction sees whole texts.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0. Equal sizes choose the language
 first in alphabetical order, with score 0. With one learned language, the score is 1 where it applies;
-with none, every prediction is ``und``. A null lang or doc_id trains nothing. Repeated rows are
+with none, every prediction is ``und``. A language of no more than a few letters is filled up with spaces. More
+than ``MAX_LANGUAGES`` languages raise an error: they are no languages. A null lang or doc_id trains nothing. Repeated rows are
 predicted alike; an empty table gives no rows. Result columns replace columns of the same name.
 """
 
@@ -31,7 +33,8 @@ from pagegrain.sources.pages import spread
 DICT_BYTES = 128 << 10
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 2000
-MAX_LANGUAGES = 500
+MODEL_BYTES = 64 << 20
+MAX_LANGUAGES = 10_000
 PIECE = 8192
 LEVEL = 6
 MARGIN = 0.005
@@ -55,17 +58,19 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DIC
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages: a model this large is not broadcast")
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
         return {}
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, sample_docs / n) * (1 << 40)))])
-    rows = labelled.filter(draw < share[F.col("lang")]).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), draw.alias("draw"), "doc_id")
+    begin = 1 + F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1))
+    rows = labelled.filter(draw < share[F.col("lang")]).select("lang", F.substring(F.col("text"), begin.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"), draw.alias("draw"), "doc_id")
+    dict_bytes = min(dict_bytes, MODEL_BYTES // len(sizes))
     found: dict[str, bytearray] = {lang: bytearray() for lang in sizes}
     for r in sorted(rows.collect(), key=lambda r: (r.draw, r.doc_id, r.text)):
         if len(found[r.lang]) < dict_bytes:
             found[r.lang] += normalise(r.text) + b" "
-    return {lang: bytes(x[:dict_bytes]) for lang, x in sorted(found.items()) if len(x) > 8}
+    return {lang: bytes(x[:dict_bytes]).ljust(9) for lang, x in sorted(found.items()) if x}
 
 
 def _encoders(model: dict[str, bytes]) -> list[tuple[str, zstandard.ZstdCompressor]]:

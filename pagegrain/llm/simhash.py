@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
+from pagegrain.llm.columns import pack, unpack
 from pagegrain.llm.components import connected_components
 from pagegrain.sources.pages import spread
 from pagegrain.storage import stash
@@ -226,16 +227,14 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     chosen = stash(chosen.select("x.doc_id", "x.row_key"), "kept")
     repeated = rows.groupBy("doc_id", "row_key").count().filter("count > 1").drop("count")
     repeated = stash(chosen.join(repeated, (chosen.doc_id.eqNullSafe(repeated.doc_id)) & (chosen.row_key == repeated.row_key), "left_semi"), "repeated")
-    keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
+    keyed = pack(docs, "doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))
 
-    def among(keys: DataFrame, how: str) -> DataFrame:
-        keys = keys.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"))
-        return keyed.join(keys, keyed["doc_id"].eqNullSafe(keys["_id"]) & (keyed["_row_key"] == keys["_key"]), how)
+    def among(keys: DataFrame) -> DataFrame:
+        same = F.col("k.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("k.key") == F.col("c.row_key"))
+        return keyed.alias("k").join(keys.alias("c"), same, "left_semi")
 
-    once = chosen.exceptAll(repeated)
-    one = among(once, "left_semi").drop("_row_key")
-    several = among(repeated, "left_semi").dropDuplicates(["doc_id", "_row_key"]).drop("_row_key")
-    return one.unionByName(several)
+    kept = among(chosen.exceptAll(repeated)).unionByName(among(repeated).dropDuplicates(["doc_id", "key"]))
+    return unpack(kept, docs.columns, "doc_id", "text")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,9 @@
 Every word covered by a window of ``min_words`` words whose sequence also starts elsewhere (in the
 same document or another) is removed. The corpus is its own reference. Sending an automaton of every
 shard to every document would cost shards times documents, so shards are cut by content: each window
-has an anchor (its least ``ANCHOR``-gram by hash, the leftmost of equals), equal windows have equal
+has an anchor (its least gram of ``ANCHORS[0]`` words by hash, the leftmost of equals), equal windows have equal
 anchors, and the windows of a document that share an anchor form a fragment of at most
-2 * min_words - ANCHOR words. A shard holds the fragments of one anchor, so a fragment meets only the
+2 * min_words - ANCHORS[0] words. A shard holds the fragments of one anchor, so a fragment meets only the
 shard that can hold its copies:
 
 1. Fragments are counted by (anchor, digest of their words): a fragment that occurs twice repeats as
@@ -14,16 +14,17 @@ shard that can hold its copies:
    fragments stream through the states that occur at least twice: where the matching statistic
    reaches ``min_words``, that window repeats.
 3. A shard of more than ``max_shard`` different fragments (a common phrase in ever new contexts) is
-   not gathered in one task: its windows are counted by hash, pre-aggregated before the shuffle,
-   which settles the same question exactly.
+   not gathered in one task: its fragments are cut again by longer anchors (``ANCHORS``, at last the whole
+   window), which equal windows share as well, and steps 1 and 2 settle the smaller shards that come of it.
+   The bound decides where the work is done, never what comes out.
 
 Two different fragments pass for one only if their 64-bit digests agree as well as their 64-bit
 anchors; within the automaton words themselves are compared.
 
 Cases: null, empty and short texts lose nothing; repeated rows are copies of each other and lose
 every word that a window covers; rows are known by doc_id and a hash of their text, a null doc_id by
-a longer hash of the text. An empty table gives no rows. Other columns pass through; ``n_words`` and
-``n_removed`` replace columns of that name.
+a longer hash of the text. An empty table gives no rows. Other columns pass through under any name;
+``n_words`` and ``n_removed`` replace columns of that name.
 """
 
 from __future__ import annotations
@@ -38,12 +39,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagegrain.llm import words as W
+from pagegrain.llm.columns import pack, unpack
 from pagegrain.sources.pages import spread
 from pagegrain.storage import stash
 
 MIN_WORDS = 35
-ANCHOR = 8
-MAX_SHARD = 2048
+ANCHORS = (8, 20)
+MAX_SHARD = 512
 _POSITION = np.uint64(0xFFFFFFFF)
 
 FRAGMENT = "row_id long, row_no int, anchor long, digest long, start int, n int"
@@ -128,38 +130,63 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"row_id": F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), "row_no": F.hash("text")})
 
 
+def _cut(found: W.Words, run: W.RunHash, min_words: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The fragments of all texts: (first word, number of windows, anchor, digest), for anchors of ``width`` words."""
+    windows = len(found.start) - min_words + 1
+    if windows < 1:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    at = np.arange(len(found.start) - width + 1)
+    grams = run(at, at + width)
+    keyed = (grams & ~_POSITION) | at.astype(np.uint64)
+    anchor = (_sliding_min(keyed, min_words - width + 1) & _POSITION).astype(np.int64)
+    owner = found.owner()
+    inside = owner[:windows] == owner[min_words - 1 :]
+    new = np.ones(windows, bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (inside[1:] != inside[:-1]) | (owner[1:windows] != owner[: windows - 1])
+    start = np.flatnonzero(new)
+    n = np.diff(np.append(start, windows))
+    start, n = start[inside[start]], n[inside[start]]
+    return start, n, grams[anchor[start]].view(np.int64), run(start, start + n + min_words - 1).view(np.int64)
+
+
 def _fragments(min_words: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in W.chunks(whole):
                 data, offs = W.texts_of(batch.column("text"))
                 found = W.split(data, offs, W.SPACED)
-                windows = len(found.start) - min_words + 1
-                if windows < 1:
-                    continue
-                run = W.RunHash(found.hashes())
-                at = np.arange(len(found.start) - ANCHOR + 1)
-                grams = run(at, at + ANCHOR)
-                keyed = (grams & ~_POSITION) | at.astype(np.uint64)
-                anchor = (_sliding_min(keyed, min_words - ANCHOR + 1) & _POSITION).astype(np.int64)
-                owner = found.owner()
-                inside = owner[:windows] == owner[min_words - 1 :]
-                new = np.ones(windows, bool)
-                new[1:] = (anchor[1:] != anchor[:-1]) | (inside[1:] != inside[:-1]) | (owner[1:windows] != owner[: windows - 1])
-                start = np.flatnonzero(new)
-                n = np.diff(np.append(start, windows))
-                start, n = start[inside[start]], n[inside[start]]
-                digest = run(start, start + n + min_words - 1)
-                doc = pa.array(owner[start])
+                start, n, anchor, digest = _cut(found, W.RunHash(found.hashes()), min_words, ANCHORS[0])
+                owner = found.owner()[start] if len(start) else start
+                doc = pa.array(owner)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("row_id").take(doc), batch.column("row_no").take(doc),
-                    pa.array(grams[anchor[start]].view(np.int64)), pa.array(digest.view(np.int64)),
-                    pa.array((start - found.first[owner[start]]).astype(np.int32)), pa.array(n.astype(np.int32)),
+                    batch.column("row_id").take(doc), batch.column("row_no").take(doc), pa.array(anchor), pa.array(digest),
+                    pa.array((start - found.first[owner]).astype(np.int32)), pa.array(n.astype(np.int32)),
                 ], ["row_id", "row_no", "anchor", "digest", "start", "n"])
 
     return cut
 
 
+def _again(min_words: int, width: int):
+    """Fragments cut by longer anchors, each with its words and its fragment's number of places."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in W.chunks(whole, column="words"):
+                data, offs = W.texts_of(batch.column("words"))
+                found = W.split(data, offs, W.SPACED)
+                start, n, anchor, digest = _cut(found, W.RunHash(found.hashes()), min_words, width)
+                owner = found.owner()[start] if len(start) else start
+                words = pa.array([b" ".join(found.bytes_of(a, a + k + min_words - 1)).decode() for a, k in zip(start.tolist(), n.tolist(), strict=True)], pa.string())
+                keep = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("row_id").take(keep), batch.column("row_no").take(keep), pa.array(anchor), pa.array(digest),
+                    pa.array((batch.column("start").to_numpy()[owner] + start - found.first[owner]).astype(np.int32)), pa.array(n.astype(np.int32)), batch.column("places").take(keep), words,
+                ], ["row_id", "row_no", "anchor", "digest", "start", "n", "weight", "words"])
+
+    return cut
+
+
 def _contents(min_words: int):
     """The words of the asked fragments of each document."""
 
@@ -222,41 +249,20 @@ def _spans_of(ends: list[int], size: int) -> Iterator[tuple[int, int]]:
             yield a, e
 
 
-def _windows(min_words: int):
-    """A row for each window of each fragment."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in W.chunks(whole, column="words"):
-                data, offs = W.texts_of(batch.column("words"))
-                found = W.split(data, offs, W.SPACED)
-                run = W.RunHash(found.hashes())
-                n = batch.column("n").to_numpy()
-                row = np.repeat(np.arange(batch.num_rows), n)
-                offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                at = found.first[row] + offset
-                keep = pa.array(row)
-                yield pa.RecordBatch.from_arrays([
-                    *(batch.column(c).take(keep) for c in ("row_id", "row_no", "anchor", "places")),
-                    pa.array(run(at, at + min_words).view(np.int64)), pa.array((batch.column("start").to_numpy()[row] + offset).astype(np.int32)),
-                ], ["row_id", "row_no", "anchor", "places", "window", "at"])
-
-    return cut
+def _known(counted: DataFrame, max_shard: int) -> DataFrame:
+    """(anchor, digest, places, crowded, open) of the fragments in ``counted`` (anchor, digest, places) whose anchor occurs more than once."""
+    anchors = counted.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("places").alias("total"), F.min("places").alias("least")).filter("total > 1")
+    return counted.join(anchors, "anchor").select("anchor", "digest", "places", (F.col("kinds") > max_shard).alias("crowded"), ((F.col("kinds") > 1) & (F.col("least") == 1)).alias("open"))
 
 
 def repeated_spans(rows: DataFrame, min_words: int = MIN_WORDS, max_shard: int = MAX_SHARD) -> DataFrame:
     """(row_id, row_no, a, b): spans of words [a, b) covered by repeating windows; ``rows`` has row_id, row_no and text."""
     fragments = stash(rows.select("row_id", "row_no", "text").mapInArrow(_fragments(min_words), FRAGMENT), "fragments")
-    counted = fragments.groupBy("anchor", "digest").agg(F.count("*").alias("places"))
-    anchors = counted.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("places").alias("total"), F.min("places").alias("least"))
-    anchors = anchors.filter("total > 1")
-    known = counted.join(anchors, "anchor").select(
-        "anchor", "digest", "places", (F.col("kinds") > max_shard).alias("crowded"), ((F.col("kinds") > 1) & (F.col("least") == 1)).alias("open")
-    )
-    known = stash(known, "known")
+    known = stash(_known(fragments.groupBy("anchor", "digest").agg(F.count("*").alias("places")), max_shard), "known")
     met = stash(fragments.join(known, ["anchor", "digest"]), "met")
 
-    whole = met.filter("places > 1").select("row_id", "row_no", F.col("start").alias("a"), (F.col("start") + F.col("n") + (min_words - 1)).alias("b"))
+    whole_of = lambda x: x.select("row_id", "row_no", F.col("start").alias("a"), (F.col("start") + F.col("n") + (min_words - 1)).alias("b"))
+    found = whole_of(met.filter("places > 1"))
     # One place of each open fragment gives its words.
     asked = met.filter("open").groupBy("anchor", "digest").agg(F.min(F.struct("row_id", "row_no", "start")).alias("x"), F.first("n").alias("n"), F.first("places").alias("places"), F.first("crowded").alias("crowded"))
     asked = asked.groupBy("x.row_id", "x.row_no").agg(F.collect_list(F.struct("anchor", "digest", F.col("x.start").alias("start"), "n", "places", "crowded")).alias("asked"))
@@ -264,48 +270,55 @@ def repeated_spans(rows: DataFrame, min_words: int = MIN_WORDS, max_shard: int =
     contents = contents.select("row_id", "row_no", "text", "asked").mapInArrow(_contents(min_words), FRAGMENT + ", places long, crowded boolean, words string")
     contents = stash(contents, "contents")
     span = "row_id long, row_no int, a int, b int"
-    sharded = contents.filter("not crowded").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards(min_words), span)
-    windows = contents.filter("crowded").mapInArrow(_windows(min_words), "row_id long, row_no int, anchor long, places long, window long, at int")
-    again = windows.groupBy("anchor", "window").agg(F.sum("places").alias("total")).filter("total > 1").drop("total")
-    crowded = windows.filter("places = 1").join(again, ["anchor", "window"]).select("row_id", "row_no", F.col("at").alias("a"), (F.col("at") + min_words).alias("b"))
-    return whole.unionByName(sharded).unionByName(crowded)
-
-
-def _remove(columns: list[str]):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in W.chunks(whole):
-                texts, counts, gone = [], [], []
-                for text, spans in zip(batch.column("text").cast(pa.large_binary()), batch.column("_spans").to_pylist(), strict=True):
-                    words = (text.as_py() or b"").split()
-                    counts.append(len(words))
-                    if spans:
-                        edge = np.zeros(len(words) + 1, np.int64)
-                        np.add.at(edge, [s["a"] for s in spans], 1)
-                        np.add.at(edge, [s["b"] for s in spans], -1)
-                        keep = np.cumsum(edge[:-1]) == 0
-                        gone.append(len(words) - int(keep.sum()))
-                        words = compress(words, keep.tolist())
-                    else:
-                        gone.append(0)
-                    texts.append(b" ".join(words).decode())
-                new = {"text": pa.array(texts, pa.string()), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(gone, pa.int64())}
-                yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in columns], columns)
-
-    return cut
+    for width in (*ANCHORS[1:], min_words):
+        shards = contents.filter("not crowded").repartition("anchor").sortWithinPartitions("anchor")
+        found = found.unionByName(shards.mapInArrow(_shards(min_words), span))
+        crowded = contents.filter("crowded")
+        if crowded.isEmpty():
+            break
+        cut = stash(crowded.mapInArrow(_again(min_words, min(width, min_words)), FRAGMENT + ", weight long, words string"), "cut")
+        known = stash(_known(cut.groupBy("anchor", "digest").agg(F.sum("weight").alias("places")), max_shard), "known")
+        met = stash(cut.join(known, ["anchor", "digest"]), "met")
+        # A fragment of more places had all its windows settled before; here it only counts.
+        found = found.unionByName(whole_of(met.filter("places > 1 and weight = 1")))
+        first = F.min_by(F.struct("row_id", "row_no", "start", "n", "words"), F.struct("row_id", "row_no", "start")).alias("x")
+        contents = met.filter("open").groupBy("anchor", "digest", "places", "crowded").agg(first)
+        contents = stash(contents.select("x.row_id", "x.row_no", "anchor", "digest", "x.start", "x.n", "places", "crowded", "x.words"), "contents")
+    return found
+
+
+def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in W.chunks(whole):
+            texts, counts, gone = [], [], []
+            for text, spans in zip(batch.column("text").cast(pa.large_binary()), batch.column("spans").to_pylist(), strict=True):
+                words = (text.as_py() or b"").split()
+                counts.append(len(words))
+                if spans:
+                    edge = np.zeros(len(words) + 1, np.int64)
+                    np.add.at(edge, [s["a"] for s in spans], 1)
+                    np.add.at(edge, [s["b"] for s in spans], -1)
+                    keep = np.cumsum(edge[:-1]) == 0
+                    gone.append(len(words) - int(keep.sum()))
+                    words = compress(words, keep.tolist())
+                else:
+                    gone.append(0)
+                texts.append(b" ".join(words).decode())
+            keep = [batch.column(c) for c in ("own", "doc_id")]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], ["own", "doc_id", "text", "n_words", "n_removed"])
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, max_shard: int = MAX_SHARD) -> DataFrame:
     """``docs`` with the kept words of each text joined by one space, and columns n_words and n_removed."""
-    if min_words <= ANCHOR:
-        raise ValueError(f"min_words is over {ANCHOR}")
-    docs = docs.drop("n_words", "n_removed", "row_id", "row_no", "_spans")
-    rows = _rows(docs)
+    if min_words <= ANCHORS[0]:
+        raise ValueError(f"min_words is over {ANCHORS[0]}")
+    packed = pack(docs, "doc_id", "text")
     spans = repeated_spans(_rows(docs.select("doc_id", "text")).select("row_id", "row_no", "text"), min_words, max_shard)
-    spans = spans.groupBy("row_id", "row_no").agg(F.collect_set(F.struct("a", "b")).alias("_spans"))
-    columns = [*docs.columns, "n_words", "n_removed"]
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return rows.join(spans, ["row_id", "row_no"], "left").mapInArrow(_remove(columns), schema)
+    spans = spans.groupBy("row_id", "row_no").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    schema = T.StructType([*packed.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+    kept = _rows(packed).join(spans, ["row_id", "row_no"], "left").select("own", "doc_id", "text", "spans").mapInArrow(_remove, schema)
+    columns = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed")]
+    return unpack(kept, columns, "doc_id", "text", n_words=F.col("n_words"), n_removed=F.col("n_removed"))
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 import time
 from collections import Counter
 
+import zstandard
 from pyspark.sql import functions as F
 
 from pagegrain.llm import langid, pii
@@ -19,6 +20,25 @@ def test_held_out_accuracy(spark):
     assert out.filter("score < 0 or score > 1").count() == 0
 
 
+def test_predictions_equal_compressing_with_each_dictionary(spark, real_docs):
+    model = langid.learn(real_docs)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(real_docs, model).collect()}
+    for r in real_docs.collect():
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        plain = " ".join("".join(c if c >= "\x80" or "a" <= c <= "z" else " " for c in r.text.lower()).split(" ")).split(" ")
+        raw = " ".join(w for w in plain if w).encode()
+        sizes = {}
+        for lang, content in model.items():
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            coder = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=d, write_content_size=False, write_dict_id=False)
+            sizes[lang] = sum(len(coder.compress(raw[i : i + langid.PIECE])) for i in range(0, len(raw), langid.PIECE))
+        lang = min(sizes, key=lambda x: (sizes[x], x))
+        first, second = sorted(sizes.values())[:2]
+        assert got[r.doc_id] == (lang, 1 - first / second)
+
+
 def test_language_edges(docs_of):
     train = docs_of([(d, "the cat and the dog of the house " * 5, "en") for d in range(20)] + [(d, "der hund und die katze im haus " * 5, "de") for d in range(20, 40)] + [(99, None, "xx"), (None, "null id", "yy")])
     model = langid.learn(train)
@@ -111,4 +131,5 @@ def test_pii_edges(docs_of):
     assert out[9].spans == "email:2:8,ip:9:16" and out[9].n_email == 1 and out[1].spans == ""
     assert {r.doc_id: r.text for r in pii.redact(docs.drop("pii"), None).collect()}[9] == "é [EMAIL] [IP]"
     assert pii.find_pii(docs.limit(0), None).count() == 0
+    assert {r.pii for r in pii.redact(docs, None).collect()} == {"mine"}
     assert docs.filter(F.col("doc_id") == 9).count() == 1

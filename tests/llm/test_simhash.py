@@ -101,3 +101,11 @@ def test_components(spark):
     got = {r.node: r.root for r in connected_components(links).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
     assert connected_components(links.limit(0)).count() == 0
+
+
+def test_every_internal_name_passes_through(docs_of):
+    from tests.llm.conftest import EDGE
+
+    names = ["own", "_row_key", "row_key", "key", "fp", "_id", "_key", "component_id", "K", "c"]
+    out = simhash.deduplicate(docs_of(EDGE, [(c, f"mine {c}") for c in names]))
+    assert out.columns[5:] == names and all(r[c] == f"mine {c}" for r in out.collect() for c in names) and out.count() > 0

@@ -40,7 +40,7 @@ def test_equals_brute_force(docs_of, size, shard):
 
 def test_edges(docs_of, spark):
     rows = [*EDGE, (8, "same words here again " * 20), (8, "same words here again " * 20)]
-    out = substrings.remove_repeats(docs_of(rows, CLASHING[5:6]))
+    out = substrings.remove_repeats(docs_of(rows, CLASHING))
     got = sorted((r.doc_id or 0, r.text, r.n_words, r.n_removed) for r in out.collect())
     want = sorted((d or 0, t, len((x or "").encode().split()), len((x or "").encode().split()) - len(t.encode().split())) for (d, x), t in zip(rows, brute(rows, 35), strict=True))
     assert got == want
@@ -57,3 +57,23 @@ def test_automaton_counts():
     assert list(a.statistics(list("abab"))) == [1, 2, 1, 2]
     assert list(a.statistics(list("xabx"), 3)) == [1, 2, 3, 1]
     assert list(a.statistics(list("ab"), 6)) == [0, 0]
+
+
+def test_common_phrases_are_cut_again_with_the_same_result(docs_of):
+    """One phrase in ever new contexts: its shard is cut by longer anchors, whatever the bound."""
+    rng = random.Random(3)
+    word = lambda: f"v{rng.randint(0, 10**6)}"
+    phrase = [word() for _ in range(12)]
+    near = [[word() for _ in range(14)] for _ in range(4)]
+    rows = [(d, " ".join([word() for _ in range(9)] + rng.choice(near)[rng.randint(0, 6) :] + phrase + rng.choice(near)[: rng.randint(2, 14)] + [word() for _ in range(9)])) for d in range(120)]
+    want = brute(rows, 24)
+    assert want != [t for _, t in rows]
+    for bound in (2048, 20, 2):
+        got = {r.doc_id: r.text for r in substrings.remove_repeats(docs_of(rows), 24, bound).collect()}
+        assert [got[d] for d, _ in rows] == want
+
+
+def test_every_internal_name_passes_through(docs_of):
+    names = ["own", "row_id", "row_no", "_spans", "spans", "anchor", "Digest", "a", "b"]
+    out = substrings.remove_repeats(docs_of(EDGE, [(c, f"mine {c}") for c in names])).collect()
+    assert len(out) == len(EDGE) and all(r[c] == f"mine {c}" for r in out for c in names)
