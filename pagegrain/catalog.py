@@ -1,20 +1,24 @@
 """The registered queries over the given tables, and the SQL that recomputes each of them.
 
 Inputs that the tables lack (statuses, headers, cookies, redirects, forms) are derived from every row of
-a table by one expression that Spark and the checking engine both run, so they grow with the tables.
+a table by one expression that Spark and the checking engine both run, so they grow with the tables. Markup
+that the pages lack is written into each page's own html, so the whole page takes part.
 """
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagegrain.functions import charsets, urls
-from pagegrain.operators import comparison, disclosure, documents, navigation, responses, styles, views
+from pagegrain.functions.vector import vectorised
+from pagegrain.operators import comparison, disclosure, documents, markup, navigation, responses, styles, views
 from pagegrain.plans import flows
-from pagegrain.sources.pages import spread
+from pagegrain.sources.pages import decode_responses, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -51,6 +55,11 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
     return documents.parse_pages(_pages(spark, d))
 
 
+def _spliced(spark: SparkSession, d: str, made: str, behind: str = "<body>") -> DataFrame:
+    """Pages with more markup in their html, right behind a tag."""
+    return _pages(spark, d).withColumn("html", F.expr(f"replace(html, '{behind}', '{behind}' || ({made}))"))
+
+
 # -- expressions that both engines run
 
 HOST = r"regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)"
@@ -129,27 +138,27 @@ def text_view(spark: SparkSession, d: str) -> DataFrame:
 
 @_add("dom_stats")
 def dom_stats(spark: SparkSession, d: str) -> DataFrame:
-    return documents.dom_stats(documents.derive(_pages(spark, d), ["nodes", "dom"]), "dom", "page_id")
+    return documents.dom_stats(markup.derive(_pages(spark, d), ["nodes", "dom"]), "dom", "page_id")
 
 
 @_add("payload_digest", f"SELECT page_id, octet_length(encode({_BODY_TEXT}))::BIGINT AS bytes, sha256({_BODY_TEXT}) AS sha FROM pages")
 def payload_digest(spark: SparkSession, d: str) -> DataFrame:
-    return documents.dom_stats(documents.derive(_pages(spark, d), ["nodes", "text"]), "text", "page_id").select("page_id", "bytes", "sha")
+    return documents.dom_stats(markup.derive(_pages(spark, d), ["nodes", "text"]), "text", "page_id").select("page_id", "bytes", "sha")
 
 
 @_add("dom_view")
 def dom_view(spark: SparkSession, d: str) -> DataFrame:
-    return documents.derive(_pages(spark, d), ["dom"]).select("page_id", "dom")
+    return markup.derive(_pages(spark, d), ["dom"]).select("page_id", "dom")
 
 
-@_add("select", r"SELECT page_id, 'a' AS name, unnest(regexp_extract_all(html, '<a href=\"[^\"]*\">[^<]*</a>')) AS outer_html FROM pages")
+@_add("select", r"SELECT page_id, 'a' AS name, a AS outer_html, regexp_extract(a, '>([^<]*)<', 1) AS inner_html FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"[^\"]*\">[^<]*</a>')) AS a FROM pages)")
 def select(spark: SparkSession, d: str) -> DataFrame:
-    return documents.select(_pages(spark, d), "nav li > a[href]", "page_id").drop("id", "inner_html")
+    return markup.select(_nodes(spark, d), "nav li > a[href]", "page_id").drop("id")
 
 
 @_add("select_scoped", r"SELECT page_id, count(*)::BIGINT AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li>')) FROM pages) GROUP BY page_id")
 def select_scoped(spark: SparkSession, d: str) -> DataFrame:
-    return documents.select(_pages(spark, d), "li", "page_id", scope="nav").groupBy("page_id").agg(F.count("*").alias("n"))
+    return markup.select(_nodes(spark, d), "li", "page_id", scope="nav").groupBy("page_id").agg(F.count("*").alias("n"))
 
 
 @_add("page_scripts", r"SELECT page_id, 0 AS pos, 'inline' AS kind, false AS module, NULL::VARCHAR AS src, regexp_extract(html, '(?s)<script>(.*?)</script>', 1) AS body FROM pages")
@@ -159,31 +168,12 @@ def page_scripts(spark: SparkSession, d: str) -> DataFrame:
 
 @_add("headings", rf"SELECT page_id, 1 AS level, {_plain("regexp_extract(html, '<h1>(.*?)</h1>', 1)")} AS name FROM pages")
 def headings(spark: SparkSession, d: str) -> DataFrame:
-    return views.headings(_pages(spark, d), "page_id").select("page_id", "level", "name")
+    return views.headings(_nodes(spark, d), "page_id").select("page_id", "level", "name")
 
 
 @_add("ax_links", rf"SELECT page_id, count(*)::BIGINT AS n_links, count(DISTINCT {_plain("regexp_extract(a, '>([^<]*)<', 1)")})::BIGINT AS n_names FROM ({_ANCHORS}) GROUP BY page_id")
 def ax_links(spark: SparkSession, d: str) -> DataFrame:
-    return views.ax_tree(_pages(spark, d), "page_id").filter("role = 'link'").groupBy("page_id").agg(F.count("*").alias("n_links"), F.countDistinct("name").alias("n_names"))
-
-
-@_add("ax_tree")
-def ax_tree(spark: SparkSession, d: str) -> DataFrame:
-    return views.ax_tree(_pages(spark, d), "page_id")
-
-
-@_add("bboxes")
-def bboxes(spark: SparkSession, d: str) -> DataFrame:
-    return views.bboxes(_pages(spark, d), "page_id")
-
-
-_LAID = "'<body><p>' || repeat('word ', CAST(page_id % 400 + 1 AS INTEGER)) || '</p>'"
-
-
-@_add("paragraph_boxes", "SELECT page_id, 1280 AS w, (20 * ceil((page_id % 400 + 1) / 32.0))::INTEGER AS h FROM pages")
-def paragraph_boxes(spark: SparkSession, d: str) -> DataFrame:
-    pages = _pages(spark, d).withColumn("html", F.expr(_LAID))
-    return views.bboxes(pages, "page_id").filter("tag = 'p'").select("page_id", "w", "h")
+    return views.roles(_nodes(spark, d), "page_id").filter("role = 'link'").groupBy("page_id").agg(F.count("*").alias("n_links"), F.countDistinct("name").alias("n_names"))
 
 
 _FORM = (
@@ -196,45 +186,47 @@ _FORM = (
 SELECT page_id, 0 AS pos, 'http://b.example/d/' || (page_id % 3) AS action, 'post' AS method, 'application/x-www-form-urlencoded' AS enctype, 3 AS n_fields FROM pages
 UNION ALL SELECT page_id, 1, 'http://b.example/d/', 'get', 'application/x-www-form-urlencoded', 0 FROM pages""")
 def forms(spark: SparkSession, d: str) -> DataFrame:
-    return views.forms(documents.parse_pages(_pages(spark, d).withColumn("html", F.expr(_FORM))), "page_id").select("page_id", "pos", "action", "method", "enctype", F.size("fields").alias("n_fields"))
+    return views.forms(documents.parse_pages(_spliced(spark, d, _FORM)), "page_id").select("page_id", "pos", "action", "method", "enctype", F.size("fields").alias("n_fields"))
 
 
 @_add("form_fields", """
 SELECT page_id, 0 AS pos, 0 AS field, 'input' AS tag, 'q' AS name, 'text' AS type, 'v' || page_id AS value, true AS required FROM pages
 UNION ALL SELECT page_id, 0, 1, 'textarea', 't', NULL, 'T' || page_id, false FROM pages UNION ALL SELECT page_id, 0, 2, 'select', 's', NULL, NULL, false FROM pages""")
 def form_fields(spark: SparkSession, d: str) -> DataFrame:
-    made = views.forms(documents.parse_pages(_pages(spark, d).withColumn("html", F.expr(_FORM))), "page_id")
+    made = views.forms(documents.parse_pages(_spliced(spark, d, _FORM)), "page_id")
     return views.form_fields(made, "page_id").drop("options")
 
 
 @_add("select_options", "SELECT page_id, 0 AS pos, 2 AS field, 0 AS option, '1' AS value, 'one' AS label FROM pages UNION ALL SELECT page_id, 0, 2, 1, 'two', 'two' FROM pages")
 def select_options(spark: SparkSession, d: str) -> DataFrame:
-    made = views.forms(documents.parse_pages(_pages(spark, d).withColumn("html", F.expr(_FORM))), "page_id")
+    made = views.forms(documents.parse_pages(_spliced(spark, d, _FORM)), "page_id")
     return views.select_options(views.form_fields(made, "page_id"), "page_id")
 
 
-_METAS = "'<meta name=a content=' || CAST(page_id AS STRING) || '><meta property=p content=x><meta name=none><meta http-equiv=\"Content-Type\" content=\"text/html; charset=KOI8-R\"><link rel=\"x Canonical\" href=/c><p>t'"
+_METAS = "'<meta name=a content=' || CAST(page_id AS STRING) || '><meta property=p content=x><meta name=none><meta http-equiv=\"Content-Type\" content=\"text/html; charset=KOI8-R\"><link rel=\"x Canonical\" href=/c>'"
 
 
 @_add("meta_entries", """
 SELECT page_id, 0 AS pos, 'a' AS name, NULL AS property, NULL AS http_equiv, page_id::VARCHAR AS content FROM pages
 UNION ALL SELECT page_id, 1, NULL, 'p', NULL, 'x' FROM pages UNION ALL SELECT page_id, 2, NULL, NULL, 'Content-Type', 'text/html; charset=KOI8-R' FROM pages""")
 def meta_entries(spark: SparkSession, d: str) -> DataFrame:
-    return views.meta_entries(documents.parse_pages(_pages(spark, d).withColumn("html", F.expr(_METAS))), "page_id")
+    return views.meta_entries(documents.parse_pages(_spliced(spark, d, _METAS, "<head>")), "page_id")
 
 
-@_add("meta_canonical", f"SELECT page_id, NULL::VARCHAR AS title, NULL::VARCHAR AS lang, 'koi8-r' AS charset, regexp_extract(url, '^[a-z]+://', 0) || {HOST} || '/c' AS canonical FROM pages")
+@_add("meta_canonical", f"SELECT page_id, {_plain("regexp_extract(html, '<title>(.*?)</title>', 1)")} AS title, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, 'koi8-r' AS charset, regexp_extract(url, '^[a-z]+://', 0) || {HOST} || '/c' AS canonical FROM pages")
 def meta_canonical(spark: SparkSession, d: str) -> DataFrame:
-    return views.page_meta(documents.parse_pages(_pages(spark, d).withColumn("html", F.expr(_METAS))), "page_id")
+    return views.page_meta(documents.parse_pages(_spliced(spark, d, _METAS, "<head>")), "page_id").withColumn("title", F.regexp_replace("title", r"\s+", " "))
 
 
-_SHELL = "CASE page_id % 4 WHEN 0 THEN '<body><nav>menu</nav><div id=root></div><script src=a.js></script>' WHEN 1 THEN '<body><p>text<script></script>' WHEN 2 THEN '<body><img alt=x><script></script>' ELSE '<body><details><p>closed</details>' END"
+_SHELL = "CASE page_id % 4 WHEN 1 THEN html ELSE regexp_replace(html, '(?s)<!-- ad .*$', CASE page_id % 4 WHEN 0 THEN '<div id=root></div>' WHEN 2 THEN '<img alt=x>' ELSE '<details><p>closed</details>' END) END"
 
 
 @_add("needs", """
-SELECT page_id, page_id % 4 = 1 AS has_text, page_id % 4 = 2 AS has_label, CASE WHEN page_id % 4 IN (0, 2) THEN 1 ELSE 0 END AS text_needs, CASE WHEN page_id % 4 = 0 THEN 1 ELSE 0 END AS links_needs, 0 AS dom_needs FROM pages""")
+SELECT page_id, page_id % 4 = 1 AS has_text, page_id % 4 = 2 AS has_label, CASE WHEN page_id % 4 = 1 THEN 0 ELSE 1 END AS text_needs, CASE WHEN page_id % 4 IN (0, 3) THEN 1 ELSE 0 END AS links_needs, 0 AS dom_needs
+FROM pages WHERE html LIKE '%<script>%<body><nav>%<!-- ad %'""")
 def needs(spark: SparkSession, d: str) -> DataFrame:
-    rows = documents.derive(_pages(spark, d).withColumn("html", F.expr(_SHELL)), ["has_script", "has_body", "has_text", "has_label"])
+    """Pages as they are, or cut behind their menu: with nothing, a label or a closed part in place of the rest."""
+    rows = markup.derive(_pages(spark, d).withColumn("html", F.expr(_SHELL)), ["has_script", "has_body", "has_text", "has_label"])
     told = lambda v: F.size(views.needs(v, F.col("has_script"), F.col("has_body"), F.col("has_text"), F.col("has_label")))
     return rows.select("page_id", "has_text", "has_label", told("text").alias("text_needs"), told("links").alias("links_needs"), told("dom").alias("dom_needs"))
 
@@ -328,14 +320,14 @@ def page_references(spark: SparkSession, d: str) -> DataFrame:
 
 @_add("base_urls", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'http://b.example/x/' WHEN 1 THEN url ELSE regexp_extract(url, '^[a-z]+://[^/]+', 0) || '/r/' END AS base FROM pages")
 def base_urls(spark: SparkSession, d: str) -> DataFrame:
-    html = F.expr("CASE page_id % 3 WHEN 0 THEN '<base target=t><base href=http://b.example/x/><base href=/no/>' WHEN 1 THEN '<p>none' ELSE '<base href=/r/>' END")
-    rows = documents.parse_pages(_pages(spark, d).withColumn("html", html))
+    made = "CASE page_id % 3 WHEN 0 THEN '<base target=t><base href=http://b.example/x/><base href=/no/>' WHEN 1 THEN '' ELSE '<base href=/r/>' END"
+    rows = documents.parse_pages(_spliced(spark, d, made, "<head>"))
     return rows.select("page_id", documents.base_url(F.col("nodes"), F.col("url")).alias("base"))
 
 
-@_add("data_urls", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'text/plain;charset=US-ASCII' WHEN 1 THEN 'text/html' END AS mime, CASE page_id % 3 WHEN 0 THEN 'a b' || page_id WHEN 1 THEN 'Hi' END AS body FROM pages")
+@_add("data_urls", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'text/plain;charset=US-ASCII' WHEN 1 THEN 'text/html' END AS mime, CASE page_id % 3 WHEN 0 THEN 'a b' || page_id WHEN 1 THEN html END AS body FROM pages")
 def data_urls(spark: SparkSession, d: str) -> DataFrame:
-    url = F.expr("CASE page_id % 3 WHEN 0 THEN 'data:,a%20b' || CAST(page_id AS STRING) WHEN 1 THEN 'data:text/html;base64,SGk=' ELSE 'data:nothing' END")
+    url = F.expr("CASE page_id % 3 WHEN 0 THEN 'data:,a%20b' || CAST(page_id AS STRING) WHEN 1 THEN 'data:text/html;base64,' || base64(encode(html, 'UTF-8')) ELSE 'data:nothing' END")
     made = urls.decode_data_url(url)
     return _pages(spark, d).select("page_id", made["mime"].alias("mime"), made["body"].alias("body"))
 
@@ -347,6 +339,18 @@ def decoded_bodies(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d).select("page_id", made["body"].alias("body"), made["charset"].alias("charset"))
 
 
+def _gzip(html: pd.Series) -> pd.Series:
+    return html.map(lambda h: gzip.compress(("\ufeff" + h).encode("utf-16-le"), mtime=0))
+
+
+@_add("raw_bodies", "SELECT page_id, html, 'utf-16le' AS charset, NULL::VARCHAR AS error FROM pages")
+def raw_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies as recorded: gzip of UTF-16 with a byte-order mark, declared as Latin-1."""
+    headers = F.array(F.struct(F.lit("Content-Encoding").alias("name"), F.lit("gzip").alias("value")), F.struct(F.lit("Content-Type").alias("name"), F.lit("text/html; charset=latin1").alias("value")))
+    rows = _pages(spark, d).select("page_id", vectorised("binary")(_gzip)(F.col("html")).alias("body"), headers.alias("headers"))
+    return decode_responses(rows).select("page_id", "html", F.lower("charset").alias("charset"), F.col("error.kind").alias("error"))
+
+
 @_add("charsets", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'KOI8-R' WHEN 1 THEN 'utf-8' ELSE 'latin1' END AS label FROM pages")
 def charset_labels(spark: SparkSession, d: str) -> DataFrame:
     declared = F.expr("CASE page_id % 3 WHEN 0 THEN 'text/html; Charset=\"KOI8-R\"; x' WHEN 2 THEN 'text/html;charset=latin1' END")
@@ -355,55 +359,52 @@ def charset_labels(spark: SparkSession, d: str) -> DataFrame:
 
 # -- styles
 
-_STYLED = "'<link rel=\"StyleSheet\" href=\"/s' || CAST(page_id % 3 AS STRING) || '.css\"><link rel=stylesheet media=print href=/p.css><style>.own{display:none}</style><body><p class=h>hid</p><p class=own>own</p><p>shown'"
+_STYLED = "'<link rel=\"StyleSheet\" href=\"/s' || CAST(page_id % 3 AS STRING) || '.css\"><link rel=stylesheet media=print href=/p.css>'"
 _SHEETS = "regexp_extract(url, '^[a-z]+://[^/]+', 0) || '/s' || CAST(page_id % 3 AS STRING) || '.css'"
 
 
 @_add("external_hrefs", f"SELECT page_id, 0 AS pos, {_SHEETS} AS sheet_url FROM pages")
 def external_hrefs(spark: SparkSession, d: str) -> DataFrame:
-    return styles.external_hrefs(documents.parse_pages(_pages(spark, d).withColumn("html", F.expr(_STYLED))), "page_id")
+    return styles.external_hrefs(documents.parse_pages(_spliced(spark, d, _STYLED, "<head>")), "page_id")
 
 
-@_add("styled_text", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'shown' ELSE 'hid' || chr(10) || 'shown' END AS styled_text FROM pages")
-def styled_text(spark: SparkSession, d: str) -> DataFrame:
-    pages = _pages(spark, d).withColumn("html", F.expr(_STYLED))
-    sheets = pages.select(F.expr(_SHEETS).alias("url"), F.expr("CASE page_id % 3 WHEN 0 THEN '.h { display : none } @media print { p { display: none } }' WHEN 1 THEN 'p.h { color: red }' ELSE '}' END").alias("css")).distinct()
-    return flows.styled_text(pages, sheets).select("page_id", "styled_text")
+@_add("sheet_rules", f"SELECT page_id, 0 AS pos, {_SHEETS} AS sheet_url, CASE page_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS rules FROM pages")
+def sheet_rules(spark: SparkSession, d: str) -> DataFrame:
+    css = F.expr("CASE page_id % 3 WHEN 0 THEN '.h { display : none } @media print { p { display: none } }' WHEN 1 THEN 'p.h { color: red } @media all { b { c: d } }' ELSE '}' END")
+    sheets = _pages(spark, d).select(F.expr(_SHEETS).alias("url"), css.alias("css")).distinct()
+    return styles.sheet_rules(documents.parse_pages(_spliced(spark, d, _STYLED, "<head>")), sheets, "page_id")
 
 
-@_add("visibility_diff", "SELECT page_id, 13 AS plain_chars, 9 AS styled_chars, 4 AS hidden_chars FROM pages")
-def visibility_diff(spark: SparkSession, d: str) -> DataFrame:
-    return styles.visibility_diff(_pages(spark, d).withColumn("html", F.expr(_STYLED)), "page_id")
-
-
-@_add("bare_styles")
-def bare_styles(spark: SparkSession, d: str) -> DataFrame:
-    return styles.bare_styles(_pages(spark, d)).select("page_id", F.posexplode("styles").alias("id", "s")).select("page_id", "id", "s.display", "s.visibility")
-
-
-@_add("media_queries", "SELECT page_id, page_id % 2000 <= 1280 AS wide, page_id % 2000 > 1280 AS other FROM pages")
+@_add("media_queries", "SELECT page_id, length(html) % 2000 <= 1280 AS wide, length(html) % 2000 > 1280 AS other FROM pages")
 def media_queries(spark: SparkSession, d: str) -> DataFrame:
-    wide = F.expr("'screen and (min-width: ' || CAST(page_id % 2000 AS STRING) || 'px), weird'")
-    other = F.expr("'not all and (min-width:' || CAST(page_id % 2000 AS STRING) || 'px), print'")
+    wide = F.expr("'screen and (min-width: ' || CAST(length(html) % 2000 AS STRING) || 'px), weird'")
+    other = F.expr("'not all and (min-width:' || CAST(length(html) % 2000 AS STRING) || 'px), print'")
     return _pages(spark, d).select("page_id", styles.media_matches(wide).alias("wide"), styles.media_matches(other).alias("other"))
 
 
-@_add("stylesheet_rules", "SELECT page_id, 2 + (CASE WHEN page_id % 2000 <= 1280 THEN 1 ELSE 0 END) AS rules, 1 AS important FROM pages")
+@_add("stylesheet_rules", "SELECT page_id, 2 + len(regexp_extract_all(html, '<style>')) + (CASE WHEN length(html) % 2000 <= 1280 THEN 1 ELSE 0 END) AS rules, 1 AS important FROM pages")
 def stylesheet_rules(spark: SparkSession, d: str) -> DataFrame:
-    css = F.expr("'/* c */ a > b, .x{color:red!important;bad} @import url(x); bad{ } #id{y:z} @media (min-width:' || CAST(page_id % 2000 AS STRING) || 'px){ p{a:b} }'")
-    rules = styles.parse_stylesheet(css)
-    return _pages(spark, d).select("page_id", rules.alias("r")).select("page_id", F.size("r").alias("rules"), F.size(F.filter(F.flatten(F.transform("r", lambda x: x["decls"])), lambda x: x["important"])).alias("important"))
+    """The page's own sheet and more rules behind it."""
+    more = F.expr("'/* c */ a > b, .x{color:red!important;bad} @import url(x); bad{ } #id{y:z} @media (min-width:' || CAST(length(html) % 2000 AS STRING) || 'px){ p{a:b} }'")
+    own = F.array_join(F.transform(documents.elements_of(F.col("nodes"), "style"), lambda n: documents.text_content(F.col("nodes"), n)), " ")
+    rows = _nodes(spark, d).select("page_id", F.concat(own, more).alias("css")).select("page_id", styles.parse_stylesheet(F.col("css")).alias("r"))
+    return rows.select("page_id", F.size("r").cast("long").alias("rules"), F.size(F.filter(F.flatten(F.transform("r", lambda x: x["decls"])), lambda x: x["important"])).alias("important"))
 
 
 # -- navigation
 
-_REFRESHED = "CASE page_id % 5 WHEN 0 THEN '<meta http-equiv=refresh content=\"0; url=/r\">' WHEN 1 THEN '<meta http-equiv=refresh content=\"5;url=/r\">' WHEN 2 THEN '<meta http-equiv=refresh content=x><meta http-equiv=Refresh content=\"0;URL=''http://n.example/q''z\">' ELSE '<p>stay' END"
+_REFRESHED = "CASE page_id % 5 WHEN 0 THEN '<meta http-equiv=refresh content=\"0; url=/r\">' WHEN 1 THEN '<meta http-equiv=refresh content=\"5;url=/r\">' WHEN 2 THEN '<meta http-equiv=refresh content=x><meta http-equiv=Refresh content=\"0;URL=''http://n.example/q''z\">' ELSE '' END"
+_REFRESH = "CASE page_id % 7 WHEN 3 THEN '0; url=/h#f' WHEN 4 THEN '0;' || split_part(url, '#', 1) || '#part' WHEN 5 THEN 'no refresh' END"
 
 
-@_add("refresh_targets", "SELECT page_id, CASE page_id % 5 WHEN 0 THEN regexp_extract(url, '^[a-z]+://[^/]+', 0) || '/r' WHEN 2 THEN 'http://n.example/q' END AS target FROM pages")
+@_add("refresh_targets", f"""
+SELECT page_id, CASE WHEN page_id % 7 = 3 THEN regexp_extract(url, '^[a-z]+://[^/]+', 0) || '/h#f' WHEN page_id % 7 = 4 THEN NULL
+                     WHEN page_id % 5 = 0 THEN regexp_extract(url, '^[a-z]+://[^/]+', 0) || '/r' WHEN page_id % 5 = 2 THEN 'http://n.example/q' END AS target FROM pages""")
 def refresh_targets(spark: SparkSession, d: str) -> DataFrame:
-    rows = documents.parse_pages(_pages(spark, d).withColumn("html", F.expr(_REFRESHED)))
-    return rows.select("page_id", navigation.refresh_target(F.col("nodes"), F.col("url"), F.array().cast("array<struct<name:string,value:string>>")).alias("target"))
+    """Headers come first: one that goes on, one that only scrolls the page, one that is none."""
+    rows = documents.parse_pages(_spliced(spark, d, _REFRESHED, "<head>"))
+    headers = F.array_compact(F.array(F.when(F.expr(_REFRESH).isNotNull(), F.struct(F.lit("Refresh").alias("name"), F.expr(_REFRESH).alias("value")))))
+    return rows.select("page_id", navigation.refresh_target(F.col("nodes"), F.col("url"), headers).alias("target"))
 
 
 @_add("redirect_targets", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN regexp_extract(url, '^[a-z]+://[^/]+', 0) || '/n' END AS next, CASE page_id % 4 WHEN 1 THEN 'fetch.redirect' END AS error FROM pages")
@@ -427,6 +428,23 @@ def navigations(spark: SparkSession, d: str) -> DataFrame:
     return navigation.resolve_navigations(seeds, rows).select("nav_id", "final_url", F.size("hops").alias("n_hops"), "error")
 
 
+@_add("followed", f"""
+WITH RECURSIVE r AS (SELECT 'http://w.example/' || page_id AS addr, {_NEXT} AS nxt FROM pages),
+go AS (SELECT page_id AS nav_id, 'http://w.example/' || page_id AS now, 1 AS n FROM pages UNION ALL SELECT nav_id, nxt, n + 1 FROM go JOIN r ON now = addr WHERE nxt IS NOT NULL AND n < 10),
+ends AS (SELECT nav_id, max(n) AS n, arg_max(now, n) AS last FROM go GROUP BY nav_id)
+SELECT nav_id, CASE WHEN nxt IS NULL THEN last END AS final_url, n::INTEGER AS n_hops, CASE WHEN nxt IS NOT NULL THEN 'fetch.redirect' END AS error FROM ends JOIN r ON last = addr""")
+def followed(spark: SparkSession, d: str) -> DataFrame:
+    """Redirects (odd pages) and refreshes within each page's own html (even ones) on one budget."""
+    moved = f"page_id % 2 = 1 AND ({_NEXT}) IS NOT NULL"
+    pages = _spliced(spark, d, f"CASE WHEN page_id % 2 = 0 THEN coalesce('<meta http-equiv=refresh content=\"0;url=' || ({_NEXT}) || '\">', '') ELSE '' END", "<head>")
+    answers = pages.select(
+        F.expr("'http://w.example/' || CAST(page_id AS STRING)").alias("url"), F.expr(f"CASE WHEN {moved} THEN 302 ELSE 200 END").alias("status"),
+        F.expr(f"CASE WHEN {moved} THEN array(named_struct('name', 'Location', 'value', {_NEXT})) ELSE array() END").alias("headers"), "html",
+    )
+    seeds = pages.select(F.col("page_id").alias("nav_id"), F.expr("'http://w.example/' || CAST(page_id AS STRING)").alias("url"))
+    return flows.follow(seeds, answers).select("nav_id", "final_url", F.size("hops").alias("n_hops"), "error")
+
+
 _ATTEMPT = "SELECT event_id // 3 AS nav_id, event_id % 3 AS attempt, event_id % 4 = 1 AS challenged, event_id % 5 = 2 AS failed FROM events"
 
 
@@ -539,12 +557,12 @@ _JA4_HEAD = "'t13d0203' || CASE WHEN event_id % 2 = 0 THEN 'h2' ELSE '00' END"
 
 
 @_add("ja4", f"""
-WITH p AS (SELECT event_id, {_JA4_HEAD} AS head, printf('%04x', 4864 + event_id % 200) AS a, printf('%04x', 4865 + event_id % 300) AS b, printf('%04x', 20 + event_id % 7) AS e FROM events),
+WITH p AS (SELECT event_id, {_JA4_HEAD} AS head, printf('%04x', 4864 + user_id % 200) AS a, printf('%04x', 4865 + length(props) * 7 % 300) AS b, printf('%04x', 20 + event_id % 7) AS e FROM events),
 s AS (SELECT event_id, head, array_to_string(list_sort([a, b]), ',') AS c, e || '_0403,' || '0804' AS x FROM p)
 SELECT event_id, head || '_' || c || '_' || x AS raw, head || '_' || substr(sha256(c), 1, 12) || '_' || substr(sha256(x), 1, 12) AS ja4 FROM s""")
 def ja4(spark: SparkSession, d: str) -> DataFrame:
     hello = F.struct(
-        F.lit(0x0304).alias("version"), F.lit(True).alias("sni"), F.array(F.lit(0x1A1A), (F.lit(4864) + F.col("event_id") % 200).cast("int"), (F.lit(4865) + F.col("event_id") % 300).cast("int")).alias("ciphers"),
+        F.lit(0x0304).alias("version"), F.lit(True).alias("sni"), F.array(F.lit(0x1A1A), (F.lit(4864) + F.col("user_id") % 200).cast("int"), (F.lit(4865) + F.length("props") * 7 % 300).cast("int")).alias("ciphers"),
         F.array(F.lit(0x0A0A), F.lit(0), F.lit(16), (F.lit(20) + F.col("event_id") % 7).cast("int")).alias("extensions"), F.array(F.lit(0x0403), F.lit(0x0804)).alias("sig_algs"), F.when(F.col("event_id") % 2 == 0, "h2").otherwise("").alias("alpn"),
     )
     return _events(spark, d).select("event_id", hello.alias("h")).select("event_id", comparison.ja4_raw(F.col("h")).alias("raw"), comparison.ja4(F.col("h")).alias("ja4"))
@@ -593,15 +611,17 @@ def projected_text(spark: SparkSession, d: str) -> DataFrame:
 @_add("projected_forms", """
 SELECT page_id, unnest(['form ' || 'http://b.example/d/' || page_id % 3 || ' post', '  input type="text" name="q"', '  textarea type="" name="t"', '  select type="" name="s"', 'form http://b.example/d/ get']) AS line FROM pages""")
 def projected_forms(spark: SparkSession, d: str) -> DataFrame:
-    made = views.forms(documents.parse_pages(_pages(spark, d).withColumn("html", F.expr(_FORM))), "page_id")
+    made = views.forms(documents.parse_pages(_spliced(spark, d, _FORM)), "page_id")
     listed = made.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("pos", "action", "method", "fields"))).alias("f"))
     return listed.select("page_id", F.explode(comparison.project_forms(F.col("f"), F.lit("http://page.example/x/p.html"))).alias("line"))
 
 
-@_add("projected_boxes", "SELECT page_id, '0 html,2 body,3 p' AS line FROM pages")
+@_add("projected_boxes", """
+SELECT page_id, '7 nav,' || (9 + 2 * n) || ' div,' || (10 + 2 * n) || ' article,' || (11 + 2 * n) || ' h1' AS line FROM (SELECT page_id, len(regexp_extract_all(html, '<li>')) AS n FROM pages)""")
 def projected_boxes(spark: SparkSession, d: str) -> DataFrame:
-    made = documents.derive(_pages(spark, d).withColumn("html", F.expr(_LAID)), ["boxes"])
-    return made.select("page_id", F.array_join(comparison.project_boxes(F.col("boxes")), ",").alias("line"))
+    """Boxes of a page's parts, as a recording holds them, out of order."""
+    boxes = F.reverse(F.transform(documents.elements_of(F.col("nodes"), "nav", "div", "article", "h1"), lambda n: F.struct(n["ord"].alias("i"), n["name"].alias("tag"))))
+    return _nodes(spark, d).select("page_id", F.array_join(comparison.project_boxes(boxes), ",").alias("line"))
 
 
 @_add("projected_ax", """
@@ -621,14 +641,14 @@ _FOLDED = "CASE page_id % 3 WHEN 0 THEN '<details><summary>s</summary><p>x</p></
 
 @_add("concealment", "SELECT page_id, true AS unpainted, page_id % 3 <> 1 AS concealed FROM pages")
 def concealment(spark: SparkSession, d: str) -> DataFrame:
-    rows = documents.parse_pages(_pages(spark, d).withColumn("html", F.expr(_FOLDED)))
-    return documents.elements(rows, "p", "page_id").select("page_id", "unpainted", "concealed")
+    rows = documents.parse_pages(_spliced(spark, d, _FOLDED))
+    return documents.elements(rows, "p", "page_id").filter("unpainted").select("page_id", "unpainted", "concealed")
 
 
 @_add("ax_roles", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'banner' ELSE 'sectionheader' END AS role, CASE WHEN page_id % 4 < 2 THEN 'n' || page_id END AS name FROM pages")
 def ax_roles(spark: SparkSession, d: str) -> DataFrame:
-    html = F.expr("CASE WHEN page_id % 2 = 0 THEN '' ELSE '<article>' END || '<header' || CASE WHEN page_id % 4 < 2 THEN ' aria-label=n' || CAST(page_id AS STRING) ELSE '' END || '>x</header>'")
-    return views.roles(_pages(spark, d).withColumn("html", html), "page_id").filter("role in ('banner', 'sectionheader')").select("page_id", "role", "name")
+    made = ("CASE WHEN page_id % 2 = 0 THEN '' ELSE '<article>' END || '<header' || CASE WHEN page_id % 4 < 2 THEN ' aria-label=n' || CAST(page_id AS STRING) ELSE '' END || '>x</header>' || CASE WHEN page_id % 2 = 0 THEN '' ELSE '</article>' END")
+    return views.roles(documents.parse_pages(_spliced(spark, d, made)), "page_id").filter("role in ('banner', 'sectionheader')").select("page_id", "role", "name")
 
 
 # -- disclosure
@@ -653,7 +673,7 @@ def leak_findings(spark: SparkSession, d: str) -> DataFrame:
     return disclosure.leak_findings(_documents(spark, d), "doc_id", "text")
 
 
-_DERIVED = "CASE page_id % 6 WHEN 0 THEN 'mail a' || CAST(page_id AS STRING) || '@corp.io now' WHEN 1 THEN 'see /home/bob/x and /home/u/y' WHEN 2 THEN 'AS64500 AS123 at 2a02:1:2::5' WHEN 3 THEN 'lat: 12.345, x' WHEN 4 THEN '> Human: hello' ELSE 'mac 00:11:22:aa:bb:cc password=\"abc12345\"' END"
+_DERIVED = "CASE page_id % 6 WHEN 0 THEN 'mail a' || CAST(page_id AS STRING) || '@corp.io now' WHEN 1 THEN 'see /home/bob/x and /home/u/y' WHEN 2 THEN 'AS64500 AS123 at 2a02:1:2::5' WHEN 3 THEN 'lat: 12.345, x' WHEN 4 THEN '> Human: hello' ELSE 'mac 00:11:22:aa:bb:cc password=\"abc12345\"' END || chr(10) || html"
 
 
 @_add("leak_findings_derived", f"{_scan_sql(f'SELECT page_id AS id, {_DERIVED} AS text FROM pages')} SELECT id, line::INTEGER AS line, rule, excerpt FROM found")
@@ -661,6 +681,17 @@ def leak_findings_derived(spark: SparkSession, d: str) -> DataFrame:
     return disclosure.leak_findings(_pages(spark, d).select("page_id", F.expr(_DERIVED).alias("text")), "page_id", "text")
 
 
+@_add("rule_selftest", f"""{_scan_sql(f"SELECT page_id AS id, {_DERIVED} AS text FROM pages")}
+SELECT 'clean' AS rule, id::INTEGER AS line_no, 'flagged' AS problem FROM found WHERE id % 3 = 0 GROUP BY id
+UNION ALL SELECT 'personal-email', p.page_id, 'not flagged' FROM pages p WHERE page_id % 3 <> 0 AND page_id NOT IN (SELECT id FROM found WHERE rule = 'personal-email')
+UNION ALL SELECT 'personal-email', page_id, 'no marker' FROM pages WHERE page_id % 3 <> 0""")
+def rule_selftest(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as fixtures that must be clean, or must hold an address (and a marker, which none does)."""
+    rule = F.when(F.col("page_id") % 3 == 0, "clean").otherwise("personal-email")
+    fixtures = _pages(spark, d).select(rule.alias("rule"), F.col("page_id").cast("int").alias("line_no"), F.expr(_DERIVED).alias("text"), (F.col("page_id") % 3 != 0).alias("must_flag"))
+    return disclosure.rule_selftest(fixtures)
+
+
 @_add("leak_summary", f"{_scan_sql(_DOCS)} SELECT rule, count(*)::BIGINT AS findings, count(DISTINCT id)::BIGINT AS ids FROM found GROUP BY rule")
 def leak_summary(spark: SparkSession, d: str) -> DataFrame:
     return flows.disclosure_report(_documents(spark, d), "doc_id", "text").drop("advice")
@@ -671,7 +702,7 @@ def scan_verdict(spark: SparkSession, d: str) -> DataFrame:
     return disclosure.is_clean(disclosure.leak_findings(_table(spark, d, "conversations"), "conv_id", "text"))
 
 
-_PATH = "CASE doc_id % 6 WHEN 0 THEN 'a/.env' WHEN 1 THEN 'src/x.rs' WHEN 2 THEN '.ssh/config' WHEN 3 THEN 'k/id_rsa.pub' WHEN 4 THEN 'd/server.pem' ELSE 'env/readme' END"
+_PATH = "coalesce(source, 'none') || '/' || CASE doc_id % 6 WHEN 0 THEN 'a/.env' WHEN 1 THEN 'src/x.rs' WHEN 2 THEN '.ssh/config' WHEN 3 THEN 'k/id_rsa.pub' WHEN 4 THEN 'd/server.pem' ELSE 'env/readme' END"
 
 
 @_add("forbidden_paths", f"SELECT doc_id, {_PATH} AS path, 'forbidden-path' AS rule FROM documents WHERE doc_id % 6 IN (0, 2, 3, 4)")

@@ -1,15 +1,13 @@
-"""Style sheets: parsing, media queries, selectors and the cascade for what decides visibility."""
+"""Style sheets: rules, media queries and selectors, parsed."""
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
 
-from pagegrain.functions.page import BLOCK, WHITE, Page, words
+from pagegrain.functions.page import WHITE
 
 VIEWPORT = (1280, 720)
-_DISPLAY = frozenset(("none", "block", "inline", "inline-block", "list-item", "flex", "inline-flex"))
-_DIRECTIONS = frozenset(("row", "row-reverse", "column", "column-reverse"))
 _COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.S)
 
 
@@ -172,42 +170,6 @@ class Selector:
     def __init__(self, parts: list[tuple[str, list[tuple]]], pseudo: str | None, supported: bool, specificity: tuple[int, int, int]):
         self.parts, self.pseudo, self.supported, self.specificity = parts, pseudo, supported, specificity
 
-    def matches(self, page: Page, i: int) -> bool:
-        if not self.supported:
-            return False
-        return self._at(page, i, len(self.parts) - 1)
-
-    def _at(self, page: Page, i: int, k: int) -> bool:
-        if not _compound(self.parts[k][1], page, i):
-            return False
-        if k == 0:
-            return True
-        up = page.parent[i]
-        if self.parts[k][0] == ">":
-            return up >= 0 and self._at(page, up, k - 1)
-        while up >= 0:
-            if self._at(page, up, k - 1):
-                return True
-            up = page.parent[up]
-        return False
-
-
-def _compound(simples: list[tuple], page: Page, i: int) -> bool:
-    attrs = page.attrs[i]
-    for kind, a, b in simples:
-        if kind == "tag":
-            if page.name[i] != a:
-                return False
-        elif kind == "cls":
-            if a not in words(attrs.get("class", "")):
-                return False
-        elif kind == "id":
-            if attrs.get("id") != a:
-                return False
-        elif kind == "attr" and (a not in attrs or b is not None and attrs[a] != b):
-            return False
-    return True
-
 
 @lru_cache(65536)
 def compile_selector(s: str) -> Selector | None:
@@ -273,122 +235,3 @@ def parse_query(selectors: str) -> list[Selector]:
             raise ValueError(f"unsupported selector: {part.strip()!r}")
         out.append(s)
     return out
-
-
-def select(page: Page, selectors: list[Selector], scope: int | None = None) -> list[int]:
-    """Ids of matching elements in document order; with a scope, strict descendants of it."""
-    ids = range(len(page.rows)) if scope is None else range(scope + 1, page.last[scope] + 1)
-    return [i for i in ids if page.name[i] is not None and any(s.matches(page, i) for s in selectors)]
-
-
-_ESCAPE = re.compile(r"\\(?:(\r\n|[\n\r\f])|([0-9A-Fa-f]{1,6})(?:\r\n|[" + re.escape(WHITE) + r"])?|(.)|$)", re.S)
-
-
-def _unescape(m: re.Match) -> str:
-    if m[2]:
-        v = int(m[2], 16)
-        return chr(v) if 0 < v < 0x110000 and not 0xD800 <= v < 0xE000 else "\ufffd"
-    return m[3] or ""
-
-
-def generated(raw: str, attrs: dict[str, str]) -> str:
-    """The text of a content value: strings and attr()."""
-    out = []
-    for m in re.finditer(r'"((?:[^"\\]|\\.)*)"?|\'((?:[^\'\\]|\\.)*)\'?|attr\(([^)]*)\)|[^\s"\']+', raw, re.S):
-        if m[3] is not None:
-            out.append(attrs.get(m[3].strip(WHITE), ""))
-        elif m[1] is not None or m[2] is not None:
-            out.append(_ESCAPE.sub(_unescape, m[1] if m[1] is not None else m[2]))
-    return "".join(out)
-
-
-class Index:
-    """Rules by the most telling simple selector of their last compound, so an element meets few of them."""
-
-    def __init__(self, sheets: list[list[dict]]):
-        self.by: dict[tuple, list] = {}
-        self.count = 0
-        for sheet in sheets:
-            for rule in sheet:
-                for text in rule["selectors"]:
-                    s = compile_selector(text)
-                    if s is not None and s.supported:
-                        last = s.parts[-1][1]
-                        key = next(((k, a) for want in ("id", "cls", "tag") for k, a, _ in last if k == want), None)
-                        self.by.setdefault(key, []).append((self.count, s, rule["decls"]))
-                self.count += 1
-
-    def candidates(self, page: Page, i: int) -> list:
-        attrs = page.attrs[i]
-        keys = [None, ("tag", page.name[i])]
-        if "id" in attrs:
-            keys.append(("id", attrs["id"]))
-        keys += [("cls", c) for c in dict.fromkeys(words(attrs.get("class", "")))]
-        return [c for k in keys for c in self.by.get(k, ())]
-
-
-def computed_styles(page: Page, sheets: list[list[dict]], scripting: bool = False, own_sheets: bool = True) -> list[dict]:
-    """The style of each node: display, order, flex_direction, visibility, before, after.
-
-    ``sheets`` come first, then the page's style elements, then inline styles. The winner is the last of the
-    greatest by (important, inline, specificity, order); visibility is inherited; concealment is not overridable.
-    """
-    own = [parse_stylesheet(page.text_content(i)) for i in page.elements("style")] if own_sheets else []
-    index = Index([*sheets, *own])
-    out: list[dict] = []
-    for i in range(len(page.rows)):
-        style = {"display": "inline", "order": 0, "flex_direction": "row", "visibility": "visible", "before": None, "after": None}
-        if page.name[i] is not None:
-            parent = page.parent[i]
-            inherited = out[parent]["visibility"] if parent >= 0 else "visible"
-            style = _style(page, i, index, inherited, scripting)
-        if page.concealed(i):
-            style["display"] = "none"
-        out.append(style)
-    return out
-
-
-def _style(page: Page, i: int, index: Index, inherited: str, scripting: bool) -> dict:
-    best: dict[tuple, tuple] = {}
-
-    def apply(pseudo, name, value, key) -> None:
-        have = best.get((pseudo, name))
-        if have is None or key >= have[0]:
-            best[(pseudo, name)] = (key, value)
-
-    for order, s, decls in sorted((c for c in index.candidates(page, i) if c[1].matches(page, i)), key=lambda c: c[0]):
-        for d in decls:
-            apply(s.pseudo, d["name"], d["value"], (d["important"], False, s.specificity, order))
-    attrs = page.attrs[i]
-    for name, value, important in parse_declarations(attrs["style"]) if "style" in attrs else ():
-        apply(None, name, value, (important, True, (0, 0, 0), index.count))
-    name = page.name[i]
-    if not best and "hidden" not in attrs and name not in ("input", "noscript", "datalist"):
-        shown = "list-item" if name == "li" else "block" if name in BLOCK else "inline"
-        return {"display": shown, "order": 0, "flex_direction": "row", "visibility": inherited, "before": None, "after": None}
-    value = lambda name, pseudo=None: (best.get((pseudo, name)) or (None, None))[1]
-    display = value("display")
-    if name == "input" and attrs.get("type", "").lower() == "hidden":
-        shown = "none"
-    elif display is not None:
-        display = display.strip(WHITE).lower()
-        shown = display if display in _DISPLAY else "block"
-    elif "hidden" in attrs or scripting and name == "noscript" or name == "datalist":
-        shown = "none"
-    else:
-        shown = "list-item" if name == "li" else "block" if name in BLOCK else "inline"
-    visibility = value("visibility")
-    direction = (value("flex-direction") or "row").strip(WHITE).lower()
-    order = (value("order") or "").strip(WHITE)
-
-    def made(pseudo: str) -> str | None:
-        if (value("display", pseudo) or "").strip(WHITE).lower() == "none":
-            return None
-        raw = value("content", pseudo)
-        return None if raw is None or raw.strip(WHITE).lower() in ("none", "normal") else generated(raw, attrs)
-
-    return {
-        "display": shown, "order": int(order) if re.fullmatch(r"[+-]?[0-9]+", order) else 0, "flex_direction": direction if direction in _DIRECTIONS else "row",
-        "visibility": inherited if visibility is None else "hidden" if visibility.strip(WHITE).lower() in ("hidden", "collapse") else "visible",
-        "before": made("before"), "after": made("after"),
-    }

@@ -1,14 +1,8 @@
-"""What can be read off one parsed page: text, concealment, content signals, serialised forms.
-
-Everything here works on ``Page``, an index over the preorder rows of ``html.flatten``. Walks are loops
-over preorder ids or explicit stacks, so depth is no limit.
-"""
+"""The rows of a page's ``nodes`` column: the parsed tree in preorder, with what every view asks of a node."""
 
 from __future__ import annotations
 
-import json
-
-from pagegrain.functions.html import RAW, VOID, flatten, parse
+from pagegrain.functions.html import flatten, parse
 
 # Element sets that define the views.
 BLOCK = frozenset((
@@ -23,7 +17,6 @@ SECTIONING = frozenset(("article", "aside", "main", "nav", "section"))
 #: The characters that Unicode calls white space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 # End of fixed values.
-_WHITE = frozenset(WHITE)
 _TO_SPACE = {ord(c): " " for c in WHITE}
 
 
@@ -32,227 +25,34 @@ def words(text: str) -> list[str]:
     return [w for w in text.translate(_TO_SPACE).split(" ") if w]
 
 
-def collapse(text: str) -> str:
-    return " ".join(words(text))
-
-
-class Page:
-    """The nodes of a page by preorder id."""
-
-    def __init__(self, rows: list[tuple]):
-        self.rows = rows
-        self.parent = [r[1] for r in rows]
-        self.last = [r[2] for r in rows]
-        self.kind = [r[5] for r in rows]
-        self.name = [r[6] if r[5] == "element" else None for r in rows]
-        self.attrs = [dict(reversed(r[7])) if r[7] else {} for r in rows]
-        self.text = [r[8] for r in rows]
-        self.children: list[list[int]] = [[] for _ in rows]
-        self.roots: list[int] = []
-        for i, p in enumerate(self.parent):
-            (self.roots if p < 0 else self.children[p]).append(i)
-
-    @classmethod
-    def of(cls, html: str | None) -> Page:
-        return cls(flatten(parse(html)))
-
-    def elements(self, *names: str) -> list[int]:
-        return [i for i, n in enumerate(self.name) if n in names]
-
-    def text_content(self, i: int) -> str:
-        """All text below a node; a text's or comment's own data."""
-        if self.kind[i] in ("text", "comment"):
-            return self.text[i] or ""
-        return "".join(self.text[k] for k in range(i + 1, self.last[i] + 1) if self.kind[k] == "text")
-
-    def swallowed(self, i: int, swallowing: frozenset[str]) -> bool:
-        """Whether a node's parent takes its place: fallback content, or the body of a closed details element."""
-        p = self.parent[i]
-        if p < 0 or self.name[p] is None:
-            return False
-        if self.name[p] in swallowing:
-            return True
-        if self.name[p] == "details" and "open" not in self.attrs[p]:
-            return next((c for c in self.children[p] if self.name[c] == "summary"), None) != i
-        return False
-
-    def unpainted(self, i: int) -> bool:
-        return self.swallowed(i, UNPAINTED_CHILDREN)
-
-    def concealed(self, i: int) -> bool:
-        return self.swallowed(i, HIDDEN_CHILDREN)
-
-
-class _Text:
-    """Text with collapsed white space and line breaks between blocks."""
-
-    def __init__(self):
-        self.out: list[str] = []
-        self.pre = 0
-        self.broken = self.spaced = False
-
-    def ends_line(self) -> bool:
-        return not self.out or self.out[-1].endswith("\n")
-
-    def flush(self) -> None:
-        if self.broken:
-            if not self.ends_line():
-                self.out.append("\n")
-        elif self.spaced:
-            self.out.append(" ")
-        self.broken = self.spaced = False
-
-    def push(self, s: str) -> None:
-        if not s:
-            if self.pre:
-                self.flush()
-            return
-        if self.pre:
-            self.flush()
-            self.out.append(s)
-            return
-        parts = words(s)
-        if not parts:
-            self.spaced = True
-            return
-        if s[0] in _WHITE:
-            self.spaced = True
-        self.flush()
-        self.out.append(" ".join(parts))
-        self.spaced = s[-1] in _WHITE
-
-    def line(self) -> None:
-        if self.pre:
-            self.out.append("\n")
-        else:
-            self.spaced, self.broken = False, True
-
-    def block(self) -> None:
-        if not self.pre:
-            self.spaced, self.broken = False, True
-
-
-def text_view(page: Page, styles: list[dict] | None = None) -> str:
-    """The page's text in source order; with styles, without what they hide and with generated content."""
-    out = _Text()
-    stack: list = [(r, True) for r in reversed(page.roots)]
-    while stack:
-        item = stack.pop()
-        if callable(item):
-            item()
-            continue
-        i, shown = item
-        if page.kind[i] == "text":
-            if shown:
-                out.push(page.text[i])
-            continue
-        name = page.name[i]
-        if name is None or name in SKIPPED:
-            continue
-        style = styles[i] if styles else None
-        if style and style["display"] == "none":
-            continue
-        if name == "br":
-            out.line()
-            continue
-        visible = not style or style["visibility"] == "visible"
-        block = name in BLOCK
-        if block:
-            out.block()
-        if name == "pre":
-            out.pre += 1
-        if visible and style and style["before"] is not None:
-            out.push(style["before"])
-
-        def leave(name=name, block=block, after=style["after"] if visible and style else None) -> None:
-            if after is not None:
-                out.push(after)
-            if name == "pre":
-                out.pre -= 1
-            if block:
-                out.block()
-
-        stack.append(leave)
-        stack += [(c, visible) for c in reversed(page.children[i]) if not page.unpainted(c)]
-    return "".join(out.out).rstrip(" \n")
-
-
-def content_signals(page: Page, styles: list[dict] | None = None) -> tuple[bool, bool]:
-    """(has text, has label) of the first body, less page chrome and what does not render."""
-    bodies = page.elements("body")
-    has_text = has_label = False
-    stack = [(b, False) for b in bodies[:1]]
-    while stack:
-        i, sectioned = stack.pop()
-        name = page.name[i]
-        if page.unpainted(i) or (styles[i]["display"] == "none" if styles else name is not None and "hidden" in page.attrs[i]):
-            continue
-        if page.kind[i] == "text":
-            has_text |= bool(page.text[i].strip(WHITE))
-        elif name is not None:
-            if name in ("script", "style", "noscript", "template", "nav", "aside") or name in ("header", "footer") and not sectioned:
-                continue
-            has_label |= any(page.attrs[i].get(a, "").strip(WHITE) for a in ("alt", "aria-label"))
-            stack += [(c, sectioned or name in SECTIONING) for c in page.children[i]]
-    return has_text, has_label
-
-
-def dom_json(page: Page) -> str:
-    """The nested JSON of the tree."""
-
-    def one(i: int, children: list) -> dict:
-        if page.kind[i] == "element":
-            return {"type": "element", "name": page.name[i], "attrs": page.attrs_in_order(i), "children": children}
-        if page.kind[i] == "doctype":
-            return {"type": "doctype"}
-        return {"type": page.kind[i], "value": page.text[i]}
-
-    made: list = [None] * len(page.rows)
-    for i in range(len(page.rows) - 1, -1, -1):
-        made[i] = one(i, [made[c] for c in page.children[i]])
-    return json.dumps([made[r] for r in page.roots], ensure_ascii=False, separators=(",", ":"))
-
-
-def _attrs_in_order(self: Page, i: int) -> dict[str, str]:
-    out: dict[str, str] = {}
-    for k, v in self.rows[i][7] or ():
-        out.setdefault(k, v)
-    return out
-
-
-Page.attrs_in_order = _attrs_in_order
-
-
-def _escape(s: str, attribute: bool = False) -> str:
-    s = s.replace("&", "&amp;").replace("\xa0", "&nbsp;").replace("<", "&lt;").replace(">", "&gt;")
-    return s.replace('"', "&quot;") if attribute else s
-
-
-def inner_html(page: Page, i: int) -> str:
-    return "".join(_serialise(page, page.children[i], page.name[i] in RAW))
-
-
-def outer_html(page: Page, i: int) -> str:
-    return "".join(_serialise(page, [i], False))
-
-
-def _serialise(page: Page, roots: list[int], raw: bool):
-    stack: list = [(r, raw) for r in reversed(roots)]
-    while stack:
-        item = stack.pop()
-        if isinstance(item, str):
-            yield item
-            continue
-        i, raw = item
-        name = page.name[i]
-        if page.kind[i] == "comment":
-            yield f"<!--{page.text[i]}-->"
-        elif page.kind[i] == "doctype":
-            yield ""
-        elif name is None:
-            yield page.text[i] if raw else _escape(page.text[i])
-        else:
-            yield f"<{name}" + "".join(f' {k}="{_escape(v, True)}"' for k, v in page.attrs_in_order(i).items()) + ">"
-            if name not in VOID:
-                stack.append(f"</{name}>")
-                stack += [(c, name in RAW or name == "plaintext") for c in reversed(page.children[i])]
+def node_rows(html: str | None) -> list[dict]:
+    """The nodes of a page by preorder id.
+
+    ``unpainted`` and ``concealed``: its parent takes its place (fallback content, the body of a closed details element).
+    ``shown``: neither it nor anything above it is unpainted or of an element without text. ``pre``: below a pre element.
+    """
+    rows = [
+        {"id": me, "parent": up, "last": last, "depth": depth, "ord": number, "kind": kind, "name": name if kind == "element" else None, "attrs": attrs, "text": text}
+        for me, up, last, depth, number, kind, name, attrs, text in flatten(parse(html))
+    ]
+    summary: dict[int, int] = {}
+    for r in rows:
+        if r["attrs"] is not None:
+            first: dict[str, str] = {}
+            for k, v in r["attrs"]:
+                first.setdefault(k, v)
+            r["attrs"] = [{"name": k, "value": v} for k, v in first.items()]
+        up = rows[r["parent"]] if r["parent"] >= 0 else None
+        of = up["name"] if up else None
+        if r["name"] == "summary" and of == "details":
+            summary.setdefault(r["parent"], r["id"])
+        r["unpainted"], r["concealed"] = of in UNPAINTED_CHILDREN, of in HIDDEN_CHILDREN
+        r["shown"] = (up is None or up["shown"]) and r["name"] not in SKIPPED and not r["unpainted"]
+        r["pre"] = up is not None and (up["pre"] or of == "pre")
+    for r in rows:
+        up = rows[r["parent"]] if r["parent"] >= 0 else None
+        if up and up["name"] == "details" and all(a["name"] != "open" for a in up["attrs"]) and summary.get(up["id"]) != r["id"]:
+            r["unpainted"] = r["concealed"] = True
+        if up and (r["unpainted"] or not up["shown"]):
+            r["shown"] = False
+    return rows

@@ -1,7 +1,7 @@
 """Pages to nodes, and what built-in expressions read off the ``nodes`` column.
 
-``derive`` is the one pass over html: it parses each page once and returns every output asked for.
-``nodes`` is an array in preorder: the descendants of n are the nodes with n.id < id <= n.last.
+``parse_pages`` is the one pass over html. ``nodes`` is an array in preorder, with a node's id as its place:
+the descendants of n are the nodes with n.id < id <= n.last.
 """
 
 from __future__ import annotations
@@ -13,108 +13,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagegrain.functions import css, layout, names, page as pages
-from pagegrain.functions.html import flatten, parse
+from pagegrain.functions.page import node_rows
 from pagegrain.functions.urls import resolve
 from pagegrain.operators.responses import WHITE, ascii_lower, trim_white
 
-NODES = "array<struct<id:int,parent:int,last:int,depth:int,ord:int,kind:string,name:string,attrs:array<struct<name:string,value:string>>,text:string,unpainted:boolean,concealed:boolean>>"
-STYLES = "array<struct<display:string,order:int,flex_direction:string,visibility:string,before:string,after:string>>"
-RULES = "array<struct<selectors:array<string>,decls:array<struct<name:string,value:string,important:boolean>>>>"
-OUTLINE = "array<struct<seq:int,depth:int,role:string,name:string,level:int>>"
-ROLES = "array<struct<id:int,role:string,name:string>>"
-BOXES = "array<struct<pos:int,i:int,tag:string,x:int,y:int,w:int,h:int,text:string>>"
-
-#: What ``derive`` can return, with types.
-OUTPUTS = {
-    "nodes": NODES, "text": "string", "styled_text": "string", "has_text": "boolean", "has_label": "boolean", "styled_has_text": "boolean", "styled_has_label": "boolean",
-    "has_script": "boolean", "has_body": "boolean", "dom": "string", "styles": STYLES, "ax": OUTLINE, "roles": ROLES, "ax_json": "string", "boxes": BOXES,
-}
-
-_TYPES = {
-    "nodes": pa.list_(pa.struct([("id", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("depth", pa.int32()), ("ord", pa.int32()), ("kind", pa.string()), ("name", pa.string()),
-                                 ("attrs", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("text", pa.string()), ("unpainted", pa.bool_()), ("concealed", pa.bool_())])),
-    "styles": pa.list_(pa.struct([("display", pa.string()), ("order", pa.int32()), ("flex_direction", pa.string()), ("visibility", pa.string()), ("before", pa.string()), ("after", pa.string())])),
-    "ax": pa.list_(pa.struct([("seq", pa.int32()), ("depth", pa.int32()), ("role", pa.string()), ("name", pa.string()), ("level", pa.int32())])),
-    "roles": pa.list_(pa.struct([("id", pa.int32()), ("role", pa.string()), ("name", pa.string())])),
-    "boxes": pa.list_(pa.struct([("pos", pa.int32()), ("i", pa.int32()), ("tag", pa.string()), ("x", pa.int32()), ("y", pa.int32()), ("w", pa.int32()), ("h", pa.int32()), ("text", pa.string())])),
-}
-
-
-def _node_rows(p: pages.Page) -> list[dict]:
-    keys = ("id", "parent", "last", "depth", "ord", "kind", "name")
-    return [
-        dict(zip(keys, r[:7], strict=True)) | {"attrs": None if r[7] is None else [{"name": k, "value": v} for k, v in p.attrs_in_order(r[0]).items()], "text": r[8], "unpainted": p.unpainted(r[0]), "concealed": p.concealed(r[0])}
-        for r in p.rows
-    ]
-
-
-def _outputs(html: str | None, wanted: list[str], sheets: list | None, css_on: bool) -> dict:
-    p = pages.Page(flatten(parse(html)))
-    out: dict = {}
-    styles = css.computed_styles(p, sheets or []) if css_on or any(w.startswith("styled_") or w == "styles" for w in wanted) else None
-    view_styles = styles if css_on else None
-    signals = pages.content_signals(p) if "has_text" in wanted or "has_label" in wanted else None
-    styled = pages.content_signals(p, styles) if "styled_has_text" in wanted or "styled_has_label" in wanted else None
-    for w in wanted:
-        if w == "nodes":
-            out[w] = _node_rows(p)
-        elif w == "text":
-            out[w] = pages.text_view(p)
-        elif w == "styled_text":
-            out[w] = pages.text_view(p, styles)
-        elif w in ("has_text", "has_label"):
-            out[w] = signals[w == "has_label"]
-        elif w in ("styled_has_text", "styled_has_label"):
-            out[w] = styled[w == "styled_has_label"]
-        elif w == "has_script":
-            out[w] = bool(p.elements("script"))
-        elif w == "has_body":
-            out[w] = bool(p.elements("body"))
-        elif w == "dom":
-            out[w] = pages.dom_json(p)
-        elif w == "styles":
-            out[w] = styles
-        elif w == "ax":
-            out[w] = names.outline(p)
-        elif w == "roles":
-            out[w] = names.roles(p)
-        elif w == "ax_json":
-            out[w] = names.tree_json(p)
-        elif w == "boxes":
-            out[w] = layout.boxes(p, view_styles if view_styles is not None else css.computed_styles(p, [], own_sheets=False))
-    return out
-
-
-def derive(df: DataFrame, outputs: list[str], html: str = "html", sheets: str | None = None) -> DataFrame:
-    """``df`` with the asked ``OUTPUTS``, from one parse of each page.
-
-    ``sheets`` names a column of external rule lists in document order; with it ``boxes`` are laid out under author styles.
-    A null html is an empty page. Narrow: one Arrow step, no shuffle.
-    """
-    unknown = [o for o in outputs if o not in OUTPUTS]
-    if unknown:
-        raise ValueError(f"unknown outputs: {unknown}")
-    df = df.drop(*outputs)
-    names_in = df.columns
+NODES = (
+    "array<struct<id:int,parent:int,last:int,depth:int,ord:int,kind:string,name:string,attrs:array<struct<name:string,value:string>>,text:string,"
+    "unpainted:boolean,concealed:boolean,shown:boolean,pre:boolean>>"
+)
+_KINDS = [("id", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("depth", pa.int32()), ("ord", pa.int32()), ("kind", pa.string()), ("name", pa.string())]
+_FLAGS = [(c, pa.bool_()) for c in ("unpainted", "concealed", "shown", "pre")]
+_ARROW = pa.list_(pa.struct([*_KINDS, ("attrs", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("text", pa.string()), *_FLAGS]))
+
+
+def parse_pages(df: DataFrame, html: str = "html") -> DataFrame:
+    """``df`` with ``nodes``: each page parsed once. A null html is an empty page. Narrow: one Arrow step, no shuffle."""
+    df = df.drop("nodes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                extra = batch.column(sheets).to_pylist() if sheets else [None] * batch.num_rows
-                made = [_outputs(h, outputs, s, sheets is not None) for h, s in zip(batch.column(html).to_pylist(), extra, strict=True)]
-                kinds = {o: _TYPES.get(o) or (pa.string() if OUTPUTS[o] == "string" else pa.bool_()) for o in outputs}
-                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([m[o] for m in made], kinds[o]) for o in outputs)], [*names_in, *outputs])
+                made = pa.array([node_rows(h) for h in batch.column(html).to_pylist()], _ARROW)
+                yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, "nodes"])
 
-    spark = df.sparkSession
-    extra = spark.createDataFrame([], ", ".join(f"{o} {OUTPUTS[o]}" for o in outputs)).schema
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *extra.fields]))
-
-
-def parse_pages(df: DataFrame, html: str = "html") -> DataFrame:
-    """``df`` with ``nodes``."""
-    return derive(df, ["nodes"], html)
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("nodes", T._parse_datatype_string(NODES))]))
 
 
 def explode_nodes(df: DataFrame, *keys: str) -> DataFrame:
@@ -148,7 +71,7 @@ def text_content(nodes: Column, node: Column) -> Column:
     return F.when(node["kind"].isin("text", "comment"), node["text"]).otherwise(F.array_join(F.transform(parts, lambda n: n["text"]), ""))
 
 
-def dom_stats(df: DataFrame, payload: str = "dom", *keys: str) -> DataFrame:
+def dom_stats(df: DataFrame, payload: str, *keys: str) -> DataFrame:
     """elements, text_chars (UTF-8 bytes of texts), bytes and sha of the payload."""
     text = F.filter("nodes", lambda n: n["kind"] == "text")
     return df.select(
@@ -167,28 +90,6 @@ def base_url(nodes: Column, page_url: Column) -> Column:
     return F.when(F.size(bases) > 0, F.coalesce(join_or_null(page_url, F.try_element_at(bases, F.lit(1))), own)).otherwise(own)
 
 
-def select(df: DataFrame, selectors: str, *keys: str, html: str = "html", scope: str | None = None) -> DataFrame:
-    """A row (keys, id, name, outer_html, inner_html) for each element that matches, in document order.
-
-    With ``scope``, strict descendants of the first element that matches it. An unsupported selector raises ValueError.
-    """
-    compiled, within = css.parse_query(selectors), css.parse_query(scope) if scope else None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("id", pa.int32()), ("name", pa.string()), ("outer_html", pa.string()), ("inner_html", pa.string())]))
-        for batch in batches:
-            found = []
-            for text in batch.column(html).to_pylist():
-                p = pages.Page.of(text)
-                root = next(iter(css.select(p, within)), None) if within else None
-                ids = [] if within and root is None else css.select(p, compiled, root)
-                found.append([{"id": i, "name": p.name[i], "outer_html": pages.outer_html(p, i), "inner_html": pages.inner_html(p, i)} for i in ids])
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(found, kind)], [*keys, "_found"])
-
-    schema = T.StructType([*(df.schema[k] for k in keys), *df.sparkSession.createDataFrame([], "_found array<struct<id:int,name:string,outer_html:string,inner_html:string>>").schema.fields])
-    return df.select(*keys, *([html] if html not in keys else [])).mapInArrow(run, schema).select(*keys, F.inline("_found"))
-
-
 def page_scripts(df: DataFrame, *keys: str) -> DataFrame:
     """The scripts in document order: (keys, pos, kind inline/external/skip, module, src, body). Needs ``nodes`` and ``url``."""
     nodes = F.col("nodes")

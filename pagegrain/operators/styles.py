@@ -1,8 +1,4 @@
-"""Style sheets joined to pages.
-
-Only (page, position, sheet address) goes through the join, each distinct sheet is parsed once, and
-pages meet their rules again by one join on the page's key, so a body is shuffled at most once.
-"""
+"""Style sheets: their rules, and which pages ask for them."""
 
 from __future__ import annotations
 
@@ -13,15 +9,14 @@ from pyspark.sql import functions as F
 from pagegrain.functions import css
 from pagegrain.functions.urls import join_or_null, url_parse
 from pagegrain.functions.vector import vectorised
-from pagegrain.operators.documents import attr, base_url, derive, elements_of
-from pagegrain.operators.documents import RULES as RULES_TYPE
+from pagegrain.operators.documents import attr, base_url, elements_of
+from pagegrain.operators.markup import tokens
 from pagegrain.operators.responses import ascii_lower
-from pagegrain.operators.views import tokens
 
-RULES = RULES_TYPE
+RULES = "array<struct<selectors:array<string>,decls:array<struct<name:string,value:string,important:boolean>>>>"
 
 
-@vectorised(RULES_TYPE)
+@vectorised(RULES)
 def parse_stylesheet(source: pd.Series) -> pd.Series:
     """The rules of style sheets."""
     return pd.Series([css.parse_stylesheet(s) for s in source])
@@ -47,45 +42,12 @@ def external_hrefs(df: DataFrame, *keys: str) -> DataFrame:
     return rows.filter(F.col("_on") & F.col("sheet_url").isNotNull()).filter(~local | F.col("url").startswith("file:")).select(*keys, "pos", "sheet_url")
 
 
-def with_sheets(df: DataFrame, stylesheets: DataFrame, key: str = "page_id") -> DataFrame:
-    """``df`` with ``sheets``: the rule lists of each page's external sheets in order. A missing sheet is left out.
+def sheet_rules(df: DataFrame, stylesheets: DataFrame, *keys: str) -> DataFrame:
+    """(keys, pos, sheet_url, rules): how many rules each page's external sheets hold. Needs ``nodes`` and ``url``.
 
-    ``stylesheets``: (url, css). The join on the address may be hot; adaptive execution splits it, or broadcasts a small side.
+    Only (key, position, address) meets the sheets; each distinct sheet is parsed once, and only its count is joined.
     """
-    wanted = external_hrefs(df, key)
-    parsed = stylesheets.join(wanted.select(F.col("sheet_url").alias("url")).distinct(), "url", "left_semi").dropDuplicates(["url"])
-    parsed = parsed.select(F.col("url").alias("sheet_url"), parse_stylesheet(F.col("css")).alias("rules"))
-    met = wanted.join(parsed, "sheet_url").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "rules"))).alias("_s"))
-    met = met.select(F.col(key).alias("_key"), F.transform("_s", lambda s: s["rules"]).alias("sheets"))
-    return df.join(met, df[key].eqNullSafe(met["_key"]), "left").drop("_key")
-
-
-def computed_styles(df: DataFrame, stylesheets: DataFrame, key: str = "page_id") -> DataFrame:
-    """``df`` with ``styles``, parallel to ``nodes``."""
-    return derive(with_sheets(df, stylesheets, key), ["styles"], sheets="sheets")
-
-
-def bare_styles(df: DataFrame, html: str = "html") -> DataFrame:
-    """``df`` with ``styles`` from elements and inline styles only."""
-    from collections.abc import Iterator
-
-    import pyarrow as pa
-
-    from pagegrain.functions.page import Page
-    from pagegrain.operators import documents
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [css.computed_styles(Page.of(h), [], own_sheets=False) for h in batch.column(html).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, documents._TYPES["styles"])], [*batch.schema.names, "styles"])
-
-    df = df.drop("styles")
-    extra = df.sparkSession.createDataFrame([], f"styles {documents.STYLES}").schema
-    return df.mapInArrow(run, type(extra)([*df.schema.fields, *extra.fields]))
-
-
-def visibility_diff(df: DataFrame, *keys: str, sheets: str | None = None) -> DataFrame:
-    """(keys, plain_chars, styled_chars, hidden_chars): text with and without author styles."""
-    both = derive(df, ["text", "styled_text"], sheets=sheets)
-    plain, styled = F.length("text"), F.length("styled_text")
-    return both.select(*keys, plain.alias("plain_chars"), styled.alias("styled_chars"), (plain - styled).alias("hidden_chars"))
+    wanted = external_hrefs(df, *keys)
+    once = stylesheets.join(wanted.select(F.col("sheet_url").alias("url")).distinct(), "url", "left_semi").dropDuplicates(["url"])
+    counted = once.select(F.col("url").alias("sheet_url"), F.size(parse_stylesheet(F.col("css"))).alias("rules"))
+    return wanted.join(counted, "sheet_url").select(*keys, "pos", "sheet_url", "rules")

@@ -1,7 +1,6 @@
-"""The views of a page: text, links, forms, metadata, accessibility outline, boxes, and whether it needs scripts.
+"""The views of a page: text, links, forms, metadata, headings, roles, and whether it needs scripts.
 
-Links, forms and metadata are expressions over ``nodes`` (built by ``documents.derive``); only joining
-addresses is a helper. All steps are narrow.
+All are expressions over ``nodes``; only joining addresses is a helper. All steps are narrow.
 """
 
 from __future__ import annotations
@@ -10,22 +9,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegrain.functions.urls import resolve, resolve_all
-from pagegrain.operators.documents import WHITE_CLASS, attr, base_url, below, derive, elements_of, text_content
+from pagegrain.functions.page import SECTIONING
+from pagegrain.operators.documents import WHITE_CLASS, attr, base_url, below, elements_of, text_content
+from pagegrain.operators.markup import derive, tokens
 from pagegrain.operators.responses import ascii_lower, classify_response, envelope, error_message, header_value, http_block, non_document, trim_white
 
-CONTENT_VIEWS = ("text", "ax", "links", "forms")
+CONTENT_VIEWS = ("text", "links", "forms")
 
+# Roles of elements without a role attribute.
+ROLES = {
+    "a": "link", "article": "article", "aside": "complementary", "button": "button", "form": "form", "h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading",
+    "img": "img", "li": "listitem", "main": "main", "nav": "navigation", "ol": "list", "p": "paragraph", "table": "table", "textarea": "textbox", "tr": "row", "ul": "list",
+}
+# End of fixed values.
 
-def tokens(col: Column) -> Column:
-    """The white-space separated tokens of an attribute; none for null."""
-    return F.filter(F.split(F.coalesce(col, F.lit("")), f"[{WHITE_CLASS}]+"), lambda t: t != "")
 
-
-def text_view(df: DataFrame, html: str = "html", styles: bool = False, sheets: str | None = None) -> DataFrame:
-    """``df`` with ``text``; with styles, less what they hide and with generated content."""
-    if not styles:
-        return derive(df, ["text"], html)
-    return derive(df, ["styled_text"], html, sheets).drop("text").withColumnRenamed("styled_text", "text")
+def text_view(df: DataFrame, html: str = "html") -> DataFrame:
+    """``df`` with ``text``."""
+    return derive(df, ["text"], html)
 
 
 def links_of(nodes: Column, base: Column) -> Column:
@@ -116,31 +117,34 @@ def meta_entries(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, F.posexplode(entries_of(F.col("nodes"))).alias("pos", "m")).select(*keys, "pos", "m.*")
 
 
-def ax_tree(df: DataFrame, *keys: str, html: str = "html") -> DataFrame:
-    """(keys, seq, depth, role, name, level): the accessibility outline in preorder."""
-    return derive(df, ["ax"], html).select(*keys, F.inline("ax"))
-
-
-def roles(df: DataFrame, *keys: str, html: str = "html") -> DataFrame:
-    """(keys, id, role, name) of every element, shown in the outline or not."""
-    return derive(df, ["roles"], html).select(*keys, F.inline("roles"))
+def roles_of(nodes: Column) -> Column:
+    """array<struct<id, role, name, level>> of the elements with a role: their own, else that of the element."""
+    sections = elements_of(nodes, *SECTIONING)
+    within = lambda n: F.exists(sections, lambda a: (n["id"] > a["id"]) & (n["id"] <= a["last"]))
+    known = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
+    edge = lambda n: F.when(n["name"] == "header", F.when(within(n), "sectionheader").otherwise("banner")).when(n["name"] == "footer", F.when(within(n), "sectionfooter").otherwise("contentinfo"))
+    implied = lambda n: F.when(n["name"].isin("header", "footer"), edge(n)).when((n["name"] == "a") & attr(n, "href").isNull(), F.lit(None).cast("string")).otherwise(known[n["name"]])
+    role = lambda n: F.coalesce(F.get(tokens(ascii_lower(attr(n, "role"))), F.lit(0)), implied(n))
+    own = lambda n: F.when(F.size(tokens(attr(n, "aria-label"))) > 0, F.array_join(tokens(attr(n, "aria-label")), " "))
+    named = lambda n, r: F.coalesce(own(n), F.when(r == "img", attr(n, "alt")).when(r.isin("heading", "link", "button"), F.array_join(tokens(text_content(nodes, n)), " ")))
+    level = lambda n, r: F.when(r == "heading", F.coalesce(attr(n, "aria-level").try_cast("int"), F.substring(n["name"], 2, 1).try_cast("int")))
+    made = F.transform(F.filter(nodes, lambda n: n["kind"] == "element"), lambda n: F.struct(n["id"].alias("id"), role(n).alias("role"), named(n, role(n)).alias("name"), level(n, role(n)).alias("level")))
+    return F.filter(made, lambda x: x["role"].isNotNull())
 
 
-def headings(df: DataFrame, *keys: str, html: str = "html") -> DataFrame:
-    return ax_tree(df, *keys, html=html).filter("role = 'heading'").select(*keys, "seq", "level", "name")
+def roles(df: DataFrame, *keys: str) -> DataFrame:
+    """(keys, id, role, name, level) of every element with a role. Needs ``nodes``."""
+    return df.select(*keys, F.inline(roles_of(F.col("nodes"))))
 
 
-def bboxes(df: DataFrame, *keys: str, html: str = "html", sheets: str | None = None) -> DataFrame:
-    """(keys, pos, i, tag, x, y, w, h, text): boxes in reading order on a 1280 pixel wide screen."""
-    return derive(df, ["boxes"], html, sheets).select(*keys, F.inline("boxes"))
+def headings(df: DataFrame, *keys: str) -> DataFrame:
+    """(keys, id, level, name): a row a heading. Needs ``nodes``."""
+    return roles(df, *keys).filter("role = 'heading'").select(*keys, "id", "level", "name")
 
 
-def content_signals(df: DataFrame, html: str = "html", sheets: str | None = None) -> DataFrame:
+def content_signals(df: DataFrame, html: str = "html") -> DataFrame:
     """``df`` with has_text and has_label of the body less chrome."""
-    if sheets is None:
-        return derive(df, ["has_text", "has_label"], html)
-    out = derive(df, ["styled_has_text", "styled_has_label"], html, sheets).drop("has_text", "has_label")
-    return out.withColumnsRenamed({"styled_has_text": "has_text", "styled_has_label": "has_label"})
+    return derive(df, ["has_text", "has_label"], html)
 
 
 def needs(view: str, has_script: Column, has_body: Column, has_text: Column, has_label: Column) -> Column:
@@ -151,7 +155,7 @@ def needs(view: str, has_script: Column, has_body: Column, has_text: Column, has
     return F.when(has_body & has_script & starved, F.array(F.lit("js"))).otherwise(F.array().cast("array<string>"))
 
 
-_VIEW_OUTPUT = {"text": "text", "dom": "dom", "ax": "ax_json", "bboxes": "boxes", "links": "nodes", "forms": "nodes", "meta": "nodes"}
+_VIEW_OUTPUT = {"text": "text", "dom": "dom", "links": "nodes", "forms": "nodes", "meta": "nodes"}
 
 
 def impressions(responses: DataFrame, view: str, key: str = "page_id") -> DataFrame:
@@ -169,14 +173,12 @@ def impressions(responses: DataFrame, view: str, key: str = "page_id") -> DataFr
     rows = rows.withColumn("env_status", F.when(F.col("verdict") == "error", "error").when(F.size("needs") > 0, "needs").otherwise("ok"))
     if view == "text":
         out = F.expr("substring(to_json(named_struct('v', text)), 6, length(to_json(named_struct('v', text))) - 6)")
-    elif view in ("dom", "ax"):
+    elif view == "dom":
         out = F.col(main)
     else:
         keep_null = {"ignoreNullFields": "false"}
         nodes = F.col("nodes")
-        if view == "bboxes":
-            out = F.to_json(F.transform("boxes", lambda b: F.struct(b["i"].alias("i"), b["tag"].alias("tag"), F.struct(b["x"].alias("x"), b["y"].alias("y"), b["w"].alias("w"), b["h"].alias("h")).alias("rect"), b["text"].alias("text"))), keep_null)
-        elif view == "links":
+        if view == "links":
             rows = rows.withColumn("_base", base_url(nodes, F.col("url")))
             out = F.to_json(links_of(nodes, F.col("_base")), keep_null)
         elif view == "forms":

@@ -1,4 +1,4 @@
-"""Whole jobs: a saved crawl to envelopes, styled text, an A/B comparison, a disclosure report, navigations."""
+"""Whole jobs: a saved crawl to envelopes, links by host, an A/B comparison, a disclosure report, navigations."""
 
 from __future__ import annotations
 
@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagegrain.operators import comparison, disclosure
-from pagegrain.operators.documents import derive, parse_pages
+from pagegrain.operators.documents import parse_pages
 from pagegrain.operators.navigation import redirect_target, refresh_target, resolve_navigations
-from pagegrain.operators.styles import with_sheets
 from pagegrain.operators.views import impressions, links
 
 
@@ -24,11 +23,6 @@ def links_by_host(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return found.groupBy(host.alias("host"), "kind").agg(F.count("*").alias("n_links"), F.countDistinct("href").alias("n_hrefs"))
 
 
-def styled_text(pages: DataFrame, stylesheets: DataFrame, key: str = "page_id") -> DataFrame:
-    """Pages with their text under author styles, external sheets included."""
-    return derive(with_sheets(parse_pages(pages), stylesheets, key).drop("nodes"), ["styled_text", "styled_has_text"], sheets="sheets").drop("sheets")
-
-
 def compare_crawls(runs: DataFrame) -> DataFrame:
     """Both sides of a run table, aggregated once on (side, url, recipe), then joined on (url, recipe)."""
     agg = comparison.aggregate_runs(runs)

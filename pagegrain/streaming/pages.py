@@ -1,4 +1,4 @@
-"""Streaming forms: narrow operators run on a stream as they are; styles join a static table; cookies keep session state."""
+"""Streaming forms: narrow operators run on a stream as they are; cookies keep session state."""
 
 from __future__ import annotations
 
@@ -6,13 +6,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pagegrain.operators.documents import derive
+from pagegrain.operators.markup import derive
 from pagegrain.operators.navigation import parse_cookie
-from pagegrain.operators.styles import parse_stylesheet
 from pagegrain.operators.views import impressions
 
 
@@ -30,13 +28,6 @@ def stream_text(pages: DataFrame) -> DataFrame:
     return derive(pages, ["text"])
 
 
-def stream_with_inline_sheet(pages: DataFrame, stylesheets: DataFrame, sheet_url: str = "sheet_url") -> DataFrame:
-    """Styled text of a stream whose rows name one sheet each: a stream-static join on the address."""
-    rules = stylesheets.select(F.col("url").alias("_url"), F.array(parse_stylesheet(F.col("css"))).alias("sheets"))
-    met = pages.join(rules, F.col(sheet_url) == F.col("_url"), "left").drop("_url")
-    return derive(met, ["styled_text"], sheets="sheets")
-
-
 _OUT = "session long, name string, domain string, path string, value string, seq long, deleted boolean"
 _STATE = "cookies string"
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from pagegrain import catalog
 from pagegrain.operators import comparison, disclosure, navigation, responses, views
-from pagegrain.operators.documents import derive, parse_pages
+from pagegrain.operators.documents import parse_pages
+from pagegrain.operators.markup import derive
 from pagegrain.plans import flows
 from pagegrain.sources.pages import decode_responses, read_pages
 
@@ -55,7 +56,7 @@ def test_empty_and_null_pages(spark):
     out = parse_pages(pages)
     assert views.links(out, "page_id").collect()[0].href == "y"
     assert views.page_meta(out, "page_id").count() == 3
-    assert derive(pages, ["text", "ax", "boxes", "dom"]).count() == 3
+    assert derive(pages, ["text", "has_text", "dom"]).count() == 3
     assert views.impressions(pages.withColumns({"status": F.lit(200), "headers": F.array().cast(HEADERS)}), "text").count() == 3
     empty = pages.limit(0)
     assert derive(empty, ["nodes", "text"]).count() == 0
@@ -187,10 +188,10 @@ def test_envelope_payloads(spark):
     df = spark.createDataFrame([(1, "http://a.b/d/", html, 200)], "page_id long, url string, html string, status int").withColumn("headers", F.array().cast(HEADERS))
     import json
 
-    out = {v: json.loads(views.impressions(df, v).first().envelope) for v in ("text", "dom", "ax", "bboxes", "links", "forms", "meta")}
+    out = {v: json.loads(views.impressions(df, v).first().envelope) for v in ("text", "dom", "links", "forms", "meta")}
     assert out["text"]["out"] == 'o"y"\nt' or out["text"]["out"] == 'o\n"y"\nt'
     assert out["links"]["out"] == [{"kind": "link", "href": "http://a.b/c", "text": None, "rel": ["canonical"]}, {"kind": "a", "href": "http://a.b/d/x", "text": '"y"', "rel": []}]
     assert out["forms"]["out"][0]["fields"] == [{"tag": "input", "name": "q", "type": None, "value": None, "required": False}, {"tag": "select", "name": "s", "type": None, "value": None, "required": False, "options": [{"value": "o", "label": "o"}]}]
     assert out["meta"]["out"] == {"title": "T", "lang": "en", "charset": None, "canonical": "http://a.b/c", "meta": [{"name": "a", "content": "b"}]}
     assert all(e["status"] == "ok" and "needs" not in e and "error" not in e and e["http"]["status"] == 200 for e in out.values())
-    assert "text" in out["bboxes"]["out"][0] and out["dom"]["out"][0]["type"] == "element" and out["ax"]["out"]
+    assert out["dom"]["out"][0]["type"] == "element"
