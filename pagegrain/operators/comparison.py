@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagegrain.functions.vector import vectorised
@@ -22,12 +23,21 @@ def nearest_rank(values: Column, percent: int) -> Column:
 
 
 def aggregate_runs(runs: DataFrame) -> DataFrame:
-    """One row a (side, url, recipe): the first run's fields, p50 and p95 of wall_ms, and whether all runs agree with the first."""
-    first = [F.min_by(F.col(c), F.col("run_no")).alias(c) for c in runs.columns if c not in ("side", "url", "recipe", "run_no", "wall_ms")]
-    same = F.struct(*[F.col(c) for c in STABLE])
-    walls = F.collect_list("wall_ms")
-    out = runs.groupBy("side", "url", "recipe").agg(*first, walls.alias("_walls"), (F.size(F.collect_set(F.to_json(same, {"ignoreNullFields": "false"}))) == 1).alias("stable"))
-    return out.withColumns({"p50": nearest_rank(F.col("_walls"), 50), "p95": nearest_rank(F.col("_walls"), 95)}).drop("_walls")
+    """One row a (side, url, recipe): the first run's fields, p50 and p95 of wall_ms, and whether all runs agree with the first.
+
+    Ranks come from counts of different times, so no key's runs are gathered. Without times, both are 0.
+    """
+    keys = ["side", "url", "recipe"]
+    first = [F.min_by(F.col(c), F.col("run_no")).alias(c) for c in runs.columns if c not in (*keys, "run_no", "wall_ms")]
+    same = F.to_json(F.struct(*[F.col(c) for c in STABLE]), {"ignoreNullFields": "false"})
+    out = runs.groupBy(*keys).agg(*first, (F.min(same) == F.max(same)).alias("stable"))
+    times = runs.filter("wall_ms is not null").groupBy(*keys, "wall_ms").agg(F.count("*").alias("_n"))
+    every = Window.partitionBy(*keys)
+    times = times.withColumns({"_upto": F.sum("_n").over(every.orderBy("wall_ms")), "_all": F.sum("_n").over(every)})
+    at = lambda percent: F.min(F.when(F.col("_upto") > F.floor((percent * (F.col("_all") - 1) + 50) / 100), F.col("wall_ms")))
+    ranks = times.groupBy(*keys).agg(at(50).alias("p50"), at(95).alias("p95"))
+    met = out.alias("a").join(ranks.alias("r"), [F.col(f"a.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys], "left")
+    return met.select("a.*", *[F.coalesce(f"r.{p}", F.lit(0)).alias(p) for p in ("p50", "p95")])
 
 
 def ab_compare(base: DataFrame, candidate: DataFrame) -> DataFrame:
@@ -105,23 +115,40 @@ def ja4(hello: Column) -> Column:
 
 
 def ordered_delta(a: list[str], b: list[str]) -> list[str]:
-    """The lines of a longest-common-subsequence difference: ``- x`` only in a, ``+ x`` only in b; on a tie a's line goes first."""
+    """The lines of a longest-common-subsequence difference: ``- x`` only in a, ``+ x`` only in b; on a tie a's line goes first.
+
+    Rows of the length table are bits of one number each (a bit is set where a length does not grow). Of n rows
+    some root of n are kept, and the rows between two of them are made again on the way back.
+    """
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
         head += 1
     a, b = a[head:], b[head:]
-    length = [[0] * (len(b) + 1)]
-    for x in reversed(a):
-        below, row = length[-1], [0] * (len(b) + 1)
-        for j in range(len(b) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if x == b[j] else max(below[j], row[j + 1])
-        length.append(row)
-    length.reverse()
+    n, m = len(a), len(b)
+    every, full = max(1, math.isqrt(n)), (1 << m) - 1
+    places: dict[str, int] = {}
+    for j, x in enumerate(b):
+        places[x] = places.get(x, 0) | 1 << (m - 1 - j)
+
+    def rows(upto: int, down_to: int, v: int) -> Iterator[tuple[int, int]]:
+        """(i, row of the suffixes from a[i]) from a known row ``upto`` down to ``down_to``."""
+        for i in range(upto - 1, down_to - 1, -1):
+            u = v & places.get(a[i], 0)
+            v = ((v + u) | (v - u)) & full
+            yield i, v
+
+    kept = {n: full} | {i: v for i, v in rows(n, 0, full) if i % every == 0}
+    block: dict[int, int] = {n: full}
+    common = lambda i, j: m - j - (block[i] & ((1 << (m - j)) - 1)).bit_count()
     out, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i] == b[j]:
+    while i < n or j < m:
+        if i < n and i + 1 not in block or i not in block:
+            low = i - i % every
+            top = min(n, low + every)
+            block = dict(rows(top, low, kept[top])) | {top: kept[top]}
+        if i < n and j < m and a[i] == b[j]:
             i, j = i + 1, j + 1
-        elif j == len(b) or (i < len(a) and length[i + 1][j] >= length[i][j + 1]):
+        elif j == m or (i < n and common(i + 1, j) >= common(i, j + 1)):
             out.append(f"- {a[i]}")
             i += 1
         else:

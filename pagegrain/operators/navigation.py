@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import calendar
 import re
+from collections.abc import Iterator
 from dataclasses import replace
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagegrain.functions.urls import join_or_null, parse_url, registrable_domain, same_origin, url_parse
 from pagegrain.functions.vector import vectorised
 from pagegrain.operators.documents import attr, base_url, elements_of
 from pagegrain.operators.responses import ascii_lower, cache_reusable, challenge, header_lines, header_value
-from pagegrain.storage import stash
 
 MAX_REQUESTS = 10
 _WS = " \t\n\f\r"
@@ -84,26 +86,30 @@ def resolve_navigations(seeds: DataFrame, responses: DataFrame, max_requests: in
 
     ``next`` is a response's redirect or zero-delay refresh target, null where it stays. All requests of a navigation
     share one budget, so a loop ends with ``fetch.redirect``; an address without a response ends with ``fetch.missing``.
-    Each round joins only what is still pending, and is written to the shared folder.
+    Of several responses of an address the least counts (by ``seq`` if there is one, then by next and error).
+    Paths of 1, 2, 4, 8 steps are made by joining a path's end with the paths that begin there.
     """
-    table = stash(responses.select(without_fragment(F.col("url")).alias("_at"), F.col("next").alias("_next"), F.col("error").alias("_error")).dropDuplicates(["_at"]), "responses")
-    pending = seeds.select("nav_id", F.col("url"), F.col("url").alias("_now"), F.array(F.col("url")).alias("hops"))
-    done: list[DataFrame] = []
-    for request in range(1, max_requests + 1):
-        met = pending.join(table.withColumn("_met", F.lit(True)), without_fragment(F.col("_now")) == F.col("_at"), "left")
-        met = stash(met.select("nav_id", "url", "_now", "hops", "_next", "_error", "_met"), "round")
-        over = F.col("_next").isNotNull() & (F.lit(request) == max_requests)
-        error = F.when(F.col("_met").isNull(), "fetch.missing").when(F.col("_error").isNotNull(), F.col("_error")).when(over, "fetch.redirect")
-        ends = met.filter(F.col("_next").isNull() | F.col("_error").isNotNull() | over)
-        done.append(ends.select("nav_id", "url", F.when(error.isNull(), F.col("_now")).alias("final_url"), "hops", error.alias("error")))
-        pending = met.filter(F.col("_next").isNotNull() & F.col("_error").isNull() & ~over)
-        pending = pending.select("nav_id", "url", F.col("_next").alias("_now"), F.concat("hops", F.array("_next")).alias("hops"))
-        if request == max_requests or pending.isEmpty():
-            break
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    at = lambda c: without_fragment(F.col(c)).alias("at")
+    order = [c for c in ("seq",) if c in responses.columns]
+    table = responses.groupBy(at("url")).agg(F.min(F.struct(*order, "next", "error")).alias("x")).select("at", "x.next", "x.error")
+    stays = F.col("next").isNull() | F.col("error").isNotNull()
+    step = table.select("at", F.when(stays, F.array().cast("array<string>")).otherwise(F.array("next")).alias("path"))
+    end = lambda path: without_fragment(F.element_at(path, -1))
+    none = F.array().cast("array<string>")
+
+    walks, left, length = seeds.select("nav_id", "url", F.array("url").alias("hops")), max_requests - 1, 1
+    while left:
+        if left & length:
+            met = walks.alias("w").join(step.alias("s"), end(F.col("w.hops")) == F.col("s.at"), "left")
+            walks = met.select("w.nav_id", "w.url", F.concat("w.hops", F.coalesce("s.path", none)).alias("hops"))
+            left -= length
+        if left:
+            far = step.select(F.col("at").alias("to"), F.col("path").alias("more"))
+            step = step.join(far, (F.size("path") == length) & (F.when(F.size("path") > 0, end(F.col("path"))) == F.col("to")), "left")
+            step, length = step.select("at", F.concat("path", F.coalesce("more", none)).alias("path")), length * 2
+    met = walks.alias("w").join(table.alias("t"), end(F.col("w.hops")) == F.col("t.at"), "left")
+    error = F.when(F.col("t.at").isNull(), "fetch.missing").when(F.col("t.error").isNotNull(), F.col("t.error")).when(F.col("t.next").isNotNull(), "fetch.redirect")
+    return met.select("w.nav_id", "w.url", F.when(error.isNull(), F.element_at("w.hops", -1)).alias("final_url"), "w.hops", error.alias("error"))
 
 
 # -- challenges
@@ -211,16 +217,17 @@ _IDENTITY = ("session", "name", "domain", "path")
 
 
 def cookie_writes(events: DataFrame) -> DataFrame:
-    """Accepted writes of set-cookie events (session, seq, ts, url, line, from_script), each with whether it deletes and the seq at which it is overwritten."""
+    """Accepted writes of set-cookie events (session, seq, ts, url, line, from_script), each with whether it deletes."""
     made = parse_set_cookie(F.col("line"), F.col("url"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double"), F.coalesce(F.col("from_script"), F.lit(False)))
     rows = events.select("session", "seq", "ts", made.alias("c")).filter("c.name is not null").select("session", "seq", "ts", "c.*")
-    rows = rows.withColumn("deletes", F.coalesce(F.col("expires") <= F.unix_seconds(F.col("ts").cast("timestamp")), F.lit(False)))
-    return rows.withColumn("until", F.lead("seq").over(Window.partitionBy(*_IDENTITY).orderBy("seq")))
+    return rows.withColumn("deletes", F.coalesce(F.col("expires") <= F.unix_seconds(F.col("ts").cast("timestamp")), F.lit(False)))
 
 
 def cookie_jar(events: DataFrame) -> DataFrame:
     """The final cookies of each session: the last write of each (name, domain, path), unless it deletes; ``created`` orders them."""
-    return cookie_writes(events).filter("until is null and not deletes").withColumnRenamed("seq", "created").drop("until", "deletes")
+    fields = ("value", "host_only", "secure", "http_only", "same_site", "expires", "ts", "deletes")
+    last = cookie_writes(events).groupBy(*_IDENTITY).agg(F.max(F.struct("seq", *fields)).alias("x"))
+    return last.filter("not x.deletes").select(*_IDENTITY, F.col("x.seq").alias("created"), *[f"x.{c}" for c in fields if c != "deletes"])
 
 
 @vectorised("string")
@@ -233,12 +240,37 @@ def _site_key(domain: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+_COOKIE = ("name", "value", "domain", "host_only", "path", "secure", "same_site", "created")
+_STANDING = "array<struct<name:string,value:string,domain:string,host_only:boolean,path:string,secure:boolean,same_site:string,created:long>>"
+
+
+def _stand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cookies that stand at each request; writes and requests come sorted by (session, site, seq), requests first."""
+    kind = pa.list_(pa.struct([(c, pa.bool_() if c in ("host_only", "secure") else pa.int64() if c == "created" else pa.string()) for c in _COOKIE]))
+    group, standing = None, {}
+    for batch in batches:
+        keep, told = [], []
+        for k, r in enumerate(batch.select(["session", "site", "cookie", "deletes", "write"]).to_pylist()):
+            if (r["session"], r["site"]) != group:
+                group, standing = (r["session"], r["site"]), {}
+            if not r["write"]:
+                if standing:
+                    keep.append(k)
+                    told.append(list(standing.values()))
+                continue
+            identity = tuple(r["cookie"][c] for c in ("name", "domain", "path"))
+            standing.pop(identity, None)
+            if not r["deletes"]:
+                standing[identity] = r["cookie"]
+        yield pa.RecordBatch.from_arrays([batch.column("request").take(pa.array(keep, pa.int64())), pa.array(told, kind)], ["request", "standing"])
+
+
 def cookie_header(requests: DataFrame, events: DataFrame) -> DataFrame:
     """``requests`` with ``cookie``: the header of each, from cookies written before it; null if none applies.
 
-    requests: (request_id, session, seq, target, referrer, intent). Writes are valid from their seq to the next write of
-    the same identity, so the join on (session, registrable domain) yields only cookies that stand at the request.
-    Domains of a single label match hosts of any registrable domain: they join on the last label.
+    requests: (request_id, session, seq, target, referrer, intent). Writes and requests of a session and registrable
+    domain are passed once in order, with the cookies that stand at each point; a write at a request's own seq comes after it.
+    Domains of a single label match hosts of any registrable domain: they are passed by the last label.
     """
     context = F.coalesce("referrer", "target")
     t, c = url_parse(F.col("target")), url_parse(context)
@@ -246,12 +278,23 @@ def cookie_header(requests: DataFrame, events: DataFrame) -> DataFrame:
         "request_id", "session", "seq", "intent", t["host"].alias("host"), t["scheme"].alias("scheme"), t["path"].alias("req_path"), t["registrable"].alias("site"),
         F.coalesce(t["registrable"] == c["registrable"], F.lit(False)).alias("same_site_request"), same_origin(context, F.col("target")).alias("same_origin_request"),
     ).filter("host is not null")
-    writes = cookie_writes(events).filter("not deletes").withColumn("cookie_site", _site_key(F.col("domain"))).withColumnsRenamed({"session": "_session", "seq": "created"})
-    single = ~F.col("domain").contains(".") & ~F.col("host_only")
-    when = (F.col("session") == F.col("_session")) & (F.col("created") < F.col("seq")) & (F.col("until").isNull() | (F.col("until") >= F.col("seq")))
-    near = parts.join(writes.filter(~single), when & (F.col("site") == F.col("cookie_site")))
-    far = parts.join(writes.filter(single), when & (F.substring_index("host", ".", -1) == F.col("cookie_site")))
-    met = near.unionByName(far)
+    writes = cookie_writes(events).withColumns({"site": _site_key(F.col("domain")), "created": F.col("seq").cast("long"), "single": ~F.col("domain").contains(".") & ~F.col("host_only")})
+    request = F.struct("request_id", "intent", "host", "scheme", "req_path", "same_site_request", "same_origin_request")
+    asked = parts.select("session", "site", "seq", F.substring_index("host", ".", -1).alias("label"), request.alias("request"), F.lit(False).alias("write"))
+    said = writes.select("session", "site", "seq", "single", F.struct(*_COOKIE).alias("cookie"), "deletes", F.lit(True).alias("write"))
+
+    def passed(left: DataFrame, right: DataFrame) -> DataFrame:
+        rows = left.unionByName(right.drop("single"), allowMissingColumns=True).select("session", "site", "seq", "request", "cookie", "deletes", "write")
+        rows = rows.repartition("session", "site").sortWithinPartitions("session", "site", "seq", "write", "cookie")
+        schema = T.StructType([rows.schema["request"], T.StructField("standing", T._parse_datatype_string(_STANDING))])
+        return rows.mapInArrow(_stand, schema)
+
+    near = passed(asked.drop("label"), said.filter("not single"))
+    # Few sites have cookies of a single label; only requests of such a session and label are passed again.
+    single = said.filter("single")
+    labels = single.select("session", F.col("site").alias("label")).distinct()
+    far = passed(asked.join(labels, ["session", "label"], "left_semi").drop("site").withColumnRenamed("label", "site"), single)
+    met = near.unionByName(far).select("request.*", F.inline("standing"))
     host_ok = (F.col("host") == F.col("domain")) | (~F.col("host_only") & F.col("host").endswith(F.concat(F.lit("."), F.col("domain"))))
     path_ok = (F.col("req_path") == F.col("path")) | (F.col("req_path").startswith(F.col("path")) & (F.col("path").endswith("/") | (F.substring(F.col("req_path"), F.length("path") + 1, F.lit(1)) == "/")))
     site_ok = (F.col("same_site") == "none") | F.col("same_site_request") | ((F.col("same_site") == "lax") & (F.col("intent") == "navigation"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagegrain.functions.charsets import decode_body, inflate
 from pagegrain.operators.responses import check_body_len, header_value
 
+SPREAD_SPLITS = 32
 HEADERS = "array<struct<name:string,value:string>>"
 
 
@@ -28,12 +29,12 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt over all cores if it comes in fewer splits than there are (one small file); as it is otherwise.
+    """``df`` dealt over all cores if it comes in fewer splits than there are, and in ``SPREAD_SPLITS`` at most; else as it is.
 
-    A table of many splits, as every large one is, passes unchanged and without a shuffle.
+    A split is 128 MB at most by Spark's default, so only a table of a few GB is ever dealt, on however many cores.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(cores) if splits < min(cores, SPREAD_SPLITS + 1) else df
 
 
 def without_response(df: DataFrame) -> DataFrame:

@@ -128,6 +128,49 @@ def test_delta_turns_a_into_b():
         assert sorted(a + come) == sorted(b + gone)
 
 
+def test_delta_equals_the_full_table():
+    import random
+
+    def table(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        out, i, j = [], 0, 0
+        while i < len(a) or j < len(b):
+            if i < len(a) and j < len(b) and a[i] == b[j]:
+                i, j = i + 1, j + 1
+            elif j == len(b) or (i < len(a) and best[i + 1][j] >= best[i][j + 1]):
+                out.append(f"- {a[i]}")
+                i += 1
+            else:
+                out.append(f"+ {b[j]}")
+                j += 1
+        return out
+
+    rng = random.Random(8)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 30))] for _ in range(2))
+        assert comparison.ordered_delta(a, b) == table(a, b)
+    a, b = ([str(rng.randint(0, 3000)) for _ in range(10_000)] for _ in range(2))
+    assert len(comparison.ordered_delta(a, b)) < 20_000
+
+
+def test_least_response_counts(spark):
+    rows = spark.createDataFrame([("http://a/", "http://z/", None, 2), ("http://a/", "http://b/", None, 1), ("http://b/#f", None, None, 5), ("http://e/", None, "fetch.redirect", 1)], "url string, next string, error string, seq int")
+    seeds = spark.createDataFrame([(1, "http://a/"), (2, "http://e/"), (3, None)], "nav_id int, url string")
+    got = {r.nav_id: (r.final_url, r.error) for r in navigation.resolve_navigations(seeds, rows).collect()}
+    assert got == {1: ("http://b/", None), 2: (None, "fetch.redirect"), 3: (None, "fetch.missing")}
+    assert navigation.resolve_navigations(seeds, rows, 1).filter("nav_id = 1").first().error == "fetch.redirect"
+
+
+def test_shared_folder(spark):
+    from pagegrain import storage
+
+    df = storage.stash(spark.range(3), "x")
+    assert df.count() == 3 and f"pagegrain-{spark.sparkContext.applicationId}" in df.inputFiles()[0]
+
+
 def test_ax_outline():
     node = lambda i, role, name=None, parent="r", kids=(), **more: {"nodeId": i, "parentId": parent, "role": {"value": role}, "name": {"value": name}, "childIds": list(kids)} | more
     nodes = [node("r", "RootWebArea", kids="ab", parent=None), node("a", "image", "x"), node("b", "generic", kids=["c", "d"]), node("c", "heading", " t ", "b", ["e"], properties=[{"name": "level", "value": {"value": 2}}]), node("d", "StaticText", "s", "b"), node("e", "link", "l", "c")]
