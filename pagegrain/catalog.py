@@ -386,8 +386,8 @@ def media_queries(spark: SparkSession, d: str) -> DataFrame:
 def stylesheet_rules(spark: SparkSession, d: str) -> DataFrame:
     """The page's own sheet and more rules behind it."""
     more = F.expr("'/* c */ a > b, .x{color:red!important;bad} @import url(x); bad{ } #id{y:z} @media (min-width:' || CAST(length(html) % 2000 AS STRING) || 'px){ p{a:b} }'")
-    own = F.array_join(F.transform(documents.elements_of(F.col("nodes"), "style"), lambda n: documents.text_content(F.col("nodes"), n)), " ")
-    rows = _nodes(spark, d).select("page_id", F.concat(own, more).alias("css")).select("page_id", styles.parse_stylesheet(F.col("css")).alias("r"))
+    own = F.regexp_extract("html", r"(?s)<style>(.*?)</style>", 1)
+    rows = _pages(spark, d).select("page_id", styles.parse_stylesheet(F.concat(own, more)).alias("r"))
     each = rows.select("page_id", F.explode("r").alias("rule"))
     important = F.sum(F.size(F.filter("rule.decls", lambda x: x["important"]))).cast("int")
     return each.groupBy("page_id").agg(F.count("*").alias("rules"), important.alias("important"))
