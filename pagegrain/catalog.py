@@ -249,6 +249,20 @@ def impressions_links(spark: SparkSession, d: str) -> DataFrame:
     return made.select("page_id", F.json_array_length(F.get_json_object("envelope", "$.out")).alias("n_links"), F.coalesce(F.get_json_object("envelope", "$.error.message"), F.lit("")).alias("message"))
 
 
+_NAMED = lambda name, value: f"CASE WHEN {value} IS NOT NULL THEN '{{\"name\":\"{name}\",\"value\":' || to_json({value})::VARCHAR || '}}' END"
+
+
+@_add("envelope_lines", f"""
+WITH {_CLASSIFIED}
+SELECT page_id, concat('{{"version":"1","url":{{"requested":', to_json(url)::VARCHAR, CASE WHEN error_kind IS NULL OR http_status IS NOT NULL THEN ',"final":' || to_json(url)::VARCHAR END, '}},"view":"text","status":',
+  CASE WHEN declared IS NOT NULL THEN '"needs","needs":["js"]' WHEN error_kind IS NOT NULL THEN '"error","error":{{"kind":"' || error_kind || '","message":"' || CASE WHEN error_kind = 'parse' THEN 'response media type ' || media || ' is not a document' ELSE 'server returned HTTP ' || http_status END || '"}}'
+  ELSE '"ok","out":' || to_json({_BODY_TEXT})::VARCHAR END,
+  CASE WHEN http_status IS NOT NULL THEN ',"http":{{"status":' || http_status || ',"headers":[' || concat_ws(',', {_NAMED("content-type", TYPE)}, {_NAMED("retry-after", RETRY)}, {_NAMED("cf-mitigated", MITIGATED)}, {_NAMED("server", "('srv' || page_id % 3)")}) || ']}}' END,
+  CASE WHEN declared IS NOT NULL THEN ',"challenge":{{"declared":"' || declared || '","rounds":0,"passed":false}}' END, '}}') AS line FROM v""")
+def envelope_lines(spark: SparkSession, d: str) -> DataFrame:
+    return flows.crawl_to_envelopes(_responses(spark, d), "text").select("page_id", F.col("envelope").alias("line"))
+
+
 # -- responses and addresses
 
 
@@ -473,9 +487,9 @@ def frozen_resources(spark: SparkSession, d: str) -> DataFrame:
     return navigation.frozen_resources(rows).select("seq", "served_by")
 
 
-_LINE = "event_type || '=' || CAST(event_id AS STRING) || '; Path=' || CASE event_id % 3 WHEN 0 THEN '/' WHEN 1 THEN '/a' ELSE '/a/b' END || CASE event_id % 5 WHEN 0 THEN '; Max-Age=0' WHEN 1 THEN '; Domain=example.com' WHEN 2 THEN '; Secure' WHEN 3 THEN '; SameSite=Strict' ELSE '' END"
+_LINE = "event_type || '=' || CAST(event_id AS STRING) || '; Path=' || CASE event_id % 3 WHEN 0 THEN '/' WHEN 1 THEN '/a' ELSE '/a/b' END || CASE event_id % 5 WHEN 0 THEN '; Max-Age=0' WHEN 1 THEN '; Domain=example.com' WHEN 2 THEN '; Secure' WHEN 3 THEN '; SameSite=Strict' ELSE '' END || CASE event_id % 7 WHEN 4 THEN '; Domain=other.test' WHEN 5 THEN '; Expires=Wed, 21 Oct 2015 07:28:00 GMT' WHEN 6 THEN '; SameSite=None' ELSE '' END"
 _WRITES = """w AS (SELECT user_id AS session, event_id AS seq, event_type AS name, event_id::VARCHAR AS value, CASE event_id % 3 WHEN 0 THEN '/' WHEN 1 THEN '/a' ELSE '/a/b' END AS path,
-  CASE WHEN event_id % 5 = 1 THEN 'example.com' ELSE 'www.example.com' END AS domain, event_id % 5 = 0 AS gone, event_id % 5 = 2 AS secure, event_id % 5 = 3 AS strict FROM events)"""
+  CASE WHEN event_id % 5 = 1 THEN 'example.com' ELSE 'www.example.com' END AS domain, event_id % 5 = 0 OR event_id % 7 = 5 AS gone, event_id % 5 = 2 AS secure, event_id % 5 = 3 AND event_id % 7 <> 6 AS strict, event_id % 7 = 6 AS anywhere FROM events WHERE event_id % 7 <> 4)"""
 
 
 def _cookie_events(spark: SparkSession, d: str) -> DataFrame:
@@ -491,16 +505,16 @@ def cookie_jars(spark: SparkSession, d: str) -> DataFrame:
 
 @_add("cookie_headers", f"""
 WITH {_WRITES}, l AS (SELECT *, lead(seq) OVER (PARTITION BY session, name, domain, path ORDER BY seq) AS until FROM w),
-q AS (SELECT event_id AS request_id, user_id AS session, event_id AS seq, event_id % 2 = 0 AS https, CASE WHEN event_id % 4 < 2 THEN '/a/x' ELSE '/a/b' END AS p, event_id % 3 = 0 AS cross FROM events),
+q AS (SELECT event_id AS request_id, user_id AS session, event_id AS seq, event_id % 2 = 0 AS https, CASE WHEN event_id % 4 < 2 THEN '/a/x' ELSE '/a/b' END AS p, event_id % 3 = 0 AS cross, event_id % 8 <> 7 AS nav FROM events),
 m AS (SELECT request_id, l.path, l.seq, name || '=' || value AS pair FROM q JOIN l ON q.session = l.session AND l.seq < q.seq AND (until IS NULL OR until >= q.seq) AND NOT gone
-      WHERE (NOT secure OR https) AND (NOT strict OR NOT "cross") AND (l.path = '/' OR l.path = p OR starts_with(p, l.path || '/'))),
+      WHERE (NOT secure OR https) AND (anywhere OR NOT "cross" OR NOT strict AND nav) AND (nav OR NOT "cross") AND (l.path = '/' OR l.path = p OR starts_with(p, l.path || '/'))),
 g AS (SELECT request_id, string_agg(pair, '; ' ORDER BY len(path) DESC, seq) AS cookie FROM m GROUP BY request_id)
 SELECT request_id, cookie FROM q LEFT JOIN g USING (request_id)""")
 def cookie_headers(spark: SparkSession, d: str) -> DataFrame:
     requests = _events(spark, d).selectExpr(
         "event_id AS request_id", "user_id AS session", "event_id AS seq",
         "CASE WHEN event_id % 2 = 0 THEN 'https' ELSE 'http' END || '://www.example.com' || CASE WHEN event_id % 4 < 2 THEN '/a/x' ELSE '/a/b' END AS target",
-        "CASE WHEN event_id % 3 = 0 THEN 'https://far.test/' END AS referrer", "'navigation' AS intent",
+        "CASE WHEN event_id % 3 = 0 THEN 'https://far.test/' END AS referrer", "CASE WHEN event_id % 8 = 7 THEN 'fetch' ELSE 'navigation' END AS intent",
     )
     return navigation.cookie_header(requests, _cookie_events(spark, d)).select("request_id", "cookie")
 
@@ -518,18 +532,18 @@ def second_requests(spark: SparkSession, d: str) -> DataFrame:
 
 # -- comparisons
 
-_RUN = "SELECT CASE WHEN user_id % 2 = 0 THEN 'base' ELSE 'candidate' END AS side, CAST(user_id // 2 AS VARCHAR) AS url, event_type AS recipe, event_id AS run_no, CAST(round(value * 100) AS BIGINT) AS wall_ms, CASE WHEN value > 50 THEN 'ok' ELSE 'error' END AS status FROM events"
+_RUN = "SELECT CASE WHEN user_id % 2 = 0 THEN 'base' ELSE 'candidate' END AS side, CAST(user_id // 2 AS VARCHAR) AS url, event_type AS recipe, event_id AS run_no, CAST(round(value * 100) AS BIGINT) AS wall_ms, CASE WHEN value > 50 THEN 'ok' ELSE 'error' END AS status, event_id % 50 = 0 AS odd FROM events"
 
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
     return _events(spark, d).selectExpr(
         "CASE WHEN user_id % 2 = 0 THEN 'base' ELSE 'candidate' END AS side", "CAST(user_id div 2 AS STRING) AS url", "event_type AS recipe", "event_id AS run_no",
         "CAST(round(value * 100) AS BIGINT) AS wall_ms", "CASE WHEN value > 50 THEN 'ok' ELSE 'error' END AS status", "'' AS needs", "'' AS error_kind", "CAST(NULL AS INT) AS http_status", "'s' AS sha",
-        "1 AS elements", "1 AS text_chars", "CASE WHEN user_id % 4 < 2 THEN 'control' ELSE 'soft-gate' END AS class", "CASE WHEN value > 50 THEN 0 ELSE 1 END AS exit", "false AS executed",
+        "1 AS elements", "1 AS text_chars", "CASE WHEN user_id % 4 < 2 THEN 'control' ELSE 'soft-gate' END AS class", "CASE WHEN event_id % 50 = 0 THEN 2 WHEN value > 50 THEN 0 ELSE 1 END AS exit", "false AS executed",
     )
 
 
-_AGG = f"""r AS ({_RUN}), g AS (SELECT side, url, recipe, arg_min(status, run_no) AS status, count(DISTINCT status) = 1 AS stable, count(*) AS n, list_sort(list(wall_ms)) AS ws FROM r GROUP BY side, url, recipe)"""
+_AGG = f"""r AS ({_RUN}), g AS (SELECT side, url, recipe, arg_min(status, run_no) AS status, arg_min(odd, run_no)::INTEGER AS odd, count(DISTINCT status) = 1 AS stable, count(*) AS n, list_sort(list(wall_ms)) AS ws FROM r GROUP BY side, url, recipe)"""
 
 
 @_add("aggregate_runs", f"WITH {_AGG} SELECT side, url, recipe, status, stable, ws[((50 * (n - 1) + 50) // 100 + 1)::INT] AS p50, ws[((95 * (n - 1) + 50) // 100 + 1)::INT] AS p95 FROM g")
@@ -537,15 +551,15 @@ def aggregate_runs(spark: SparkSession, d: str) -> DataFrame:
     return comparison.aggregate_runs(_runs(spark, d)).select("side", "url", "recipe", "status", "stable", "p50", "p95")
 
 
-_COMPARED = f"""{_AGG}, c AS (SELECT b.url, b.recipe, b.url::INT % 2 = 0 AS control, b.status AS bs, k.status AS ks, b.stable AND k.stable AS steady FROM g b JOIN g k ON b.url = k.url AND b.recipe = k.recipe AND b.side = 'base' AND k.side = 'candidate')"""
+_COMPARED = f"""{_AGG}, c AS (SELECT b.url, b.recipe, b.url::INT % 2 = 0 AS control, b.status AS bs, k.status AS ks, b.stable AND k.stable AS steady, b.odd + k.odd AS violations FROM g b JOIN g k ON b.url = k.url AND b.recipe = k.recipe AND b.side = 'base' AND k.side = 'candidate')"""
 
 
-@_add("ab_compare", f"WITH {_COMPARED} SELECT url, recipe, control AND steady AND bs <> ks AS parity_drift, NOT control AND bs <> 'ok' AND ks = 'ok' AS gate_cleared, 0 AS violations FROM c")
+@_add("ab_compare", f"WITH {_COMPARED} SELECT url, recipe, control AND steady AND bs <> ks AS parity_drift, NOT control AND bs <> 'ok' AND ks = 'ok' AS gate_cleared, violations FROM c")
 def ab_compare(spark: SparkSession, d: str) -> DataFrame:
     return flows.compare_crawls(_runs(spark, d)).select("url", "recipe", "parity_drift", "gate_cleared", "violations")
 
 
-@_add("ab_verdict", f"WITH {_COMPARED} SELECT 0::BIGINT AS violations, count(*) FILTER (control AND steady AND bs <> ks)::BIGINT AS parity_drifts, coalesce(bool_or(NOT control AND bs <> 'ok' AND ks = 'ok'), false) AS gate_cleared, NOT coalesce(bool_or(NOT control AND bs <> 'ok' AND ks = 'ok'), false) AS null_result FROM c")
+@_add("ab_verdict", f"WITH {_COMPARED} SELECT coalesce(sum(violations), 0)::BIGINT AS violations, count(*) FILTER (control AND steady AND bs <> ks)::BIGINT AS parity_drifts, coalesce(bool_or(NOT control AND bs <> 'ok' AND ks = 'ok'), false) AS gate_cleared, NOT coalesce(bool_or(NOT control AND bs <> 'ok' AND ks = 'ok'), false) AS null_result FROM c")
 def ab_verdict(spark: SparkSession, d: str) -> DataFrame:
     return comparison.ab_verdict(flows.compare_crawls(_runs(spark, d)))
 
@@ -590,11 +604,13 @@ def undisposed(spark: SparkSession, d: str) -> DataFrame:
     return comparison.undisposed(actual, ledger)
 
 
-@_add("capture_check", "SELECT page_id AS fixture, CASE page_id % 3 WHEN 1 THEN 'bytes changed' ELSE 'incomplete stamp' END AS problem FROM pages WHERE page_id % 3 <> 0")
+@_add("capture_check", """SELECT page_id AS fixture, CASE page_id % 3 WHEN 1 THEN 'bytes changed' ELSE 'incomplete stamp' END AS problem FROM pages WHERE page_id % 3 <> 0 AND page_id % 5 <> 4
+UNION ALL SELECT page_id, 'no capture' FROM pages WHERE page_id % 5 = 4 UNION ALL SELECT -1 - page_id, 'no page' FROM pages WHERE page_id % 5 = 3""")
 def capture_check(spark: SparkSession, d: str) -> DataFrame:
     pages = _pages(spark, d).select(F.col("page_id").alias("fixture"), F.col("html").alias("body"))
     sha = F.when(F.col("fixture") % 3 == 1, F.lit("x")).otherwise(F.sha2("body", 256))
-    captures = pages.select("fixture", F.lit("page.html").alias("file"), F.create_map(F.lit("page.html"), sha).alias("bytes"), F.when(F.col("fixture") % 3 != 2, "2020-01-01").alias("date"))
+    taken = pages.filter("fixture % 5 <> 4").unionByName(pages.filter("fixture % 5 = 3").withColumn("fixture", -1 - F.col("fixture")))
+    captures = taken.select("fixture", F.lit("page.html").alias("file"), F.create_map(F.lit("page.html"), sha).alias("bytes"), F.when(F.col("fixture") % 3 != 2, "2020-01-01").alias("date"))
     return comparison.capture_check(pages, captures)
 
 
