@@ -38,6 +38,7 @@ BLOCK = 16_384
 PIVOTS_PER_ROOT = 4
 PIVOT_BYTES = 32 << 20
 _SUB = 1024
+_LEADERS = 2048
 _EXACT_DIMS = 1000
 
 
@@ -130,6 +131,18 @@ def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(x @ pivots.T / np.linalg.norm(x, axis=1)[:, None], -1, 1))
 
 
+def _neighbours_together(unit: np.ndarray, threshold: float) -> np.ndarray:
+    """An order of unit vectors in which close ones follow each other: each goes to the first of some leaders that links with it."""
+    leader = np.full(len(unit), _LEADERS)
+    for k in range(_LEADERS):
+        left = np.flatnonzero(leader == _LEADERS)
+        if not len(left):
+            break
+        leader[left[unit[left] @ unit[left[0]] >= threshold]] = k
+        leader[left[0]] = k
+    return np.argsort(leader, kind="stable")
+
+
 def _assign(pivots: np.ndarray):
     """Cell and angle of each class; the pivots have its length."""
 
@@ -197,10 +210,7 @@ def _dealt(classes: DataFrame, n: int, threshold: float, block: int) -> DataFram
     chosen = classes.orderBy("h1", "h2").limit(wanted).select("embedding").collect()
     pivots = np.array([r.embedding for r in chosen], np.float64)
     pivots /= np.linalg.norm(pivots, axis=1)[:, None]
-    # Neighbours next to each other: by the nearest of a few of them, then by the angle to it.
-    heads = pivots[: max(1, int(len(pivots) ** 0.5))]
-    angle = _angles(pivots, heads)
-    pivots = pivots[np.lexsort((angle.min(axis=1), angle.argmin(axis=1)))]
+    pivots = pivots[_neighbours_together(pivots, threshold)]
     kind = classes.schema["embedding"].dataType.simpleString()
     placed = classes.select("u", "times", "embedding", F.pmod(F.xxhash64("h1", "h2"), F.lit(1 << 30)).alias("draw"))
     placed = stash(placed.mapInArrow(_assign(pivots), f"u long, times long, embedding {kind}, draw long, cell int, angle double"), "cells")
