@@ -128,7 +128,6 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _FETCHED = pa.schema([("node", pa.int64()), ("line", pa.int64()), ("texts", pa.int64()), ("tokens", pa.list_(pa.int64()))])
-_STATE = "node long, line long, texts long, n long, gone array<int>, tokens array<long>"
 
 
 def templates_of(tokens: np.ndarray, texts: np.ndarray, lines: np.ndarray, gone: np.ndarray, min_docs: int, similarity: float = SIMILARITY) -> np.ndarray:

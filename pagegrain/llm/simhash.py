@@ -10,8 +10,9 @@ chain start gives three keys of 32 bits (two segments and two of the next three)
 fingerprint. Pairs under one key must pass the chain's budgets before the full Hamming check.
 
 Copies never meet as pairs: equal fingerprints are one class, and a key's group yields a spanning
-forest of its links, not the links. A large group is cut again by its remaining bits (in four
-parts, one of which must be equal), so the work stays far from the square of its size.
+forest of its links, not the links. A group of over ``_LARGE`` fingerprints is cut again by its remaining
+bits (in four parts, one of which must be equal) before it is shuffled, and once more within a task
+if it must be, so no key is one task's and the work stays far from the square of its size.
 
 Cases: null and empty texts have fingerprint zero, which is linked like any other. A null doc_id
 has a fingerprint and takes part in links; a component of null ids only has a null component_id.
@@ -41,6 +42,7 @@ SEED = 42
 SEGMENTS = 8
 _SLICE = 1 << 16
 _SMALL, _LARGE = 8, 1024
+BROADCAST_ROWS = 200_000
 _ALL = (1 << 64) - 1
 
 
@@ -58,6 +60,9 @@ KEYS = [
     for i in range(SEGMENTS)
     for a, b in ((i + 2, i + 3), (i + 2, i + 4), (i + 3, i + 4))
 ]
+N_KEYS = len(KEYS)
+#: The same keys with one of four parts of their free bits as well: four for each.
+KEYS += [(i, m | sum(1 << b for b in [b for b in range(64) if not m >> b & 1][part::4])) for part in range(4) for i, m in KEYS[:N_KEYS]]
 #: For each chain start the bits of the first l segments and their budget, from l = 3 on.
 CHAINS = [
     [(np.uint64(sum(_segment(i + j) for j in range(n))), n * MAX_BITS // SEGMENTS) for n in range(3, SEGMENTS + 1)]
@@ -195,8 +200,15 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(classes: DataFrame) -> DataFrame:
     """Links (u, v) that connect every pair of the distinct fingerprints ``fp`` with at most MAX_BITS differing bits."""
-    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, (_, m) in enumerate(KEYS)])
+    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, (_, m) in enumerate(KEYS[:N_KEYS])])
     rows = classes.select("fp", F.explode(keys).alias("key")).select(F.col("key.k").alias("k"), F.col("key.bits").alias("bits"), "fp")
+    large = stash(rows.groupBy("k", "bits").agg(F.count("*").alias("n")).filter(F.col("n") > _LARGE).select("k", "bits"), "large")
+    if not large.isEmpty():
+        told = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+        masks = F.array(*[F.lit(_signed(m)) for _, m in KEYS])
+        cut = F.transform(F.array(*[F.lit(N_KEYS * (part + 1)) for part in range(4)]), lambda p: F.struct((F.col("k") + p).alias("k"), F.col("fp").bitwiseAND(F.get(masks, F.col("k") + p)).alias("bits")))
+        again = rows.join(told, ["k", "bits"], "left_semi").select("fp", F.explode(cut).alias("key")).select("key.k", "key.bits", "fp")
+        rows = rows.join(told, ["k", "bits"], "left_anti").unionByName(again)
     return rows.repartition("k", "bits").sortWithinPartitions("k", "bits").mapInArrow(_links, "u long, v long")
 
 

@@ -158,7 +158,7 @@ def test_short_lines_go(docs_of):
 def _templates_by_rounds(spark, rows, min_docs):
     """The templates that the operator finds in one leaf, whatever the bound of what a task holds."""
     order = hashes(rows)
-    state = spark.createDataFrame([(1, order[t], w, len(t), [], [hash(x) for x in t]) for t, w in rows.items()], lines._STATE)
+    state = spark.createDataFrame([(1, order[t], w, len(t), [], [hash(x) for x in t]) for t, w in rows.items()], "node long, line long, texts long, n long, gone array<int>, tokens array<long>")
     return {r.line: r.template for r in lines._templates(state, min_docs).collect()}
 
 

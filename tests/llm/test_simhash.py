@@ -46,8 +46,9 @@ def test_equals_brute_force(real_docs):
     assert {r.doc_id for r in simhash.deduplicate(real_docs).collect()} == {c for _, _, c in want}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_links_of_random_and_crowded_fingerprints(spark, seed):
+@pytest.mark.parametrize(("seed", "large"), [(1, 1024), (2, 1024), (2, 16)])
+def test_links_of_random_and_crowded_fingerprints(spark, seed, large, monkeypatch):
+    monkeypatch.setattr(simhash, "_LARGE", large)  # the bound beyond which keys are cut before their shuffle
     rng = random.Random(seed)
     fps = {rng.getrandbits(64) for _ in range(300)}
     for center in (rng.getrandbits(64), 0):
