@@ -77,7 +77,11 @@ class Quantised:
         sa, ea, sb, eb = self.s[rows], self.e[rows], other.s[columns], other.e[columns]
         # In float32 the scaling itself is off by some units in the last place of a number of at most 1.
         least = (threshold - ea - (1 + ea) * eb.max() - 1e-5) / sa
-        i, j = np.nonzero(_products(self.q[rows], other.q[columns]) * sb.astype(np.float32)[None, :] >= least.astype(np.float32)[:, None])
+        product = _products(self.q[rows], other.q[columns])
+        if least.min() > 0 and float(product.max()) * sb.max() < least.min():
+            none = np.zeros(0, np.int64)
+            return none, none
+        i, j = np.nonzero(product * sb.astype(np.float32)[None, :] >= least.astype(np.float32)[:, None])
         sure = sa[i] * sb[j] * np.einsum("nd,nd->n", self.q[rows[i]].astype(np.int32), other.q[columns[j]].astype(np.int32)) + ea[i] + (1 + ea[i]) * eb[j] >= threshold
         i, j = rows[i[sure]], columns[j[sure]]
         cosine = np.einsum("nd,nd->n", self.x[i], other.x[j]) / (self.norm[i] * other.norm[j])
@@ -111,6 +115,8 @@ def _tile(threshold: float):
         same = table.column("a")[0].as_py() == table.column("b")[0].as_py()
         left = np.flatnonzero(blocks == own) if not same else np.arange(len(blocks))
         right = left if same else np.flatnonzero(blocks != own)
+        # Rows of like scales next to each other: most parts are ruled out by their largest product alone.
+        left, right = left[np.argsort(x.s[left], kind="stable")], right[np.argsort(x.s[right], kind="stable")]
         degree, forest = np.zeros(len(blocks), np.int64), _Forest(len(blocks))
         for p in range(0, len(left), _SUB):
             for q in range(p if same else 0, len(right), _SUB):
