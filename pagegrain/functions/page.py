@@ -14,6 +14,7 @@ SKIPPED = frozenset(("script", "style", "template", "noscript", "title", "desc",
 UNPAINTED_CHILDREN = frozenset(("video", "audio", "iframe", "canvas"))
 HIDDEN_CHILDREN = frozenset(("video", "audio", "iframe"))
 SECTIONING = frozenset(("article", "aside", "main", "nav", "section"))
+CHROME = frozenset(("script", "style", "noscript", "template", "nav", "aside"))
 #: The characters that Unicode calls white space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 # End of fixed values.
@@ -30,6 +31,7 @@ def node_rows(html: str | None) -> list[dict]:
 
     ``unpainted`` and ``concealed``: its parent takes its place (fallback content, the body of a closed details element).
     ``shown``: neither it nor anything above it is unpainted or of an element without text. ``pre``: below a pre element.
+    ``content``: below the first body, and neither it nor anything above it is unpainted, hidden or page chrome.
     """
     rows = [
         {"id": me, "parent": up, "last": last, "depth": depth, "ord": number, "kind": kind, "name": name if kind == "element" else None, "attrs": attrs, "text": text}
@@ -55,4 +57,13 @@ def node_rows(html: str | None) -> list[dict]:
             r["unpainted"] = r["concealed"] = True
         if up and (r["unpainted"] or not up["shown"]):
             r["shown"] = False
+    body = next((r for r in rows if r["name"] == "body"), None)
+    left, sectioned = [False] * len(rows), [False] * len(rows)
+    for r in rows:
+        me, up, name = r["id"], r["parent"], r["name"]
+        if up >= 0:
+            sectioned[me] = sectioned[up] or rows[up]["name"] in SECTIONING
+        gone = r["unpainted"] or name in CHROME or name in ("header", "footer") and not sectioned[me] or any(a["name"] == "hidden" for a in r["attrs"] or ())
+        left[me] = not gone and (r is body or up >= 0 and left[up])
+        r["content"] = left[me] and r is not body
     return rows

@@ -19,10 +19,10 @@ from pagegrain.operators.responses import WHITE, ascii_lower, trim_white
 
 NODES = (
     "array<struct<id:int,parent:int,last:int,depth:int,ord:int,kind:string,name:string,attrs:array<struct<name:string,value:string>>,text:string,"
-    "unpainted:boolean,concealed:boolean,shown:boolean,pre:boolean>>"
+    "unpainted:boolean,concealed:boolean,shown:boolean,pre:boolean,content:boolean>>"
 )
 _KINDS = [("id", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("depth", pa.int32()), ("ord", pa.int32()), ("kind", pa.string()), ("name", pa.string())]
-_FLAGS = [(c, pa.bool_()) for c in ("unpainted", "concealed", "shown", "pre")]
+_FLAGS = [(c, pa.bool_()) for c in ("unpainted", "concealed", "shown", "pre", "content")]
 _ARROW = pa.list_(pa.struct([*_KINDS, ("attrs", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("text", pa.string()), *_FLAGS]))
 
 

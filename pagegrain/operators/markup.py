@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from pagegrain.functions import css
 from pagegrain.functions.html import RAW, VOID
-from pagegrain.functions.page import BLOCK, SECTIONING, WHITE
-from pagegrain.operators.documents import attr, elements_of
+from pagegrain.functions.page import BLOCK, WHITE
+from pagegrain.operators.documents import attr
 from pagegrain.operators.responses import WHITE as WHITE_CLASS
 
 # Code points that no text holds: a line break to be, and white space that stays as it is.
@@ -49,15 +49,9 @@ def text_of(nodes: Column) -> Column:
 
 def signals_of(nodes: Column) -> tuple[Column, Column]:
     """(has text, has label) of the first body, less page chrome and what does not render."""
-    body = F.try_element_at(elements_of(nodes, "body"), F.lit(1))
-    inside = lambda n, a: (n["id"] > a["id"]) & (n["id"] <= a["last"])
-    sections = elements_of(nodes, *SECTIONING)
-    chrome = lambda n: n["name"].isin("script", "style", "noscript", "template", "nav", "aside") | (n["name"].isin("header", "footer") & ~F.exists(sections, lambda a: inside(n, a)))
-    gone = F.filter(nodes, lambda n: n["unpainted"] | F.coalesce(F.exists(n["attrs"], lambda a: a["name"] == "hidden") | chrome(n), F.lit(False)))
-    left = F.filter(nodes, lambda n: inside(n, body) & ~F.exists(gone, lambda g: (n["id"] == g["id"]) | inside(n, g)))
     says = lambda s: F.regexp_replace(s, f"[{WHITE_CLASS}]+", "") != ""
-    text = F.exists(left, lambda n: (n["kind"] == "text") & says(n["text"]))
-    label = F.exists(left, lambda n: (n["kind"] == "element") & F.exists(n["attrs"], lambda a: a["name"].isin("alt", "aria-label") & says(a["value"])))
+    text = F.exists(nodes, lambda n: n["content"] & (n["kind"] == "text") & says(n["text"]))
+    label = F.exists(nodes, lambda n: n["content"] & (n["kind"] == "element") & F.exists(n["attrs"], lambda a: a["name"].isin("alt", "aria-label") & says(a["value"])))
     return F.coalesce(text, F.lit(False)), F.coalesce(label, F.lit(False))
 
 
