@@ -2,7 +2,7 @@
 
 Vectors become integers, x = floor(256 c); the fit list is each different x once. No covariance matrix is ever formed: a pass
 multiplies the centred fit list into a block of at most ``BLOCK`` columns, X'(X Q) / n, as partial sums of the tasks that Spark adds by
-dimension, so what the driver gets is one row a dimension. Between passes the driver works on that block alone. Each round
+entry, so what the driver gets is one block. Between passes the driver works on that block alone. Each round
 filters the block with the Chebyshev polynomial of ``DEGREE`` that is small on the unwanted part of the spectrum (from 0 to the
 block's least Ritz value) and grows fast above it; QR and Rayleigh-Ritz follow. It ends when the residuals |V q - e q| of the wanted
 pairs are certified to be under ``TOLERANCE`` times the largest eigenvalue or cannot fall further in double precision.
@@ -72,17 +72,17 @@ def _sums(d: int):
 
 
 def _products(mean: np.ndarray, q: np.ndarray):
-    """A task's share of X'(X Q), X centred, and of each dimension's squares."""
+    """A task's share of X'(X Q), X centred, entry by entry, and of the sum of all squares behind them."""
     d, k = q.shape
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, squares = np.zeros((d, k)), np.zeros(d)
+        total, squares = np.zeros((d, k)), 0.0
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS):
                 x = _matrix(batch.column("x").slice(at, _ROWS), d) - mean
                 total += x.T @ (x @ q)
-                squares += np.einsum("nd,nd->d", x, x)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d)), *(pa.array(c) for c in total.T), pa.array(squares)], ["i", *(f"c{j}" for j in range(k)), "squares"])
+                squares += float(np.einsum("nd,nd->", x, x))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d * k + 1)), pa.array(np.append(total.ravel(), squares))], ["i", "share"])
 
     return products
 
@@ -110,13 +110,11 @@ class _Passes:
         self.fit, self.n, self.mean, self.made, self.trace = fit, n, mean, 0, 0.0
 
     def __call__(self, q: np.ndarray) -> np.ndarray:
-        d, k = q.shape
-        names = [f"c{j}" for j in range(k)]
-        told = self.fit.mapInArrow(_products(self.mean, q), ", ".join(["i long", *(f"{c} double" for c in names), "squares double"]))
-        rows = told.groupBy("i").agg(*(F.sum(c).alias(c) for c in [*names, "squares"])).toPandas().sort_values("i")
+        told = self.fit.mapInArrow(_products(self.mean, q), "i long, share double").groupBy("i").agg(F.sum("share").alias("total"))
+        told = told.toArrow().sort_by("i").column("total").to_numpy()
         self.made += 1
-        self.trace = float(rows["squares"].sum()) / self.n
-        return rows[names].to_numpy() / self.n
+        self.trace = float(told[-1]) / self.n
+        return told[:-1].reshape(q.shape) / self.n
 
 
 def _filtered(passes: _Passes, q: np.ndarray, top: float, cut: float, degree: int) -> np.ndarray:
