@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagegrain.llm import bpe, chat, decontamination, embeddings, extraction, langid, lines, mixing, pii, simhash, substrings, whitening
+from pagegrain.llm import bpe, chat, decontamination, embeddings, extraction, langid, lines, mixing, pii, repair, simhash, substrings, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_embeddings": embeddings.op9_embeddings,
         "op10_simhash": simhash.op10_simhash,
+        "op11_repair": repair.op11_repair,
         "op12_whitening": whitening.op12_whitening,
         "op13_bpe": bpe.op13_bpe,
     }
