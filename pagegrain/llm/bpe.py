@@ -148,6 +148,12 @@ def _binary(data: np.ndarray, offs: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offs) - 1, [None, pa.py_buffer(offs.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
 
 
+def _packed(numbers: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Runs of numbers, cut at these places, as packed bytes."""
+    data, size = pack_numbers(numbers)
+    return _binary(data, np.concatenate(([0], np.cumsum(size)))[cuts])
+
+
 def _cut(chunk_bytes: int):
     """Chunks: their texts as numbers of words, and a row of their different words."""
 
@@ -159,17 +165,13 @@ def _cut(chunk_bytes: int):
         order = np.argsort(-times, kind="stable")
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
-        codes, size = pack_numbers(rank[index])
-        at = np.concatenate(([0], np.cumsum(size)))
+        rank = rank.astype(np.int32)
         done = 0
         for own, n in zip(rows, counts, strict=True):
-            ends = done + np.concatenate(([0], np.cumsum(n)))
-            cuts, done = at[ends], int(ends[-1])
-            k = own.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [own.column(0), pa.array(np.full(k, chunk)), _binary(codes[cuts[0] : cuts[-1]], cuts - cuts[0]), pa.nulls(k, pa.list_(pa.string()))],
-                [REST, "chunk", "codes", "words"],
-            )
+            k, ends = own.num_rows, np.concatenate(([0], np.cumsum(n)))
+            codes, size = pack_numbers(rank[index[done : done + ends[-1]]])
+            cuts, done = np.concatenate(([0], np.cumsum(size)))[ends], done + int(ends[-1])
+            yield pa.RecordBatch.from_arrays([own.column(0), pa.array(np.full(k, chunk)), _binary(codes, cuts), pa.nulls(k, pa.list_(pa.string()))], [REST, "chunk", "codes", "words"])
         if len(order):
             told = pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), found.dictionary.take(pa.array(order)))
             yield pa.RecordBatch.from_arrays([pa.nulls(1, rows[0].column(0).type), pa.array([chunk], pa.int64()), pa.nulls(1, pa.binary()), told], [REST, "chunk", "codes", "words"])
@@ -200,23 +202,17 @@ def _vocabulary(path: str) -> Vocabulary:
 
 
 def _encode(path: str):
-    """Rows sorted by word -> a row for each chunk among some 260,000 of them: numbers of words, how many ids each has, the ids."""
+    """Rows sorted by word -> a row for each chunk among some 260,000 of them: numbers of words, how many ids each has, the ids, all packed."""
 
     def packed(chunk: list[np.ndarray], local: list[np.ndarray], size: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
         c = np.concatenate(chunk)
         order = np.argsort(c, kind="stable")
         c, sizes = c[order], np.concatenate(size)
         flat, _ = Ragged(np.concatenate(ids), sizes).take(order)
-        edge = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-        cuts = pa.array(np.append(edge, len(c)), pa.int32())
-        ends = np.concatenate(([0], np.cumsum(sizes[order])))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(c[edge]), pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(local)[order], pa.int32())), pa.ListArray.from_arrays(cuts, pa.array(sizes[order], pa.int32())),
-                pa.ListArray.from_arrays(pa.array(ends[np.append(edge, len(c))], pa.int32()), pa.array(flat, pa.int32())),
-            ],
-            ["chunk", "local", "n", "ids"],
-        )
+        edge = np.append(np.flatnonzero(np.append(True, c[1:] != c[:-1])), len(c))
+        ends = np.concatenate(([0], np.cumsum(sizes[order])))[edge]
+        told = [(np.concatenate(local)[order], edge), (sizes[order], edge), (flat, ends)]
+        return pa.RecordBatch.from_arrays([pa.array(c[edge[:-1]]), *(_packed(*x) for x in told)], ["chunk", "local", "n", "ids"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _vocabulary(path).encoding
@@ -243,12 +239,13 @@ def _encode(path: str):
     return encode
 
 
-def _lists(values: np.ndarray, size: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(values, pa.int32()))
-
-
-def _flat(column: pa.ChunkedArray) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy() if column.num_chunks else np.zeros(0, np.int32)
+def _bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column side by side, and where each row's begin (with the end as a last one)."""
+    whole = column.combine_chunks().cast(pa.large_binary())
+    if not len(whole):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offs = np.frombuffer(whole.buffers()[1], np.int64, len(whole) + 1, whole.offset * 8)
+    return np.frombuffer(whole.buffers()[2] or b"", np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
 def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -262,14 +259,10 @@ def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _assemble(texts: pa.Table, words: pa.Table) -> pa.Table:
-    local, n, ids = (_flat(words.column(c)) for c in ("local", "n", "ids"))
-    spelt, size = Ragged(ids, n.astype(np.int64)), np.zeros(len(local), np.int64)
-    place = np.empty(len(local), np.int64)
+    local, n, ids = (unpack_numbers(_bytes(words.column(c))[0]) for c in ("local", "n", "ids"))
+    spelt, place = Ragged(ids.astype(np.int32), n), np.empty(len(local), np.int64)
     place[local] = np.arange(len(local))
-    size[local] = n
-    codes = texts.column("codes").combine_chunks().cast(pa.large_binary())
-    offs = np.frombuffer(codes.buffers()[1], np.int64, len(codes) + 1, codes.offset * 8) if len(codes) else np.zeros(1, np.int64)
-    data = np.frombuffer(codes.buffers()[2] or b"", np.uint8)
+    data, offs = _bytes(texts.column("codes"))
     made = []
     for a, b in _slices(np.diff(offs)):
         part = data[offs[a] : offs[b]]
@@ -295,7 +288,7 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str | None = None, c
     schema = StructType([*own.fields, *_typed("chunk long, codes binary, words array<string>")])
     cut = bucketed(spread(rows).mapInArrow(_cut(chunk_bytes), schema), "words", "chunk")
     words = cut.filter("words is not null").select("chunk", F.posexplode("words").alias("local", "word"))
-    ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode(path), "chunk long, local array<int>, n array<int>, ids array<int>")
+    ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode(path), "chunk long, local binary, n binary, ids binary")
     texts = cut.filter("codes is not null").select(REST, "chunk", "codes")
     made = texts.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(_assemble, StructType([*own.fields, *_typed("ids array<int>")]))
     return unpack(made, kept, ids=F.col("ids"))
