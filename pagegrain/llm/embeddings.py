@@ -8,7 +8,8 @@ the pivot is at most the cell's radius plus the threshold's angle. So every pair
 exactly one tile, and on clustered data a vector goes to a few tiles, however many there are; on data
 without any structure the tiles are those of all pairs of blocks, as an exact join of that kind must be.
 
-In a tile each unit vector u is held as s * q with q in int8, and e = |u - s q| is computed. The
+Vectors are first scaled by powers of two, exactly, so that those of tiny, huge or subnormal components link by their
+direction like any other. In a tile each unit vector u is held as s * q with q in int8, and e = |u - s q| is computed. The
 product of two differs from the true cosine by at most e_u + (1 + e_u) e_v. Integer products are exact
 in the float32 matrix product (slices of at most 1,000 dimensions keep sums under 2**24). Only pairs
 whose bound reaches the threshold are recomputed in double precision from the original components.
@@ -50,6 +51,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
 
 
+def unscaled(x: np.ndarray) -> np.ndarray:
+    """Vectors (not zero, finite) times the power of two that takes each one's largest component to between 1/2 and 1.
+
+    No cosine changes, and no square or product can overflow or vanish that counts in double precision. Powers are taken
+    in two steps, as that of a subnormal number is none itself.
+    """
+    power = -np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0))[1]
+    half = power // 2
+    return np.ldexp(np.ldexp(x, half), power - half)
+
+
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(q, s, e): int8 values, scales and error norms of unit vectors."""
     s = np.abs(unit).max(axis=1) / 127
@@ -69,8 +81,9 @@ class Quantised:
     """Vectors (not zero, finite) of one length with their int8 forms."""
 
     def __init__(self, x: np.ndarray):
-        self.x, self.norm = x, np.linalg.norm(x, axis=1)
-        self.q, self.s, self.e = quantise(x / self.norm[:, None])
+        self.x = unscaled(x)
+        self.norm = np.linalg.norm(self.x, axis=1)
+        self.q, self.s, self.e = quantise(self.x / self.norm[:, None])
 
     def close_pairs(self, rows: np.ndarray, other: Quantised, columns: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """(i, j) of these rows and of the other's columns with cosine >= threshold in double precision."""
@@ -134,6 +147,7 @@ def _tile(threshold: float):
 
 
 def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    x = unscaled(x)
     return np.arccos(np.clip(x @ pivots.T / np.linalg.norm(x, axis=1)[:, None], -1, 1))
 
 
@@ -214,7 +228,7 @@ def _dealt(classes: DataFrame, n: int, threshold: float, block: int) -> DataFram
     d = len(classes.first().embedding)
     wanted = max(1, min(n, int(PIVOTS_PER_ROOT * n**0.5), PIVOT_BYTES // (8 * d)))
     chosen = classes.orderBy("h1", "h2").limit(wanted).select("embedding").collect()
-    pivots = np.array([r.embedding for r in chosen], np.float64)
+    pivots = unscaled(np.array([r.embedding for r in chosen], np.float64))
     pivots /= np.linalg.norm(pivots, axis=1)[:, None]
     pivots = pivots[_neighbours_together(pivots, threshold)]
     kind = classes.schema["embedding"].dataType.simpleString()

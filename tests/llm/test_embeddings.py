@@ -72,3 +72,19 @@ def test_clustered_rows_are_dealt_a_few_times(spark):
 
     few, many = dealt(1500), dealt(12_000)
     assert np.log(many / few) / np.log(8) <= 1.2 and many <= 4 * 12_000
+
+
+def test_no_magnitude_hurts_another_vector(spark):
+    """Tiny, huge, subnormal and mixed vectors link by direction, and the links of all others stay as they are without them."""
+    rng = np.random.default_rng(9)
+    rows = [(i, (rng.normal(size=4) + 4 * (i % 5 - 2) * np.eye(4)[i % 4]).tolist()) for i in range(100)]
+    odd = [(1000, [1e-200] * 4), (1001, [2e-200] * 4), (1002, [1e200] * 4), (1003, [1e200, 1e200, 1e200, 0.9e200]), (1004, [5e-324] * 4), (1005, [5e-324, 0.0, 0.0, 0.0]), (1006, [1e308, -1e308, 1e-308, 5e-324]), (1007, [1.0, -1.0, 0.0, 0.0])]
+    schema = "vec_id long, embedding array<double>"
+    scaled = [(i, (np.array(v) / np.abs(v).max()).tolist()) for i, v in rows + odd]
+    with_odd = told(embeddings.near_duplicates(spark.createDataFrame(rows + odd, schema)))
+    assert with_odd == brute(scaled, 0.9)
+    assert [r[1] for r in with_odd if r[0] == 1000][0] >= 4
+    alone = {r[0]: r[1] for r in told(embeddings.near_duplicates(spark.createDataFrame(rows, schema)))}
+    near_odd = {i for i, v in scaled[:100] if any(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w) >= 0.9 for _, w in scaled[100:])}
+    assert sum(alone.values()) and {r[0]: r[1] for r in with_odd if r[0] < 1000 and r[0] not in near_odd} == {i: n for i, n in alone.items() if i not in near_odd}
+    assert told(embeddings.near_duplicates(spark.createDataFrame(rows + odd, schema), block=16)) == with_odd
