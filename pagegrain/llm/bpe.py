@@ -32,7 +32,7 @@ from pagegrain.llm.words import chunks, texts_of
 from pagegrain.sources.pages import spread
 from pagegrain.storage import bucketed
 
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 32 << 20
 _SENT_ROWS = 1 << 18
 _SLICE = 1 << 20
 OTHER, LETTER, DIGIT, SPACE = range(4)
@@ -47,19 +47,27 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-class Vocabulary:
-    """The ranks of a vocabulary: its encoder of single words, and the bytes of its tokens side by side."""
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
-    def __init__(self, path: str):
-        import tiktoken
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encoding = tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
-        size = np.zeros(max(ranks.values()) + 1, np.int64)
-        for piece, i in ranks.items():
-            size[i] = len(piece)
-        self.pieces = Ragged(np.frombuffer(b"".join(sorted(ranks, key=ranks.get)), np.uint8), size)
+@functools.lru_cache(maxsize=2)
+def encoder(path: str):
+    """Encodes words, each as it stands, by the ranks of a vocabulary."""
+    import tiktoken
+
+    return tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=read_ranks(path), special_tokens={})
+
+
+@functools.lru_cache(maxsize=2)
+def pieces(path: str) -> Ragged:
+    """The bytes of a vocabulary's tokens, by id."""
+    ranks = read_ranks(path)
+    size = np.zeros(max(ranks.values()) + 1, np.int64)
+    for piece, i in ranks.items():
+        size[i] = len(piece)
+    return Ragged(np.frombuffer(b"".join(sorted(ranks, key=ranks.get)), np.uint8), size)
 
 
 class Ragged:
@@ -157,23 +165,24 @@ def _packed(numbers: np.ndarray, cuts: np.ndarray) -> pa.Array:
 def _cut(chunk_bytes: int):
     """Chunks: their texts as numbers of words, and a row of their different words."""
 
-    def flush(rows: list[pa.RecordBatch], words: list[pa.Array], counts: list[np.ndarray], number: int) -> Iterator[pa.RecordBatch]:
+    def flush(rows: list[pa.RecordBatch], words: list[pa.DictionaryArray], counts: list[np.ndarray], number: int) -> Iterator[pa.RecordBatch]:
         chunk = (TaskContext.get().partitionId() << 32) | number
-        found = pa.concat_arrays(words).dictionary_encode()
-        index = found.indices.to_numpy()
-        times = np.bincount(index, minlength=len(found.dictionary))
+        found = pa.chunked_array(words).unify_dictionaries().chunks
+        different = found[0].dictionary
+        times = np.zeros(len(different), np.int64)
+        for part in found:
+            times += np.bincount(part.indices.to_numpy(), minlength=len(different))
         order = np.argsort(-times, kind="stable")
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
         rank = rank.astype(np.int32)
-        done = 0
-        for own, n in zip(rows, counts, strict=True):
-            k, ends = own.num_rows, np.concatenate(([0], np.cumsum(n)))
-            codes, size = pack_numbers(rank[index[done : done + ends[-1]]])
-            cuts, done = np.concatenate(([0], np.cumsum(size)))[ends], done + int(ends[-1])
+        for own, n, part in zip(rows, counts, found, strict=True):
+            k = own.num_rows
+            codes, size = pack_numbers(rank[part.indices.to_numpy()])
+            cuts = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(n)))]
             yield pa.RecordBatch.from_arrays([own.column(0), pa.array(np.full(k, chunk)), _binary(codes, cuts), pa.nulls(k, pa.list_(pa.string()))], [REST, "chunk", "codes", "words"])
         if len(order):
-            told = pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), found.dictionary.take(pa.array(order)))
+            told = pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), different.take(pa.array(order)))
             yield pa.RecordBatch.from_arrays([pa.nulls(1, rows[0].column(0).type), pa.array([chunk], pa.int64()), pa.nulls(1, pa.binary()), told], [REST, "chunk", "codes", "words"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +192,7 @@ def _cut(chunk_bytes: int):
                 data, offs = texts_of(batch.column("text"))
                 starts, before = pre_tokens(data, offs)
                 cuts = pa.py_buffer(np.append(starts, len(data)).astype(np.int32).tobytes())
-                words.append(pa.StringArray.from_buffers(len(starts), cuts, pa.py_buffer(data.tobytes())))
+                words.append(pa.StringArray.from_buffers(len(starts), cuts, pa.py_buffer(data.tobytes())).dictionary_encode())
                 counts.append(np.diff(before))
                 rows.append(batch.select([REST]))
                 held += len(data)
@@ -196,11 +205,6 @@ def _cut(chunk_bytes: int):
     return cut
 
 
-@functools.lru_cache(maxsize=2)
-def _vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
-
-
 def _encode(path: str):
     """Rows sorted by word -> a row for each chunk among some 260,000 of them: numbers of words, how many ids each has, the ids, all packed."""
 
@@ -215,7 +219,7 @@ def _encode(path: str):
         return pa.RecordBatch.from_arrays([pa.array(c[edge[:-1]]), *(_packed(*x) for x in told)], ["chunk", "local", "n", "ids"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _vocabulary(path).encoding
+        encoding = encoder(path)
         word, spelt, held, rows = None, None, ([], [], [], []), 0
         for batch in batches:
             if not batch.num_rows:
@@ -298,15 +302,20 @@ def _lengths(column: pa.Array) -> np.ndarray:
     return np.asarray(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
 
 
+def _decoded(path: str, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Parts of a batch, their ids, where each row's begin, the bytes of all, and where each row's begin (ends last)."""
+    known = pieces(path)
+    for a, b in _slices(_lengths(batch.column("ids"))):
+        part = batch.slice(a, b - a)
+        ids, at = part.column("ids").flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(_lengths(part.column("ids")))))
+        data, each = known.take(ids)
+        yield part, ids, at, data, np.concatenate(([0], np.cumsum(each)))[at]
+
+
 def _decode(path: str):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _vocabulary(path).pieces
         for batch in batches:
-            for a, b in _slices(_lengths(batch.column("ids"))):
-                part = batch.slice(a, b - a)
-                ids, size = part.column("ids").flatten().to_numpy(), _lengths(part.column("ids"))
-                data, each = pieces.take(ids)
-                ends = np.concatenate(([0], np.cumsum(each)))[np.concatenate(([0], np.cumsum(size)))]
+            for part, _, _, data, ends in _decoded(path, batch):
                 yield pa.RecordBatch.from_arrays([part.column(REST), part.column("ids"), _binary(data, ends)], [REST, "ids", "decoded"])
 
     return decode
@@ -320,18 +329,19 @@ def decode(tokens: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return unpack(rows.mapInArrow(_decode(vocabulary or default_vocabulary()), schema), kept, ids=F.col("ids"), decoded=F.col("decoded"))
 
 
-def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            ids = part.column("ids").flatten().to_numpy(zero_copy_only=False).astype("<u4")
-            size = _lengths(part.column("ids"))
-            ends = np.concatenate(([0], np.cumsum(size)))
-            digests = [hashlib.sha256(ids[a:b].tobytes()).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(digests), part.column("decoded_sha256")], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+def _told(path: str):
+    """The digests of ids and of what they decode to; one helper, as each takes a process beside the one that assembles."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digests = lambda data, ends: pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string())
+        for batch in batches:
+            for part, ids, at, data, ends in _decoded(path, batch):
+                columns = [part.column("doc_id"), pa.array(np.diff(at)), digests(ids.astype("<u4").view(np.uint8), 4 * at), digests(data, ends)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return told
 
 
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    read = decode(encode(docs)).select("doc_id", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
-    return read.mapInArrow(_told, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encode(docs).mapInArrow(_told(default_vocabulary()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
