@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagegrain.functions.html import flatten, parse
+from pagegrain.functions.html import parse
 
 # Element sets that define the views.
 BLOCK = frozenset((
@@ -26,44 +26,93 @@ def words(text: str) -> list[str]:
     return [w for w in text.translate(_TO_SPACE).split(" ") if w]
 
 
-def node_rows(html: str | None) -> list[dict]:
-    """The nodes of a page by preorder id.
+class NodeColumns:
+    """The nodes of pages by preorder id, a list for each of their fields, filled while each tree is walked once.
 
     ``unpainted`` and ``concealed``: its parent takes its place (fallback content, the body of a closed details element).
     ``shown``: neither it nor anything above it is unpainted or of an element without text. ``pre``: below a pre element.
     ``content``: below the first body, and neither it nor anything above it is unpainted, hidden or page chrome.
+    ``sectioned``: below a sectioning element. Attributes lie side by side; a node's end where ``attr_ends`` says (null: it is no element).
     """
-    rows = [
-        {"id": me, "parent": up, "last": last, "depth": depth, "ord": number, "kind": kind, "name": name if kind == "element" else None, "attrs": attrs, "text": text}
-        for me, up, last, depth, number, kind, name, attrs, text in flatten(parse(html))
-    ]
-    summary: dict[int, int] = {}
-    for r in rows:
-        if r["attrs"] is not None:
-            first: dict[str, str] = {}
-            for k, v in r["attrs"]:
-                first.setdefault(k, v)
-            r["attrs"] = [{"name": k, "value": v} for k, v in first.items()]
-        up = rows[r["parent"]] if r["parent"] >= 0 else None
-        of = up["name"] if up else None
-        if r["name"] == "summary" and of == "details":
-            summary.setdefault(r["parent"], r["id"])
-        r["unpainted"], r["concealed"] = of in UNPAINTED_CHILDREN, of in HIDDEN_CHILDREN
-        r["shown"] = (up is None or up["shown"]) and r["name"] not in SKIPPED and not r["unpainted"]
-        r["pre"] = up is not None and (up["pre"] or of == "pre")
-    for r in rows:
-        up = rows[r["parent"]] if r["parent"] >= 0 else None
-        if up and up["name"] == "details" and all(a["name"] != "open" for a in up["attrs"]) and summary.get(up["id"]) != r["id"]:
-            r["unpainted"] = r["concealed"] = True
-        if up and (r["unpainted"] or not up["shown"]):
-            r["shown"] = False
-    body = next((r for r in rows if r["name"] == "body"), None)
-    left, sectioned = [False] * len(rows), [False] * len(rows)
-    for r in rows:
-        me, up, name = r["id"], r["parent"], r["name"]
-        if up >= 0:
-            sectioned[me] = sectioned[up] or rows[up]["name"] in SECTIONING
-        gone = r["unpainted"] or name in CHROME or name in ("header", "footer") and not sectioned[me] or any(a["name"] == "hidden" for a in r["attrs"] or ())
-        left[me] = not gone and (r is body or up >= 0 and left[up])
-        r["content"] = left[me] and r is not body
-    return rows
+
+    INTS = ("id", "parent", "last", "depth", "ord")
+    FLAGS = ("unpainted", "concealed", "shown", "pre", "content", "sectioned")
+
+    def __init__(self):
+        self.ends = [0]
+        for field in (*self.INTS, "kind", "name", "text", *self.FLAGS, "attr_counts", "attr_names", "attr_values"):
+            setattr(self, field, [])
+
+    def add(self, html: str | None) -> None:
+        base, number, body_seen = self.ends[-1], 0, False
+        parents, lasts, names, kinds = self.parent, self.last, self.name, self.kind
+        shown, pre, sectioned = self.shown, self.pre, self.sectioned
+        left: list[bool] = []  # what is content, the body itself included
+        closed: dict[int, bool] = {}  # of each details element that is not open: whether its summary has come
+        stack = [(child, -1, 0) for child in reversed(parse(html).children)]
+        while stack:
+            node, up, depth = stack.pop()
+            me, kind, attrs = len(left), node.kind, None
+            name = node.name if kind == "element" else None
+            of = names[base + up] if up >= 0 else None
+            unpainted, concealed = of in UNPAINTED_CHILDREN, of in HIDDEN_CHILDREN
+            if up in closed:
+                if name == "summary" and not closed[up]:
+                    closed[up] = True
+                else:
+                    unpainted = concealed = True
+            within = up >= 0 and (sectioned[base + up] or of in SECTIONING)
+            hidden = False
+            if kind == "element":
+                attrs = {}
+                for key, value in node.attrs:
+                    attrs.setdefault(key, value)
+                hidden = "hidden" in attrs
+                if name == "details" and "open" not in attrs:
+                    closed[me] = False
+            first_body = name == "body" and not body_seen
+            body_seen |= first_body
+            gone = unpainted or hidden or name in CHROME or not within and name in ("header", "footer")
+            left.append(not gone and (first_body or up >= 0 and left[up]))
+            self.id.append(me)
+            parents.append(up)
+            lasts.append(me)
+            self.depth.append(depth)
+            self.ord.append(number if kind == "element" else None)
+            kinds.append(kind)
+            names.append(name)
+            self.text.append(node.text if kind != "doctype" and kind != "element" else None)
+            self.unpainted.append(unpainted)
+            self.concealed.append(concealed)
+            shown.append((up < 0 or shown[base + up]) and name not in SKIPPED and not unpainted)
+            pre.append(up >= 0 and (pre[base + up] or of == "pre"))
+            self.content.append(left[me] and not first_body)
+            sectioned.append(within)
+            if attrs is None:
+                self.attr_counts.append(None)
+            else:
+                number += 1
+                self.attr_counts.append(len(attrs))
+                if attrs:
+                    self.attr_names.extend(attrs)
+                    self.attr_values.extend(attrs.values())
+            if node.children:
+                stack += [(child, me, depth + 1) for child in reversed(node.children)]
+        for i in range(len(names) - 1, base, -1):
+            up = parents[i]
+            if up >= 0 and lasts[base + up] < lasts[i]:
+                lasts[base + up] = lasts[i]
+        self.ends.append(len(names))
+
+
+def node_rows(html: str | None) -> list[dict]:
+    """The nodes of a page as rows, for a look at one page."""
+    made, at, out = NodeColumns(), 0, []
+    made.add(html)
+    fields = (*NodeColumns.INTS, "kind", "name", "text", *NodeColumns.FLAGS)
+    for i, n in enumerate(made.attr_counts):
+        row = {field: getattr(made, field)[i] for field in fields}
+        row["attrs"] = None if n is None else [{"name": k, "value": v} for k, v in zip(made.attr_names[at : at + n], made.attr_values[at : at + n], strict=True)]
+        at += n or 0
+        out.append(row)
+    return out

@@ -8,22 +8,37 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagegrain.functions.page import node_rows
+from pagegrain.functions.page import NodeColumns
 from pagegrain.functions.urls import resolve
-from pagegrain.operators.responses import WHITE, ascii_lower, trim_white
+from pagegrain.operators.responses import ascii_lower, trim_white
 
 NODES = (
     "array<struct<id:int,parent:int,last:int,depth:int,ord:int,kind:string,name:string,attrs:array<struct<name:string,value:string>>,text:string,"
-    "unpainted:boolean,concealed:boolean,shown:boolean,pre:boolean,content:boolean>>"
+    "unpainted:boolean,concealed:boolean,shown:boolean,pre:boolean,content:boolean,sectioned:boolean>>"
 )
-_KINDS = [("id", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("depth", pa.int32()), ("ord", pa.int32()), ("kind", pa.string()), ("name", pa.string())]
-_FLAGS = [(c, pa.bool_()) for c in ("unpainted", "concealed", "shown", "pre", "content")]
-_ARROW = pa.list_(pa.struct([*_KINDS, ("attrs", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("text", pa.string()), *_FLAGS]))
+_PAGES = 256
+
+
+def _lists(values: pa.Array, counts: list[int | None]) -> pa.ListArray:
+    """Lists of these lengths over values that lie side by side; null for a null length."""
+    none = np.array([n is None for n in counts], bool)
+    ends = np.concatenate(([0], np.cumsum(np.array([n or 0 for n in counts], np.int32)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array(none))
+
+
+def _node_lists(pages: NodeColumns) -> pa.ListArray:
+    """The ``nodes`` column of parsed pages."""
+    strings = lambda c: pa.array(c, pa.string())
+    attrs = _lists(pa.StructArray.from_arrays([strings(pages.attr_names), strings(pages.attr_values)], ["name", "value"]), pages.attr_counts)
+    made = {c: pa.array(getattr(pages, c), pa.int32()) for c in NodeColumns.INTS} | {"kind": strings(pages.kind), "name": strings(pages.name), "attrs": attrs, "text": strings(pages.text)}
+    made |= {c: pa.array(getattr(pages, c), pa.bool_()) for c in NodeColumns.FLAGS}
+    return pa.ListArray.from_arrays(pa.array(pages.ends, pa.int32()), pa.StructArray.from_arrays(list(made.values()), list(made)))
 
 
 def parse_pages(df: DataFrame, html: str = "html") -> DataFrame:
@@ -32,10 +47,11 @@ def parse_pages(df: DataFrame, html: str = "html") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                made = pa.array([node_rows(h) for h in batch.column(html).to_pylist()], _ARROW)
-                yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, "nodes"])
+            for at in range(0, whole.num_rows, _PAGES):
+                batch, pages = whole.slice(at, _PAGES), NodeColumns()
+                for text in batch.column(html).to_pylist():
+                    pages.add(text)
+                yield pa.RecordBatch.from_arrays([*batch.columns, _node_lists(pages)], [*batch.schema.names, "nodes"])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("nodes", T._parse_datatype_string(NODES))]))
 
@@ -61,13 +77,13 @@ def attr(node: Column, name: str) -> Column:
 
 
 def below(nodes: Column, node: Column) -> Column:
-    """The strict descendants of a node."""
-    return F.filter(nodes, lambda n: (n["id"] > node["id"]) & (n["id"] <= node["last"]))
+    """The strict descendants of a node: the run of nodes behind it."""
+    return F.slice(nodes, node["id"] + 2, node["last"] - node["id"])
 
 
 def text_content(nodes: Column, node: Column) -> Column:
     """All text below a node; a comment's or text's own data."""
-    parts = F.filter(nodes, lambda n: (n["kind"] == "text") & (n["id"] > node["id"]) & (n["id"] <= node["last"]))
+    parts = F.filter(below(nodes, node), lambda n: n["kind"] == "text")
     return F.when(node["kind"].isin("text", "comment"), node["text"]).otherwise(F.array_join(F.transform(parts, lambda n: n["text"]), ""))
 
 
@@ -100,6 +116,3 @@ def page_scripts(df: DataFrame, *keys: str) -> DataFrame:
         F.coalesce(clean(n) == "module", F.lit(False)).alias("module"), attr(n, "src").alias("src"), text_content(nodes, n).alias("body")))
     rows = df.select(*keys, base_url(nodes, F.col("url")).alias("_base"), F.posexplode(one).alias("pos", "s"))
     return rows.select(*keys, "pos", "s.kind", F.when(F.col("s.kind") != "skip", F.col("s.module")).alias("module"), F.when(F.col("s.kind") == "external", resolve(F.col("_base"), F.col("s.src"))).alias("src"), F.when(F.col("s.kind") == "inline", F.col("s.body")).alias("body"))
-
-
-WHITE_CLASS = WHITE

@@ -11,11 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagegrain.functions import css
 from pagegrain.functions.html import RAW, VOID
 from pagegrain.functions.page import BLOCK, WHITE
-from pagegrain.operators.documents import attr
+from pagegrain.operators.documents import below
 from pagegrain.operators.responses import WHITE as WHITE_CLASS
+from pagegrain.operators.structure import selected_ids
 
 # Code points that no text holds: a line break to be, and white space that stays as it is.
 _BREAK = "\ufdd0"
@@ -82,47 +82,16 @@ def _markup(nodes: Column, part: Column) -> Column:
 
 
 def outer_html(nodes: Column, node: Column) -> Column:
-    return _markup(nodes, F.filter(nodes, lambda n: (n["id"] >= node["id"]) & (n["id"] <= node["last"])))
+    return _markup(nodes, F.slice(nodes, node["id"] + 1, node["last"] - node["id"] + 1))
 
 
 def inner_html(nodes: Column, node: Column) -> Column:
-    return _markup(nodes, F.filter(nodes, lambda n: (n["id"] > node["id"]) & (n["id"] <= node["last"])))
-
-
-def _compound(node: Column, simples: list[tuple]) -> Column:
-    out = node["kind"] == "element"
-    for kind, name, value in simples:
-        if kind == "tag":
-            out &= node["name"] == name
-        elif kind == "cls":
-            out &= F.array_contains(tokens(attr(node, "class")), name)
-        elif kind == "id":
-            out &= attr(node, "id") == name
-        else:
-            out &= attr(node, name).isNotNull() if value is None else attr(node, name) == value
-    return F.coalesce(out, F.lit(False))
-
-
-def matches(nodes: Column, node: Column, selector: css.Selector, upto: int | None = None) -> Column:
-    """Whether a node matches a parsed selector, up to one of its compounds from the left."""
-    k = len(selector.parts) - 1 if upto is None else upto
-    combinator, simples = selector.parts[k]
-    here = _compound(node, simples)
-    if k == 0:
-        return here
-    if combinator == ">":
-        return here & F.coalesce(matches(nodes, F.get(nodes, node["parent"]), selector, k - 1), F.lit(False))
-    return here & F.exists(nodes, lambda a: (a["id"] < node["id"]) & (node["id"] <= a["last"]) & matches(nodes, a, selector, k - 1))
+    return _markup(nodes, below(nodes, node))
 
 
 def selected(nodes: Column, selectors: str, scope: str | None = None) -> Column:
     """The elements that match, in document order; with ``scope``, strict descendants of the first element that matches it."""
-    any_of = lambda n, parsed: F.coalesce(F.reduce(F.array(*[matches(nodes, n, s) for s in parsed]), F.lit(False), lambda a, x: a | x), F.lit(False))
-    found = F.filter(nodes, lambda n: any_of(n, css.parse_query(selectors)))
-    if scope is None:
-        return found
-    root = F.try_element_at(F.filter(nodes, lambda n: any_of(n, css.parse_query(scope))), F.lit(1))
-    return F.filter(found, lambda n: F.coalesce((n["id"] > root["id"]) & (n["id"] <= root["last"]), F.lit(False)))
+    return F.transform(selected_ids(nodes, selectors, scope), lambda i: F.get(nodes, i))
 
 
 def select(df: DataFrame, selectors: str, *keys: str, scope: str | None = None) -> DataFrame:

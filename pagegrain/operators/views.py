@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegrain.functions.urls import resolve, resolve_all
-from pagegrain.functions.page import SECTIONING
-from pagegrain.operators.documents import WHITE_CLASS, attr, base_url, below, elements_of, text_content
+from pagegrain.operators.documents import attr, base_url, below, elements_of, text_content
 from pagegrain.operators.markup import derive, tokens
+from pagegrain.operators.responses import WHITE as WHITE_CLASS
 from pagegrain.operators.responses import ascii_lower, classify_response, envelope, error_message, header_value, http_block, non_document, trim_white
 
 CONTENT_VIEWS = ("text", "links", "forms")
@@ -119,10 +119,8 @@ def meta_entries(df: DataFrame, *keys: str) -> DataFrame:
 
 def roles_of(nodes: Column) -> Column:
     """array<struct<id, role, name, level>> of the elements with a role: their own, else that of the element."""
-    sections = elements_of(nodes, *SECTIONING)
-    within = lambda n: F.exists(sections, lambda a: (n["id"] > a["id"]) & (n["id"] <= a["last"]))
     known = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
-    edge = lambda n: F.when(n["name"] == "header", F.when(within(n), "sectionheader").otherwise("banner")).when(n["name"] == "footer", F.when(within(n), "sectionfooter").otherwise("contentinfo"))
+    edge = lambda n: F.when(n["name"] == "header", F.when(n["sectioned"], "sectionheader").otherwise("banner")).when(n["name"] == "footer", F.when(n["sectioned"], "sectionfooter").otherwise("contentinfo"))
     implied = lambda n: F.when(n["name"].isin("header", "footer"), edge(n)).when((n["name"] == "a") & attr(n, "href").isNull(), F.lit(None).cast("string")).otherwise(known[n["name"]])
     role = lambda n: F.coalesce(F.get(tokens(ascii_lower(attr(n, "role"))), F.lit(0)), implied(n))
     own = lambda n: F.when(F.size(tokens(attr(n, "aria-label"))) > 0, F.array_join(tokens(attr(n, "aria-label")), " "))
