@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -184,6 +184,7 @@ def _cut(chunk_bytes: int):
         if len(order):
             told = pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), different.take(pa.array(order)))
             yield pa.RecordBatch.from_arrays([pa.nulls(1, rows[0].column(0).type), pa.array([chunk], pa.int64()), pa.nulls(1, pa.binary()), told], [REST, "chunk", "codes", "words"])
+        pa.default_memory_pool().release_unused()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, words, counts, held, number = [], [], [], 0, 0
@@ -262,40 +263,47 @@ def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def _assemble(texts: pa.Table, words: pa.Table) -> pa.Table:
-    local, n, ids = (unpack_numbers(_bytes(words.column(c))[0]) for c in ("local", "n", "ids"))
-    spelt, place = Ragged(ids.astype(np.int32), n), np.empty(len(local), np.int64)
-    place[local] = np.arange(len(local))
-    data, offs = _bytes(texts.column("codes"))
-    made = []
-    for a, b in _slices(np.diff(offs)):
-        part = data[offs[a] : offs[b]]
-        numbers = unpack_numbers(part)
-        # Which word is the first of each text: as many words end before it as bytes under 128.
-        first = np.searchsorted(np.flatnonzero(part < 128), offs[a : b + 1] - offs[a])
-        got, each = spelt.take(place[numbers])
-        ends = np.concatenate(([0], np.cumsum(each)))[first]
-        made.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(got, pa.int32())))
-    return pa.table({REST: texts.column(REST), "ids": pa.chunked_array(made, pa.list_(pa.int32()))})
+def _assemble(then: Callable[[pa.RecordBatch], pa.RecordBatch] | None):
+    """Puts the texts of a chunk together, some at a time; ``then`` turns their (own, ids) into what is asked for."""
+
+    def assemble(texts: pa.Table, words: pa.Table) -> pa.Table:
+        local, n, ids = (unpack_numbers(_bytes(words.column(c))[0]) for c in ("local", "n", "ids"))
+        spelt, place = Ragged(ids.astype(np.int32), n), np.empty(len(local), np.int64)
+        place[local] = np.arange(len(local))
+        data, offs = _bytes(texts.column("codes"))
+        own, made = texts.column(REST).combine_chunks(), []
+        for a, b in _slices(np.diff(offs)):
+            part = data[offs[a] : offs[b]]
+            # Which word is the first of each text: as many words end before it as bytes under 128.
+            first = np.searchsorted(np.flatnonzero(part < 128), offs[a : b + 1] - offs[a])
+            got, each = spelt.take(place[unpack_numbers(part)])
+            ends = np.concatenate(([0], np.cumsum(each)))[first]
+            told = pa.RecordBatch.from_arrays([own.slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(got, pa.int32()))], [REST, "ids"])
+            made.append(told if then is None else then(told))
+        return pa.Table.from_batches(made)
+
+    return assemble
 
 
 def _typed(ddl: str) -> list[StructField]:
     return StructType.fromDDL(ddl).fields
 
 
-def encode(docs: DataFrame, text: str = "text", vocabulary: str | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``docs`` with ``ids`` (array<int>), the tokens of each whole text, in place of the text."""
-    path = vocabulary or default_vocabulary()
-    kept = [c for c in docs.columns if c.lower() not in (text.lower(), "ids")]
+def _encoded(docs: DataFrame, kept: list[str], text: str, path: str, chunk_bytes: int, then: Callable | None, schema: str) -> DataFrame:
+    """What ``then`` makes of (own, ids), where own holds the columns ``kept``."""
     rows = docs.select((F.struct(*map(quoted, kept)) if kept else F.lit(True)).alias(REST), quoted(text).cast("string").alias("text"))
     own = StructType([StructField(REST, rows.schema[REST].dataType)])
-    schema = StructType([*own.fields, *_typed("chunk long, codes binary, words array<string>")])
-    cut = bucketed(spread(rows).mapInArrow(_cut(chunk_bytes), schema), "words", "chunk")
+    cut = bucketed(spread(rows).mapInArrow(_cut(chunk_bytes), StructType([*own.fields, *_typed("chunk long, codes binary, words array<string>")])), "words", "chunk")
     words = cut.filter("words is not null").select("chunk", F.posexplode("words").alias("local", "word"))
     ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode(path), "chunk long, local binary, n binary, ids binary")
     texts = cut.filter("codes is not null").select(REST, "chunk", "codes")
-    made = texts.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(_assemble, StructType([*own.fields, *_typed("ids array<int>")]))
-    return unpack(made, kept, ids=F.col("ids"))
+    return texts.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(_assemble(then), StructType([*(own.fields if then is None else ()), *_typed(schema)]))
+
+
+def encode(docs: DataFrame, text: str = "text", vocabulary: str | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``docs`` with ``ids`` (array<int>), the tokens of each whole text, in place of the text."""
+    kept = [c for c in docs.columns if c.lower() not in (text.lower(), "ids")]
+    return unpack(_encoded(docs, kept, text, vocabulary or default_vocabulary(), chunk_bytes, None, "ids array<int>"), kept, ids=F.col("ids"))
 
 
 def _lengths(column: pa.Array) -> np.ndarray:
@@ -329,19 +337,27 @@ def decode(tokens: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return unpack(rows.mapInArrow(_decode(vocabulary or default_vocabulary()), schema), kept, ids=F.col("ids"), decoded=F.col("decoded"))
 
 
-def _told(path: str):
-    """The digests of ids and of what they decode to; one helper, as each takes a process beside the one that assembles."""
+_TOLD = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digests = lambda data, ends: pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string())
-        for batch in batches:
-            for part, ids, at, data, ends in _decoded(path, batch):
-                columns = [part.column("doc_id"), pa.array(np.diff(at)), digests(ids.astype("<u4").view(np.uint8), 4 * at), digests(data, ends)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+def _told(path: str):
+    """The digests of ids and of what they decode to."""
+
+    def told(batch: pa.RecordBatch) -> pa.RecordBatch:
+        digests = lambda data, ends: [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        sizes, of_ids, of_bytes = [], [], []
+        for _, ids, at, data, ends in _decoded(path, batch):
+            sizes += np.diff(at).tolist()
+            of_ids += digests(ids.astype("<u4").view(np.uint8), 4 * at)
+            of_bytes += digests(data, ends)
+        columns = [batch.column(REST).field("doc_id"), pa.array(sizes, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _TOLD.split(", ")])
 
     return told
 
 
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return encode(docs).mapInArrow(_told(default_vocabulary()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    path = default_vocabulary()
+    # Digests are made where texts are put together: another helper would be another process beside each task's.
+    return _encoded(docs, ["doc_id"], "text", path, CHUNK_BYTES, _told(path), _TOLD)
