@@ -100,8 +100,9 @@ def select(df: DataFrame, selectors: str, *keys: str, scope: str | None = None)
     An unsupported selector raises ValueError.
     """
     nodes = F.col("nodes")
-    rows = df.select(*keys, "nodes", F.explode(selected(nodes, selectors, scope)).alias("n"))
-    return rows.select(*keys, F.col("n.id").alias("id"), F.col("n.name").alias("name"), outer_html(nodes, F.col("n")).alias("outer_html"), inner_html(nodes, F.col("n")).alias("inner_html"))
+    # Markup is made before the array is taken apart: a row of its own would carry a copy of all nodes.
+    told = lambda n: F.struct(n["id"].alias("id"), n["name"].alias("name"), outer_html(nodes, n).alias("outer_html"), inner_html(nodes, n).alias("inner_html"))
+    return df.select(*keys, F.inline(F.transform(selected(nodes, selectors, scope), told)))
 
 
 #: What ``derive`` can return.
