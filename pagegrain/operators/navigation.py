@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import replace
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,7 @@ from pagegrain.functions.urls import join_or_null, parse_url, registrable_domain
 from pagegrain.functions.vector import vectorised
 from pagegrain.operators.documents import attr, base_url, elements_of
 from pagegrain.operators.responses import ascii_lower, cache_reusable, challenge, header_lines, header_value
+from pagegrain.storage import stash
 
 MAX_REQUESTS = 10
 _WS = " \t\n\f\r"
@@ -137,11 +139,14 @@ def frozen_resources(requests: DataFrame) -> DataFrame:
     """``requests`` with ``served_by``: the seq of the response that serves each one.
 
     requests: (session, seq, url, headers, navigation). A request is served by the earliest earlier response to its address
-    that may be reused, else by its own; navigations are never cached.
+    that may be reused, else by its own; navigations are never cached. The earliest before any request is the earliest of all or none,
+    so a least number for each session and address, pre-aggregated, is joined to the requests: no key's rows are put in order in one task,
+    and a key of many rows is an ordinary join's, which adaptive execution splits.
     """
     reusable = F.when(~F.col("navigation") & cache_reusable(F.col("headers")), F.col("seq"))
-    earlier = Window.partitionBy("session", "url").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return requests.withColumn("served_by", F.when(F.col("navigation"), F.col("seq")).otherwise(F.coalesce(F.min(reusable).over(earlier), F.col("seq"))))
+    first = requests.select(F.col("session").alias("_s"), F.col("url").alias("_u"), reusable.alias("_q")).groupBy("_s", "_u").agg(F.min("_q").alias("_first")).filter("_first is not null")
+    met = requests.drop("served_by").join(first, F.col("session").eqNullSafe(F.col("_s")) & F.col("url").eqNullSafe(F.col("_u")), "left")
+    return met.withColumn("served_by", F.when(~F.col("navigation") & (F.col("_first") < F.col("seq")), F.col("_first")).otherwise(F.col("seq"))).drop("_s", "_u", "_first")
 
 
 # -- cookies
@@ -241,68 +246,138 @@ def _site_key(domain: pd.Series) -> pd.Series:
 
 
 _COOKIE = ("name", "value", "domain", "host_only", "path", "secure", "same_site", "created")
-_STANDING = "array<struct<name:string,value:string,domain:string,host_only:boolean,path:string,secure:boolean,same_site:string,created:long>>"
+#: A session of more rows than this is cut into ranges of its numbers, ``RANGES`` at most.
+RANGE_ROWS, RANGES = 200_000, 256
+_HELD = 100_000
+_HOT_SESSIONS = 50_000
 
 
 def _stand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The cookies that stand at each request; writes and requests come sorted by (session, site, seq), requests first."""
-    kind = pa.list_(pa.struct([(c, pa.bool_() if c in ("host_only", "secure") else pa.int64() if c == "created" else pa.string()) for c in _COOKIE]))
-    group, standing = None, {}
+    """The cookies that stand at each request; rows come sorted by (session, site, range, seq), requests before writes.
+
+    Cookies are known by their places in a pool: this batch's, behind those that stood at its begin.
+    """
+    group, standing, known = None, {}, None
     for batch in batches:
-        keep, told = [], []
-        for k, r in enumerate(batch.select(["session", "site", "cookie", "deletes", "write"]).to_pylist()):
-            if (r["session"], r["site"]) != group:
-                group, standing = (r["session"], r["site"]), {}
-            if not r["write"]:
-                if standing:
-                    keep.append(k)
-                    told.append(list(standing.values()))
+        cookies, requests = batch.column("cookie"), batch.column("request")
+        pool = cookies if known is None else pa.concat_arrays([known, cookies])
+        first = len(pool) - len(cookies)
+        keep, counts, flat = [], [0], []
+
+        def told() -> pa.RecordBatch:
+            standing = pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pool.take(pa.array(flat, pa.int64())))
+            return pa.RecordBatch.from_arrays([requests.take(pa.array(keep, pa.int64())), standing], ["request", "standing"])
+
+        columns = (batch.column(c).to_pylist() for c in ("session", "site", "range", "write", "identity", "deletes"))
+        for k, (session, site, part, write, identity, deletes) in enumerate(zip(*columns, strict=True)):
+            if (session, site, part) != group:
+                group, standing = (session, site, part), {}
+            if not write:
+                keep.append(k)
+                counts.append(len(standing))
+                flat.extend(standing.values())
+                if len(flat) >= _HELD:
+                    yield told()
+                    keep, counts, flat = [], [0], []
                 continue
-            identity = tuple(r["cookie"][c] for c in ("name", "domain", "path"))
             standing.pop(identity, None)
-            if not r["deletes"]:
-                standing[identity] = r["cookie"]
-        yield pa.RecordBatch.from_arrays([batch.column("request").take(pa.array(keep, pa.int64())), pa.array(told, kind)], ["request", "standing"])
-
-
-def cookie_header(requests: DataFrame, events: DataFrame) -> DataFrame:
+            if not deletes:
+                standing[identity] = first + k
+        yield told()
+        known = pool.take(pa.array(list(standing.values()), pa.int64()))
+        standing = {identity: k for k, identity in enumerate(standing)}
+
+
+def _cuts(requests: DataFrame, events: DataFrame, range_rows: int) -> DataFrame | None:
+    """(_session, cuts, ranges): where the numbers of each session with over ``range_rows`` rows are cut; None if there is none."""
+    both = requests.select("session", F.col("seq").cast("double").alias("seq")).unionByName(events.select("session", F.col("seq").cast("double").alias("seq")))
+    sizes = both.groupBy("session").agg(F.count("*").alias("n")).filter(F.col("n") > range_rows)
+    hot = stash(sizes.withColumnRenamed("session", "_session"), "hot_sessions")
+    n = hot.count()
+    if not n:
+        return None
+    fractions = [k / RANGES for k in range(1, RANGES)]
+    found = both.join(hot, F.col("session").eqNullSafe(F.col("_session"))).groupBy("_session", "n").agg(F.percentile_approx("seq", fractions, 10_000).alias("cuts"))
+    ranges = F.least(F.lit(RANGES), F.ceil(F.col("n") / range_rows)).cast("int")
+    found = stash(found.select("_session", "cuts", ranges.alias("ranges")), "cuts")
+    # A row holds some 2 KB of cuts.
+    return F.broadcast(found) if n <= _HOT_SESSIONS // 10 else found
+
+
+def _ranged(rows: DataFrame, cuts: DataFrame | None) -> DataFrame:
+    """``rows`` with the range of their session's numbers that they are in, and how many ranges it has."""
+    if cuts is None:
+        return rows.withColumns({"range": F.lit(0), "ranges": F.lit(1)})
+    at = F.size(F.filter("cuts", lambda c: c < F.col("seq"))) * F.col("ranges")
+    rows = rows.join(cuts, F.col("session").eqNullSafe(F.col("_session")), "left")
+    return rows.withColumns({"range": F.coalesce(F.floor(at / RANGES).cast("int"), F.lit(0)), "ranges": F.coalesce("ranges", F.lit(1))}).drop("_session", "cuts")
+
+
+def _carried(writes: DataFrame) -> DataFrame:
+    """The cookies that stand where a range begins, as writes before all others of the range."""
+    last = writes.filter("ranges > 1").groupBy("session", "site", "identity", "ranges", "range").agg(F.max(F.struct("seq", "cookie", "deletes")).alias("x"))
+    later = F.coalesce(F.lead("range").over(Window.partitionBy("session", "site", "identity").orderBy("range")), F.col("ranges") - 1)
+    last = last.withColumn("until", later).filter("not x.deletes and until > range")
+    return last.select("session", "site", F.explode(F.sequence(F.col("range") + 1, F.col("until"))).alias("range"), F.lit(None).cast(writes.schema["seq"].dataType).alias("seq"), "identity", F.col("x.cookie").alias("cookie"), F.lit(False).alias("deletes"))
+
+
+def _passed(asked: DataFrame, writes: DataFrame) -> DataFrame:
+    """(request, standing) of requests (session, site, seq, range, request) among ``writes``."""
+    writes = writes.select("session", "site", "range", "seq", "identity", "cookie", "deletes").unionByName(_carried(writes)) if "ranges" in writes.columns else writes
+    asked = asked.select("session", "site", "range", "seq", "request", F.lit(False).alias("write"))
+    rows = asked.unionByName(writes.withColumn("write", F.lit(True)), allowMissingColumns=True).select("session", "site", "range", "seq", "write", "request", "identity", "cookie", "deletes")
+    rows = rows.repartition("session", "site", "range").sortWithinPartitions("session", "site", "range", "seq", "write", "cookie")
+    schema = T.StructType([T.StructField("request", rows.schema["request"].dataType), T.StructField("standing", T.ArrayType(rows.schema["cookie"].dataType))])
+    return rows.mapInArrow(_stand, schema)
+
+
+def cookie_header(requests: DataFrame, events: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``requests`` with ``cookie``: the header of each, from cookies written before it; null if none applies.
 
-    requests: (request_id, session, seq, target, referrer, intent). Writes and requests of a session and registrable
-    domain are passed once in order, with the cookies that stand at each point; a write at a request's own seq comes after it.
-    Domains of a single label match hosts of any registrable domain: they are passed by the last label.
+    requests: (request_id, session, seq, target, referrer, intent) and any others. Writes and requests of a session and registrable
+    domain are passed once in order, with the cookies that stand at each point; a write at a request's own seq comes after it. A session of over
+    ``range_rows`` rows is cut into ranges of seq, each of which begins with what the writes before it leave, and is as many tasks' work.
+    A null session is one of its own. Domains of a single label match hosts of any registrable domain: they are passed by the last label, and only requests that can meet one.
     """
+    kept = [c for c in requests.columns if c != "cookie"]
     context = F.coalesce("referrer", "target")
     t, c = url_parse(F.col("target")), url_parse(context)
     parts = requests.select(
-        "request_id", "session", "seq", "intent", t["host"].alias("host"), t["scheme"].alias("scheme"), t["path"].alias("req_path"), t["registrable"].alias("site"),
+        F.struct(*kept).alias("own"), "session", "seq", "intent", t["host"].alias("host"), t["scheme"].alias("scheme"), t["path"].alias("req_path"), t["registrable"].alias("site"),
         F.coalesce(t["registrable"] == c["registrable"], F.lit(False)).alias("same_site_request"), same_origin(context, F.col("target")).alias("same_origin_request"),
-    ).filter("host is not null")
+    )
+    cuts = _cuts(requests, events, range_rows)
     writes = cookie_writes(events).withColumns({"site": _site_key(F.col("domain")), "created": F.col("seq").cast("long"), "single": ~F.col("domain").contains(".") & ~F.col("host_only")})
-    request = F.struct("request_id", "intent", "host", "scheme", "req_path", "same_site_request", "same_origin_request")
-    asked = parts.select("session", "site", "seq", F.substring_index("host", ".", -1).alias("label"), request.alias("request"), F.lit(False).alias("write"))
-    said = writes.select("session", "site", "seq", "single", F.struct(*_COOKIE).alias("cookie"), "deletes", F.lit(True).alias("write"))
-
-    def passed(left: DataFrame, right: DataFrame) -> DataFrame:
-        rows = left.unionByName(right.drop("single"), allowMissingColumns=True).select("session", "site", "seq", "request", "cookie", "deletes", "write")
-        rows = rows.repartition("session", "site").sortWithinPartitions("session", "site", "seq", "write", "cookie")
-        schema = T.StructType([rows.schema["request"], T.StructField("standing", T._parse_datatype_string(_STANDING))])
-        return rows.mapInArrow(_stand, schema)
+    identity = F.concat_ws("\0", "name", "domain", "path").alias("identity")
+    said = _ranged(writes.select("session", "site", "seq", "single", identity, F.struct(*_COOKIE).alias("cookie"), "deletes"), cuts)
+    if cuts is None:
+        said = said.drop("ranges")
+    request = F.struct("own", "intent", "host", "scheme", "req_path", "same_site_request", "same_origin_request")
+    asked = _ranged(parts.select("session", "site", "seq", request.alias("request")), cuts)
+    # An address without a host meets no cookie; such rows are dealt evenly.
+    asked = asked.withColumn("range", F.when(F.col("site").isNull(), F.pmod(F.xxhash64("request"), F.lit(RANGES)).cast("int")).otherwise(F.col("range")))
+    met = _passed(asked, said.filter("not single").drop("single"))
 
-    near = passed(asked.drop("label"), said.filter("not single"))
     # Few sites have cookies of a single label; only requests of such a session and label are passed again.
-    single = said.filter("single")
-    labels = single.select("session", F.col("site").alias("label")).distinct()
-    far = passed(asked.join(labels, ["session", "label"], "left_semi").drop("site").withColumnRenamed("label", "site"), single)
-    met = near.unionByName(far).select("request.*", F.inline("standing"))
-    host_ok = (F.col("host") == F.col("domain")) | (~F.col("host_only") & F.col("host").endswith(F.concat(F.lit("."), F.col("domain"))))
-    path_ok = (F.col("req_path") == F.col("path")) | (F.col("req_path").startswith(F.col("path")) & (F.col("path").endswith("/") | (F.substring(F.col("req_path"), F.length("path") + 1, F.lit(1)) == "/")))
-    site_ok = (F.col("same_site") == "none") | F.col("same_site_request") | ((F.col("same_site") == "lax") & (F.col("intent") == "navigation"))
-    gate = (F.col("intent") != "fetch") | F.col("same_origin_request")
-    met = met.filter(host_ok & path_ok & site_ok & gate & (~F.col("secure") | (F.col("scheme") == "https")))
-    order = F.struct((-F.length("path")).alias("a"), F.col("created"), F.concat("name", F.lit("="), "value").alias("pair"))
-    made = met.groupBy("request_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["pair"]), "; ").alias("cookie"))
-    return requests.drop("cookie").join(made.withColumnRenamed("request_id", "_id"), F.col("request_id") == F.col("_id"), "left").drop("_id")
+    single = said.filter("single").drop("single")
+    labels = stash(single.select(F.col("session").alias("_session"), F.col("site").alias("_label")).distinct(), "labels")
+    if not labels.isEmpty():
+        again = F.col("request.own.session").eqNullSafe(F.col("_session")) & (F.substring_index("request.host", ".", -1) == F.col("_label"))
+        far = met.join(labels, again, "left_semi").select(F.col("request.own.session").alias("session"), F.substring_index("request.host", ".", -1).alias("site"), F.col("request.own.seq").alias("seq"), F.struct("request", "standing").alias("request"))
+        far = _passed(_ranged(far, cuts), single).select("request.request", F.concat("request.standing", "standing").alias("standing"))
+        met = met.join(labels, again, "left_anti").unionByName(far)
+    r = F.col("request")
+
+    def applies(x: Column) -> Column:
+        host_ok = (r["host"] == x["domain"]) | (~x["host_only"] & F.endswith(r["host"], F.concat(F.lit("."), x["domain"])))
+        path_ok = (r["req_path"] == x["path"]) | (F.startswith(r["req_path"], x["path"]) & (F.endswith(x["path"], F.lit("/")) | (F.substring(r["req_path"], F.length(x["path"]) + 1, F.lit(1)) == "/")))
+        site_ok = (x["same_site"] == "none") | r["same_site_request"] | ((x["same_site"] == "lax") & (r["intent"] == "navigation"))
+        gate = (r["intent"] != "fetch") | r["same_origin_request"]
+        return host_ok & path_ok & site_ok & gate & (~x["secure"] | (r["scheme"] == "https"))
+
+    order = lambda x: F.struct((-F.length(x["path"])).alias("a"), x["created"].alias("created"), F.concat(x["name"], F.lit("="), x["value"]).alias("pair"))
+    pairs = F.transform(F.array_sort(F.transform(F.filter("standing", applies), order)), lambda x: x["pair"])
+    return met.select("request.own.*", F.when(F.size(pairs) > 0, F.array_join(pairs, "; ")).alias("cookie"))
 
 
 def warrants_second_request(attempts: DataFrame, events: DataFrame) -> DataFrame:

@@ -238,3 +238,82 @@ def test_envelope_payloads(spark):
     assert out["meta"]["out"] == {"title": "T", "lang": "en", "charset": None, "canonical": "http://a.b/c", "meta": [{"name": "a", "content": "b"}]}
     assert all(e["status"] == "ok" and "needs" not in e and "error" not in e and e["http"]["status"] == 200 for e in out.values())
     assert out["dom"]["out"][0]["type"] == "element"
+
+
+def _cookie_case(spark, seed, n):
+    """Requests and writes over few sessions, sites, paths and flags, with equal numbers."""
+    import random
+
+    rng = random.Random(seed)
+    hosts = ["a.com", "www.a.com", "b.org", "x.b.org", "c.com"]
+    events = [
+        (rng.choice([1, 1, 1, 2, None]), rng.randint(0, n), f"https://{rng.choice(hosts)}/p/q", f"{rng.choice('kmn')}={k}; Path={rng.choice(['/', '/p', '/p/q'])}" + rng.choice(["", "", "; Domain=com", "; Domain=a.com", "; Secure", "; SameSite=Strict", "; Max-Age=0"]), False)
+        for k in range(n)
+    ]
+    requests = [(k, rng.choice([1, 1, 1, 2, None]), rng.randint(0, n), rng.choice(["https", "http"]) + f"://{rng.choice(hosts)}{rng.choice(['/', '/p', '/p/q', '/pq'])}", rng.choice([None, "https://a.com/"]), rng.choice(["navigation", "fetch"]), "mine") for k in range(n)]
+    requests.append((n, 1, 5, "no address", None, "navigation", "mine"))
+    events = spark.createDataFrame(events, "session int, seq int, url string, line string, from_script boolean").withColumn("ts", F.timestamp_seconds(F.lit(100)))
+    return spark.createDataFrame(requests, "request_id int, session int, seq int, target string, referrer string, intent string, extra string"), events
+
+
+def _cookies_by_definition(requests, events):
+    from pagegrain.functions.urls import parse_url, registrable_domain
+
+    out = {}
+    for r in requests:
+        jar, u, c = {}, parse_url(r.target), parse_url(r.referrer or r.target)
+        for e in sorted((e for e in events if e.session == r.session and e.seq < r.seq), key=lambda e: (e.seq, navigation.parse_cookie(e.line, e.url, 100, False) or ())):
+            x = navigation.parse_cookie(e.line, e.url, 100, False)
+            if x is not None:
+                jar.pop((x[0], x[2], x[4]), None)
+                if x[8] is None or x[8] > 100:
+                    jar[x[0], x[2], x[4]] = (x, e.seq)
+        told = []
+        for (name, domain, path), (x, seq) in jar.items():
+            if u is None:
+                continue
+            same = registrable_domain(u) == registrable_domain(c)
+            host_ok = u.host == domain or not x[3] and u.host.endswith("." + domain)
+            path_ok = u.pathname == path or u.pathname.startswith(path) and (path.endswith("/") or u.pathname[len(path) :][:1] == "/")
+            site_ok = x[7] == "none" or same or x[7] == "lax" and r.intent == "navigation"
+            gate = r.intent != "fetch" or (u.scheme, u.host) == (c.scheme, c.host)
+            if host_ok and path_ok and site_ok and gate and (not x[5] or u.scheme == "https"):
+                told.append((-len(path), seq, f"{name}={x[1]}"))
+        out[r.request_id] = "; ".join(p for *_, p in sorted(told)) or None
+    return out
+
+
+@pytest.mark.parametrize("range_rows", [navigation.RANGE_ROWS, 40, 3])
+def test_cookie_headers_by_definition(spark, range_rows):
+    requests, events = _cookie_case(spark, 3, 200)
+    got = navigation.cookie_header(requests, events, range_rows)
+    assert got.columns == [*requests.columns, "cookie"]
+    rows = got.collect()
+    assert len(rows) == 201 and {r.extra for r in rows} == {"mine"}
+    want = _cookies_by_definition(requests.collect(), events.collect())
+    assert {r.request_id: r.cookie for r in rows} == want and sum(v is not None for v in want.values()) > 60
+
+
+def test_a_hot_session_is_many_tasks(spark):
+    """One session that holds all rows is dealt by ranges of its numbers, with the same headers."""
+    n = 4000
+    events = spark.range(n).selectExpr("1 AS session", "id AS seq", "'https://a.com/' AS url", "concat('k', id % 7, '=', id, if(id % 11 = 0, '; Max-Age=0', '')) AS line", "false AS from_script").withColumn("ts", F.timestamp_seconds(F.lit(100)))
+    requests = spark.range(n).selectExpr("id AS request_id", "1 AS session", "id AS seq", "'https://a.com/' AS target", "CAST(NULL AS string) AS referrer", "'navigation' AS intent")
+    rows = navigation._ranged(events, navigation._cuts(requests, events, 500))
+    sizes = [r["count"] for r in rows.groupBy("range").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * n / 16
+    split, whole = (sorted((r.request_id, r.cookie) for r in navigation.cookie_header(requests, events, k).collect()) for k in (500, 1 << 40))
+    assert split == whole and len(split) == n
+
+
+def test_frozen_resources_by_definition(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(rng.choice([1, 2, None]), k, rng.choice(["a", "b", None]), rng.random() < 0.2, rng.random() < 0.4) for k in range(300)]
+    df = spark.createDataFrame(rows, "session int, seq int, url string, navigation boolean, ok boolean")
+    df = df.withColumn("headers", F.expr("array(named_struct('name', 'Vary', 'value', if(ok, 'accept-encoding', 'cookie')))"))
+    got = {r.seq: r.served_by for r in navigation.frozen_resources(df).collect()}
+    for session, seq, url, nav, _ in rows:
+        earlier = [q for s, q, u, n, ok in rows if (s, u) == (session, url) and q < seq and ok and not n]
+        assert got[seq] == (seq if nav or not earlier else min(earlier))
