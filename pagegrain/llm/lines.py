@@ -55,7 +55,7 @@ MIN_SHARE = 0.5
 EDGE = 3
 OWN_SHARE = 0.1
 HELD_LINES, HELD_TOKENS = 256, 1 << 22
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 8 << 20
 _VARIABLE = np.uint64(1)
 
 
@@ -226,21 +226,28 @@ def _round(large: DataFrame, nodes: DataFrame, min_docs: int) -> tuple[DataFrame
     counted = large.select("node", "texts", F.posexplode("tokens").alias("pos", "token")).groupBy("node", "pos", "token").agg(F.sum("texts").alias("support"))
     counted = stash(counted, "tokens")
     best = counted.groupBy("node", "pos").agg(F.max(F.struct("support", "token")).alias("top"), F.sum("support").alias("total"))
-    at = F.struct("pos", F.when(2 * F.col("top.support") > F.col("total"), F.col("top.token")).alias("token"), (F.col("top.support") == F.col("total")).alias("same"))
+    support = F.col("top.support")
+    at = F.struct("pos", F.when(2 * support > F.col("total"), F.col("top.token")).alias("token"), (support == F.col("total")).alias("same"), (support >= min_docs).alias("often"))
     told = best.groupBy("node").agg(F.sort_array(F.collect_list(at)).alias("at")).join(nodes.select("node", "n", "gone"), "node")
-    open_at = lambda x: ~F.array_contains("gone", x["pos"]) & ~x["same"]
+    told = told.select("node", "n", "gone", F.transform("at", lambda x: F.when(~F.array_contains("gone", x["pos"]), x["token"])).alias("fixed"), F.filter("at", lambda x: ~x["same"] & ~F.array_contains("gone", x["pos"])).alias("open"))
+    # Positions in the order in which they are taken. Those before the first with a frequent token split nothing: each makes one field more
+    # variable and leaves the node's lines, weights and fixed tokens to the next, so they are taken in one step, and the node is dead if they are too many.
+    told = told.withColumn("order", F.concat(F.filter("open", lambda x: x["token"].isNull()), F.filter("open", lambda x: x["token"].isNotNull())))
+    told = told.withColumn("skipped", F.coalesce(F.array_position(F.transform("order", lambda x: x["often"]), F.lit(True)), F.lit(0)).cast("int") - 1)
+    told = told.withColumn("skipped", F.when(F.col("skipped") < 0, F.size("order")).otherwise(F.col("skipped")))
+    left = F.col("n") - F.size("gone") - F.col("skipped")
     told = told.select(
-        "node", F.transform("at", lambda x: F.when(~F.array_contains("gone", x["pos"]), x["token"])).alias("fixed"),
-        F.coalesce(F.get(F.filter("at", lambda x: open_at(x) & x["token"].isNull()), F.lit(0))["pos"], F.get(F.filter("at", open_at), F.lit(0))["pos"]).alias("pos"),
+        "node", "fixed", F.get("order", F.col("skipped"))["pos"].alias("pos"), F.transform(F.slice("order", F.lit(1), F.col("skipped")), lambda x: x["pos"]).alias("variable"),
+        ((left < SIMILARITY * F.col("n")) | (F.col("skipped") == F.size("order"))).alias("dead"),
     )
     agree = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.when(x, 1).otherwise(0))
     enough = (agree(F.transform("fixed", lambda t: t.isNotNull())) >= SIMILARITY * F.col("n")) & (agree(F.zip_with("tokens", "fixed", lambda t, f: t == f)) >= SIMILARITY * F.col("n"))
-    judged = stash(large.join(_small(told), "node").select(*large.columns, "pos", enough.alias("member")), "judged")
+    judged = stash(large.join(_small(told), "node").select(*large.columns, "pos", "variable", "dead", enough.alias("member")), "judged")
     named = judged.filter("member").groupBy("node").agg(F.sum("texts").alias("total"), F.min("line").alias("template")).filter(F.col("total") >= min_docs)
     judged = judged.join(_small(stash(named.select("node", "template"), "named")), "node", "left")
     found = judged.filter("member and template is not null").select("line", "template")
     others = judged.filter("not member and template is not null").withColumn("node", F.xxhash64("node", F.lit("others")))
-    split = judged.filter("template is null").withColumn("token", F.get("tokens", F.col("pos")))
+    split = judged.filter("template is null and not dead").withColumns({"token": F.get("tokens", F.col("pos")), "gone": F.concat("gone", "variable")})
     split = split.join(counted.filter(F.col("support") >= min_docs), ["node", "pos", "token"], "left")
     often = F.col("support").isNotNull()
     split = split.withColumns({"node": F.when(often, F.xxhash64("node", "pos", "token")).otherwise(F.xxhash64("node", "pos", F.lit("rare"))), "gone": F.when(often, F.col("gone")).otherwise(F.concat("gone", F.array("pos")))})
@@ -253,7 +260,10 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """``df``, to be broadcast if its numbers and lists of numbers take ``BROADCAST_BYTES`` at most."""
+    lists = {f.name: 8 * len(getattr(f.dataType.elementType, "fields", "1")) for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)}
+    row = sum((F.coalesce(F.size(c), F.lit(0)) * width for c, width in lists.items()), F.lit(16 * len(df.columns)))
+    return F.broadcast(df) if (df.agg(F.sum(row.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def _documents(parsed: DataFrame, common: DataFrame) -> DataFrame:

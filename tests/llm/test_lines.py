@@ -224,3 +224,35 @@ def test_recall_of_planted_templates(docs_of):
     got = {r.doc_id: r.text.split("\n") for r in lines.drop_recurring_lines(docs_of(rows)).collect()}
     left = sum(len(got[d]) - len(k) for d, k in enumerate(want))
     assert all(set(k) <= set(got[d]) for d, k in enumerate(want)) and left <= 0.1 * 3 * 300
+
+
+def test_long_lines_take_few_rounds(spark, docs_of, monkeypatch):
+    """A node of long lines without frequent tokens is done in one step, whatever the number of their tokens."""
+    import random
+    import time
+
+    rng = random.Random(11)
+    made = []
+    real = lines.stash
+    monkeypatch.setattr(lines, "stash", lambda df, name: made.append(name) or real(df, name))
+    rows = [(d, "The same three " + prose(rng, 2000)) for d in range(300)]
+    began = time.perf_counter()
+    got = {r.doc_id: r.text for r in lines.drop_recurring_lines(docs_of(rows)).collect()}
+    assert got == dict(rows) and len(made) < 60 and time.perf_counter() - began < 60
+
+
+def test_one_step_over_many_positions_changes_nothing(spark, monkeypatch):
+    """Nodes whose first positions are all different, then split, give the templates of the definitions."""
+    import random
+
+    monkeypatch.setattr(lines, "HELD_LINES", 16)
+    for seed in range(3):
+        rng = random.Random(seed)
+        rows = Counter()
+        for _ in range(160):
+            kind = rng.choice("pqr")
+            free = [rng.choice("uvwxyz") + rng.choice("abcdefgh") + rng.choice("klmn") for _ in range(rng.randint(0, 4))]
+            rows[tuple(["a", "b", "c"] + (free + [f"{kind}{k}x"[0] * (k + 1) for k in range(17)])[:17])] += rng.randint(1, 2)
+        order = hashes(rows)
+        want = {order[t]: min(order[x] for x in found) for found in told_apart(set(rows), rows, 20, frozenset(), 5) for t in found}
+        assert _templates_by_rounds(spark, rows, 5) == want and want
