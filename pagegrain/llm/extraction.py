@@ -9,12 +9,15 @@ different pages of the host (``MIN_PAGES`` or more). From these counts comes the
 - Content are the articles (``article``, ``main``) whose text varies; an article that is the same on all
   pages is template. Where articles hold under ``ARTICLE_SHARE`` of what varies, or a host has none, it is
   the deepest block that holds ``CONTENT_SHARE`` of the varying text outside of links.
-- Within the content, blocks of constant texts only are template; headings belong to what follows them
-  and stay. Where over half of the content is constant, the pages are copies and nothing in it is template.
+- What is in an article stays, also where all pages share it. In other content, blocks of constant texts are template; headings belong to
+  what follows them and stay. Where over half of such content is constant, the pages are copies and nothing in it is template.
 
 A page's main text is what is mapped to the content, without template blocks and without parts that are
-no content by their element, their role, or a whole word of their class or id: menus, page headers,
-footers, sidebars, notices, adverts, forms, reader comments, scripts. Pages without a wrapper (hosts of
+no content by their element, their role, or the words of their class or id: menus, page headers,
+footers, sidebars, notices, adverts, forms, reader comments, scripts. Words are held against the structure (``_settle``): they say
+nothing of what holds an article, of a part of a sentence, of most of a page, nor, in an article, those of menus of
+what is not made of links. Runs of like-shaped siblings that share a link's text ("Reply") and have no heading are records of
+comments or cards by structure alone (``_records``). Pages without a wrapper (hosts of
 few pages), or with nothing mapped to the content, fall back to their articles, else to their body.
 
 Each page is parsed and aligned once, in one narrow step; per host only counts at reference nodes are
@@ -58,6 +61,7 @@ BROADCAST_BYTES = 32 << 20
 SALTS = 64
 TABLE_CELLS = 1_000_000
 HOT = 16
+MANY_TEXTS = 64
 _CACHE = 256
 
 _NEVER = frozenset(
@@ -65,21 +69,26 @@ _NEVER = frozenset(
     " object embed audio video map datalist progress meter".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form status".split())
-#: Whole words of class or id that name a part which is no content, wherever it stands.
-_MARKED = frozenset(
-    "ad ads advert adverts advertisement advertising adsbygoogle ad-box ad-slot ad-banner ad-container sponsored promo sidebar side-bar menu nav navbar"
-    " navigation breadcrumb breadcrumbs masthead site-header page-header site-footer footer cookie-notice cookie-banner cookie-consent notice alert newsletter"
-    " popup modal comments comment-list comment-section disqus-thread disqus_thread pagination pager toolbar skip-link share-buttons social-links".split()
-)
+#: Words of a class or id (parted at hyphens, underscores and capitals) that name a part which is no content: adverts, notices, side bars; reader comments; menus.
+_MARKED = frozenset("ad ads advert adverts advertisement advertising adsbygoogle sponsored promo sidebar masthead cookie cookies gdpr consent notice alert newsletter popup modal".split())
+_COMMENTS = frozenset("comment comments disqus respond".split())
+_MENUS = frozenset("menu nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar share social skip".split())
+#: Whole names of a class or id.
+_NAMED = frozenset("side-bar site-header page-header site-footer page-footer".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt rtc ruby s samp small span strike strong sub sup time tt u var wbr nobr".split()
 )
 _BLOCKS = frozenset("body div main article section td center table tbody tr details dd li ul ol dl".split())
+_PARTS, _CAMEL = re.compile(r"[-_]+"), re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 #: What a node is: a text, no content anywhere, no content outside of an article, an article or main element, part of a line, a heading, a block,
 #: a link, a line break, a main element.
-TEXT, NEVER, OUTSIDE, ARTICLE, INLINE, HEADING, BLOCK, LINK, BREAK, MAIN = (1 << i for i in range(10))
+TEXT, NEVER, OUTSIDE, ARTICLE, INLINE, HEADING, BLOCK, LINK, BREAK, MAIN, MARK, TALK, MENU = (1 << i for i in range(13))
+#: What class words say is held against the page: a menu is made of links, and no mark is on most of the text.
+LINK_SHARE, MOST, ALL = 0.5, 0.5, 0.9
+#: So many like-shaped siblings with a link of the same text, and no heading, are records (comments, cards).
+RECORDS = 3
 
 
 class Tree:
@@ -93,19 +102,24 @@ class Tree:
         self.kind = -1
 
 
+def _words(value: str) -> set[str]:
+    return {w for name in value.split() for w in _PARTS.split(_CAMEL.sub("-", name).lower())}
+
+
 def _bits(node: Node) -> int:
-    """What an element is, by its name, role, class and id."""
+    """What an element is by its name, role, class and id; what class words say is not settled yet."""
     out = (INLINE * (node.name in _INLINE)) | (HEADING * (node.name in HEADINGS)) | (BLOCK * (node.name in _BLOCKS)) | (LINK * (node.name == "a")) | (BREAK * (node.name == "br"))
     article, main, never = node.name in ("article", "main"), node.name == "main", node.name in _NEVER
     outside = node.name == "header"
     for key, value in node.attrs:
         if key in ("class", "id"):
-            words = value.lower().split()
+            names, words = set(value.lower().split()), _words(value)
             if node.name not in ("article", "main", "body"):
-                never |= any(w in _MARKED for w in words)
-                outside |= "header" in words
+                never |= bool(names & _NAMED)
+                outside |= "header" in names
+                out |= (MARK * bool(words & _MARKED)) | (TALK * bool(words & _COMMENTS)) | (MENU * bool(words & _MENUS))
             elif node.name == "article":
-                never |= "comment" in words or "comments" in words
+                never |= "comment" in names or "comments" in names
         elif key == "role":
             main |= value.strip().lower() == "main"
             never |= value.strip().lower() in _ROLES
@@ -115,6 +129,63 @@ def _bits(node: Node) -> int:
     return out | (NEVER * never) | (OUTSIDE * (never or outside)) | (ARTICLE * article) | (MAIN * (article and main))
 
 
+def _settle(up: list[int], bits: list[int], texts: list[str | None]) -> None:
+    """Settles what class words say by the page's structure.
+
+    They say nothing of what holds an article, of a part of a sentence, or of most of the page's text; those of menus nothing, within an article,
+    of what is not made of links.
+    """
+    size, linked, line, holds = [0] * len(up), [0] * len(up), [0] * len(up), [False] * len(up)
+    for i in range(len(up) - 1, 0, -1):
+        if bits[i] & TEXT:
+            size[i] = len(texts[i].strip())
+        if bits[i] & LINK:
+            linked[i] = size[i]
+        above = up[i]
+        size[above] += size[i]
+        linked[above] += linked[i]
+        line[above] += size[i] if bits[i] & (TEXT | INLINE) else 0
+        holds[above] = holds[above] or holds[i] or bool(bits[i] & ARTICLE)
+    any_article = holds[0]
+    for i, b in enumerate(bits):
+        if not b & (MARK | TALK | MENU) or holds[i] or b & INLINE and line[up[i]] > size[i]:
+            continue
+        if size[i] > (2 if any_article else ALL if b & TALK else MOST) * max(size[0], 1):
+            continue
+        if b & (MARK | TALK) or linked[i] >= LINK_SHARE * size[i]:
+            bits[i] |= NEVER | OUTSIDE
+        else:
+            bits[i] |= OUTSIDE
+
+
+def _records(trees: list[Tree], bits: list[int]) -> None:
+    """Marks records as no content: runs of like-shaped siblings that share the text of a link, have text of their own besides, and no heading."""
+    for parent in trees:
+        kids = [c for c in parent.children if c.label != "#"]
+        at = 0
+        while at + RECORDS <= len(kids):
+            shape, to = _shape(kids[at]), at + 1
+            while to < len(kids) and _shape(kids[to]) == shape:
+                to += 1
+            if to - at >= RECORDS and len(shape[1]) > 1:
+                shared, each = None, []
+                for k in kids[at:to]:
+                    below, links = _preorder(k), set()
+                    for t in below:
+                        if bits[t.number] & LINK:
+                            links.add(" ".join(x.text for x in _preorder(t) if x.label == "#"))
+                    shared = links if shared is None else shared & links
+                    each.append("\0" if any(bits[t.number] & (HEADING | ARTICLE) for t in below) else " ".join(t.text for t in below if t.label == "#"))
+                if shared and any(shared) and "\0" not in each and len(set(each)) == len(each):
+                    for k in kids[at:to]:
+                        bits[k.number] |= NEVER | OUTSIDE
+            at = to
+
+
+def _shape(tree: Tree) -> tuple:
+    return tree.label, tuple([c.label for c in tree.children if c.label != "#"])
+
+
 class PageTree:
     """A page from its body down, in preorder: parents, what each node is, texts (null for elements); ``top`` leaves out white space."""
 
@@ -145,6 +216,8 @@ class PageTree:
                 continue
             self.up.append(above.number)
             self.trees.append(tree)
+        _settle(self.up, self.bits, self.texts)
+        _records(self.trees, self.bits)
 
 
 def _texts(trees: list[Tree]) -> set[str]:
@@ -171,6 +244,12 @@ class Kinds:
         self.kids: list[tuple[int, ...]] = []
         self.examples: list[Tree] = []
         self.known: dict[tuple[int, int], int] = {}
+        # A kind's shape is its tree without texts; two kinds without a text in common weigh as their shapes do.
+        self.shape: list[int] = []
+        self.has: list[frozenset[str] | None] = []
+        self.shapes: dict[tuple, int] = {}
+        self.shape_kids: list[tuple[str, tuple[int, ...]]] = []
+        self.shape_known: dict[tuple[int, int], int] = {}
 
     def number(self, trees: list[Tree]) -> None:
         """Numbers ``trees``, which come with every part behind its whole."""
@@ -181,6 +260,44 @@ class Kinds:
                 self.labels.append(t.label)
                 self.kids.append(key[2])
                 self.examples.append(t)
+                bare = (t.label, tuple([self.shape[c.kind] for c in t.children]))
+                self.shape.append(self.shapes.setdefault(bare, len(self.shapes)))
+                if self.shape[-1] == len(self.shape_kids):
+                    self.shape_kids.append(bare)
+                own = [self.has[c.kind] for c in t.children]
+                texts = None if None in own else frozenset().union(*own, () if key[1] is None else (t.text,))
+                self.has.append(texts if texts is not None and len(texts) <= MANY_TEXTS else None)
+
+    def _apart(self, a: int, b: int) -> int | None:
+        """The weight of two kinds of which it is known that they have no text in common, from their shapes; None of others."""
+        x, y = self.has[a], self.has[b]
+        if x is None or y is None or not x.isdisjoint(y):
+            return None
+        return self._shape_weight(self.shape[a], self.shape[b])
+
+    def _shape_weight(self, a: int, b: int) -> int | None:
+        if (a, b) in self.shape_known:
+            return self.shape_known[a, b]
+        need, stack = {(a, b)}, [(a, b)]
+        while stack:
+            (_, x), (_, y) = (self.shape_kids[k] for k in stack.pop())
+            if len(x) * len(y) > TABLE_CELLS:
+                return None
+            for i in set(x):
+                for j in set(y):
+                    if self.shape_kids[i][0] == self.shape_kids[j][0] and (i, j) not in need and (i, j) not in self.shape_known:
+                        need.add((i, j))
+                        stack.append((i, j))
+        for i, j in sorted(need):
+            (p, x), (q, y) = self.shape_kids[i], self.shape_kids[j]
+            self.shape_known[i, j] = 0 if p != q else 1 if not x or not y else 1 + self.table(x, y, self.shape_known)[-1][-1]
+        return self.shape_known[a, b]
+
+    def _try_apart(self, a: int, b: int) -> bool:
+        found = self._apart(a, b)
+        if found is not None:
+            self.known[a, b] = found
+        return found is not None
 
     def weight(self, a: int, b: int) -> int:
         """The size of the largest matching of two subtrees; equal texts count double."""
@@ -192,13 +309,20 @@ class Kinds:
             if len(x) * len(y) <= TABLE_CELLS:
                 for i in set(x):
                     for j in set(y):
-                        if self.labels[i] == self.labels[j] and (i, j) not in need and (i, j) not in self.known:
+                        if self.labels[i] == self.labels[j] and (i, j) not in need and (i, j) not in self.known and not self._try_apart(i, j):
                             need.add((i, j))
                             stack.append((i, j))
         for i, j in sorted(need):
             self.known[i, j] = self._weigh(i, j)
         return self.known[a, b]
 
+    def fill(self, x: set[int], y: set[int]) -> None:
+        """Weighs all pairs of these kinds."""
+        for i in x:
+            for j in y:
+                if self.labels[i] == self.labels[j] and (i, j) not in self.known and not self._try_apart(i, j):
+                    self.weight(i, j)
+
     def _weigh(self, a: int, b: int) -> int:
         if self.labels[a] != self.labels[b]:
             return 0
@@ -209,10 +333,10 @@ class Kinds:
             return 1 + _Long(self.examples[a].children, self.examples[b].children, self).best()
         return 1 + self.table(x, y)[-1][-1]
 
-    def table(self, x: tuple[int, ...], y: tuple[int, ...]) -> list[list[int]]:
+    def table(self, x: tuple[int, ...], y: tuple[int, ...], known: dict[tuple[int, int], int] | None = None) -> list[list[int]]:
         """The best weight of the first i of x with the first j of y."""
         rows = [[0] * (len(y) + 1)]
-        known = self.known
+        known = self.known if known is None else known
         for i in x:
             last, row, left = rows[-1], [0], 0
             weights = {j: known.get((i, j), 0) for j in set(y)}
@@ -384,6 +508,7 @@ def align(a: Tree, b: Tree) -> list[tuple[Tree, Tree]]:
         if len(x) * len(y) > TABLE_CELLS:
             stack += _Long(x, y, kinds).pairs()
             continue
+        kinds.fill({c.kind for c in x}, {c.kind for c in y})  # a pair weighed by its shape has no weights of its parts yet
         rows = kinds.table([c.kind for c in x], [c.kind for c in y])
         i, j = len(x), len(y)
         while i and j:
@@ -397,14 +522,19 @@ def align(a: Tree, b: Tree) -> list[tuple[Tree, Tree]]:
     return out
 
 
-def _articles(up: list[int], bits: list[int]) -> list[int]:
-    """The outermost main elements, else the outermost articles, outside of what is no content."""
-    shut, found = [False] * len(up), []
+def _articles(up: list[int], bits: list[int], texts: list[str | None]) -> list[int]:
+    """The outermost main elements or the outermost articles, whichever hold more text, outside of what is no content."""
+    shut, root = [False] * len(up), [-1] * len(up)
+    size: dict[int, int] = {}
     for i, b in enumerate(bits):
-        shut[i] = i > 0 and (shut[up[i]] or bool(b & (ARTICLE | NEVER)))
-        if b & ARTICLE and not (i and shut[up[i]]):
-            found.append(i)
-    return [i for i in found if bits[i] & MAIN] or found
+        if i:
+            shut[i], root[i] = shut[up[i]] or bool(b & NEVER), root[up[i]]
+        if b & ARTICLE and root[i] < 0 and not (i and shut[up[i]]):
+            root[i], size[i] = i, 0
+        if b & TEXT and root[i] >= 0 and not shut[i]:
+            size[root[i]] += len(texts[i].strip())
+    mains, others = ([i for i in size if bool(bits[i] & MAIN) == main] for main in (True, False))
+    return mains if mains and sum(size[i] for i in mains) >= sum(size[i] for i in others) else others
 
 
 class Wrapper:
@@ -425,11 +555,13 @@ def decide(page: PageTree, n: int, counts: list[tuple[int, int, int]]) -> tuple[
     for i in range(len(up) - 1, 0, -1):
         held[up[i]] += held[i]
         all_chars[up[i]] += all_chars[i]
-    content = [i for i in _articles(up, bits) if held[i]]
+    content = [i for i in _articles(up, bits, page.texts) if held[i]]
     if not held[0] or sum(held[i] for i in content) < ARTICLE_SHARE * held[0]:
         content = [max((i for i, b in enumerate(bits) if b & BLOCK and held[i] >= CONTENT_SHARE * held[0]), default=0)] if held[0] else []
     if sum(held[i] for i in content) * 2 < sum(all_chars[i] for i in content):
         return content, []
+    if all(bits[i] & ARTICLE for i in content):
+        return content, []
     # The block of a text is its nearest ancestor that is not part of a line.
     block = list(range(len(up)))
     for i in range(1, len(up)):
@@ -444,9 +576,9 @@ def main_text(up: list[int], bits: list[int], texts: list[str | None], ref: list
     if wrapper is not None and ref:
         roots = {i for i, r in enumerate(ref) if r in wrapper.content}
         if any(bits[i] & ARTICLE for i in roots):
-            roots |= {i for i in _articles(up, bits) if ref[i] < 0}
+            roots |= {i for i in _articles(up, bits, texts) if ref[i] < 0}
     template = wrapper.template if roots else frozenset()
-    roots = roots or set(_articles(up, bits)) or {0}
+    roots = roots or set(_articles(up, bits, texts)) or {0}
     no_content = NEVER if all(bits[i] & ARTICLE for i in roots) else NEVER | OUTSIDE
     parts: list[str] = []
     state = [0] * len(up)  # 0 outside of the content, 1 within, 2 left out
