@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagegrain.llm.columns import pack, unpack
 from pagegrain.sources.pages import spread
 
 DICT_BYTES = 128 << 10
@@ -61,11 +62,15 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DIC
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
         return {}
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, sample_docs / n) * (1 << 40)))])
-    begin = 1 + F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1))
-    rows = labelled.filter(draw < share[F.col("lang")]).select("lang", F.substring(F.col("text"), begin.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"), draw.alias("draw"), "doc_id")
+    # What is collected is bounded as the model is: with many languages, fewer and shorter pieces of each.
     dict_bytes = min(dict_bytes, MODEL_BYTES // len(sizes))
+    chars = min(SAMPLE_CHARS, 2 * dict_bytes)
+    wanted = min(sample_docs, -(-4 * dict_bytes // chars))
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    shares = docs.sparkSession.createDataFrame([(lang, int(min(1.0, wanted / n) * (1 << 40))) for lang, n in sizes.items()], "lang string, share long")
+    begin = 1 + F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.greatest(F.lit(1), F.length("text") - chars + 1))
+    rows = labelled.select(F.col("lang").cast("string").alias("lang"), "text", "doc_id").join(F.broadcast(shares), "lang").filter(draw < F.col("share"))
+    rows = rows.select("lang", F.substring(F.col("text"), begin.cast("int"), F.lit(chars)).alias("text"), draw.alias("draw"), "doc_id")
     found: dict[str, bytearray] = {lang: bytearray() for lang in sizes}
     for r in sorted(rows.collect(), key=lambda r: (r.draw, r.doc_id, r.text)):
         if len(found[r.lang]) < dict_bytes:
@@ -109,10 +114,8 @@ def identify(docs: DataFrame, model: dict[str, bytes]) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
     """``docs`` without the documents whose language is unknown or won by a narrow margin."""
-    aside = {c: f"_own_{c}" for c in ("lang_pred", "score") if c in docs.columns}
-    kept = identify(docs.withColumnsRenamed(aside), model)
-    kept = kept.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= margin)).drop("lang_pred", "score")
-    return kept.withColumnsRenamed({v: k for k, v in aside.items()})
+    kept = identify(pack(docs, "text"), model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= margin))
+    return unpack(kept, docs.columns, "text")
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

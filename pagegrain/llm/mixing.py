@@ -25,7 +25,7 @@ from pagegrain.storage import stash
 
 ALPHA = 0.5
 PIECE = 400.0
-BROADCAST_SOURCES = 100_000
+BROADCAST_BYTES = 8 << 20
 
 
 def uniform(*parts: Column) -> Column:
@@ -69,7 +69,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     """The documents of the mixture, each as often as drawn, with ``copy`` (from 0) and ``mix_key``, in random order."""
     columns = [c for c in docs.columns if c.lower() not in ("copy", "mix_key")]
     per = stash(rates(docs, weights, alpha, total), "rates")
-    if per.count() <= BROADCAST_SOURCES:
+    if (per.agg(F.sum(8 * F.size("cdf") + F.coalesce(F.octet_length("source"), F.lit(0)) + 64)).first()[0] or 0) <= BROADCAST_BYTES:
         per = F.broadcast(per)
     who = F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit(""))
     u = uniform(F.lit(str(seed)), F.lit("0"), who)

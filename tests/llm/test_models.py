@@ -53,6 +53,26 @@ def test_language_edges(docs_of):
     assert langid.identify(train.limit(0), model).count() == 0
 
 
+def test_every_internal_name_passes_through_language_filtering(docs_of):
+    names = ["lang_pred", "_own_lang_pred", "score", "_own_score", "own", "share", "draw", "held_out"]
+    rows = [(d, "the cat and the dog of the house " * 5, "en") for d in range(20)] + [(d, "der hund und die katze im haus " * 5, "de") for d in range(20, 40)]
+    docs = docs_of(rows, [(c, f"mine {c}") for c in names])
+    kept = langid.keep_identified(docs, langid.learn(docs))
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(40)) and all(r[c] == f"mine {c}" for r in kept.collect() for c in names)
+
+
+def test_what_is_collected_follows_the_model(docs_of, monkeypatch):
+    """With many languages each has fewer and shorter pieces, and still predicts its own."""
+    words = lambda k: ["".join(random.Random(f"{k} {w}").choices("abcdefghijklmnopqrstuvwxyz", k=6)) for w in range(12)]
+    rows = [(100 * k + d, " ".join(random.Random(100 * k + d).choices(words(k), k=120)), f"l{k}") for k in range(30) for d in range(12)]
+    monkeypatch.setattr(langid, "MODEL_BYTES", 30 * 2048)
+    docs = docs_of(rows)
+    model = langid.learn(docs)
+    assert len(model) == 30 and all(len(x) <= 2048 for x in model.values())
+    got = langid.identify(docs, model)
+    assert got.filter("lang_pred = lang").count() >= 0.97 * len(rows)
+
+
 def brute_base(t):
     out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
