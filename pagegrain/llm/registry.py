@@ -35,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_mixing": mixing.SQL,
         "op8_decontamination": decontamination.SQL,
         "op9_embeddings": embeddings.SQL,
+        "op11_repair": repair.SQL,
     }

@@ -291,3 +291,47 @@ def repair(turns: DataFrame) -> DataFrame:
 
 def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damage(spread(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
+_DUE_SQL = "CASE st WHEN 'U' THEN 'A' ELSE 'U' END"
+#: Costs come by a recursion from the last row back, audits by one from the first row on. Two insertions suffice at one place.
+SQL = rf"""
+WITH RECURSIVE bits AS (SELECT i, (0 + i)::BIGINT AS v, 0 AS k FROM range(256) t(i) UNION ALL
+    SELECT i, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc_table AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+keyed AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda c: ord(c)::BIGINT)), lambda a, b: xor(a >> 8, t[xor(a, b) % 256 + 1])), 4294967295) % 20 AS kind FROM src, crc_table),
+rows_ AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+          unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy, row_number() OVER () AS r FROM keyed WHERE kind <> 0),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, r, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, r, copy) > 1 AS again,
+            left(role, 1) AS c, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS fin FROM rows_),
+f AS (SELECT *, fin = '' AS blank, fin <> '' AND again AS dup, fin NOT IN ('', '.', '!', '?') AND NOT again AS cut,
+      coalesce(lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c NOT IN ('su', 'ua', 'au'), false) AS bad, coalesce(conv_id::VARCHAR, ' ') AS g FROM ordered),
+told AS (SELECT g, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate, count(*) FILTER (cut) AS truncated,
+         count(*) FILTER (bad) AS illegal FROM f GROUP BY g),
+back AS (
+  SELECT g, n AS i, 0::BIGINT AS b, 6::BIGINT AS s, 3::BIGINT AS u, 0::BIGINT AS a FROM told
+  UNION ALL
+  SELECT g, i - 1, least(b, 3 + u, 6 + a), least(s, 3 + u, 6 + a), least(u, 3 + a, 6 + u), least(a, 3 + u, 6 + a) FROM (
+    SELECT k.g, k.i, least(4 + k.b, CASE WHEN go THEN 1000000000 ELSE p + least(3 + k.u, CASE f.c WHEN 'u' THEN k.u WHEN 's' THEN k.s ELSE 1000000000 END) END) AS b,
+           least(4 + k.s, CASE WHEN go THEN 1000000000 ELSE p + least(3 + k.u, CASE f.c WHEN 'u' THEN k.u ELSE 1000000000 END) END) AS s,
+           least(4 + k.u, CASE WHEN go THEN 1000000000 ELSE p + least(3 + k.a, CASE f.c WHEN 'a' THEN k.a ELSE 1000000000 END) END) AS u,
+           least(4 + k.a, CASE WHEN go THEN 1000000000 ELSE p + least(3 + k.u, CASE f.c WHEN 'u' THEN k.u ELSE 1000000000 END) END) AS a
+    FROM back k JOIN (SELECT *, blank OR dup AS go, CASE WHEN cut THEN 3 ELSE 0 END AS p FROM f) f ON f.g = k.g AND f.i = k.i WHERE k.i > 0)),
+h AS (SELECT g, i, unnest(['B', 'S', 'U', 'A']) AS st, unnest([b, s, u, a]) AS cost FROM back),
+arcs AS (
+  SELECT h.g, h.i, h.st, 'D' AS e, h.i + 1 AS ti, h.st AS ts, 4 AS w, NULL AS line FROM h JOIN f ON f.g = h.g AND f.i = h.i + 1
+  UNION ALL SELECT g, i, st, 'I', i, {_DUE_SQL}, 3, CASE st WHEN 'U' THEN 'assistant:' ELSE 'user:' END FROM h
+  UNION ALL SELECT h.g, h.i, h.st, 'R', h.i + 1, {_DUE_SQL}, CASE WHEN cut THEN 6 ELSE 3 END, CASE st WHEN 'U' THEN 'assistant:' ELSE 'user:' END || f.text FROM h JOIN f ON f.g = h.g AND f.i = h.i + 1 WHERE NOT blank AND NOT dup
+  UNION ALL SELECT h.g, h.i, h.st, 'K', h.i + 1, CASE c WHEN 's' THEN 'S' ELSE {_DUE_SQL} END, CASE WHEN cut THEN 3 ELSE 0 END, f.role || ':' || f.text FROM h JOIN f ON f.g = h.g AND f.i = h.i + 1
+    WHERE NOT blank AND NOT dup AND (c = 's' AND st = 'B' OR c = lower({_DUE_SQL}))),
+best AS (SELECT x.g, x.i, x.st, min({{'e': x.e, 'ti': x.ti, 'ts': x.ts, 'line': x.line}}) AS x FROM arcs x JOIN h p ON (p.g, p.i, p.st) = (x.g, x.i, x.st) JOIN h q ON (q.g, q.i, q.st) = (x.g, x.ti, x.ts)
+         WHERE p.cost = x.w + q.cost GROUP BY x.g, x.i, x.st),
+walk AS (SELECT g, 0::BIGINT AS i, 'B' AS st, 0 AS k, ''::VARCHAR AS audit, []::VARCHAR[] AS lines FROM told
+  UNION ALL SELECT w.g, (b.x).ti, (b.x).ts, k + 1, audit || (b.x).e, CASE WHEN (b.x).line IS NULL THEN lines ELSE list_append(lines, (b.x).line) END FROM walk w JOIN best b ON (b.g, b.i, b.st) = (w.g, w.i, w.st)),
+ends AS (SELECT g, max_by(audit, k) AS audit, max_by(lines, k) AS lines FROM walk GROUP BY g)
+SELECT s.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       coalesce(h.cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, ' ') AS g FROM conversations) s LEFT JOIN told USING (g) LEFT JOIN ends USING (g) LEFT JOIN h ON h.g = s.g AND h.i = 0 AND h.st = 'B'
+"""

@@ -21,4 +21,4 @@ def test_query_equals_sql(spark, name):
 
 
 def test_every_operator_is_registered():
-    assert [f"op{n}_" for n in range(1, 11)] == sorted({k.split("_")[0] + "_" for k in registry.queries()}, key=lambda s: int(s[2:-1]))
+    assert [f"op{n}_" for n in range(1, 14)] == sorted({k.split("_")[0] + "_" for k in registry.queries()}, key=lambda s: int(s[2:-1]))
