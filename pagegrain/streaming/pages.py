@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pagegrain.operators.markup import derive
 from pagegrain.operators.navigation import parse_cookie
@@ -29,32 +29,68 @@ def stream_text(pages: DataFrame) -> DataFrame:
 
 
 _OUT = "session long, name string, domain string, path string, value string, seq long, deleted boolean"
-_STATE = "cookies string"
-
-
-def stream_cookie_jar(events: DataFrame) -> DataFrame:
-    """Changes to each session's cookies as set-cookie events arrive (update mode): the last write of each identity in a batch.
-
-    State is the session's jar; a session's events are few, and its state is one small map.
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_NEVER = 1 << 62
+
+
+class _Jar(StatefulProcessor):
+    """The cookies of one session: a map entry each, with the second from which it need not be kept."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.jar = handle.getMapState("jar", "name string, domain string, path string", "value string, seq long, until long, gone boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        changed: dict[tuple, list] = {}
+        for part in rows:
+            for r in part.itertuples():
+                now = r.ts.timestamp()
+                c = parse_cookie(r.line, r.url, now, bool(r.from_script))
+                if c is None:
+                    continue
+                identity = (c[0], c[2], c[4])
+                held = self.jar.getValue(identity) if self.jar.containsKey(identity) else None
+                if held is not None and held[1] >= r.seq:
+                    continue
+                gone = c[8] is not None and c[8] <= int(now)
+                # A deletion is kept until no earlier write can come any more; then it says nothing that absence does not.
+                until = int(now) if gone else _NEVER if c[8] is None else int(c[8])
+                self.jar.updateValue(identity, (c[1], int(r.seq), until, gone))
+                if until < _NEVER:
+                    self.handle.registerTimer(until * 1000)
+                changed[identity] = [key[0], *identity, c[1], int(r.seq), gone]
+        yield self._told(changed.values())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        at, over = expiredTimerInfo.getExpiryTimeInMs(), []
+        for identity, (value, seq, until, gone) in list(self.jar.iterator()):
+            if until * 1000 <= at:
+                self.jar.removeKey(identity)
+                if not gone:
+                    over.append([key[0], *identity, value, int(seq), True])
+        yield self._told(over)
+
+    @staticmethod
+    def _told(rows) -> pd.DataFrame:
+        out = pd.DataFrame(list(rows), columns=["session", "name", "domain", "path", "value", "seq", "deleted"])
+        return out.astype({"session": "int64", "seq": "int64", "deleted": bool})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_cookie_jar(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Changes to each session's cookies as set-cookie events arrive (update mode): the last write of each identity in a batch, and
+    the deletion of what expires.
+
+    A cookie is one entry of a map state, so an event touches one entry and not the session's jar, and goes by a timer when the watermark
+    (``ts`` less ``delay``) passes its expiry; a deletion goes once no earlier write can come. Cookies without an expiry stay with their session.
+    Events of a session may come in any order within the delay: an older write never takes a younger one's place. Needs the RocksDB state store,
+    which is chosen here unless the session names one.
     """
-    import json
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        jar = json.loads(state.get[0]) if state.exists else {}
-        changed: dict[str, list] = {}
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for r in rows.itertuples():
-            now = r.ts.timestamp()
-            c = parse_cookie(r.line, r.url, now, bool(r.from_script))
-            if c is None:
-                continue
-            identity = json.dumps([c[0], c[2], c[4]])
-            if jar.get(identity, [-1])[0] >= r.seq:
-                continue
-            gone = c[8] is not None and c[8] <= int(now)
-            jar[identity] = [int(r.seq)]
-            changed[identity] = [key[0], c[0], c[2], c[4], c[1], int(r.seq), gone]
-        state.update((json.dumps(jar),))
-        yield pd.DataFrame(list(changed.values()), columns=["session", "name", "domain", "path", "value", "seq", "deleted"])
-
-    return events.groupBy("session").applyInPandasWithState(step, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+    spark = events.sparkSession
+    if spark.conf.get(_PROVIDER, "").rpartition(".")[2] in ("", "HDFSBackedStateStoreProvider"):
+        spark.conf.set(_PROVIDER, _ROCKSDB)
+    keyed = events.select("session", "seq", "ts", "url", "line", "from_script").withWatermark("ts", delay).groupBy("session")
+    return keyed.transformWithStateInPandas(_Jar(), _OUT, "Update", "EventTime")

@@ -317,3 +317,36 @@ def test_frozen_resources_by_definition(spark):
     for session, seq, url, nav, _ in rows:
         earlier = [q for s, q, u, n, ok in rows if (s, u) == (session, url) and q < seq and ok and not n]
         assert got[seq] == (seq if nav or not earlier else min(earlier))
+
+
+def test_cookie_state_shrinks_and_survives_a_restart(spark, tmp_path):
+    """Expired cookies leave the state; after a restart older writes still lose, and the jar is that of the batch operator."""
+    from pagegrain.streaming.pages import stream_cookie_jar
+
+    schema = "session long, seq long, line string, from_script boolean, url string, at long"
+    table: dict = {}
+    sizes: list[int] = []
+
+    def feed(number, rows):
+        df = spark.createDataFrame([(s, q, line, False, "https://a.com/", at) for s, q, line, at in rows], schema).withColumn("ts", F.timestamp_seconds("at")).drop("at")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = stream_cookie_jar(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "0 seconds")
+
+        def keep(batch, _):
+            for r in batch.collect():
+                table[r.session, r.name] = None if r.deleted else (r.value, r.seq)
+
+        q = stream.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).start()
+        q.processAllAvailable()
+        sizes.append(q.lastProgress["stateOperators"][0]["numRowsTotal"] if q.lastProgress else 0)
+        q.stop()
+        return df
+
+    first = feed(1, [(1, 10, "a=1; Max-Age=50", 100), (1, 11, "b=1", 100), (1, 12, "c=1; Max-Age=0", 100)] + [(2, 20 + k, f"k{k}=v; Max-Age=30", 100) for k in range(40)])
+    assert table[1, "a"] == ("1", 10) and table[1, "c"] is None and table[2, "k3"] == ("v", 23)
+    second = feed(2, [(1, 9, "b=old", 120), (1, 30, "b=2", 120), (3, 31, "z=1", 1000)])
+    assert table[1, "b"] == ("2", 30) and table[1, "a"] is None and table[2, "k3"] is None
+    third = feed(3, [(3, 40, "y=1", 2000)])
+    assert sizes[-1] < sizes[0] and {k for k, v in table.items() if v} == {(1, "b"), (3, "z"), (3, "y")}
+    now = navigation.cookie_jar(first.unionByName(second).unionByName(third)).filter("expires is null or expires > 2000")
+    assert {(r.session, r.name): (r.value, r.created) for r in now.collect()} == {k: v for k, v in table.items() if v}
