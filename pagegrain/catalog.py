@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from pagegrain.functions import charsets, urls
 from pagegrain.functions.vector import vectorised
-from pagegrain.operators import comparison, disclosure, documents, markup, navigation, responses, styles, views
+from pagegrain.operators import comparison, disclosure, documents, markup, navigation, outlines, responses, styles, views
 from pagegrain.plans import flows
 from pagegrain.sources.pages import decode_responses, spread
 
@@ -643,15 +643,27 @@ def projected_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_add("projected_ax", """
-SELECT page_id, unnest(['heading "t' || page_id || '" level=2', '(', 'img ""', ')']) AS line FROM pages""")
+WITH t AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1) AS h FROM pages),
+k AS (SELECT page_id, unnest(regexp_extract_all(h, '<(h1|p|br)>')) AS tag, unnest(range(1, len(regexp_extract_all(h, '<(h1|p|br)>')) + 1)) AS n FROM t),
+e AS (SELECT page_id, n, CASE tag WHEN '<h1>' THEN 'heading "' || page_id || '" level=1' WHEN '<p>' THEN 'paragraph ""' END AS line FROM k WHERE tag <> '<br>'),
+a AS (SELECT page_id, count(e.line) AS m FROM t LEFT JOIN e USING (page_id) GROUP BY page_id)
+SELECT page_id, 0::INTEGER AS pos, 'article ""' AS line FROM t UNION ALL SELECT page_id, 1, '(' FROM a WHERE m > 0
+UNION ALL SELECT page_id, (1 + row_number() OVER (PARTITION BY page_id ORDER BY n))::INTEGER, line FROM e UNION ALL SELECT page_id, (m + 2)::INTEGER, ')' FROM a WHERE m > 0""")
 def projected_ax(spark: SparkSession, d: str) -> DataFrame:
-    recorded = F.expr(
-        """'[{"nodeId":"r","role":{"value":"RootWebArea"},"childIds":["a","x"]},{"nodeId":"a","parentId":"r","role":{"value":"generic"},"childIds":["b"]},{"nodeId":"x","parentId":"r","role":{"value":"StaticText"}},'
-        || '{"nodeId":"b","parentId":"a","role":{"value":"heading"},"name":{"value":" t' || CAST(page_id AS STRING) || ' "},"properties":[{"name":"level","value":{"value":2}}],"childIds":["c","s"]},'
-        || '{"nodeId":"c","parentId":"b","role":{"value":"image"}},{"nodeId":"s","parentId":"b","role":{"value":"link"},"backendDOMNodeId":7}]'"""
-    )
-    lines = comparison.project_ax(recorded, F.array(F.lit(7).cast("long")))
-    return _pages(spark, d).select("page_id", F.explode(lines).alias("line"))
+    """Trees recorded from the nodes of each page's article: headings, paragraphs, texts, and line breaks in a spliced group."""
+    nodes = F.col("nodes")
+    article = F.get(documents.elements_of(nodes, "article"), F.lit(0))
+    part = F.array_append(documents.below(nodes, article), article)
+    element = lambda n: n["kind"] == "element"
+    role = lambda n: F.when(~element(n), "StaticText").when(n["name"] == "h1", "heading").when(n["name"] == "p", "paragraph").when(n["name"] == "article", "article").otherwise("generic")
+    name = lambda n: F.when(n["name"] == "h1", F.col("page_id").cast("string"))
+    kids = lambda n: F.transform(F.filter(documents.below(nodes, n), lambda m: m["parent"] == n["id"]), lambda m: m["id"].cast("string"))
+    recorded = lambda n: F.struct(
+        n["id"].cast("string").alias("nodeId"), F.when(n["name"] == "article", "r").otherwise(n["parent"].cast("string")).alias("parentId"), F.struct(role(n).alias("value")).alias("role"), F.struct(name(n).alias("value")).alias("name"),
+        kids(n).alias("childIds"), F.array(F.struct(F.lit("level").alias("name"), F.struct(F.lit(1).alias("value")).alias("value"))).alias("properties"))
+    root = F.struct(F.lit("r").alias("nodeId"), F.lit(None).cast("string").alias("parentId"), F.struct(F.lit("RootWebArea").alias("value")).alias("role"), F.struct(F.lit(None).cast("string").alias("value")).alias("name"), F.array(article["id"].cast("string")).alias("childIds"), F.array().cast("array<struct<name:string,value:struct<value:int>>>").alias("properties"))
+    trees = _nodes(spark, d).select("page_id", F.to_json(F.array_append(F.transform(part, recorded), root)).alias("tree"), F.array().cast("array<long>").alias("hidden"))
+    return outlines.ax_outlines(trees, "tree", "hidden", "page_id").select("page_id", F.posexplode("outline").alias("pos", "line"))
 
 
 _FOLDED = "CASE page_id % 3 WHEN 0 THEN '<details><summary>s</summary><p>x</p></details>' WHEN 1 THEN '<canvas><p>x</p></canvas>' ELSE '<video><p>x</p></video>' END"

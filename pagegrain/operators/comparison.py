@@ -219,58 +219,3 @@ def project_forms(forms: Column, page: Column) -> Column:
 def project_boxes(boxes: Column) -> Column:
     """``i tag`` of each box in source order. ``boxes``: array of struct(i, tag)."""
     return F.transform(F.array_sort(F.transform(boxes, lambda b: F.struct(b["i"], b["tag"]))), lambda b: F.concat(b["i"].cast("string"), F.lit(" "), b["tag"]))
-
-
-# What becomes of recorded roles.
-AX_DROP = ("StaticText", "InlineTextBox", "ListMarker", "LineBreak")
-AX_SPLICE = ("generic", "none", "presentation", "LabelText", "Legend", "Canvas", "Video", "Audio", "MenuListPopup", "LayoutTable", "LayoutTableRow", "LayoutTableCell")
-AX_RENAME = {"image": "img", "DisclosureTriangle": "button", "SvgRoot": "graphics-document", "Figcaption": "caption", "DescriptionList": "list"}
-# End of fixed values.
-
-
-def ax_outline(nodes: list[dict], shadow: set[int]) -> list[str]:
-    """The outline of a recorded accessibility tree: role, quoted name and heading level, children in brackets."""
-    import json
-
-    by_id = {n["nodeId"]: n for n in nodes}
-    root = next((n for n in nodes if n.get("parentId") is None), None)
-    if root is None:
-        return []
-
-    def children(n: dict) -> Iterator[dict]:
-        return (by_id[c] for c in n.get("childIds") or () if c in by_id)
-
-    out: list[str] = []
-    stack: list = list(reversed(list(children(root))))
-    while stack:
-        n = stack.pop()
-        if isinstance(n, tuple):
-            if out[-1] == "(" and n[0] == len(out) - 1:
-                out.pop()
-            else:
-                out.append(")")
-            continue
-        role = (n.get("role") or {}).get("value") or ""
-        if role in AX_DROP:
-            continue
-        below = list(reversed(list(children(n))))
-        if n.get("ignored") or n.get("backendDOMNodeId") in shadow or role in AX_SPLICE:
-            stack += below
-            continue
-        role = AX_RENAME.get(role, role)
-        level = next(((p.get("value") or {}).get("value") for p in n.get("properties") or () if p.get("name") == "level"), None)
-        suffix = f" level={level}" if level is not None and role == "heading" else ""
-        out.append(f"{role} {json.dumps(((n.get('name') or {}).get('value') or '').strip(), ensure_ascii=False)}{suffix}")
-        if below:
-            out.append("(")
-            stack.append((len(out) - 1,))
-            stack += below
-    return out
-
-
-@vectorised("array<string>")
-def project_ax(nodes_json: pd.Series, shadow: pd.Series) -> pd.Series:
-    """``ax_outline`` of JSON arrays of recorded nodes."""
-    import json
-
-    return pd.Series([ax_outline(json.loads(n) if n else [], set(() if s is None else s)) for n, s in zip(nodes_json, shadow, strict=True)])
