@@ -18,6 +18,7 @@ from pagegrain.functions import charsets, urls
 from pagegrain.functions.vector import vectorised
 from pagegrain.operators import comparison, disclosure, documents, markup, navigation, outlines, responses, styles, views
 from pagegrain.plans import flows
+from pagegrain.sources import pages as sources_pages
 from pagegrain.sources.pages import decode_responses, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,6 +162,50 @@ def select_scoped(spark: SparkSession, d: str) -> DataFrame:
     return markup.select(_nodes(spark, d), "li", "page_id", scope="nav").groupBy("page_id").agg(F.count("*").alias("n"))
 
 
+#: A page's html without its unclosed bold elements, which the parser opens again in every later paragraph; its script's quoted tag is as long in SQL.
+_UNBOLD = "regexp_replace(html, '</?b>', '', 'g')"
+_TEXTS = _UNESCAPE.format(rf"""regexp_replace(regexp_replace(replace({_UNBOLD}, '"</p>"', '"[/p]"'), '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g')""")
+
+
+def _unbold(spark: SparkSession, d: str) -> DataFrame:
+    return _pages(spark, d).withColumn("html", F.regexp_replace("html", "</?b>", ""))
+
+
+@_add("page_stats", rf"""
+SELECT page_id, len(regexp_extract_all({_UNBOLD}, '<[a-z][a-z0-9]*'))::BIGINT AS elements, strlen({_TEXTS})::BIGINT AS text_chars, strlen({_UNBOLD})::BIGINT AS bytes, sha256({_UNBOLD}) AS sha FROM pages""")
+def page_stats(spark: SparkSession, d: str) -> DataFrame:
+    return documents.dom_stats(markup.derive(_unbold(spark, d), ["nodes"]), "html", "page_id")
+
+
+@_add("dom_sequence", rf"""
+SELECT page_id, array_to_string(regexp_extract_all({_UNBOLD}, '<([a-z][a-z0-9]*)', 1), ' ') AS names, replace(replace(replace({_TEXTS}, '[/p]', '</p>'), '"', '\"'), chr(10), '\n') AS texts, len(regexp_extract_all(html, '<!--')) AS comments FROM pages""")
+def dom_sequence(spark: SparkSession, d: str) -> DataFrame:
+    """What the nested JSON of a page says, read back: its elements' names and its texts in order, and its comments."""
+    dom = F.col("dom")
+    return markup.derive(_unbold(spark, d), ["dom"]).select(
+        "page_id", F.array_join(F.regexp_extract_all(dom, F.lit(r'"type":"element","name":"([^"]*)"'), F.lit(1)), " ").alias("names"),
+        F.array_join(F.regexp_extract_all(dom, F.lit(r'"type":"text","value":"([^"\\]*+(?:\\.[^"\\]*+)*+)"'), F.lit(1)), "").alias("texts"), F.size(F.regexp_extract_all(dom, F.lit('"type":"comment"'), F.lit(0))).cast("long").alias("comments"),
+    )
+
+
+@_add("read_pages", "SELECT page_id, url, length(html)::INTEGER AS n_chars, NULL::INTEGER AS status, 0 AS n_headers FROM pages")
+def read_pages(spark: SparkSession, d: str) -> DataFrame:
+    return sources_pages.read_pages(spark, f"{d}/pages.parquet").select("page_id", "url", F.length("html").alias("n_chars"), "status", F.size("headers").alias("n_headers"))
+
+
+_SCRIPT = "CASE page_id % 5 WHEN 0 THEN '<script src=\"/s' || CAST(page_id AS VARCHAR(9)) || '.js\"></script>' WHEN 1 THEN '<script type=module>' || url || '</script>' WHEN 2 THEN '<script nomodule>' || url || '</script>' WHEN 3 THEN '<script type=\"text/template\">' || url || '</script>' ELSE '<script type=\" Text/JavaScript \" src=x.js></script>' END"
+
+
+@_add("script_kinds", rf"""
+WITH s AS (SELECT page_id, url, html, regexp_extract(url, '^[a-z]+://[^/]+', 0) AS origin, regexp_replace(url, '[^/]*$', '') AS folder FROM pages)
+SELECT page_id, 0 AS pos, 'inline' AS kind, false AS module, NULL::VARCHAR AS src, regexp_extract(html, '(?s)<script>(.*?)</script>', 1) AS body FROM s
+UNION ALL SELECT page_id, 1, CASE page_id % 5 WHEN 0 THEN 'external' WHEN 1 THEN 'inline' WHEN 4 THEN 'external' ELSE 'skip' END, CASE page_id % 5 WHEN 1 THEN true WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE false END,
+  CASE page_id % 5 WHEN 0 THEN origin || '/s' || page_id || '.js' WHEN 4 THEN folder || 'x.js' END, CASE WHEN page_id % 5 = 1 THEN url END FROM s""")
+def script_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Each page's own script, and one behind it that is external, a module, or skipped."""
+    return documents.page_scripts(documents.parse_pages(_spliced(spark, d, _SCRIPT)), "page_id")
+
+
 @_add("page_scripts", r"SELECT page_id, 0 AS pos, 'inline' AS kind, false AS module, NULL::VARCHAR AS src, regexp_extract(html, '(?s)<script>(.*?)</script>', 1) AS body FROM pages")
 def page_scripts(spark: SparkSession, d: str) -> DataFrame:
     return documents.page_scripts(_nodes(spark, d), "page_id")
@@ -597,6 +642,16 @@ def ordered_deltas(spark: SparkSession, d: str) -> DataFrame:
     return comparison.deltas(_delta_input(spark, d))
 
 
+@_add("middle_deltas", f"""
+WITH t AS (SELECT page_id, string_split({_BODY_TEXT}, chr(10)) AS a FROM pages), k AS (SELECT page_id, a, (len(a) // 2 + 1)::INTEGER AS m FROM t)
+SELECT page_id AS fixture, 'text' AS channel, 0 AS pos, '- ' || a[m] AS delta FROM k UNION ALL SELECT page_id, 'text', 1, '+ changed ' || page_id FROM k UNION ALL SELECT page_id, 'text', 2, '+ ' || a[len(a)] FROM k""")
+def middle_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """Each page's lines with the middle one changed and the last one repeated."""
+    rows = views.text_view(_pages(spark, d)).select(F.col("page_id").alias("fixture"), F.lit("text").alias("channel"), F.split("text", "\n").alias("a"))
+    changed = F.transform("a", lambda x, i: F.when(i == F.floor(F.size("a") / 2), F.concat(F.lit("changed "), F.col("fixture").cast("string"))).otherwise(x))
+    return comparison.deltas(rows.withColumn("b", F.array_append(changed, F.element_at("a", -1))))
+
+
 @_add("undisposed", "SELECT page_id AS fixture, 'text' AS channel, '+ one more line' AS delta, 'undeclared' AS problem FROM pages UNION ALL SELECT page_id, 'text', '- gone', 'gone' FROM pages")
 def undisposed(spark: SparkSession, d: str) -> DataFrame:
     actual = comparison.deltas(_delta_input(spark, d)).drop("pos")
