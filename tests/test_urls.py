@@ -62,3 +62,29 @@ def test_inflate():
     packed = gzip.compress(b"ab") + gzip.compress(b"cd")
     assert inflate_bytes(packed, " GZIP ") == (b"abcd", None)
     assert inflate_bytes(packed[:-4], "gzip")[1] and inflate_bytes(b"x", "br")[1] and inflate_bytes(b"x", "zstd") == (b"x", None)
+
+
+def test_plain_addresses_are_parted_as_the_helper_parts_them(spark):
+    """Expressions and helper agree on plain addresses and on those that only look plain; most real ones are plain."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from pagegrain.functions import urls
+
+    rng = random.Random(1)
+    pick = lambda *x: rng.choice(x)
+    hosts = ["a.com", "www.a-b.co.uk", "x1.example.org", "A.com", "a..com", "a.1", "1.2.3.4", "xn--nxasmq6b.com", "a.xn--p1ai", "localhost", "-a.com", "a-.com", "a_b.com", "a.com:80", "a.com:8080", "u:p@a.com", "é.com", "a.c0m", "0x1.com", "com"]
+    paths = ["", "/", "/a/b", "/a/./b", "/a/../b", "/..", "/a..b/.c", "//x", "/a b", "/%41", "/a,b~c-d_e", "/é", "?q=1", "/?q=a&b=c", "/?", "/a?", "/a?x y", "/a#f", "/a/b?x=1#f", "/a#f/../g", "/#", "/a;b", "/x/?a=/./b", "\\a", "/a/.", "/A.Z", "/a\n", "\n"]
+    rows = [(pick("http://", "https://", "https://", "ftp://", "HTTP://", "http:", "//", "") + pick(*hosts) + pick(*paths), pick("http://", "https://", "", "/", "/", "") + pick(*hosts, "", "", "") + pick(*paths)) for _ in range(6000)] + [(None, "x"), ("http://a.com/b", None), ("", "")]
+    df = spark.createDataFrame(rows, "base string, href string").repartition(3)
+    got = df.select("base", "href", urls.url_parse(F.col("base")).alias("p"), urls.resolve(F.col("base"), F.col("href")).alias("r"), urls.join_or_null(F.col("base"), F.col("href")).alias("j"), urls._is_plain(F.col("base")).alias("plain")).collect()
+    for r in got:
+        assert tuple(r.p) == urls._parts(r.base), r.base
+        assert r.r == urls.join_url(r.base, r.href), (r.base, r.href)
+        b = urls.parse_url(r.base)
+        u = urls.parse_url(r.href, b) if b is not None else None
+        assert r.j == (None if u is None else str(u)), (r.base, r.href)
+    assert 100 < sum(r.plain for r in got) < 3000
+    real = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select(urls._is_plain(F.col("url")).alias("plain"))
+    assert real.filter("not plain").count() <= 0.05 * real.count()
