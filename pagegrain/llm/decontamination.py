@@ -164,10 +164,11 @@ def _grams(n: int):
     return cut
 
 
-def _windows(sizes: list[int]):
-    """Each window of each document: its length, hash and first word."""
+def _windows(sizes: list[int], short=None):
+    """Each different window of each document: its length, hash and first words. Of the lengths in ``short`` only those that hash to an item's."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = short.value if short is not None else {}
         for whole in batches:
             for batch in W.chunks(whole):
                 data, offs = W.texts_of(batch.column("text"))
@@ -176,10 +177,18 @@ def _windows(sizes: list[int]):
                 for size in sizes:
                     at = np.arange(max(0, len(found.start) - size + 1))
                     at = at[owner[at] == owner[at + size - 1]]
-                    doc = pa.array(owner[at])
+                    h = run(at, at + size).view(np.int64)
+                    if size in asked:
+                        near = np.isin(h, asked[size])
+                        at, h = at[near], h[near]
+                    order = np.lexsort((at, h, owner[at]))
+                    at, h = at[order], h[order]
+                    doc = owner[at]
+                    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(at)), bool), (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]))))
+                    starts = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), pa.array(at - found.first[doc], pa.int32()))
+                    of = pa.array(doc[first])
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("id").take(doc), batch.column("text_hash").take(doc), pa.array(np.full(len(at), size, np.int32)), pa.array(run(at, at + size).view(np.int64)), pa.array((at - found.first[owner[at]]).astype(np.int32))],
-                        ["id", "text_hash", "size", "hash", "start"],
+                        [batch.column("id").take(of), batch.column("text_hash").take(of), pa.array(np.full(len(first), size, np.int32)), pa.array(h[first]), starts], ["id", "text_hash", "size", "hash", "starts"]
                     )
 
     return cut
@@ -194,8 +203,14 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = []
             for k, near in enumerate(batch.column("near").to_pylist()):
                 a = int(found.first[k])
-                out.append([{"start": x["start"], "size": x["size"], "words": x["words"]} for x in near if b" ".join(found.bytes_of(a + x["start"], a + x["start"] + x["size"])) == x["words"].encode()])
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32()), ("words", pa.string())]))
+                kept = []
+                for x in near:
+                    words = x["words"].encode()
+                    starts = [s for s in x["starts"] if b" ".join(found.bytes_of(a + s, a + s + x["size"])) == words]
+                    if starts:
+                        kept.append({"size": x["size"], "words": x["words"], "starts": starts})
+                out.append(kept)
+            kind = pa.list_(pa.struct([("size", pa.int32()), ("words", pa.string()), ("starts", pa.list_(pa.int32()))]))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(out, kind)], ["id", "text_hash", "windows"])
 
 
@@ -213,18 +228,25 @@ def _join(rows: DataFrame, items: DataFrame, n: int) -> DataFrame:
     """The hits of packed ``rows`` by a join of hashed windows. Equal rows are looked at once."""
     grams = stash(items.mapInArrow(_grams(n), "item string, size int, hash long, words string").distinct(), "grams")
     different = stash(grams.select("size", "hash", "words").distinct(), "windows")
-    sizes = sorted(r.size for r in different.select("size").distinct().collect())
+    counts = {r.size: r.n for r in different.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most n rows
+    sizes, short = sorted(counts), None
+    if 8 * sum(m for size, m in counts.items() if size < n) <= BROADCAST_BYTES:
+        # Windows of items of under n words are few, but any word may be one: documents send only those that hash alike.
+        hashes: dict[int, list[int]] = {size: [] for size in sizes if size < n}
+        for r in different.filter(F.col("size") < n).select("size", "hash").distinct().collect():
+            hashes[r.size].append(r.hash)
+        short = rows.sparkSession.sparkContext.broadcast({size: np.array(x, np.int64) for size, x in hashes.items()})
     keyed = rows.withColumns({"id": F.col("doc_id").cast("string"), "text_hash": F.xxhash64("text")})
     texts = keyed.filter(F.length("text") > 0).select("id", "text_hash", "text").dropDuplicates(["id", "text_hash"])
-    met = texts.mapInArrow(_windows(sizes), "id string, text_hash long, size int, hash long, start int").join(different, ["size", "hash"])
-    near = met.groupBy("id", "text_hash").agg(F.collect_list(F.struct("start", "size", "words")).alias("near"))
+    met = texts.mapInArrow(_windows(sizes, short), "id string, text_hash long, size int, hash long, starts array<int>").join(different, ["size", "hash"])
+    near = met.groupBy("id", "text_hash").agg(F.collect_list(F.struct("starts", "size", "words")).alias("near"))
     near = stash(near, "near")
     asked = texts.alias("t").join(near.alias("n"), F.col("t.id").eqNullSafe(F.col("n.id")) & (F.col("t.text_hash") == F.col("n.text_hash"))).select("t.id", "t.text_hash", "text", "near")
-    hit = stash(asked.mapInArrow(_verify, "id string, text_hash long, windows array<struct<start:int,size:int,words:string>>"), "verified")
+    hit = stash(asked.mapInArrow(_verify, "id string, text_hash long, windows array<struct<size:int,words:string,starts:array<int>>>"), "verified")
     owners = hit.select("id", "text_hash", F.explode("windows").alias("w")).select("id", "text_hash", "w.size", "w.words").distinct().join(grams, ["size", "words"])
     owners = owners.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("item")).alias("items"))
     told = hit.alias("h").join(owners.alias("o"), F.col("h.id").eqNullSafe(F.col("o.id")) & (F.col("h.text_hash") == F.col("o.text_hash")))
-    told = stash(told.select("h.id", "h.text_hash", F.transform("h.windows", lambda w: F.struct(w["start"].alias("start"), w["size"].alias("size"))).alias("spans"), "o.items"), "told")
+    told = stash(told.select("h.id", "h.text_hash", F.flatten(F.transform("h.windows", lambda w: F.transform(w["starts"], lambda s: F.struct(s.alias("start"), w["size"].alias("size"))))).alias("spans"), "o.items"), "told")
     out = keyed.alias("k").join(told.alias("t"), F.col("k.id").eqNullSafe(F.col("t.id")) & (F.col("k.text_hash") == F.col("t.text_hash")), "left")
     return out.select("k.own", "k.doc_id", "k.text", "t.spans", "t.items").mapInArrow(_tell, _with_hits(rows))
 

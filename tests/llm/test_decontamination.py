@@ -65,3 +65,20 @@ def test_every_internal_name_passes_through(spark, docs_of):
 def test_many_items_may_share_a_window():
     table = d.WindowSet([(str(k), "the very same question is asked by each of these items") for k in range(16_000)], 10)
     assert [len(o) for o in table.tables[10][2]] == [16_000, 16_000]
+
+
+@pytest.mark.parametrize("short_bytes", [1 << 20, 0])
+def test_one_word_items_through_the_join(spark, docs_of, monkeypatch, short_bytes):
+    """A word that is an item and in every document many times goes through the join once a document, with its places."""
+    docs = [(k, "the " * (1 + k % 40) + f"own{k} cat the sat on the mat " * (k % 3) + "end") for k in range(120)] + [(500, "the " * 50_000)]
+    items = [(1, "the"), (2, "cat"), (3, "sat on the"), (4, "nowhere"), (5, "the cat the sat on the mat own7 cat the sat")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    made = []
+    real = d.stash
+    monkeypatch.setattr(d, "stash", lambda df, name: made.append((name, real(df, name))) or made[-1][1])
+    monkeypatch.setattr(d, "BROADCAST_BYTES", short_bytes)
+    hits = d.find_hits(docs_of(docs).select("doc_id", "text"), bench, broadcast_bytes=0).collect()
+    got = sorted((r.doc_id or -1, r.hits.n_words, sum(s.end - s.start for s in r.hits.hit_words), ",".join(sorted(map(str, r.hits["items"])))) for r in hits)
+    assert got == brute(docs, items)
+    near = dict(made)["near"]
+    assert near.count() == 121 and max(len(r.near) for r in near.collect()) <= 4
