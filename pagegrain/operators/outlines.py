@@ -1,6 +1,6 @@
 """Outlines of recorded accessibility trees, from tables of their nodes.
 
-A recorded tree is a JSON list of nodes that name their children. Its nodes become rows, names are resolved by one join, and
+A recorded tree is a JSON list of nodes that name their children. Its nodes become rows, in which names are resolved within the tree, and
 what a node needs to know of its neighbours (parent, first child, next sibling) comes back to the tree as an array by place. Then each tree is
 one list of steps, into and out of each node in order, which pointer doubling ranks: after k rounds a step knows the step 2**k ahead,
 how far that is, and how many kept nodes are entered on the way. Rounds are expressions over the array, as many as the longest tree's
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagegrain.operators.responses import trim_white
-from pagegrain.storage import stash
+from pagegrain.storage import bucketed
 
 # What becomes of recorded roles.
 AX_DROP = ("StaticText", "InlineTextBox", "ListMarker", "LineBreak")
@@ -38,23 +38,35 @@ def _line(n: Column) -> Column:
 
 
 def _placed(trees: DataFrame) -> DataFrame:
-    """(tree, at): for each node by its place its parent's place, first child's and next sibling's (-1 for none), whether it is dropped, and its line if it is kept."""
+    """(tree, at): for each node by its place its parent's place, first child's and next sibling's (-1 for none), whether it is dropped, and its line if it is kept.
+
+    Names are resolved and neighbours found by windows and groups within a tree, so that rows stay where the tree's bucket is read.
+    """
     nodes = trees.select("tree", "shadow", F.posexplode("nodes").alias("pos", "n"))
-    # Of nodes with one name the last counts; a node that is listed twice counts where it is listed first.
-    named = nodes.groupBy("tree", F.col("n.nodeId").alias("id")).agg(F.max("pos").alias("child"))
-    listed = nodes.select("tree", F.col("pos").alias("parent"), F.posexplode("n.childIds").alias("ord", "id")).join(named, ["tree", "id"])
-    listed = listed.groupBy("tree", "child").agg(F.min(F.struct("parent", "ord")).alias("x")).select("tree", "child", "x.parent", "x.ord")
-    siblings = Window.partitionBy("tree", "parent").orderBy("ord")
-    listed = listed.withColumn("next", F.lead("child").over(siblings))
-    first = listed.groupBy("tree", F.col("parent").alias("pos")).agg(F.min_by("child", "ord").alias("first"))
     role = F.coalesce(F.col("n.role.value"), F.lit(""))
     through = F.coalesce(F.col("n.ignored"), F.lit(False)) | F.coalesce(F.array_contains("shadow", F.col("n.backendDOMNodeId")), F.lit(False)) | role.isin(*AX_SPLICE)
     drop = role.isin(*AX_DROP)
-    told = nodes.select("tree", "pos", F.col("n.parentId").isNull().alias("top"), drop.alias("drop"), F.when(~drop & ~through, _line(F.col("n"))).alias("line"))
-    told = told.join(listed.withColumnRenamed("child", "pos").drop("ord"), ["tree", "pos"], "left").join(first, ["tree", "pos"], "left")
-    none = lambda c: F.coalesce(c, F.lit(-1)).alias(c)
-    at = F.struct("pos", none("parent"), none("first"), none("next"), "top", "drop", "line")
-    return told.groupBy("tree").agg(F.sort_array(F.collect_list(at)).alias("at"))
+    # Each node says its own name, and the names of its children in order.
+    own = F.struct(F.col("n.nodeId").alias("id"), F.lit(-1).alias("ord"))
+    listed = F.transform(F.coalesce("n.childIds", F.array().cast("array<string>")), lambda c, i: F.struct(c.alias("id"), i.alias("ord")))
+    told = nodes.select("tree", "pos", F.col("n.parentId").isNull().alias("top"), drop.alias("drop"), F.when(~drop & ~through, _line(F.col("n"))).alias("line"), F.inline(F.concat(F.array(own), listed)))
+    is_own = F.col("ord") < 0
+    told = told.select("tree", "pos", "id", "ord", *(F.when(is_own, F.col(c)).alias(c) for c in ("top", "drop", "line")))
+    # Of nodes with one name the last counts; a node that is listed twice counts where it is listed first.
+    told = told.withColumn("child", F.max(F.when(is_own, F.col("pos"))).over(Window.partitionBy("tree", "id")))
+    told = told.filter(is_own | F.col("child").isNotNull()).withColumn("nth", F.row_number().over(Window.partitionBy("tree", is_own, F.when(is_own, F.col("pos")).otherwise(F.col("child"))).orderBy("pos", "ord")))
+    siblings = Window.partitionBy("tree", is_own, "pos").orderBy("ord")
+    told = told.filter(is_own | (F.col("nth") == 1)).withColumns({"next": F.lead("child").over(siblings), "nth": F.row_number().over(siblings)})
+    none, text = F.lit(None).cast("int"), F.lit(None).cast("string")
+    fact = lambda pos, parent, first, nxt, top, drop, line: F.struct(pos.alias("pos"), parent.alias("parent"), first.alias("first"), nxt.alias("next"), top.alias("top"), drop.alias("drop"), line.alias("line"))
+    flag = F.lit(None).cast("boolean")
+    of_own = F.array(fact(F.col("pos"), none, none, none, F.col("top"), F.col("drop"), F.col("line")))
+    of_child = fact(F.col("child"), F.col("pos"), none, F.col("next"), flag, flag, text)
+    of_first = fact(F.col("pos"), none, F.col("child"), none, flag, flag, text)
+    facts = told.select("tree", F.inline(F.when(is_own, of_own).when(F.col("nth") == 1, F.array(of_child, of_first)).otherwise(F.array(of_child))))
+    none_of = lambda c: F.coalesce(F.max(c), F.lit(-1)).alias(c)
+    facts = facts.groupBy("tree", "pos").agg(none_of("parent"), none_of("first"), none_of("next"), F.max("top").alias("top"), F.max("drop").alias("drop"), F.max("line").alias("line"))
+    return facts.groupBy("tree").agg(F.sort_array(F.collect_list(F.struct("pos", "parent", "first", "next", "top", "drop", "line"))).alias("at"))
 
 
 def ax_outlines(df: DataFrame, nodes_json: str, shadow: str, *keys: str) -> DataFrame:
@@ -64,7 +76,7 @@ def ax_outlines(df: DataFrame, nodes_json: str, shadow: str, *keys: str) -> Data
     go with all below them. A row without a tree, or whose JSON is none, has no lines.
     """
     parsed = df.select(F.struct(*keys).alias("own"), F.monotonically_increasing_id().alias("tree"), F.from_json(nodes_json, _NODES).alias("nodes"), F.coalesce(shadow, F.array().cast("array<long>")).alias("shadow"))
-    trees = stash(parsed, "trees")
+    trees = bucketed(parsed, "trees", "tree")
     placed = _placed(trees.filter(F.size("nodes") > 0))
     # The root is the first node without a parent.
     root = F.get(F.filter("at", lambda x: x["top"]), F.lit(0))["pos"]
@@ -87,5 +99,5 @@ def ax_outlines(df: DataFrame, nodes_json: str, shadow: str, *keys: str) -> Data
     lines = lambda x: F.filter(F.array(said(entered(x)["far"], 0, x["line"]), said(entered(x)["far"], 1, F.when(held(x), "(")), said(left(x)["far"], 0, F.when(held(x), ")"))), lambda s: s["line"].isNotNull())
     outline = F.transform(F.array_sort(F.flatten(F.transform(F.filter("at", on_list), lines))), lambda s: s["line"])
     # Written, as a filter on the outline would be pushed through the rounds, each of which names the steps of the one before several times.
-    made = stash(ranked.select("tree", outline.alias("outline")), "outlines")
+    made = bucketed(ranked.select("tree", outline.alias("outline")), "outlines", "tree")
     return trees.select("tree", "own").join(made, "tree", "left").select("own.*", F.coalesce("outline", F.array().cast("array<string>")).alias("outline"))
