@@ -8,17 +8,20 @@ each from its format and context. Each kind has a threshold of its own, calibrat
 generator wrote: other formats, other words before them, other look-alikes (``calibrated``). Of overlapping candidates the best scored one stays (of equal ones the first, the
 shorter, the first by kind); none that overlaps a base span does.
 
-The trees are trained with Spark ML on a bounded sample: about ``SAMPLE_DOCS`` documents chosen by a
-hash, in each ``PLACES`` places drawn from its whole text and at most ``PLACES`` of its base spans. No labels
-exist, so the classes are made: at each place of real context examples are written in, of every kind in many
+The trees are trained with Spark ML on every document: those whose text's hash is divisible by four calibrate, all others are
+learned from. No labels exist, so the classes are made: ``DRAWS`` times examples are written, of every kind in many
 formats (positive) and of what looks alike but is none: dates, years, amounts, versions, checksums, book
-numbers, time stamps, spoiled check digits (negative), with and without words that announce them. Base
-spans are rewritten in place as well. What the generators find in the documents themselves has no
+numbers, time stamps, spoiled check digits (negative), with and without words that announce them. Each is put at every
+place of every text, a place being where a word begins. All that an example's features take from its place is whether a word that
+announces its kind, or something else, stands in the ``WINDOW`` characters before, and whether a colon or equals sign does; so
+one pass counts the places of all texts by these (``contexts``), and an example is learned once for each such
+context, weighted by the number of its places. Every base span is rewritten in place as well. A document weighs ``PLACES`` by its places together,
+and one by each rewriting. What the generators find in the documents themselves has no
 label and takes part in neither training nor calibration. Scoring reads whole texts in one narrow step: a
 model of some hundred nodes is sent, no row is.
 
 Offsets are code points, end exclusive. Cases: a null or empty text has no spans; repeated rows have
-equal results; without a document to draw places from there is no model and no added span; an
+equal results; without a text to learn from there is no model and no added span; an
 empty table gives no rows. Result columns replace columns of the same name, others pass through.
 """
 
@@ -44,11 +47,13 @@ from pagegrain.storage import stash
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "account", "identity", "secret")
-SAMPLE_DOCS = 400
+DRAWS = 1600
 PLACES = 4
+WINDOW = 32
+PIECE = 1 << 20
 PRECISION, RECALL = 0.98, 0.99
 TREES, DEPTH = 16, 5
-FIT_TASKS = 8
+FIT_TASKS, FIT_ROWS = 8, 250_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]")
@@ -57,6 +62,8 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _GROUP = re.compile(r"[0-9]+")
+_WORD = re.compile(r"\S+")
+_COLON = re.compile(r"[:=][ \"']+")
 _JOIN = re.compile(r"[\x20().\-/]{1,3}")
 _DOTTED = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\.|\[\.\]|\(\.\))[0-9]{1,3}){3}(?![0-9])")
 _SPELLED = re.compile(r"([A-Za-z0-9._%+-]{1,64})(\x20?[\(\[]at[\)\]]\x20?|\x20at\x20|@)([A-Za-z0-9-]{1,63}(?:(?:\x20?[\(\[]dot[\)\]]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]{1,63})+)")
@@ -71,6 +78,13 @@ _HINTS = {
     "secret": re.compile(r"token|secret|passw|pwd|api.?key|access.?key|\bkeys?\b|credential|auth|bearer", re.I),
 }
 _OTHER = re.compile(r"isbn|ean|commit|sha|md5|checksum|uuid|version|page|since|from|between|order|total|units|date|file|http|doi", re.I)
+#: How the matches of these begin, in lower case: to find them all in whole texts without trying a pattern at each character.
+_BEGIN = {
+    _HINTS["email"]: ("email", "e-mail", "contact", "write"), _HINTS["ip"]: ("ip", "host", "server", "address"), _HINTS["card"]: ("card", "visa", "credit", "payment"),
+    _HINTS["phone"]: ("phone", "tel", "call", "mobile", "fax"), _HINTS["account"]: ("account", "acct", "iban", "customer", "member", "konto", "cuenta", "compte"),
+    _HINTS["identity"]: ("ssn", "social security", "passport", "tax", "iban", "id"), _HINTS["secret"]: ("token", "secret", "passw", "pwd", "api", "access", "key", "credential", "auth", "bearer"),
+    _OTHER: ("isbn", "ean", "commit", "sha", "md5", "checksum", "uuid", "version", "page", "since", "from", "between", "order", "total", "units", "date", "file", "http", "doi"),
+}
 
 SPANS = T.ArrayType(T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
@@ -178,7 +192,7 @@ def features(text: str, span: Span) -> list[float]:
     ip = [int(g) for g in groups] if kind == "ip" else []
     before, after = text[max(0, a - 1) : a], text[b : b + 1]
     side = lambda c: 0.0 if not c or c.isspace() else 1.0 if c.isdigit() else 2.0 if c.isalpha() else 3.0 if c in "\"'" else 4.0
-    near = text[max(0, a - 32) : a]
+    near = text[max(0, a - WINDOW) : a]
     head = int(digits[:4] or 0)
     changes = sum(x.isdigit() != y.isdigit() for x, y in zip(s, s[1:]))
     entropy = -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
@@ -194,6 +208,8 @@ def features(text: str, span: Span) -> list[float]:
 
 
 N_FEATURES = len(features("a@b.c", ("email", 0, 5)))
+#: The features that the text before the words written in decides: announced, announced as something else, behind a colon.
+F_HINT, F_OTHER, F_COLON = 22, 23, N_FEATURES - 1
 
 _CUES = {
     "email": ("email: ", "write to ", "contact "), "ip": ("ip ", "host ", "server "), "card": ("card ", "visa ", "credit card: "), "phone": ("phone ", "tel: ", "call "),
@@ -338,63 +354,134 @@ def _rewritten(text: str, span: Span, rng: random.Random) -> Iterator[tuple[str,
         yield kind, s.replace(".", "[.]"), 1.0
 
 
-def calibration_of(text: str, draw: int) -> list[tuple[float, list[float]]]:
-    """Labelled examples of the other generator in the context of one document."""
-    rng, out = random.Random(draw), []
-    for _ in range(PLACES):
-        place = rng.randint(0, len(text))
-        while 0 < place < len(text) and not text[place - 1].isspace():
-            place -= 1
-        for cue, kind, form in _other_positives(rng):
-            made, a = _written(text, place, place, f"{cue}{form} ")
-            a += len(cue)
-            out += [(1.0, features(made, c)) for c in candidates(made) if c == (kind, a, a + len(form))]
-        for cue, form in _other_negatives(rng):
-            made, a = _written(text, place, place, f"{cue}{form} ")
-            a += len(cue)
-            out += [(0.0, features(made, c)) for c in candidates(made) if a <= c[1] and c[2] <= a + len(form)]
-    return out
+def _lower(text: str) -> str:
+    """``text`` in lower case, of the same length, with the letters that patterns take for s, k and i whatever the case."""
+    return text.replace("\u017f", "s").replace("\u212a", "k").replace("\u0130", "i").replace("\u0131", "i").lower()
 
 
-def examples_of(text: str, draw: int) -> list[tuple[float, list[float]]]:
-    """Labelled examples in the context of one document."""
+def contexts(texts: list[str]) -> np.ndarray:
+    """How many places of ``texts`` have each context, by kind, distances from the nearest word that announces the kind and something else (0: none), and colon.
+
+    A text without words has one place.
+    """
+    counts = np.zeros((len(KINDS), WINDOW + 1, WINDOW + 1, 2), np.int64)
+    counts[:, 0, 0, 0] += sum(not t or t.isspace() for t in texts)
+    whole = ("\n" * (WINDOW + 1)).join(texts)
+    for base in range(0, len(whole), PIECE):
+        a = max(0, base - 2 * WINDOW)
+        piece = whole[a : base + PIECE]
+        places = np.fromiter((m.start() for m in _WORD.finditer(piece, base - a)), np.int64)
+        if base and len(places) and places[0] == base - a and not piece[base - a - 1].isspace():
+            places = places[1:]  # its word began in the piece before
+        low = _lower(piece)
+
+        def away(pattern: re.Pattern, piece=piece, low=low, places=places) -> np.ndarray:
+            found = []
+            for begin in _BEGIN[pattern]:
+                at = low.find(begin)
+                while at >= 0:
+                    m = pattern.match(piece, at)
+                    if m:
+                        found.append((m.end(), at))
+                    at = low.find(begin, at + 1)
+            if not found:
+                return np.zeros(len(places), np.int64)
+            ends, starts = np.array(sorted(found), np.int64).T
+            starts = np.maximum.accumulate(starts)
+            k = np.searchsorted(ends, places, "right")
+            d = np.where(k > 0, places - starts[k - 1], 0)
+            return np.where(d <= WINDOW, d, 0)
+
+        behind = [p for m in _COLON.finditer(piece) for p in range(m.start() + 1, min(m.end(), m.start() + WINDOW) + 1)]
+        rest = away(_OTHER) * 2 + np.isin(places, np.array(behind, np.int64))
+        for k, kind in enumerate(KINDS):
+            at = away(_HINTS[kind]) * (2 * WINDOW + 2) + rest
+            counts[k] += np.bincount(at, minlength=counts[k].size).reshape(counts[k].shape)
+    return counts
+
+
+def rewritten_of(text: str, draw: int) -> list[tuple[float, list[float]]]:
+    """Labelled rewritings of all base spans of a document, in place."""
     rng, out = random.Random(draw), []
-    for _ in range(PLACES):
-        place = rng.randint(0, len(text))
-        while 0 < place < len(text) and not text[place - 1].isspace():
-            place -= 1
-        for kind, form in _positives(rng):
-            weak = kind == "secret" and rng.random() < 0.9 or rng.random() < 0.5
-            quote = rng.choice(('"', "'", "")) if kind == "secret" else ""
-            cue = rng.choice(_CUES[kind]) if weak else ""
-            made, a = _written(text, place, place, f"{cue}{quote}{form}{quote} ")
-            a += len(cue) + len(quote)
-            found = [c for c in candidates(made) if c[1:] == (a, a + len(form))]
-            out += [(1.0, features(made, c)) for c in found if c[0] == kind]
-            if kind == "account" and not luhn("".join(_GROUP.findall(form))):
-                out += [(0.0, features(made, c)) for c in found if c[0] == "card"]
-        for cue, form in ((rng.choice(("password: ", "password=", "passwd: ", "passphrase: ", "secret: ")), _password(rng)), (rng.choice(("key ", "keys: ", "")), _vendor_key(rng))):
-            made, a = _written(text, place, place, f"{cue}{form} ")
-            out += [(1.0, features(made, c)) for c in candidates(made) if c == ("secret", a + len(cue), a + len(cue) + len(form))]
-        for cue, form in _negatives(rng):
-            made, a = _written(text, place, place, f"{cue}{form} ")
-            a += len(cue)
-            out += [(0.0, features(made, c)) for c in candidates(made) if a <= c[1] and c[2] <= a + len(form)]
-    base = base_spans(text)
-    for span in rng.sample(base, min(PLACES, len(base))):
+    for span in base_spans(text):
         for kind, form, label in _rewritten(text, span, rng):
             made, a = _written(text, span[1], span[2], form)
             out += [(label, features(made, c)) for c in candidates(made) if c == (kind, a, a + len(form))]
     return out
 
 
-def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Labelled feature rows of sampled documents."""
+SEEN = "held boolean, kind int, hint int, other int, colon int, label double, x array<double>, n long"
+_SEEN = pa.schema([("held", pa.bool_()), ("kind", pa.int32()), ("hint", pa.int32()), ("other", pa.int32()), ("colon", pa.int32()), ("label", pa.float64()), ("x", pa.list_(pa.float64())), ("n", pa.int64())])
+
+
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the documents give: numbers of their places by context, of themselves (kind -1), and rewritings of base spans (those with ``x``)."""
+    for batch in batches:
+        draws, texts = batch.column("draw").to_pylist(), batch.column("text").to_pylist()
+        out = []
+        for held in (False, True):
+            own = [(d, t) for d, t in zip(draws, texts, strict=True) if (d % 4 == 0) == held]
+            counts = contexts([t for _, t in own])
+            out += [{"held": held, "kind": k, "hint": h, "other": o, "colon": c, "n": int(counts[k, h, o, c])} for k, h, o, c in np.argwhere(counts).tolist()]
+            out.append({"held": held, "kind": -1, "n": len(own)})
+            if not held:
+                out += [{"held": held, "label": label, "x": x, "n": 1} for d, t in own for label, x in rewritten_of(t, d)]
+        yield pa.RecordBatch.from_pylist(out, _SEEN)
+
+
+def calibration_of(draw: int) -> Iterator[tuple[str, float, list[float]]]:
+    """Labelled examples of the other generator, each with the words before it."""
+    rng = random.Random(draw)
+    for cue, kind, form in _other_positives(rng):
+        made, a = f"{cue}{form} ", len(cue)
+        for c in candidates(made):
+            if c == (kind, a, a + len(form)):
+                yield cue, 1.0, features(made, c)
+    for cue, form in _other_negatives(rng):
+        made, a = f"{cue}{form} ", len(cue)
+        for c in candidates(made):
+            if a <= c[1] and c[2] <= a + len(form):
+                yield made[: c[1]], 0.0, features(made, c)
+
+
+def examples_of(draw: int) -> Iterator[tuple[str, float, list[float]]]:
+    """Labelled examples, each with the words before it."""
+    rng = random.Random(draw)
+    for kind, form in _positives(rng):
+        weak = kind == "secret" and rng.random() < 0.9 or rng.random() < 0.5
+        quote = rng.choice(('"', "'", "")) if kind == "secret" else ""
+        cue = (rng.choice(_CUES[kind]) if weak else "") + quote
+        made, a = f"{cue}{form}{quote} ", len(cue)
+        for c in candidates(made):
+            if c[1:] == (a, a + len(form)):
+                if c[0] == kind:
+                    yield cue, 1.0, features(made, c)
+                elif kind == "account" and c[0] == "card" and not luhn("".join(_GROUP.findall(form))):
+                    yield cue, 0.0, features(made, c)
+    for cue, form in ((rng.choice(("password: ", "password=", "passwd: ", "passphrase: ", "secret: ")), _password(rng)), (rng.choice(("key ", "keys: ", "")), _vendor_key(rng))):
+        made, a = f"{cue}{form} ", len(cue)
+        for c in candidates(made):
+            if c == ("secret", a, a + len(form)):
+                yield cue, 1.0, features(made, c)
+    for cue, form in _negatives(rng):
+        made, a = f"{cue}{form} ", len(cue)
+        for c in candidates(made):
+            if a <= c[1] and c[2] <= a + len(form):
+                yield made[: c[1]], 0.0, features(made, c)
+
+
+_MADE = pa.schema([("held", pa.bool_()), ("kind", pa.int32()), ("room", pa.int32()), ("bare", pa.bool_()), ("label", pa.float64()), ("x", pa.list_(pa.float64()))])
+
+
+def _made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Examples with ``room``, the characters of the text that count before them, and whether nothing but quotes is written before."""
     for batch in batches:
         out = []
-        for draw, text in zip(batch.column("draw").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            out += [{"draw": draw, "label": label, "x": x} for label, x in (calibration_of if draw % 4 == 0 else examples_of)(text, draw)]
-        yield pa.RecordBatch.from_pylist(out, pa.schema([("draw", pa.int64()), ("label", pa.float64()), ("x", pa.list_(pa.float64()))]))
+        for draw in batch.column("id").to_pylist():
+            held = draw % 4 == 0
+            for before, label, x in (calibration_of if held else examples_of)(draw):
+                out.append({"held": held, "kind": int(x[0]), "room": max(0, WINDOW - len(before)), "bare": not before.strip(" \"'"), "label": label, "x": x})
+        yield pa.RecordBatch.from_pylist(out, _MADE)
 
 
 class Trees:
@@ -433,27 +520,47 @@ class Trees:
         return 1 / (1 + np.exp(-2 * total))
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, precision: float = PRECISION) -> Trees | None:
-    """Trees with calibrated thresholds from a bounded sample of ``docs``; None if there is nothing to draw from."""
+def in_context(seen: DataFrame) -> DataFrame:
+    """The examples in each context of all places: held, label, x and ``n``, the number of those places."""
+    spark = seen.sparkSession
+    within = lambda c: ((F.col(c) > 0) & (F.col(c) <= F.col("room"))).cast("int").alias(c)
+    counted = seen.filter("kind >= 0").groupBy("held", "kind", "hint", "other", "colon").agg(F.sum("n").alias("n"))
+    rooms = spark.range(WINDOW + 1).select(F.col("id").cast("int").alias("room"))
+    counted = counted.crossJoin(F.broadcast(rooms)).groupBy("held", "kind", "room", within("hint"), within("other"), "colon").agg(F.sum("n").alias("n"))
+    made = spark.range(0, DRAWS, 1, FIT_TASKS).mapInArrow(_made, "held boolean, kind int, room int, bare boolean, label double, x array<double>")
+    both = made.join(F.broadcast(counted), ["held", "kind", "room"])
+    put = lambda v, i: F.when(i == F_HINT, F.greatest(v, "hint")).when(i == F_OTHER, F.greatest(v, "other")).when((i == F_COLON) & F.col("bare"), F.greatest(v, "colon")).otherwise(v)
+    return both.select("held", "label", F.transform("x", put).alias("x"), "n").groupBy("held", "label", "x").agg(F.sum("n").alias("n"))
+
+
+def train(docs: DataFrame, precision: float = PRECISION) -> Trees | None:
+    """Trees with calibrated thresholds from all of ``docs``; None if there is no text to learn from."""
     # Only the driver needs Spark ML; tasks that score need not load it.
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
-    share = int(min(1.0, sample_docs / max(1, docs.count())) * (1 << 40))
-    sample = docs.select("text", draw.alias("draw")).filter(F.col("text").isNotNull() & (F.col("draw") < share)).dropDuplicates(["draw"]).repartition(FIT_TASKS, "draw")
-    made = stash(sample.mapInArrow(_examples, "draw long, label double, x array<double>"), "examples")
-    fit, kept_out = made.filter("draw % 4 <> 0"), made.filter("draw % 4 = 0")
-    if fit.select("label").distinct().count() < 2:
+    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+    texts = docs.filter(F.col("text").isNotNull()).select("text", draw.alias("draw"))
+    seen = stash(texts.mapInArrow(_seen, SEEN), "seen")
+    every = {(r.held, r.kind): r.n for r in seen.filter("kind <= 0").groupBy("held", "kind").agg(F.sum("n").alias("n")).collect()}
+    if not every.get((False, -1)):
         return None
-    # The same rows in the same order in a fixed number of tasks make the same trees on every cluster.
+    # Of the draws three in four are learned from; together the places of a document weigh PLACES.
+    weight = {h: PLACES * every[h, -1] / every[h, 0] / (DRAWS * (0.25 if h else 0.75)) for h in (False, True) if every.get((h, -1))}
+    made = in_context(seen).withColumn("weight", F.col("n") * F.when(F.col("held"), weight.get(True, 0.0)).otherwise(weight[False]))
+    spans = seen.filter("x is not null").groupBy("held", "label", "x").agg(F.sum("n").alias("n"))
+    made = stash(made.unionByName(spans.withColumn("weight", F.col("n").cast("double"))), "examples")
+    fit, kept_out = made.filter("not held"), made.filter("held")
+    # The same rows in the same order in a number of tasks that follows from them make the same trees on every cluster.
+    tasks = max(FIT_TASKS, -(-fit.count() // FIT_ROWS))
     vector = array_to_vector("x").alias("features")
-    table = fit.repartition(FIT_TASKS, "draw").sortWithinPartitions("draw", "label", "x").select("label", vector)
-    fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=1, maxMemoryInMB=128).fit(table)
+    table = fit.repartition(tasks, "x").sortWithinPartitions("label", "x", "weight").select("label", "weight", vector)
+    # Of the examples (not of the documents) Spark itself draws 10,000 where it looks for the 31 cuts that a feature may have; each split counts all.
+    fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=1, maxMemoryInMB=128, weightCol="weight").fit(table)
     model = Trees(fitted)
-    # Held-out scores of each kind by steps of 1/1000: at most 1,001 rows a kind for any sample.
-    scored = fitted.transform(kept_out.select("label", F.col("x")[0].cast("int").alias("kind"), vector)).select("kind", "label", F.floor(vector_to_array("probability")[1] * 1000).alias("p"))
-    steps = scored.groupBy("kind", "p").agg(F.sum("label").alias("right"), F.count("*").alias("n")).orderBy("kind", F.desc("p")).collect()
+    # Held-out scores of each kind by steps of 1/1000: at most 1,001 rows a kind, however many places.
+    scored = fitted.transform(kept_out.select("label", "n", F.col("x")[0].cast("int").alias("kind"), vector)).select("kind", "label", "n", F.floor(vector_to_array("probability")[1] * 1000).alias("p"))
+    steps = scored.groupBy("kind", "p").agg(F.sum(F.col("label") * F.col("n")).alias("right"), F.sum("n").alias("n")).orderBy("kind", F.desc("p")).collect()
     for k in range(len(KINDS)):
         model.thresholds[k] = calibrated([(r.p / 1000, r.right, r.n) for r in steps if r.kind == k], precision)
     return model

@@ -147,6 +147,59 @@ def test_forms_from_elsewhere(spark):
     assert len(set(model.thresholds.tolist())) > 3 and (model.thresholds <= 1).all(), model.thresholds
 
 
+def brute_places(text):
+    return [m.start() for m in re.finditer(r"\S+", text)] or [0]
+
+
+def test_contexts_equal_looking_back_from_each_place(monkeypatch):
+    rng = random.Random(6)
+    words = ["hotel", "e-mail", "ip", "ship", "KEYS", "api", "key", "since", "mean", "ean:", "=", ": \"x", ":\"", "é", "\u017f\u017fn", "to\u212aen", "\u0130d", "\u0131p", "social security", "漢字", "w" * 30, "\n", "  ", "\u2003"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 12))) for _ in range(300)]
+    want = Counter()
+    for t in texts:
+        spans = {p: [m.span() for m in (p.match(t, i) for i in range(len(t))) if m] for p in (*pii._HINTS.values(), pii._OTHER)}
+        for at in brute_places(t):
+            away = lambda p: min((at - a for a, e in spans[p] if e <= at and at - a <= pii.WINDOW), default=0)  # noqa: B023, E731
+            near = t[max(0, at - pii.WINDOW) : at].rstrip(" \"'")
+            for k, kind in enumerate(pii.KINDS):
+                want[k, away(pii._HINTS[kind]), away(pii._OTHER), int(near[-1:] in (":", "=") and near != "")] += 1
+    for piece in (7, 100, 1 << 20):
+        monkeypatch.setattr(pii, "PIECE", piece)
+        counts = pii.contexts(texts)
+        assert {tuple(i): int(counts[tuple(i)]) for i in pii.np.argwhere(counts).tolist()} == dict(want)
+
+
+def test_examples_in_context_equal_writing_them_at_every_place(spark, monkeypatch):
+    text = "Our e-mail and phone: see the hotel page 12 since 1999, token = \"none\" for it and so on it goes with more words until nothing matters"
+    monkeypatch.setattr(pii, "DRAWS", 8)
+    for draw, examples in ((1, pii.examples_of), (4, pii.calibration_of)):
+        seen = spark.createDataFrame([(draw, text)], "draw long, text string").mapInArrow(pii._seen, pii.SEEN)
+        written, features = [], pii.features
+        with monkeypatch.context() as m:
+            m.setattr(pii, "features", lambda made, c: written.append((made, c)) or features(made, c))  # noqa: B023
+            labels = [label for d in range(8) if (d % 4 == 0) == (draw == 4) for _, label, _ in examples(d)]
+        want = Counter()
+        for (made, (kind, a, b)), label in zip(written, labels, strict=True):
+            for at in brute_places(text):
+                want[label, tuple(features(text[:at] + made + text[at:], (kind, at + a, at + b)))] += 1
+        got = {(r.label, tuple(r.x)): r.n for r in pii.in_context(seen).collect() if r.held == (draw == 4)}
+        assert got == dict(want)
+
+
+def test_every_document_and_base_span_is_learned_from(docs_of, monkeypatch):
+    rows = [(d, " ".join(f"w{d}{w}" for w in range(d % 5)) + "".join(f" a{d}@b{k}.org" for k in range(6 * (d % 300 == 0)))) for d in range(1500)]
+    tables, stash = {}, pii.stash
+    monkeypatch.setattr(pii, "stash", lambda df, name: tables.setdefault(name, stash(df, name)))
+    assert pii.train(docs_of(rows)) is not None
+    seen = tables["seen"]
+    count = lambda what: seen.filter(what).agg(F.sum("n")).head()[0]
+    assert count("kind = -1") == len(rows)
+    assert count("kind >= 0") == len(pii.KINDS) * sum(len(brute_places(t)) for _, t in rows)
+    draw = F.pmod(F.xxhash64("text"), F.lit(4))
+    learned = {r.doc_id for r in docs_of(rows).filter(draw != 0).collect()}
+    assert count("x is not null") == sum(2 * t.count("@") for d, t in rows if d in learned) > 2 * pii.PLACES
+
+
 def test_thresholds_follow_precision_and_recall():
     assert pii.calibrated([(0.9, 50, 50), (0.6, 49, 50), (0.2, 1, 60)], 0.98, 0.99) == 0.4
     assert pii.calibrated([(0.9, 50, 50), (0.6, 40, 50), (0.2, 10, 60)], 0.98, 0.99) == 0.75
